@@ -1,3 +1,119 @@
 """Registered queries: metrics, curves, thresholds, losses, gates and runs."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions.columns import r6
+from strata.operators import curves, metrics, thresholds
+from strata.plans import fixtures as fx
+from strata.plans.catalog import _round, register
+
+
+def _scored(spark: SparkSession, sf_dir: str, split: str | None) -> DataFrame:
+    s = fx.scored_table(spark, sf_dir)
+    return s if split is None else s.where(F.col("split") == split)
+
+
+# ------------------------------------------------------------------ MET
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned = thresholds.tune_grid(_scored(spark, sf_dir, "val"))
+    return metrics.confusion(_scored(spark, sf_dir, "test"), tuned)
+
+
+@register("f1_micro_macro")
+def f1_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.f1_micro_macro(_scored(spark, sf_dir, "val")), ["f1_micro", "f1_macro"])
+
+
+@register("precision_recall_macro")
+def precision_recall_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.precision_recall_macro(_scored(spark, sf_dir, "val")), ["precision_macro", "recall_macro"])
+
+
+@register("metric_bundle")
+def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.metric_bundle(_scored(spark, sf_dir, "val"))
+    return _round(out, out.columns)
+
+
+@register("per_label_report")
+def per_label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.per_label_report(_scored(spark, sf_dir, "test"))
+    return _round(out, ["auc", "f1", "precision", "recall"])
+
+
+# ------------------------------------------------------------------ CRV / MET6-7
+
+
+@register("auc_per_label")
+def auc_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.auc_per_label(_scored(spark, sf_dir, None)), ["auc"])
+
+
+@register("auc_micro")
+def auc_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.auc_pooled(_scored(spark, sf_dir, None)), ["auc"])
+
+
+@register("roc_curve")
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.roc_curve(_scored(spark, sf_dir, "test")), ["fpr", "tpr"])
+
+
+@register("pr_curve")
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.pr_curve(_scored(spark, sf_dir, "test")), ["precision", "recall"])
+
+
+@register("average_precision")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.average_precision(_scored(spark, sf_dir, "test")), ["ap"])
+
+
+@register("curve_chart")
+def curve_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(curves.curve_chart(_scored(spark, sf_dir, "test")), ["x", "y", "area"])
+
+
+# ------------------------------------------------------------------ THR
+
+
+@register("threshold_grid")
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(thresholds.tune_grid(_scored(spark, sf_dir, "val")), ["f1"])
+
+
+@register("threshold_roc_youden")
+def threshold_roc_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thresholds.tune_roc(_scored(spark, sf_dir, "val"), "youden")
+
+
+@register("threshold_roc_topleft")
+def threshold_roc_topleft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thresholds.tune_roc(_scored(spark, sf_dir, "val"), "closest_topleft")
+
+
+@register("threshold_eval")
+def threshold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned = thresholds.tune_grid(_scored(spark, sf_dir, "val"))
+    out = thresholds.evaluate_thresholds(_scored(spark, sf_dir, "test"), tuned)
+    return _round(out, out.columns)
+
+
+@register("threshold_compare")
+def threshold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = thresholds.compare_methods(
+        _scored(spark, sf_dir, "val"), _scored(spark, sf_dir, "test"), methods=("grid_search", "roc_youden")
+    )
+    return _round(out, [c for c in out.columns if c != "method"])
+
+
+@register("threshold_simplex")
+def threshold_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = thresholds.tune_simplex(_scored(spark, sf_dir, "val"), "f1_macro", n_iterations=30)
+    return out.select("label", r6("threshold").alias("threshold"))

@@ -192,6 +192,10 @@ FROM f1s"""
     )
     q["feature_stats"] = _wcte(F1) + _feature_stats_sql("f1", "")
     q["train_profile"] = _wcte(SCALED) + _train_profile_sql()
+    from strata.plans import oracle_analytics, oracle_models
+
+    q.update(oracle_analytics.oracle_sql())
+    q.update(oracle_models.oracle_sql())
     return q
 
 
