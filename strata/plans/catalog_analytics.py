@@ -117,3 +117,127 @@ def threshold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = thresholds.tune_simplex(_scored(spark, sf_dir, "val"), "f1_macro", n_iterations=30)
     return out.select("label", r6("threshold").alias("threshold"))
+
+
+# ------------------------------------------------------------------ LOS
+
+from strata.operators import gates, losses, prep, runs  # noqa: E402
+
+
+def _pos_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fx.split_metric_table(spark, sf_dir).where(F.col("split") == "train")
+    return prep.pos_weight(train, fx.F1_LABELS).select("label", "pos_weight")
+
+
+def _loss_query(name: str, **kw):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = _scored(spark, sf_dir, None)
+        if name in ("bce", "focal", "asl"):
+            kw2 = {"label_weights": _pos_weights(spark, sf_dir)}
+        elif name == "cb_focal":
+            train = fx.split_metric_table(spark, sf_dir).where(F.col("split") == "train")
+            kw2 = {"stored_cb_weights": prep.effective_number_weights(train, fx.F1_LABELS)}
+        else:
+            kw2 = {}
+        out = losses.loss(scored, name, "mean", **kw2, **kw)
+        return _round(out, ["loss"])
+
+    return q
+
+
+for _name in losses.LOSSES:
+    register(f"loss_{_name}")(_loss_query(_name))
+
+
+@register("loss_by_batch")
+def loss_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f1s = fx.split_metric_table(spark, sf_dir)
+    batched = prep.assign_batches(f1s, fx.F1_KEY, batch_size=2048, epoch=0)
+    scored = fx.scored_from(batched, ("batch_id",))
+    el = losses.element_loss(scored, "bce", label_weights=_pos_weights(spark, sf_dir))
+    out = losses.reduce_loss(el, "mean", batch_col="batch_id", group_cols=["split"])
+    return _round(out, ["loss"])
+
+
+# ------------------------------------------------------------------ GAT
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.gate_table(spark, sf_dir)
+
+
+def _gate_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = prep.stratified_split(_gates(spark, sf_dir), "vec_id", ["label"])
+    return g.where(F.col("split") == "val")
+
+
+@register("gate_stats")
+def gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.gate_stats(_gates(spark, sf_dir))
+    return _round(out, out.columns)
+
+
+@register("gate_stats_by_batch")
+def gate_stats_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.gate_stats_by_batch(_gates(spark, sf_dir), "batch_id")
+    return _round(out, [c for c in out.columns if c != "n_batches"])
+
+
+@register("gate_report")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gates.gate_report(_gate_val(spark, sf_dir), "vec_id", 1000)
+    return _round(out, [c for c in out.columns if c != "n_rows"])
+
+
+@register("gate_per_dim")
+def gate_per_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(gates.gate_per_dim(_gates(spark, sf_dir)), ["mean", "std"])
+
+
+@register("gate_decisions")
+def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(gates.gate_decisions(_gates(spark, sf_dir)), ["near_zero", "neutral", "near_one"])
+
+
+@register("gate_histogram")
+def gate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(gates.gate_histogram(_gates(spark, sf_dir)), ["lo", "hi"])
+
+
+@register("gate_heatmap_sample")
+def gate_heatmap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.gate_heatmap_sample(_gates(spark, sf_dir), "vec_id")
+
+
+@register("gate_by_class")
+def gate_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(gates.gate_by_class(_gates(spark, sf_dir)), ["mean_pos", "mean_neg"])
+
+
+@register("gate_vs_confidence")
+def gate_vs_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(gates.gate_vs_confidence(_gates(spark, sf_dir), "vec_id"), ["mean_gate", "max_prob"])
+
+
+@register("gate_interpretation")
+def gate_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rep = gates.gate_report(_gate_val(spark, sf_dir), "vec_id", 1000)
+    return _round(gates.gate_interpretation(rep), ["mean", "std", "near_zero", "near_one", "neutral"])
+
+
+# ------------------------------------------------------------------ RUN
+
+
+@register("seed_summary")
+def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(runs.seed_summary(fx.metric_log(spark, sf_dir)), ["mean", "std"])
+
+
+@register("early_stopping")
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.early_stopping(fx.metric_log(spark, sf_dir))
+
+
+@register("experiment_grid")
+def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(runs.experiment_summary(fx.metric_log(spark, sf_dir)), ["mean", "std"])

@@ -61,6 +61,11 @@ def scored_table(spark: SparkSession, sf_dir: str, with_split: bool = True) -> D
     per F1 row; scores are integer numerators over 1000 (no transcendental
     functions, so both engines agree on ties)."""
     base = split_metric_table(spark, sf_dir) if with_split else metric_table(spark, sf_dir).withColumn("split", F.lit("all"))
+    return scored_from(base)
+
+
+def scored_from(base: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
+    """F2 rows for an F1-shaped table carrying ``split`` (and ``extra_cols``)."""
     q = F.col("l_quantity").cast("int")
     d = F.round(F.col("l_discount") * 100).cast("int")
     t = F.round(F.col("l_tax") * 100).cast("int")
@@ -72,7 +77,7 @@ def scored_table(spark: SparkSession, sf_dir: str, with_split: bool = True) -> D
         (3, "y3", _prob(F.lit(5) + 15 * q + h)),
     ]
     rows = [F.struct(F.lit(i).alias("label"), F.col(y).alias("y"), p.alias("prob")) for i, y, p in per_label]
-    long = base.select(F1_KEY, "split", F.inline(F.array(*rows)))
+    long = base.select(F1_KEY, "split", *extra_cols, F.inline(F.array(*rows)))
     return long.withColumn("logit", F.log(F.col("prob") / (F.lit(1.0) - F.col("prob"))))
 
 
@@ -134,7 +139,7 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), "event_id", "ts", F.col("event_type").alias("metric"), "value"
     )
-    minute = F.floor(F.unix_micros("ts") / F.lit(60_000_000)).cast("long")
+    minute = F.date_trunc("minute", "ts")
     ranked = ordered_rank(ev, ["run"], [F.col("ts"), F.col("event_id")], minute, name="epoch")
     return ranked.select("run", "epoch", "metric", "value", "ts", "event_id")
 
