@@ -1,3 +1,185 @@
-"""Registered queries: embedding, scoring and training jobs."""
+"""Registered queries: embedding, scoring, caching and training jobs."""
 
 from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions.columns import r6
+from strata.operators import embed, gates, prep, scoring
+from strata.plans import fixtures as fx
+from strata.plans.catalog import _f1_features, _round, _scaled, register
+from strata.session import ensure_checkpoint_dir
+from strata.sources import tables
+
+CROSS_RANK = 2
+
+
+def cross_weights(dim: int, rank: int = CROSS_RANK) -> dict[str, np.ndarray]:
+    """Small rational weights of one low-rank cross layer ``x0*(V(U x0)+b)+x0``."""
+    return {
+        "U": fx.rational_weights((rank, dim)),
+        "V": fx.rational_weights((dim, rank)),
+        "b": fx.rational_weights((dim,)),
+    }
+
+
+def cross_numpy(df: DataFrame, key: str, feats: list[str], w: dict[str, np.ndarray]) -> DataFrame:
+    """SCO2 on the raw feature columns, numpy per Arrow batch (``mapInPandas``)."""
+    bw = df.sparkSession.sparkContext.broadcast(w)
+    out_cols = [f"cross_{i}" for i in range(len(feats))]
+    schema = f"`{key}` string, " + ", ".join(f"{c} double" for c in out_cols)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ww = bw.value
+        for pdf in batches:
+            x = pdf[feats].to_numpy(dtype=np.float64)
+            y = x * ((x @ ww["U"].T) @ ww["V"].T + ww["b"]) + x
+            out = pd.DataFrame(y, columns=out_cols)
+            out.insert(0, key, pdf[key].to_numpy())
+            yield out
+
+    return df.select(key, *feats).mapInPandas(run, schema)
+
+
+def cross_columns(df: DataFrame, key: str, feats: list[str], w: dict[str, np.ndarray]) -> DataFrame:
+    """The same layer as JVM column expressions (codegen, no Python)."""
+    x = [F.col(f).cast("double") for f in feats]
+    u = [sum((F.lit(float(w["U"][j, k])) * x[k] for k in range(len(feats))), F.lit(0.0)) for j in range(w["U"].shape[0])]
+    cols = []
+    for i in range(len(feats)):
+        inner = sum((F.lit(float(w["V"][i, j])) * u[j] for j in range(len(u))), F.lit(0.0)) + F.lit(float(w["b"][i]))
+        cols.append((x[i] * inner + x[i]).alias(f"cross_{i}"))
+    return df.select(key, *cols)
+
+
+def _cross_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    scaled, feats = _scaled(spark, sf_dir)
+    return scaled.select(fx.F1_KEY, *feats), feats
+
+
+@register("score_cross")
+def score_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, feats = _cross_inputs(spark, sf_dir)
+    out = cross_numpy(df, fx.F1_KEY, feats, cross_weights(len(feats)))
+    return _round(out, [c for c in out.columns if c.startswith("cross_")])
+
+
+@register("score_parity")
+def score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, feats = _cross_inputs(spark, sf_dir)
+    w = cross_weights(len(feats))
+
+    def long(d: DataFrame) -> DataFrame:
+        arr = F.array(*[F.col(f"cross_{i}") for i in range(len(feats))])
+        return d.select(fx.F1_KEY, F.posexplode(arr).alias("label", "prob"))
+
+    res = scoring.score_parity(long(cross_numpy(df, fx.F1_KEY, feats, w)), long(cross_columns(df, fx.F1_KEY, feats, w)), [fx.F1_KEY])
+    return res.select("n_pairs", "n_unmatched", r6("max_abs_diff").alias("max_abs_diff"), "verified")
+
+
+def _dcn_scored(spark: SparkSession, sf_dir: str, cross_type: str, deep_type: str) -> tuple[DataFrame, scoring.ModelSpec]:
+    scaled, feats = _scaled(spark, sf_dir)
+    spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
+    w = scoring.weights_from_rule(spark, spec)
+    data = scaled.select(fx.F1_KEY, *fx.F1_LABELS, prep.features_array(feats).alias("features"))
+    return scoring.score(data, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]), spec
+
+
+@register("score_contract")
+def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, spec = _dcn_scored(spark, sf_dir, "standard", "bottleneck")
+    return scoring.validate_output(scored, spec.num_classes)
+
+
+def _dcn_long(cross_type: str, deep_type: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored, _ = _dcn_scored(spark, sf_dir, cross_type, deep_type)
+        return _round(scoring.to_long(scored, [fx.F1_KEY], fx.F1_LABELS), ["logit", "prob"])
+
+    return q
+
+
+register("score_dcn_bottleneck")(_dcn_long("standard", "bottleneck"))
+register("score_dcn_moe")(_dcn_long("standard", "moe"))
+register("score_dcn_gated")(_dcn_long("gated", "bottleneck"))
+
+
+FUSION_FEATURES = ["n_chars", "n_spaces", "n_newlines"]
+
+
+def _fusion_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    fusion = fx.fusion_table(spark, sf_dir)
+    fusion = prep.stratified_split(fusion, "doc_id", ["quality", "toxic"])
+    model = prep.fit_scaler(fusion.where(F.col("split") == "train"), FUSION_FEATURES)
+    data = model.transform(fusion).select(
+        "doc_id", "split", "quality", "toxic", prep.features_array(FUSION_FEATURES).alias("features"), "embedding"
+    )
+    spec = scoring.ModelSpec(
+        input_dim=len(FUSION_FEATURES), kind=kind, projection_dim=32, embed_dim=16, cross_layers=2, deep_layers=1,
+        num_classes=2, text_dim=64, cross_rank=8,
+    )
+    w = scoring.weights_from_rule(spark, spec)
+    return scoring.score(data, spec, w, text_col="embedding", keep_cols=["doc_id", "split", "quality", "toxic"])
+
+
+@register("score_gated_fusion")
+def score_gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _fusion_scored(spark, sf_dir, "gated")
+    long = scoring.to_long(scored, ["doc_id"], ["quality", "toxic"])
+    return _round(long, ["logit", "prob"])
+
+
+@register("fusion_gate_stats")
+def fusion_gate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _fusion_scored(spark, sf_dir, "gated")
+    out = gates.gate_stats(scored, group_cols=["split"])
+    return _round(out, [c for c in out.columns if c != "split"])
+
+
+@register("score_late_mlp")
+def score_late_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _fusion_scored(spark, sf_dir, "late_mlp")
+    return _round(scoring.to_long(scored, ["doc_id"], ["quality", "toxic"]), ["logit", "prob"])
+
+
+@register("fusion_join")
+def fusion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fx.fusion_table(spark, sf_dir)
+    return f.select("doc_id", "quality", "toxic", "label", "n_chars", F.size("embedding").alias("emb_width"))
+
+
+@register("embed_text")
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.embed_text(fx.text_table(spark, sf_dir), "doc_id", "text")
+
+
+@register("embedding_cache_roundtrip")
+def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMB2 + SRC3 + SRC4: split, scale (train fit), embed every split in one job,
+    write the cache partitioned by split into the shared checkpoint folder, read
+    it back with validation."""
+    text = prep.stratified_split(fx.text_table(spark, sf_dir), "doc_id", ["quality", "toxic"])
+    model = prep.fit_scaler(text.where(F.col("split") == "train"), FUSION_FEATURES)
+    emb = embed.hashing_embed(model.transform(text), "text")
+    cache = emb.select(
+        "doc_id",
+        "split",
+        prep.features_array(FUSION_FEATURES, "float").alias("features"),
+        "embedding",
+        F.array(F.col("quality").cast("float"), F.col("toxic").cast("float")).alias("labels"),
+    )
+    path = os.path.join(ensure_checkpoint_dir(spark), "strata-cache", uuid.uuid4().hex)
+    tables.write_split_cache(cache, path)
+    back = tables.read_split_cache(spark, path)
+    return back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.size("embedding")).alias("emb_width"),
+        F.max(F.size("features")).alias("feat_width"),
+    )

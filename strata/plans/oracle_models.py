@@ -200,3 +200,32 @@ FROM rep"""
         " FROM opts o LEFT JOIN pc ON o.cell = pc.cell"
     )
     return q
+
+
+def scoring_sql() -> dict[str, str]:
+    """Oracle for the cross layer (unrolled with its rational weights), parity,
+    output contract, fusion join and cache round trip."""
+    from strata.plans.catalog_models import CROSS_RANK, cross_weights
+    from strata.plans.oracle import F3AS, FEATURES, SCALED
+
+    q: dict[str, str] = {}
+    w = cross_weights(len(FEATURES), CROSS_RANK)
+    u = [" + ".join(f"({float(w['U'][j, k])!r}e0) * {FEATURES[k]}" for k in range(len(FEATURES))) for j in range(CROSS_RANK)]
+    cols = []
+    for i, f in enumerate(FEATURES):
+        inner = " + ".join(f"({float(w['V'][i, j])!r}e0) * ({u[j]})" for j in range(CROSS_RANK)) + f" + ({float(w['b'][i])!r}e0)"
+        cols.append(f"{r6(f'{f} * ({inner}) + {f}')} AS cross_{i}")
+    q["score_cross"] = _wcte(SCALED) + "SELECT row_key, " + ", ".join(cols) + " FROM scaled"
+    q["score_parity"] = _wcte(SCALED) + (
+        f"SELECT count(*) * {len(FEATURES)} AS n_pairs, CAST(0 AS BIGINT) AS n_unmatched, 0e0 AS max_abs_diff, true AS verified FROM scaled"
+    )
+    q["score_contract"] = "SELECT count(*) AS n_rows, 4 AS min_width, 4 AS max_width, true AS ok FROM lineitem"
+    q["fusion_join"] = (
+        "SELECT d.doc_id, l.quality, l.toxic, e.label, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars,"
+        " CAST(len(e.embedding) AS INTEGER) AS emb_width"
+        " FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON e.vec_id = d.doc_id"
+    )
+    q["embedding_cache_roundtrip"] = _wcte(F3AS) + (
+        "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width FROM f3s GROUP BY split"
+    )
+    return q
