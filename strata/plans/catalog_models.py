@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import r6
 from strata.operators import embed, gates, prep, scoring
 from strata.plans import fixtures as fx
-from strata.plans.catalog import _f1_features, _round, _scaled, register
+from strata.plans.catalog import _round, _scaled, register
 from strata.session import ensure_checkpoint_dir
 from strata.sources import tables
 
@@ -183,3 +183,81 @@ def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.size("embedding")).alias("emb_width"),
         F.max(F.size("features")).alias("feat_width"),
     )
+
+
+# ------------------------------------------------------------------ TRN / MET10 / RUN4
+
+from strata.operators import losses, metrics, runs, train  # noqa: E402
+
+
+@register("fit_multilabel")
+def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRN1 + TRN2: fit the multi-label head on the scaled train split with the
+    focal loss, early-stopped on validation macro-AUC; returns the metric log."""
+    scaled, feats = _scaled(spark, sf_dir)
+    tr = scaled.where(F.col("split") == "train")
+    va = scaled.where(F.col("split") == "val")
+    model = train.fit(tr, va, feats, fx.F1_LABELS, [fx.F1_KEY], loss="focal", epochs=30, lr=0.05, seed=0)
+    return train.history_table(spark, model)
+
+
+@register("evaluate_split")
+def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MET10: score the test split with the gated-fusion scorer once and derive
+    loss, metric bundle and gate statistics from the same persisted scored table."""
+    from pyspark import StorageLevel
+
+    scored_wide = _fusion_scored(spark, sf_dir, "gated").where(F.col("split") == "test")
+    scored_wide = scored_wide.persist(StorageLevel.MEMORY_AND_DISK)
+    long = scoring.to_long(scored_wide, ["doc_id"], ["quality", "toxic"])
+    loss = losses.loss(long, "bce").select(F.lit("loss").alias("metric"), F.col("loss").alias("value"))
+    bundle = metrics.metric_bundle(long)
+    b = bundle.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in bundle.columns])))
+    g = gates.gate_stats(scored_wide)
+    gs = g.select(F.inline(F.array(*[F.struct(F.lit(f"eval/gate/{c}").alias("metric"), F.col(c).alias("value")) for c in g.columns])))
+    out = loss.unionByName(b).unionByName(gs)
+    return out.select("metric", r6("value").alias("value"))
+
+
+@register("run_grid")
+def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN3 + RUN4 + RUN5: score the test split with every (cross, deep)
+    configuration and gather the metric bundles into one table."""
+    scaled, feats = _scaled(spark, sf_dir)
+    test = scaled.where(F.col("split") == "test").select(
+        fx.F1_KEY, *fx.F1_LABELS, prep.features_array(feats).alias("features")
+    )
+    parts = []
+    for _, cross_type, deep_type in runs.config_grid():
+        spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
+        w = scoring.weights_from_rule(spark, spec)
+        long = scoring.to_long(scoring.score(test, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]), [fx.F1_KEY], fx.F1_LABELS)
+        parts.append(
+            metrics.metric_bundle(long).select(
+                F.lit(cross_type).alias("cross_type"), F.lit(deep_type).alias("deep_type"), "*"
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("run_name", runs.run_name("cross_type", "deep_type"))
+    return _round(out, ["acc", "f1_micro", "f1_macro", "auc_micro", "auc_macro"])
+
+
+
+# ------------------------------------------------------------------ streaming
+
+
+@register("stream_confusion")
+def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test split of the scored table, written as parquet to the shared
+    folder and consumed as a stream (several files per trigger); running
+    per-label confusion counts at 0.5, equal to the batch confusion."""
+    from strata.streaming import scored_stream
+
+    base = os.path.join(ensure_checkpoint_dir(spark), "strata-stream-src", uuid.uuid4().hex)
+    scored = fx.scored_table(spark, sf_dir).where(F.col("split") == "test").select("row_key", "label", "y", "prob", "logit")
+    scored.repartition(8).write.parquet(os.path.join(base, "in"))
+    stream = scored_stream.read_scored_stream(spark, os.path.join(base, "in"), scored.schema, max_files_per_trigger=2)
+    out = scored_stream.run_to_table(scored_stream.running_confusion(stream), os.path.join(base, "out"))
+    return spark.read.parquet(out)

@@ -197,6 +197,7 @@ FROM f1s"""
     q.update(oracle_analytics.oracle_sql())
     q.update(oracle_models.oracle_sql())
     q.update(oracle_models.scoring_sql())
+    q.update(oracle_models.streaming_sql())
     return q
 
 

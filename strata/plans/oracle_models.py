@@ -229,3 +229,18 @@ def scoring_sql() -> dict[str, str]:
         "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width FROM f3s GROUP BY split"
     )
     return q
+
+
+def streaming_sql() -> dict[str, str]:
+    from strata.plans.oracle_analytics import F2 as F2_
+
+    return {
+        "stream_confusion": _wcte(F2_) + """
+SELECT label,
+       CAST(sum(CASE WHEN prob >= 0.5e0 THEN y ELSE 0 END) AS BIGINT) AS tp,
+       CAST(sum(CASE WHEN prob >= 0.5e0 THEN 1 - y ELSE 0 END) AS BIGINT) AS fp,
+       CAST(sum(CASE WHEN prob < 0.5e0 THEN y ELSE 0 END) AS BIGINT) AS fn,
+       CAST(sum(CASE WHEN prob < 0.5e0 THEN 1 - y ELSE 0 END) AS BIGINT) AS tn,
+       count(*) AS n
+FROM f2 WHERE split = 'test' GROUP BY label"""
+    }
