@@ -31,8 +31,11 @@ def tune_grid(scored: DataFrame, candidates: Sequence[float] | None = None, metr
     order = sorted(range(len(cands)), key=lambda i: cands[i])
     sorted_c = [cands[i] for i in order]
     bucket = sum((F.col("prob") >= F.lit(c)).cast("int") for c in sorted_c)
-    y = F.col("y").cast("long")
-    counts = scored.groupBy("label", bucket.alias("bucket")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    if {"pos", "neg"} <= set(scored.columns):  # already aggregated per distinct score
+        pos, neg = F.col("pos"), F.col("neg")
+    else:
+        pos, neg = F.col("y").cast("long"), 1 - F.col("y").cast("long")
+    counts = scored.groupBy("label", bucket.alias("bucket")).agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
     # (label, k) grid of candidates: k-th smallest candidate, its position in the given order
     grid_rows = F.array(
         *[
@@ -233,7 +236,8 @@ def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int
     spark = scored.sparkSession
     steps = curves.score_steps(scored).select("label", "score", "pos", "neg", "P", "N").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        start = {r["label"]: r["threshold"] for r in tune_coarse(scored).collect()}
+        coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
+        start = {r["label"]: r["threshold"] for r in coarse.collect()}
         labels = sorted(start)
         x0 = np.array([start[lab] for lab in labels])
         best = nelder_mead(lambda pts: _objective_values(spark, steps, labels, pts, metric), x0, n_iterations)

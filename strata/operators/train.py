@@ -121,12 +121,12 @@ def fit(
     bound = 1.0 / math.sqrt(Fn)
     W = rng.uniform(-bound, bound, size=(L, Fn))
     b = rng.uniform(-bound, bound, size=L)
-    # per-label weights: pos_weight (alpha) and class-balanced weights, from the train split
-    pw = {r["label"]: r["pos_weight"] for r in pos_weight(train, label_cols).collect()}
-    cb = {r["label"]: (r["w_pos"], r["w_neg"]) for r in effective_number_weights(train, label_cols, beta).collect()}
     tr = train.select(*[F.col(f).cast("double").alias(f) for f in features], *[F.col(c).cast("double").alias(c) for c in label_cols])
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     va = val.select(*key_cols, *features, *label_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    # per-label weights: pos_weight (alpha) and class-balanced weights, from the persisted train split
+    pw = {r["label"]: r["pos_weight"] for r in pos_weight(tr, label_cols).collect()}
+    cb = {r["label"]: (r["w_pos"], r["w_neg"]) for r in effective_number_weights(tr, label_cols, beta).collect()}
     m1, v1 = np.zeros(L * (Fn + 1)), np.zeros(L * (Fn + 1))
     b1, b2, eps = 0.9, 0.999, 1e-8
     model = LinearModel(features, W, b)

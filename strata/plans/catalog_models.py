@@ -15,7 +15,7 @@ from strata.functions.columns import r6
 from strata.operators import embed, gates, prep, scoring
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, _scaled, register
-from strata.session import ensure_checkpoint_dir
+from strata.session import cut_lineage, ensure_checkpoint_dir
 from strata.sources import tables
 
 CROSS_RANK = 2
@@ -116,7 +116,7 @@ FUSION_FEATURES = ["n_chars", "n_spaces", "n_newlines"]
 
 def _fusion_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     fusion = fx.fusion_table(spark, sf_dir)
-    fusion = prep.stratified_split(fusion, "doc_id", ["quality", "toxic"])
+    fusion = cut_lineage(prep.stratified_split(fusion, "doc_id", ["quality", "toxic"]))
     model = prep.fit_scaler(fusion.where(F.col("split") == "train"), FUSION_FEATURES)
     data = model.transform(fusion).select(
         "doc_id", "split", "quality", "toxic", prep.features_array(FUSION_FEATURES).alias("features"), "embedding"
@@ -165,7 +165,7 @@ def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMB2 + SRC3 + SRC4: split, scale (train fit), embed every split in one job,
     write the cache partitioned by split into the shared checkpoint folder, read
     it back with validation."""
-    text = prep.stratified_split(fx.text_table(spark, sf_dir), "doc_id", ["quality", "toxic"])
+    text = cut_lineage(prep.stratified_split(fx.text_table(spark, sf_dir), "doc_id", ["quality", "toxic"]))
     model = prep.fit_scaler(text.where(F.col("split") == "train"), FUSION_FEATURES)
     emb = embed.hashing_embed(model.transform(text), "text")
     cache = emb.select(
