@@ -53,4 +53,4 @@ COARSE_CANDIDATES = [float(x) for x in np.arange(0.1, 0.9, 0.1)]  # 8 values
 # Library tunables (not fixed by the analysed code)
 SPLIT_BUCKET_HEX = 4  # prefix-sum buckets = 16**4 per stratum
 SCORE_BUCKETS = 1 << 16  # prefix-sum buckets for scores in [0, 1]
-BROADCAST_ROW_LIMIT = 2_000_000  # tables with a static bound below this are broadcast
+BROADCAST_ROW_LIMIT = 100_000  # static row bound for an explicit broadcast hint; larger sides are left to AQE's runtime size check

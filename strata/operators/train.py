@@ -13,6 +13,7 @@ stopping; the best parameters are kept. Full-batch steps replace mini-batches.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,21 +132,32 @@ def fit(
     b1, b2, eps = 0.9, 0.999, 1e-8
     model = LinearModel(features, W, b)
     best_auc, best, since = 0.0, (W.copy(), b.copy()), 0
+
+    def gradient(Wc: np.ndarray, bc: np.ndarray):
+        aggs, loss_terms = [], []
+        for l, z in enumerate(LinearModel(features, Wc, bc).logits()):
+            y = F.col(label_cols[l])
+            el, g = loss_and_grad(
+                z, y, loss, F.lit(float(cb[l][0])), F.lit(float(cb[l][1])), F.lit(float(pw[l])),
+                gamma, gamma_neg, gamma_pos, clip,
+            )
+            loss_terms.append(el)
+            aggs += [F.sum(g * F.col(f)).alias(f"g{l}_{j}") for j, f in enumerate(features)]
+            aggs.append(F.sum(g).alias(f"g{l}_b"))
+        aggs += [F.sum(sum(loss_terms, F.lit(0.0))).alias("loss_sum"), F.count(F.lit(1)).alias("n")]
+        return tr.agg(*aggs).first()
+
+    def val_auc(Wc: np.ndarray, bc: np.ndarray) -> float:
+        scored = LinearModel(features, Wc, bc).score(va, key_cols, label_cols)
+        a = curves.auc_per_label(scored).agg(F.avg("auc").alias("a"), F.count("auc").alias("k")).first()
+        return float(a["a"]) if a["k"] == L else 0.0
+
+    # validation of epoch e and the gradient of epoch e+1 use the same parameters:
+    # they run as two concurrent Spark jobs
+    pool = ThreadPoolExecutor(max_workers=2)
     try:
+        r = gradient(W, b)
         for epoch in range(epochs):
-            cur = LinearModel(features, W, b)
-            aggs, loss_terms = [], []
-            for l, z in enumerate(cur.logits()):
-                y = F.col(label_cols[l])
-                el, g = loss_and_grad(
-                    z, y, loss, F.lit(float(cb[l][0])), F.lit(float(cb[l][1])), F.lit(float(pw[l])),
-                    gamma, gamma_neg, gamma_pos, clip,
-                )
-                loss_terms.append(el)
-                aggs += [F.sum(g * F.col(f)).alias(f"g{l}_{j}") for j, f in enumerate(features)]
-                aggs.append(F.sum(g).alias(f"g{l}_b"))
-            aggs += [F.sum(sum(loss_terms, F.lit(0.0))).alias("loss_sum"), F.count(F.lit(1)).alias("n")]
-            r = tr.agg(*aggs).first()
             n = float(r["n"])
             gW = np.array([[r[f"g{l}_{j}"] for j in range(Fn)] for l in range(L)]) / n
             gb = np.array([r[f"g{l}_b"] for l in range(L)]) / n
@@ -161,20 +173,22 @@ def fit(
             mh, vh = m1 / (1 - b1 ** (epoch + 1)), v1 / (1 - b2 ** (epoch + 1))
             theta = theta - step_lr * mh / (np.sqrt(vh) + eps)
             W, b = theta[: L * Fn].reshape(L, Fn), theta[L * Fn :]
-            scored = LinearModel(features, W, b).score(va, key_cols, label_cols)
-            aucs = curves.auc_per_label(scored).agg(F.avg("auc").alias("a"), F.count("auc").alias("k")).first()
-            val_auc = float(aucs["a"]) if aucs["k"] == L else 0.0
+            f_auc = pool.submit(val_auc, W.copy(), b.copy())
+            f_grad = pool.submit(gradient, W.copy(), b.copy()) if epoch + 1 < epochs else None
+            auc = f_auc.result()
             model.history.append(
-                {"epoch": epoch + 1, "train_loss": r["loss_sum"] / (n * L), "val_auc_macro": val_auc, "lr": step_lr, "grad_norm": norm}
+                {"epoch": epoch + 1, "train_loss": r["loss_sum"] / (n * L), "val_auc_macro": auc, "lr": step_lr, "grad_norm": norm}
             )
-            if val_auc > best_auc:
-                best_auc, best, since = val_auc, (W.copy(), b.copy()), 0
+            r = f_grad.result() if f_grad is not None else None
+            if auc > best_auc:
+                best_auc, best, since = auc, (W.copy(), b.copy()), 0
                 model.best_epoch = epoch + 1
             else:
                 since += 1
                 if since >= patience:
                     break
     finally:
+        pool.shutdown(wait=True)
         tr.unpersist()
         va.unpersist()
     model.W, model.b = best
