@@ -92,3 +92,8 @@ def train_profile(train_scaled: DataFrame, label_cols: list[str], features: list
         for k, c in stats.items()
     ]
     return wide.select(F.inline(F.array(*rows)))
+
+
+def show_feature_stats(df: DataFrame, features: list[str]) -> None:
+    """AGG4: formatted listing of AGG3."""
+    feature_stats(df, features).show(truncate=False)

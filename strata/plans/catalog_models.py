@@ -261,3 +261,20 @@ def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = scored_stream.read_scored_stream(spark, os.path.join(base, "in"), scored.schema, max_files_per_trigger=2)
     out = scored_stream.run_to_table(scored_stream.running_confusion(stream), os.path.join(base, "out"))
     return spark.read.parquet(out)
+
+
+@register("metric_log_sink")
+def metric_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: append the metric log (one record per run, epoch and metric) to a
+    parquet log in the shared folder in two appends, read it back and count
+    records per metric."""
+    log = fx.metric_log(spark, sf_dir).select(
+        "run", (F.col("run") % 3).alias("seed"), "epoch", "metric", "value"
+    )
+    path = os.path.join(ensure_checkpoint_dir(spark), "strata-metric-log", uuid.uuid4().hex)
+    tables.append_metric_log(log.where(F.col("epoch") % 2 == 0), path)
+    tables.append_metric_log(log.where(F.col("epoch") % 2 == 1), path)
+    back = spark.read.parquet(path)
+    return back.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("run").alias("n_runs"), r6(F.sum("value")).alias("value_sum")
+    )

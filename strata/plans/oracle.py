@@ -198,6 +198,7 @@ FROM f1s"""
     q.update(oracle_models.oracle_sql())
     q.update(oracle_models.scoring_sql())
     q.update(oracle_models.streaming_sql())
+    q.update(oracle_models.sink_sql())
     return q
 
 

@@ -244,3 +244,12 @@ SELECT label,
        count(*) AS n
 FROM f2 WHERE split = 'test' GROUP BY label"""
     }
+
+
+def sink_sql() -> dict[str, str]:
+    return {
+        "metric_log_sink": (
+            f"SELECT event_type AS metric, count(*) AS n, count(DISTINCT user_id) AS n_runs, {r6('sum(value)')} AS value_sum"
+            " FROM events GROUP BY event_type"
+        )
+    }
