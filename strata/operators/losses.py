@@ -126,3 +126,78 @@ def reduce_loss(elements: DataFrame, reduction: str = "mean", batch_col: str | N
 def loss(scored: DataFrame, name: str = "bce", reduction: str = "mean", **kwargs) -> DataFrame:
     """Element loss + reduction in one call."""
     return reduce_loss(element_loss(scored, name, **kwargs), reduction)
+
+
+def _parts(loss: str, gamma: float, gamma_neg: float, gamma_pos: float, clip: float) -> tuple[Column, Column]:
+    """Positive-row and negative-row parts of a loss before its per-label weight:
+    ``loss = w_pos * y * A + w_neg * (1 - y) * B`` (``w_neg = 1`` except for CB)."""
+    z, y = F.col("logit"), F.col("y").cast("double")
+    one = F.lit(1.0)
+    nls_pos, nls_neg = -log_sigmoid(z), -log_sigmoid(-z)
+    if loss in ("bce", "cb"):
+        return nls_pos, nls_neg
+    if loss in ("focal", "cb_focal"):
+        f = _focal_factor(z, y, gamma)
+        return f * nls_pos, f * nls_neg
+    if loss == "asl":
+        p = sigmoid(z)
+        p_neg = F.least(one - p + F.lit(float(clip)), one) if clip and clip > 0 else one - p
+        return F.pow(one - p, F.lit(float(gamma_pos))) * nls_pos, F.pow(one - p_neg, F.lit(float(gamma_neg))) * nls_neg
+    raise ValueError(f"Unknown loss: {loss}")
+
+
+def one_pass_loss(
+    scored: DataFrame,
+    loss: str = "bce",
+    weight_rows: Column | None = None,
+    reduction: str = "mean",
+    batch_cols: list[str] | None = None,
+    gamma: float = FOCAL_GAMMA,
+    gamma_neg: float = ASL_GAMMA_NEG,
+    gamma_pos: float = ASL_GAMMA_POS,
+    clip: float = ASL_CLIP,
+    beta: float = CB_BETA,
+    eps_pos_weight: float = 1e-6,
+) -> DataFrame:
+    """Mean (or sum) loss in ONE aggregate over the scored table.
+
+    Every supported loss is linear in its per-label weights, so the loss equals
+    ``sum_l (w_pos_l * A_l + w_neg_l * B_l)`` with ``A_l``/``B_l`` the sums of the
+    positive/negative parts. The label counts that define the weights (over the
+    rows matching ``weight_rows``, e.g. the train split, or all rows) come from the
+    same grouped aggregate: bce/focal/asl use ``alpha = sqrt(neg / (pos + 1e-6))``
+    for positives; cb/cb_focal use effective-number weights. No second scan or
+    join of the scored table. With ``batch_cols`` the result is the mean of
+    per-batch means grouped by all but the last batch column (e.g. ``[split,
+    batch_id]`` -> one row per split)."""
+    if reduction not in ("mean", "sum"):
+        raise ValueError(f"Unknown reduction: {reduction}")
+    batch_cols = batch_cols or []
+    a, b = _parts(loss, gamma, gamma_neg, gamma_pos, clip)
+    y = F.col("y").cast("double")
+    wr = (weight_rows if weight_rows is not None else F.lit(True)).cast("double")
+    part = scored.groupBy(*batch_cols, "label").agg(
+        F.sum(y * a).alias("A"),
+        F.sum((F.lit(1.0) - y) * b).alias("B"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(y * wr).alias("wp"),
+        F.sum(wr).alias("wn_all"),
+    )
+    # per-label weights from the (at most labels x batches rows) partial table
+    lab = part.groupBy("label").agg(F.sum("wp").alias("positive"), (F.sum("wn_all") - F.sum("wp")).alias("negative"))
+    if loss in ("cb", "cb_focal"):
+        w = effective_number_weights_from_counts(lab, beta, CB_EPS).select("label", "w_pos", "w_neg")
+    else:
+        w = lab.select(
+            "label",
+            F.sqrt(F.col("negative") / (F.col("positive") + F.lit(eps_pos_weight))).alias("w_pos"),
+            F.lit(1.0).alias("w_neg"),
+        )
+    joined = part.join(F.broadcast(w), "label")  # one row per label
+    contrib = F.col("w_pos") * F.col("A") + F.col("w_neg") * F.col("B")
+    if not batch_cols:
+        out = joined.agg(F.sum(contrib).alias("loss_sum"), F.sum("n").alias("n"))
+        val = F.col("loss_sum") / F.col("n") if reduction == "mean" else F.col("loss_sum")
+        return out.select(val.alias("loss"), "n")
+    per_batch = joined.groupBy(*batch_cols).agg((F.sum(contrib) / F.sum("n")).alias("batch_loss"))
+    return per_batch.groupBy(*batch_cols[:-1]).agg(F.avg("batch_loss").alias("loss"), F.count(F.lit(1)).alias("n_batches"))

@@ -88,7 +88,9 @@ def running_aggregates(
         data = data.withColumn(f"_strata_i{i}", _agg(a.kind, F.col(f"_strata_v{i}")).over(frame))
     data = data.drop(*[f"_strata_t_{n}" for n in totals])
 
-    joined = data.join(offsets, on=[*part_cols, b], how="inner")
+    # every (part, bucket) has an offsets row: a left join keeps the same rows and lets
+    # Catalyst drop the join (and its scan) when a query uses no running column
+    joined = data.join(offsets, on=[*part_cols, b], how="left")
     out_cols = []
     for i, a in enumerate(aggs):
         o, v = F.col(f"_strata_o{i}"), F.col(f"_strata_i{i}")

@@ -124,23 +124,13 @@ def threshold_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
 from strata.operators import gates, losses, prep, runs  # noqa: E402
 
 
-def _pos_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = fx.split_metric_table(spark, sf_dir).where(F.col("split") == "train")
-    return prep.pos_weight(train, fx.F1_LABELS).select("label", "pos_weight")
-
-
-def _loss_query(name: str, **kw):
+def _loss_query(name: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = _scored(spark, sf_dir, None)
-        if name in ("bce", "focal", "asl"):
-            kw2 = {"label_weights": _pos_weights(spark, sf_dir)}
-        elif name == "cb_focal":
-            train = fx.split_metric_table(spark, sf_dir).where(F.col("split") == "train")
-            kw2 = {"stored_cb_weights": prep.effective_number_weights(train, fx.F1_LABELS)}
-        else:
-            kw2 = {}
-        out = losses.loss(scored, name, "mean", **kw2, **kw)
-        return _round(out, ["loss"])
+        # weights: train-split pos_weight (bce/focal/asl), train-split CB weights
+        # (cb_focal, stored), CB weights of the whole table (cb, dynamic)
+        rows = None if name == "cb" else F.col("split") == "train"
+        return _round(losses.one_pass_loss(scored, name, weight_rows=rows), ["loss"])
 
     return q
 
@@ -154,8 +144,7 @@ def loss_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f1s = fx.split_metric_table(spark, sf_dir)
     batched = prep.assign_batches(f1s, fx.F1_KEY, batch_size=2048, epoch=0)
     scored = fx.scored_from(batched, ("batch_id",))
-    el = losses.element_loss(scored, "bce", label_weights=_pos_weights(spark, sf_dir))
-    out = losses.reduce_loss(el, "mean", batch_col="batch_id", group_cols=["split"])
+    out = losses.one_pass_loss(scored, "bce", weight_rows=F.col("split") == "train", batch_cols=["split", "batch_id"])
     return _round(out, ["loss"])
 
 
