@@ -16,6 +16,17 @@ from strata.config import BROADCAST_ROW_LIMIT, SCORE_BUCKETS
 from strata.functions.columns import unit_bucket
 
 
+def score_counts(scored: DataFrame, part_cols: list[str] | None = None, score_col: str = "prob", y_col: str = "y") -> DataFrame:
+    """``(part..., score, pos, neg)``: positives and negatives per distinct score
+    (one partially aggregated pass over the scored rows). Every curve, AUC and
+    fixed-threshold confusion can be derived from this table."""
+    parts = ["label"] if part_cols is None else list(part_cols)
+    y = F.col(y_col).cast("long")
+    return scored.groupBy(*parts, F.col(score_col).alias("score")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
+    )
+
+
 def score_steps(
     scored: DataFrame,
     part_cols: list[str] | None = None,
@@ -23,24 +34,23 @@ def score_steps(
     y_col: str = "y",
     buckets: int = SCORE_BUCKETS,
     n_parts_bound: int | None = 64,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """CRV1: one row per ``(part, distinct score)``, in descending score order,
     with ``pos``/``neg`` at the score, cumulative ``tp``/``fp`` (inclusive),
     part totals ``P``/``N`` and the next (lower) score's ``next_pos``/``next_neg``
     (null on the last row). ``part_cols=[]`` pools everything (micro average).
+    ``counts`` (from ``score_counts``) may be passed instead of recomputing it.
     Scores are assumed in [0, 1] for bucketing (any order-preserving value works,
     out-of-range values land in the edge buckets)."""
     part_cols = ["label"] if part_cols is None else list(part_cols)
-    data = scored
+    if counts is None:
+        counts = score_counts(scored, part_cols, score_col, y_col)
     if not part_cols:
-        data = data.withColumn("_strata_all", F.lit(0))
+        counts = counts.withColumn("_strata_all", F.lit(0))
         parts = ["_strata_all"]
     else:
         parts = part_cols
-    y = F.col(y_col).cast("long")
-    counts = data.groupBy(*parts, F.col(score_col).alias("score")).agg(
-        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
-    )
     b = "_strata_b"
     counts = counts.withColumn(b, unit_bucket("score", buckets, descending=True))
     coarse = counts.groupBy(*parts, b).agg(
@@ -134,7 +144,7 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
         F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"),
     )
-    anchor = scored.select("label").distinct().select(
+    anchor = steps.select("label").distinct().select(
         "label", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return anchor.unionByName(pts)
@@ -151,7 +161,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
         (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
         recall.alias("recall"),
     )
-    end = scored.select("label").distinct().select(
+    end = steps.select("label").distinct().select(
         "label", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
     )
     return pts.unionByName(end)

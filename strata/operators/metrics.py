@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import div0
+from strata.operators.curves import score_counts
 
 
 def binarize(scored: DataFrame, thresholds: DataFrame | None = None, default: float = 0.5, pred_col: str = "pred") -> DataFrame:
@@ -69,19 +70,36 @@ def precision_recall_macro(scored: DataFrame, thresholds: DataFrame | None = Non
     return summary_from_confusion(confusion(scored, thresholds)).select("precision_macro", "recall_macro")
 
 
+def confusion_from_counts(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """MET2 at one fixed threshold from distinct-score counts ``(label, score, pos, neg)``."""
+    hit = F.col("score") >= F.lit(threshold)
+    return counts.groupBy("label").agg(
+        F.lit(threshold).alias("threshold"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("pos"))).cast("long").alias("fn"),
+        F.sum(F.when(hit, 0).otherwise(F.col("neg"))).cast("long").alias("tn"),
+    )
+
+
 def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """MET8: macro recall (reported as ``acc``), F1 micro/macro and AUC micro/macro
-    at a fixed threshold; both AUCs are 0 when any label is single-class."""
-    from strata.operators.curves import auc_per_label, auc_pooled
+    at a fixed threshold; both AUCs are 0 when any label is single-class.
+
+    Everything is derived from one distinct-score count table of the scored
+    rows: the confusion at the threshold, the per-label AUCs and (re-aggregated
+    without the label) the pooled AUC; the AUCs enter as scalar subqueries."""
+    from strata.operators.curves import _auc_agg, score_steps
 
-    summ = summary_from_confusion(confusion(scored, None, threshold))
-    # per-label AUCs and the pooled AUC enter as scalar subqueries (no join)
-    per_label = auc_per_label(scored).agg(
+    counts = score_counts(scored)
+    summ = summary_from_confusion(confusion_from_counts(counts, threshold))
+    per_label = _auc_agg(score_steps(None, counts=counts), ["label"]).agg(
         F.struct(
             F.avg("auc").alias("macro"), F.max(F.col("auc").isNull().cast("int")).alias("undefined")
         ).alias("s")
     ).scalar()
-    micro = auc_pooled(scored).select("auc").scalar()
+    pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = _auc_agg(score_steps(None, part_cols=[], counts=pooled).withColumn("_k", F.lit(0)), ["_k"]).select("auc").scalar()
     bad = per_label.getField("undefined") == 1
     return summ.select(
         F.col("recall_macro").alias("acc"),
