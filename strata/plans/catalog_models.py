@@ -205,10 +205,8 @@ def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET10: score the test split with the gated-fusion scorer once and derive
     loss, metric bundle and gate statistics from the same persisted scored table."""
-    from pyspark import StorageLevel
-
-    scored_wide = _fusion_scored(spark, sf_dir, "gated").where(F.col("split") == "test")
-    scored_wide = scored_wide.persist(StorageLevel.MEMORY_AND_DISK)
+    # the scorer output feeds three aggregates: materialise it once (one Python pass)
+    scored_wide = cut_lineage(_fusion_scored(spark, sf_dir, "gated").where(F.col("split") == "test"))
     long = scoring.to_long(scored_wide, ["doc_id"], ["quality", "toxic"])
     loss = losses.loss(long, "bce").select(F.lit("loss").alias("metric"), F.col("loss").alias("value"))
     bundle = metrics.metric_bundle(long)
@@ -231,7 +229,9 @@ def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, cross_type, deep_type in runs.config_grid():
         spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
         w = scoring.weights_from_rule(spark, spec)
-        long = scoring.to_long(scoring.score(test, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]), [fx.F1_KEY], fx.F1_LABELS)
+        # one scorer pass per configuration, materialised for the metric aggregates
+        wide = cut_lineage(scoring.score(test, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]))
+        long = scoring.to_long(wide, [fx.F1_KEY], fx.F1_LABELS)
         parts.append(
             metrics.metric_bundle(long).select(
                 F.lit(cross_type).alias("cross_type"), F.lit(deep_type).alias("deep_type"), "*"
