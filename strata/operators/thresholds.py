@@ -234,7 +234,14 @@ def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int
     if metric not in ("f1_macro", "f1_micro", "balanced_acc"):
         raise ValueError(f"Unknown metric: {metric}")
     spark = scored.sparkSession
-    steps = curves.score_steps(scored).select("label", "score", "pos", "neg", "P", "N").persist(StorageLevel.MEMORY_AND_DISK)
+    # every objective batch scans this table: keep it persisted, and at most one
+    # partition per core (coalesce is a no-op when it already has fewer)
+    steps = (
+        curves.score_steps(scored)
+        .select("label", "score", "pos", "neg", "P", "N")
+        .coalesce(spark.sparkContext.defaultParallelism)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
         coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
         start = {r["label"]: r["threshold"] for r in coarse.collect()}

@@ -49,10 +49,18 @@ def running_loss(stream: DataFrame, loss: str = "bce", label_weights: DataFrame
     return el.groupBy("label").agg(F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(agg: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = True) -> str:
+def run_to_table(
+    agg: DataFrame,
+    out_path: str,
+    checkpoint: str | None = None,
+    available_now: bool = True,
+    state_partitions: int | None = 8,
+) -> str:
     """Run a streaming aggregation in complete mode; every micro-batch replaces
     the parquet table at ``out_path`` with the current totals. Blocks until the
-    available input is processed (``availableNow``)."""
+    available input is processed (``availableNow``). ``state_partitions`` sizes
+    the state store (fixed by the first run of a checkpoint); the per-label state
+    here has one row per label, so a few partitions suffice."""
     spark = agg.sparkSession
     checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "strata-stream", uuid.uuid4().hex)
 
@@ -61,7 +69,13 @@ def run_to_table(agg: DataFrame, out_path: str, checkpoint: str | None = None, a
 
     q = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    handle = q.start()
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        handle = q.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     if available_now:
         handle.awaitTermination()
     return out_path
