@@ -285,3 +285,54 @@ def test_interpretation_text(spark):
     rep = gates.gate_interpretation(gates.gate_report(df, "vec_id")).first()
     assert rep["behaviour"] == "selector"
     assert "strong selector" in gates.interpretation_text(rep)
+
+
+def test_batches_reshuffle_train_only(spark):
+    rows = [(f"k{i}", "train" if i % 3 else "val") for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, split string")
+    a = {r["key"]: r["batch_id"] for r in prep.assign_batches(df, "key", batch_size=16, epoch=0).collect()}
+    b = {r["key"]: r["batch_id"] for r in prep.assign_batches(df, "key", batch_size=16, epoch=1).collect()}
+    train = [k for k, s in rows if s == "train"]
+    val = [k for k, s in rows if s == "val"]
+    assert any(a[k] != b[k] for k in train)
+    assert all(a[k] == b[k] for k in val)
+    sizes = {}
+    for k in train:
+        sizes[a[k]] = sizes.get(a[k], 0) + 1
+    assert max(sizes.values()) == 16 and sorted(sizes) == list(range(len(sizes)))
+
+
+def test_grid_custom_candidates_tie_order(spark):
+    # probs 0.3 / 0.6 positives, 0.1 negative: candidates 0.5 and 0.2 give F1 1/(1+...) ties
+    s = _scored(spark, [(0, 1, 0.6), (0, 1, 0.3), (0, 0, 0.1)])
+    # both 0.25 and 0.2 reach F1 = 1; the first in the given order wins
+    t = thresholds.tune_grid(s, candidates=[0.25, 0.2, 0.7]).first()
+    assert t["threshold"] == 0.25 and t["f1"] == 1.0
+    t = thresholds.tune_grid(s, candidates=[0.2, 0.25, 0.7]).first()
+    assert t["threshold"] == 0.2
+
+
+def test_gate_stats_by_batch_prefix(spark):
+    df = spark.createDataFrame(
+        [(0, [0.0, 1.0]), (0, [0.5, 0.5]), (1, [0.2, 0.4])], "batch_id long, gate array<double>"
+    )
+    r = gates.gate_stats_by_batch(df, prefix="eval").first()
+    assert r["n_batches"] == 2
+    assert r["eval/gate/mean"] == pytest.approx((0.5 + 0.3) / 2)
+    assert r["eval/gate/max"] == pytest.approx((1.0 + 0.4) / 2)
+
+
+def test_threshold_dispatch(spark):
+    s = _scored(spark, [(0, 1, 0.9), (0, 0, 0.1), (1, 1, 0.7), (1, 0, 0.4)])
+    assert {r["label"] for r in thresholds.tune(s, "grid").collect()} == {0, 1}
+    assert {r["label"] for r in thresholds.tune(s, "roc").collect()} == {0, 1}
+    with pytest.raises(ValueError):
+        thresholds.tune(s, "magic")
+
+
+def test_onehot_weights_empty_class(spark):
+    df = spark.createDataFrame([(0,), (0,), (2,)], "label int")
+    rows = {r["label"]: r for r in prep.onehot_weights(df, "label").collect()}
+    assert sorted(rows) == [0, 1, 2]
+    assert rows[1]["positive"] == 0 and rows[1]["negative"] == 3
+    assert rows[1]["w_pos"] > rows[2]["w_pos"] > rows[0]["w_pos"]
