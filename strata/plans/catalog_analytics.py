@@ -230,3 +230,17 @@ def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("experiment_grid")
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(runs.experiment_summary(fx.metric_log(spark, sf_dir)), ["mean", "std"])
+
+
+@register("loss_cb_per_batch")
+def loss_cb_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS4 with class-balanced weights recomputed inside every batch (dynamic
+    weights), reported as the mean of batch means per split."""
+    f1s = fx.split_metric_table(spark, sf_dir)
+    batched = prep.assign_batches(f1s, fx.F1_KEY, batch_size=2048, epoch=0)
+    scored = fx.scored_from(batched, ("batch_id",)).withColumn(
+        "batch_key", F.concat_ws(":", "split", F.col("batch_id").cast("string"))
+    )
+    el = losses.element_loss(scored, "cb", batch_col="batch_key")
+    out = losses.reduce_loss(el, "mean", batch_col="batch_key", group_cols=["split"])
+    return _round(out, ["loss"])

@@ -199,6 +199,7 @@ FROM f1s"""
     q.update(oracle_models.scoring_sql())
     q.update(oracle_models.streaming_sql())
     q.update(oracle_models.sink_sql())
+    q.update(oracle_models.batch_cb_sql())
     return q
 
 

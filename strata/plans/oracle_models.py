@@ -253,3 +253,30 @@ def sink_sql() -> dict[str, str]:
             " FROM events GROUP BY event_type"
         )
     }
+
+
+def batch_cb_sql() -> dict[str, str]:
+    batches = f"""bt AS (
+  SELECT row_key, CAST((row_number() OVER (PARTITION BY split ORDER BY
+              CASE WHEN split = 'train' THEN md5(concat_ws(':', '{SEED}', '0', row_key))
+                   ELSE md5(concat_ws(':', '{SEED}', row_key)) END, row_key) - 1) // 2048 AS BIGINT) AS batch_id
+  FROM f1s)"""
+    return {
+        "loss_cb_per_batch": _wcte(
+            F2,
+            ELEMENTS,
+            batches,
+            "eb AS (SELECT e.*, bt.batch_id FROM e JOIN bt ON e.row_key = bt.row_key)",
+            "bc AS (SELECT split, batch_id, label, CAST(sum(y) AS BIGINT) AS positive, CAST(count(*) - sum(y) AS BIGINT) AS negative"
+            " FROM eb GROUP BY split, batch_id, label)",
+            f"ben AS (SELECT split, batch_id, label, {_en('positive')} AS en_pos, {_en('negative')} AS en_neg FROM bc)",
+            "bw AS (SELECT split, batch_id, label,"
+            " max(en_pos) OVER (PARTITION BY split, batch_id) / greatest(en_pos, 0.0001e0) AS w_pos,"
+            " max(en_neg) OVER (PARTITION BY split, batch_id) / greatest(en_neg, 0.0001e0) AS w_neg FROM ben)",
+            "el AS (SELECT eb.split, eb.batch_id, (bw.w_pos * eb.yd + bw.w_neg * (1e0 - eb.yd)) * "
+            + BCE_PLAIN
+            + " AS loss FROM eb JOIN bw ON eb.split = bw.split AND eb.batch_id = bw.batch_id AND eb.label = bw.label)",
+        )
+        + f"SELECT split, {r6('avg(bl)')} AS loss, count(*) AS n_batches FROM"
+        " (SELECT split, batch_id, avg(loss) AS bl FROM el GROUP BY split, batch_id) GROUP BY split"
+    }
