@@ -140,30 +140,48 @@ def compare_methods(
 # ----------------------------------------------------------------- simplex refinement (THR4)
 
 
-def _objective_values(spark: SparkSession, steps: DataFrame, labels: list[int], points: list[np.ndarray], metric: str) -> list[float]:
-    """Metric of several threshold vectors in ONE distributed job: the vertex
-    table (points x labels rows) is broadcast against the per-label distinct
-    score counts."""
+def _metric_value(metric: str, tp: np.ndarray, fp: np.ndarray, P: np.ndarray, N: np.ndarray) -> float:
+    """Objective from per-label counts (zero_division = 0)."""
+    fn, tn = P - tp, N - fp
+
+    def d(a, b):
+        return np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b != 0)
+
+    if metric == "f1_macro":
+        return float(np.mean(d(2.0 * tp, 2.0 * tp + fp + fn)))
+    if metric == "f1_micro":
+        den = 2.0 * tp.sum() + fp.sum() + fn.sum()
+        return float(2.0 * tp.sum() / den) if den else 0.0
+    if metric == "balanced_acc":
+        return float(np.mean((d(tp * 1.0, tp + fn) + d(tn * 1.0, tn + fp)) / 2.0))
+    raise ValueError(f"Unknown metric: {metric}")
+
+
+def _objective_values(
+    spark: SparkSession,
+    steps: DataFrame,
+    totals: dict[int, tuple[int, int]],
+    points: list[np.ndarray],
+    metric: str,
+) -> list[float]:
+    """Metric of several threshold vectors in ONE aggregate job: the vertex table
+    (points x labels rows) is broadcast against the per-label distinct score
+    counts; only the (points x labels) true/false positive counts come back.
+    Thresholds travel as data, so the generated code is the same every iteration."""
+    labels = sorted(totals)
     rows = [(v, int(lab), float(p[i])) for v, p in enumerate(points) for i, lab in enumerate(labels)]
     verts = spark.createDataFrame(rows, "vid int, label int, t double")
     j = steps.join(F.broadcast(verts), "label").where(F.col("score") >= F.col("t"))
-    cnt = j.groupBy("vid", "label").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    full = verts.join(cnt, ["vid", "label"], "left").join(F.broadcast(steps.select("label", "P", "N").distinct()), "label")
-    tp = F.coalesce("tp", F.lit(0))
-    fp = F.coalesce("fp", F.lit(0))
-    fn = F.col("P") - tp
-    tn = F.col("N") - fp
-    per = full.select("vid", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"))
-    if metric == "f1_macro":
-        agg = F.avg(div0(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    elif metric == "f1_micro":
-        agg = div0(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))
-    elif metric == "balanced_acc":
-        agg = F.avg((div0(F.col("tp"), F.col("tp") + F.col("fn")) + div0(F.col("tn"), F.col("tn") + F.col("fp"))) / 2)
-    else:
-        raise ValueError(f"Unknown metric: {metric}")
-    res = {r["vid"]: r["v"] for r in per.groupBy("vid").agg(agg.alias("v")).collect()}
-    return [-float(res[v]) for v in range(len(points))]
+    got = {(r["vid"], r["label"]): (r["tp"], r["fp"]) for r in j.groupBy("vid", "label").agg(
+        F.sum("pos").alias("tp"), F.sum("neg").alias("fp")).collect()}
+    P = np.array([totals[lab][0] for lab in labels], dtype=float)
+    N = np.array([totals[lab][1] for lab in labels], dtype=float)
+    out = []
+    for v in range(len(points)):
+        tp = np.array([got.get((v, lab), (0, 0))[0] for lab in labels], dtype=float)
+        fp = np.array([got.get((v, lab), (0, 0))[1] for lab in labels], dtype=float)
+        out.append(-_metric_value(metric, tp, fp, P, N))
+    return out
 
 
 def nelder_mead(
@@ -246,8 +264,10 @@ def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int
         coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
         start = {r["label"]: r["threshold"] for r in coarse.collect()}
         labels = sorted(start)
+        # per-label totals: one row per label, fetched once
+        totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.first("P").alias("P"), F.first("N").alias("N")).collect()}
         x0 = np.array([start[lab] for lab in labels])
-        best = nelder_mead(lambda pts: _objective_values(spark, steps, labels, pts, metric), x0, n_iterations)
+        best = nelder_mead(lambda pts: _objective_values(spark, steps, totals, pts, metric), x0, n_iterations)
     finally:
         steps.unpersist()
     lo, hi = SIMPLEX_BOUNDS
