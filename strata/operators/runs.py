@@ -37,40 +37,40 @@ def early_stopping(
     ``stop_epoch`` is NULL when patience never ran out, ``best_epoch`` NULL when
     nothing improved.
 
-    Running maxima use the two-level prefix (epochs bucketed by
-    ``epoch div epoch_bucket``), so a run with a very long log is not one task."""
+    One running aggregate: the last strict improvement at or before epoch ``e``
+    is the FIRST epoch reaching the running maximum (when that maximum is above
+    0), so a running ``max(struct(value, -epoch))`` gives both the best value
+    and the last-improvement epoch. It uses the two-level prefix (epochs
+    bucketed by ``epoch div epoch_bucket``), so a run with a very long log is not
+    one task; one grouped aggregate then reads the best epoch at the stop
+    epoch (``min_by``) or, without a stop, at the end of the run."""
     bucket = (F.col(epoch_col) / F.lit(epoch_bucket)).cast("long")
-    order = [F.col(epoch_col)]
-    best_before = running_aggregates(
+    v, e = F.col(value_col), F.col(epoch_col)
+    rec = F.when(v.isNotNull(), F.struct(v.alias("v"), (-e).alias("ne")))
+    running = running_aggregates(
         log.select(run_col, epoch_col, value_col),
         [run_col],
-        order,
+        [e],
         bucket,
-        [Running("_best_before", "max", F.col(value_col), inclusive=False)],
+        [Running("_m", "max", rec, inclusive=True)],
     )
-    improved = F.col(value_col) > F.greatest(F.coalesce("_best_before", F.lit(0.0)), F.lit(0.0))
-    marked = best_before.withColumn("_imp_epoch", F.when(improved, F.col(epoch_col)))
-    last_imp = running_aggregates(
-        marked,
-        [run_col],
-        order,
-        bucket,
-        [Running("_last_imp", "max", F.col("_imp_epoch"), inclusive=True)],
-    )
-    since = F.col(epoch_col) - F.coalesce(F.col("_last_imp"), F.lit(0))
-    flagged = last_imp.withColumn("_stop", F.when(since >= F.lit(patience), F.col(epoch_col)))
+    improved_once = F.col("_m.v") > F.lit(0.0)
+    last_imp = F.when(improved_once, -F.col("_m.ne"))
+    since = e - F.coalesce(last_imp, F.lit(0))
+    flagged = running.withColumn("_stop", F.when(since >= F.lit(patience), e))
     per_run = flagged.groupBy(run_col).agg(
         F.min("_stop").alias("stop_epoch"),
         F.count(F.lit(1)).alias("n_epochs"),
+        F.min_by("_m", "_stop").alias("_at_stop"),
+        F.max("_m").alias("_at_end"),
     )
-    # best epoch = last improvement at or before the stop epoch
-    imp = flagged.where(F.col("_imp_epoch").isNotNull()).join(per_run.select(run_col, "stop_epoch"), run_col)
-    imp = imp.where(F.col("stop_epoch").isNull() | (F.col(epoch_col) <= F.col("stop_epoch")))
-    best = imp.groupBy(run_col).agg(F.max_by(F.struct(epoch_col, value_col), epoch_col).alias("_b"))
-    return per_run.join(best, run_col, "left").select(
+    # best epoch = last improvement at or before the stop epoch (or the run's end)
+    b = F.coalesce(F.col("_at_stop"), F.col("_at_end"))
+    ok = b.getField("v") > F.lit(0.0)
+    return per_run.select(
         run_col,
-        F.col(f"_b.{epoch_col}").alias("best_epoch"),
-        F.col(f"_b.{value_col}").alias("best_value"),
+        F.when(ok, -b.getField("ne")).cast(log.schema[epoch_col].dataType).alias("best_epoch"),
+        F.when(ok, b.getField("v")).alias("best_value"),
         "stop_epoch",
         "n_epochs",
     )

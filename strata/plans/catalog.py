@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from strata.functions.columns import r6
 from strata.operators import prep, profile
 from strata.plans import fixtures as fx
-from strata.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -111,9 +110,9 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    # fit (one job) and transform (the returned plan) both read the split: materialise
-    # it once in the shared checkpoint folder instead of shuffling it twice
-    f1s = cut_lineage(fx.split_metric_table(spark, sf_dir))
+    # fit (one job) and transform (the returned plan) both read the split: write it
+    # once to the shared folder; the fit then scans only the train partition
+    f1s = fx.split_store(spark, sf_dir)
     feats = _f1_features(f1s)
     model = prep.fit_scaler(f1s.where(F.col("split") == "train"), feats)
     return model.transform(f1s), feats

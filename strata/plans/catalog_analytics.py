@@ -11,9 +11,12 @@ from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, register
 
 
-def _scored(spark: SparkSession, sf_dir: str, split: str | None) -> DataFrame:
-    s = fx.scored_table(spark, sf_dir)
-    return s if split is None else s.where(F.col("split") == split)
+def _scored(spark: SparkSession, sf_dir: str, *splits: str | None) -> DataFrame | list[DataFrame]:
+    """F2 rows of the given splits (``None``: all rows), one DataFrame per split,
+    all read from ONE written split per call (``fixtures.scored_store``)."""
+    s = fx.scored_store(spark, sf_dir)
+    out = [s if sp is None else s.where(F.col("split") == sp) for sp in splits]
+    return out[0] if len(out) == 1 else out
 
 
 # ------------------------------------------------------------------ MET
@@ -21,8 +24,8 @@ def _scored(spark: SparkSession, sf_dir: str, split: str | None) -> DataFrame:
 
 @register("confusion_matrix")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuned = thresholds.tune_grid(_scored(spark, sf_dir, "val"))
-    return metrics.confusion(_scored(spark, sf_dir, "test"), tuned)
+    val, test = _scored(spark, sf_dir, "val", "test")
+    return metrics.confusion(test, thresholds.tune_grid(val))
 
 
 @register("f1_micro_macro")
@@ -100,16 +103,15 @@ def threshold_roc_topleft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("threshold_eval")
 def threshold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuned = thresholds.tune_grid(_scored(spark, sf_dir, "val"))
-    out = thresholds.evaluate_thresholds(_scored(spark, sf_dir, "test"), tuned)
+    val, test = _scored(spark, sf_dir, "val", "test")
+    out = thresholds.evaluate_thresholds(test, thresholds.tune_grid(val))
     return _round(out, out.columns)
 
 
 @register("threshold_compare")
 def threshold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = thresholds.compare_methods(
-        _scored(spark, sf_dir, "val"), _scored(spark, sf_dir, "test"), methods=("grid_search", "roc_youden")
-    )
+    val, test = _scored(spark, sf_dir, "val", "test")
+    out = thresholds.compare_methods(val, test, methods=("grid_search", "roc_youden"))
     return _round(out, [c for c in out.columns if c != "method"])
 
 

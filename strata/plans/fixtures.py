@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.config import LABEL_NAMES, SEED
 from strata.operators.prefix import ordered_rank
 from strata.operators.prep import stratified_split
-from strata.sources.tables import read_table
+from strata.sources.tables import read_table, write_shared_table
 
 F1_IDS = ["l_orderkey", "l_partkey", "l_suppkey"]
 F1_LABELS = ["y0", "y1", "y2", "y3"]
@@ -52,6 +52,25 @@ def split_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(metric_table(spark, sf_dir), F1_KEY, F1_LABELS, seed=SEED)
 
 
+# F1 columns the F2 scores are computed from
+SCORE_INPUTS = [F1_KEY, "split", "l_partkey", "l_quantity", "l_discount", "l_tax", *F1_LABELS]
+
+
+def split_store(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
+    """F1 with its split, computed once and written to the shared folder
+    partitioned by ``split``: a query that reads several splits, or reads one
+    split several times, scans the written table (pruned to the split and the
+    columns it needs) instead of re-running the split's scan, shuffle and sort."""
+    f1s = split_metric_table(spark, sf_dir)
+    return write_shared_table(f1s.select(*cols) if cols else f1s, "f1-split", ["split"])
+
+
+def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 over the written split (see ``split_store``); the explode is a
+    projection of the scan, so a filter on ``split`` prunes partitions."""
+    return scored_from(split_store(spark, sf_dir, SCORE_INPUTS))
+
+
 def _prob(numerator: Column) -> Column:
     return numerator.cast("double") / F.lit(1000.0)
 
@@ -183,8 +202,11 @@ __all__ = [
     "label_name",
     "metric_log",
     "metric_table",
+    "scored_store",
     "scored_table",
     "split_metric_table",
+    "split_store",
+    "SCORE_INPUTS",
     "text_table",
     "vector_table",
     "weights_table",

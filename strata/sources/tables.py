@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as parquet into the shared checkpoint folder
+    (``spark.checkpoint.dir``) and return the table read back.
+
+    A lineage cut for data that several jobs of one query reuse: it is computed
+    once, later scans get column pruning, pushed filters and (with
+    ``partition_by``) partition pruning, and a lost executor costs a re-read of
+    the written files instead of a recomputation from the sources."""
+    from strata.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "strata-tables", f"{name}-{uuid.uuid4().hex}")
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
+
+
 def resolve_path(candidates: Sequence[str]) -> str:
     """SRC2: first existing candidate (mounted path, then local copy). Remote
     URIs (``scheme://``) are returned as given and left to the reader."""
