@@ -133,7 +133,10 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """CRV2: ``(label, threshold, fpr, tpr)``; leading ``(+inf, 0, 0)`` anchor;
     with ``drop_intermediate`` an interior point is kept only where the step
     ``(pos, neg)`` changes (non-zero second difference of fp or tp)."""
-    steps = score_steps(scored)
+    return _roc_from_steps(score_steps(scored), drop_intermediate)
+
+
+def _roc_from_steps(steps: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     last = F.col("next_pos").isNull()
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     keep = first | last | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -153,7 +156,10 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
 def pr_curve(scored: DataFrame) -> DataFrame:
     """CRV4: ``(label, threshold, precision, recall)`` for every distinct score
     (also past full recall), plus the ``(NULL, 1, 0)`` end point."""
-    steps = score_steps(scored)
+    return _pr_from_steps(score_steps(scored))
+
+
+def _pr_from_steps(steps: DataFrame) -> DataFrame:
     recall = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp").cast("double") / F.col("P").cast("double"))
     pts = steps.select(
         "label",
@@ -170,7 +176,10 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """CRV5: ``(label, ap)``: sum over distinct scores of ``(pos/P) * precision``
     (step-wise, no interpolation); NULL when a label has no positives."""
-    steps = score_steps(scored)
+    return _ap_from_steps(score_steps(scored))
+
+
+def _ap_from_steps(steps: DataFrame) -> DataFrame:
     prec = F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")
     return steps.groupBy("label").agg(
         F.when(F.first("P") > 0, F.sum(F.col("pos").cast("double") * prec) / F.first("P").cast("double")).alias("ap")
@@ -179,14 +188,16 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 def curve_chart(scored: DataFrame) -> DataFrame:
     """CRV6: chart-ready rows ``(label, curve, x, y, threshold, area)``: ROC points
-    with the AUC, PR points with the AP, and the random diagonal."""
-    roc = roc_curve(scored).join(auc_per_label(scored), "label", "left").select(
+    with the AUC, PR points with the AP, and the random diagonal. The four
+    parts derive from ONE distinct-score step table."""
+    steps = score_steps(scored)
+    roc = _roc_from_steps(steps).join(_auc_agg(steps, ["label"]), "label", "left").select(
         "label", F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold", F.col("auc").alias("area")
     )
-    pr = pr_curve(scored).join(average_precision(scored), "label", "left").select(
+    pr = _pr_from_steps(steps).join(_ap_from_steps(steps), "label", "left").select(
         "label", F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"), "threshold", F.col("ap").alias("area")
     )
-    diag = scored.select("label").distinct().select(
+    diag = steps.select("label").distinct().select(
         "label",
         F.lit("random").alias("curve"),
         F.inline(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))),

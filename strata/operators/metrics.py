@@ -88,25 +88,38 @@ def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Everything is derived from one distinct-score count table of the scored
     rows: the confusion at the threshold, the per-label AUCs and (re-aggregated
-    without the label) the pooled AUC; the AUCs enter as scalar subqueries."""
+    without the label) the pooled AUC. The three one-row results are stacked
+    and folded into one row by a single aggregate, so every part is planned
+    once (a scalar subquery referenced by several expressions is planned again
+    for each reference)."""
     from strata.operators.curves import _auc_agg, score_steps
 
+    none = F.lit(None).cast("double")
+    cols = ["acc", "f1_micro", "f1_macro", "macro", "undefined", "micro"]
+
+    def row(**given: Column) -> list[Column]:
+        return [given.get(c, none).cast("double").alias(c) for c in cols]
+
     counts = score_counts(scored)
     summ = summary_from_confusion(confusion_from_counts(counts, threshold))
     per_label = _auc_agg(score_steps(None, counts=counts), ["label"]).agg(
-        F.struct(
-            F.avg("auc").alias("macro"), F.max(F.col("auc").isNull().cast("int")).alias("undefined")
-        ).alias("s")
-    ).scalar()
+        F.avg("auc").alias("macro"), F.max(F.col("auc").isNull().cast("int")).alias("undefined")
+    )
     pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    micro = _auc_agg(score_steps(None, part_cols=[], counts=pooled).withColumn("_k", F.lit(0)), ["_k"]).select("auc").scalar()
-    bad = per_label.getField("undefined") == 1
-    return summ.select(
-        F.col("recall_macro").alias("acc"),
+    micro = _auc_agg(score_steps(None, part_cols=[], counts=pooled).withColumn("_k", F.lit(0)), ["_k"])
+    stacked = (
+        summ.select(*row(acc=F.col("recall_macro"), f1_micro=F.col("f1_micro"), f1_macro=F.col("f1_macro")))
+        .unionByName(per_label.select(*row(macro=F.col("macro"), undefined=F.col("undefined"))))
+        .unionByName(micro.select(*row(micro=F.col("auc"))))
+    )
+    one = stacked.agg(*[F.max(c).alias(c) for c in cols])
+    bad = F.col("undefined") == 1
+    return one.select(
+        "acc",
         "f1_micro",
         "f1_macro",
-        F.when(bad | micro.isNull(), F.lit(0.0)).otherwise(micro).alias("auc_micro"),
-        F.when(bad, F.lit(0.0)).otherwise(per_label.getField("macro")).alias("auc_macro"),
+        F.when(bad | F.col("micro").isNull(), F.lit(0.0)).otherwise(F.col("micro")).alias("auc_micro"),
+        F.when(bad, F.lit(0.0)).otherwise(F.col("macro")).alias("auc_macro"),
     )
 
 

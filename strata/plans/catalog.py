@@ -84,7 +84,9 @@ def split_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("batch_assignment")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = fx.split_metric_table(spark, sf_dir).select(fx.F1_KEY, "split")
+    # the batch rank reads its input twice (bucket totals, then rows): read the
+    # split from one written copy instead of computing it twice
+    split = fx.split_store(spark, sf_dir, [fx.F1_KEY, "split"])
     return prep.assign_batches(split, fx.F1_KEY, batch_size=2048, epoch=0)
 
 

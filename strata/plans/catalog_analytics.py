@@ -9,6 +9,7 @@ from strata.functions.columns import r6
 from strata.operators import curves, metrics, thresholds
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, register
+from strata.sources.tables import write_shared_table
 
 
 def _scored(spark: SparkSession, sf_dir: str, *splits: str | None) -> DataFrame | list[DataFrame]:
@@ -141,11 +142,17 @@ for _name in losses.LOSSES:
     register(f"loss_{_name}")(_loss_query(_name))
 
 
+def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 score inputs with their split and epoch-0 batch: the split and the batch
+    ranks are each computed once and written to the shared folder (the batch
+    rank and the loss read their input twice: totals, then rows)."""
+    batched = prep.assign_batches(fx.split_store(spark, sf_dir, fx.SCORE_INPUTS), fx.F1_KEY, batch_size=2048, epoch=0)
+    return write_shared_table(batched, "f1-batches", ["split"])
+
+
 @register("loss_by_batch")
 def loss_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f1s = fx.split_metric_table(spark, sf_dir)
-    batched = prep.assign_batches(f1s, fx.F1_KEY, batch_size=2048, epoch=0)
-    scored = fx.scored_from(batched, ("batch_id",))
+    scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",))
     out = losses.one_pass_loss(scored, "bce", weight_rows=F.col("split") == "train", batch_cols=["split", "batch_id"])
     return _round(out, ["loss"])
 
@@ -238,9 +245,7 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loss_cb_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOS4 with class-balanced weights recomputed inside every batch (dynamic
     weights), reported as the mean of batch means per split."""
-    f1s = fx.split_metric_table(spark, sf_dir)
-    batched = prep.assign_batches(f1s, fx.F1_KEY, batch_size=2048, epoch=0)
-    scored = fx.scored_from(batched, ("batch_id",)).withColumn(
+    scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",)).withColumn(
         "batch_key", F.concat_ws(":", "split", F.col("batch_id").cast("string"))
     )
     el = losses.element_loss(scored, "cb", batch_col="batch_key")
