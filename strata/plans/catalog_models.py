@@ -185,6 +185,25 @@ def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("dataset_csv_roundtrip")
+def dataset_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 + PRJ4 end to end: the labelled documents (multi-line text with
+    quotes) written as a dataset CSV to the shared folder, read back with header,
+    multi-line quoting and inferred types, null text filled; per row the text
+    length and md5 show the text came back byte for byte."""
+    docs = tables.read_table(spark, sf_dir, "documents").join(tables.read_table(spark, sf_dir, "labels"), "doc_id")
+    path = os.path.join(ensure_checkpoint_dir(spark), "strata-csv", uuid.uuid4().hex)
+    tables.write_dataset_csv(docs.select("doc_id", "text", "quality", "toxic"), path)
+    back = prep.fill_text(tables.read_dataset_csv(spark, path), "text")
+    return back.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("quality").cast("int").alias("quality"),
+        F.col("toxic").cast("int").alias("toxic"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
 # ------------------------------------------------------------------ TRN / MET10 / RUN4
 
 from strata.operators import losses, metrics, runs, train  # noqa: E402

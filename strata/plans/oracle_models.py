@@ -225,6 +225,12 @@ def scoring_sql() -> dict[str, str]:
         " CAST(len(e.embedding) AS INTEGER) AS emb_width"
         " FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON e.vec_id = d.doc_id"
     )
+    q["dataset_csv_roundtrip"] = (
+        "SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.quality AS INTEGER) AS quality,"
+        " CAST(l.toxic AS INTEGER) AS toxic, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars,"
+        " md5(coalesce(d.text, '')) AS text_md5"
+        " FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    )
     q["embedding_cache_roundtrip"] = _wcte(F3AS) + (
         "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width FROM f3s GROUP BY split"
     )

@@ -63,6 +63,22 @@ def read_dataset_csv(spark: SparkSession, path: str, schema: StructType | None =
     return reader.csv(path)
 
 
+def write_dataset_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """SRC1 writer side: header, RFC 4180 quoting (a quote inside a field is
+    doubled, fields with quotes, delimiters or line breaks are quoted) and
+    whitespace kept as is, so ``read_dataset_csv`` reads every text back
+    unchanged."""
+    (
+        df.write.mode(mode)
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 def write_split_cache(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
     """SRC3: persist a prepared table (scaled features, embeddings, labels) as
     parquet partitioned by split, so a later reader prunes to one split."""
