@@ -61,11 +61,12 @@ def early_stopping(
     per_run = flagged.groupBy(run_col).agg(
         F.min("_stop").alias("stop_epoch"),
         F.count(F.lit(1)).alias("n_epochs"),
-        F.min_by("_m", "_stop").alias("_at_stop"),
+        # wrapped, so a stop before any value (NULL running max) stays distinct from no stop
+        F.min_by(F.struct(F.col("_m").alias("m")), "_stop").alias("_at_stop"),
         F.max("_m").alias("_at_end"),
     )
     # best epoch = last improvement at or before the stop epoch (or the run's end)
-    b = F.coalesce(F.col("_at_stop"), F.col("_at_end"))
+    b = F.when(F.col("stop_epoch").isNotNull(), F.col("_at_stop.m")).otherwise(F.col("_at_end"))
     ok = b.getField("v") > F.lit(0.0)
     return per_run.select(
         run_col,

@@ -336,3 +336,35 @@ def test_onehot_weights_empty_class(spark):
     assert sorted(rows) == [0, 1, 2]
     assert rows[1]["positive"] == 0 and rows[1]["negative"] == 3
     assert rows[1]["w_pos"] > rows[2]["w_pos"] > rows[0]["w_pos"]
+
+
+def _early_stop_brute(values, patience):
+    best, last_imp, stop, best_epoch, best_value = 0.0, 0, None, None, None
+    for e, v in enumerate(values, 1):
+        if v is not None and v > best:
+            best, last_imp, best_epoch, best_value = v, e, e, v
+        if e - last_imp >= patience:
+            stop = e
+            break
+    return best_epoch, best_value, stop, len(values)
+
+
+def test_early_stopping_matches_brute_force(spark):
+    import random
+
+    from strata.operators import runs
+
+    rng = random.Random(7)
+    logs, rows = {}, []
+    for run in range(120):
+        n = rng.randint(1, 40)
+        pool = [None, -0.5, 0.0, 0.1, 0.2, 0.2, 0.3, 0.5, 0.7, 0.9]
+        vals = [rng.choice(pool) if rng.random() < 0.5 else round(rng.random(), 2) for _ in range(n)]
+        logs[run] = vals
+        rows += [(run, e, v) for e, v in enumerate(vals, 1)]
+    log = spark.createDataFrame(rows, "run long, epoch long, value double")
+    for patience in (1, 3, 5):
+        got = {r["run"]: (r["best_epoch"], r["best_value"], r["stop_epoch"], r["n_epochs"])
+               for r in runs.early_stopping(log, patience=patience, epoch_bucket=3).collect()}
+        want = {run: _early_stop_brute(v, patience) for run, v in logs.items()}
+        assert got == want

@@ -79,3 +79,19 @@ def test_stream_loss(spark):
     out = scored_stream.run_to_table(scored_stream.running_loss(stream), os.path.join(base, "out"))
     r = spark.read.parquet(out).first()
     assert r["n"] == 2 and r["loss_sum"] == pytest.approx(-2 * __import__("math").log(0.8))
+
+
+def test_write_shared_table_roundtrip_and_pruning(spark):
+    from pyspark.sql import functions as F
+
+    from strata.session import ensure_checkpoint_dir
+
+    df = spark.createDataFrame([(i, ["train", "val", "test"][i % 3], float(i)) for i in range(30)], "k long, split string, v double")
+    back = tables.write_shared_table(df, "unit", ["split"])
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:").lstrip("/")
+    assert all(f.removeprefix("file:").lstrip("/").startswith(folder + "/strata-tables/unit-") for f in back.inputFiles())
+    assert sorted(tuple(r) for r in back.select("k", "split", "v").collect()) == sorted(tuple(r) for r in df.collect())
+    val = back.where(F.col("split") == "val")
+    plan = val._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
+    assert val.count() == 10
