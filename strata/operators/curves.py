@@ -108,21 +108,41 @@ def _auc_agg(steps: DataFrame, parts: list[str]) -> DataFrame:
     return steps.groupBy(*parts).agg(auc.alias("auc"))
 
 
+def auc_from_counts(counts: DataFrame, part_cols: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
+    """AUC per part from a distinct-score count table ``(part..., score, pos, neg)``
+    as ``sum over scores of neg * (positives strictly above + pos/2) / (P*N)``;
+    NULL for a single-class part.
+
+    Three exchanges and no join: the positives above a score are split into
+    those in the same coarse score bucket (a window inside ``(part, bucket)``,
+    so a hot part is spread over its buckets) and those in higher buckets (a
+    window over the small per-bucket table); the aggregate per bucket and the
+    final one per part reuse the partitioning of the window before them."""
+    parts = list(part_cols) or ["_strata_all"]
+    c = counts if part_cols else counts.withColumn("_strata_all", F.lit(0))
+    c = c.withColumn("_b", unit_bucket("score", buckets, descending=True))
+    above = Window.partitionBy(*parts, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    within = c.withColumn("_pa", F.coalesce(F.sum(pos).over(above), F.lit(0.0)))
+    per_bucket = within.groupBy(*parts, "_b").agg(
+        F.sum(neg * (F.col("_pa") + pos / F.lit(2.0))).alias("_w"), F.sum(pos).alias("_p"), F.sum(neg).alias("_n")
+    )
+    higher = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    crossed = per_bucket.withColumn("_ph", F.coalesce(F.sum("_p").over(higher), F.lit(0.0)))
+    P, N = F.sum("_p"), F.sum("_n")
+    auc = F.when((P > 0) & (N > 0), F.sum(F.col("_w") + F.col("_n") * F.col("_ph")) / (P * N))
+    out = crossed.groupBy(*parts).agg(auc.alias("auc"))
+    return out if part_cols else out.select("auc")
+
+
 def auc_per_label(scored: DataFrame) -> DataFrame:
     """MET6 per label: ``(label, auc)`` (NULL when a label is single-class)."""
-    return _auc_agg(score_steps(scored), ["label"])
+    return auc_from_counts(score_counts(scored), ["label"])
 
 
 def auc_pooled(scored: DataFrame) -> DataFrame:
     """MET7: micro AUC (all labels pooled): one row ``(auc)``."""
-    steps = score_steps(scored, part_cols=[])
-    return steps.agg(
-        F.when(
-            (F.first("P") > 0) & (F.first("N") > 0),
-            F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
-            / (F.first("P").cast("double") * F.first("N").cast("double")),
-        ).alias("auc")
-    )
+    return auc_from_counts(score_counts(scored, part_cols=[]), [])
 
 
 def auc_macro(scored: DataFrame) -> DataFrame:

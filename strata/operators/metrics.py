@@ -92,7 +92,7 @@ def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     and folded into one row by a single aggregate, so every part is planned
     once (a scalar subquery referenced by several expressions is planned again
     for each reference)."""
-    from strata.operators.curves import _auc_agg, score_steps
+    from strata.operators.curves import auc_from_counts
 
     none = F.lit(None).cast("double")
     cols = ["acc", "f1_micro", "f1_macro", "macro", "undefined", "micro"]
@@ -102,11 +102,11 @@ def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     counts = score_counts(scored)
     summ = summary_from_confusion(confusion_from_counts(counts, threshold))
-    per_label = _auc_agg(score_steps(None, counts=counts), ["label"]).agg(
+    per_label = auc_from_counts(counts, ["label"]).agg(
         F.avg("auc").alias("macro"), F.max(F.col("auc").isNull().cast("int")).alias("undefined")
     )
     pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    micro = _auc_agg(score_steps(None, part_cols=[], counts=pooled).withColumn("_k", F.lit(0)), ["_k"])
+    micro = auc_from_counts(pooled, [])
     stacked = (
         summ.select(*row(acc=F.col("recall_macro"), f1_micro=F.col("f1_micro"), f1_macro=F.col("f1_macro")))
         .unionByName(per_label.select(*row(macro=F.col("macro"), undefined=F.col("undefined"))))
