@@ -114,6 +114,15 @@ register("score_dcn_gated")(_dcn_long("gated", "bottleneck"))
 FUSION_FEATURES = ["n_chars", "n_spaces", "n_newlines"]
 
 
+def fusion_spec(kind: str) -> scoring.ModelSpec:
+    """The fusion scorers' architecture (numeric side on the three text counters,
+    text side on the 64-wide vectors)."""
+    return scoring.ModelSpec(
+        input_dim=len(FUSION_FEATURES), kind=kind, projection_dim=32, embed_dim=16, cross_layers=2, deep_layers=1,
+        num_classes=2, text_dim=64, cross_rank=8,
+    )
+
+
 def _fusion_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     fusion = fx.fusion_table(spark, sf_dir)
     fusion = cut_lineage(prep.stratified_split(fusion, "doc_id", ["quality", "toxic"]))
@@ -121,10 +130,7 @@ def _fusion_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     data = model.transform(fusion).select(
         "doc_id", "split", "quality", "toxic", prep.features_array(FUSION_FEATURES).alias("features"), "embedding"
     )
-    spec = scoring.ModelSpec(
-        input_dim=len(FUSION_FEATURES), kind=kind, projection_dim=32, embed_dim=16, cross_layers=2, deep_layers=1,
-        num_classes=2, text_dim=64, cross_rank=8,
-    )
+    spec = fusion_spec(kind)
     w = scoring.weights_from_rule(spark, spec)
     return scoring.score(data, spec, w, text_col="embedding", keep_cols=["doc_id", "split", "quality", "toxic"])
 

@@ -200,6 +200,9 @@ FROM f1s"""
     q.update(oracle_models.streaming_sql())
     q.update(oracle_models.sink_sql())
     q.update(oracle_models.batch_cb_sql())
+    from strata.plans import oracle_fusion
+
+    q.update(oracle_fusion.fusion_sql())
     return q
 
 
