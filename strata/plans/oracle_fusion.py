@@ -162,25 +162,75 @@ def _fused_sql(kind: str) -> tuple[list[str], str, str, str | None]:
     return base + chain.ctes, chain.prev, logits, gate
 
 
+PROB = "CASE WHEN z >= 0 THEN 1e0 / (1e0 + exp(-abs(z))) ELSE exp(-abs(z)) / (1e0 + exp(-abs(z))) END"
+
+
+def _long_cte(name: str, last: str, logits: str, where: str = "") -> str:
+    """Long scored rows ``(doc_id, split, label, logit, prob, y)`` (unrounded)."""
+    return (
+        f"{name} AS (SELECT doc_id, split, CAST(k - 1 AS INTEGER) AS label, z AS logit, {PROB} AS prob,"
+        " CAST(CASE WHEN k = 1 THEN quality ELSE toxic END AS INTEGER) AS y"
+        f" FROM (SELECT *, lg[k] AS z FROM (SELECT doc_id, split, quality, toxic, unnest(range(1, 3)) AS k,"
+        f" {logits} AS lg FROM {last} {where})))"
+    )
+
+
 def _long(kind: str) -> str:
     ctes, last, logits, _ = _fused_sql(kind)
-    prob = "CASE WHEN z >= 0 THEN 1e0 / (1e0 + exp(-abs(z))) ELSE exp(-abs(z)) / (1e0 + exp(-abs(z))) END"
-    return _wcte(*ctes) + (
-        f"SELECT doc_id, CAST(k - 1 AS INTEGER) AS label, {r6('z')} AS logit, {r6(prob)} AS prob,"
-        " CAST(CASE WHEN k = 1 THEN quality ELSE toxic END AS INTEGER) AS y"
-        f" FROM (SELECT *, lg[k] AS z FROM (SELECT doc_id, quality, toxic, unnest(range(1, 3)) AS k, {logits} AS lg FROM {last}))"
+    return _wcte(*ctes, _long_cte("lo", last, logits)) + (
+        f"SELECT doc_id, label, {r6('logit')} AS logit, {r6('prob')} AS prob, y FROM lo"
     )
 
 
+def _gate_stats_sql(src: str, gate: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (
+        f"SELECT {g}avg(g) AS mean, stddev_pop(g) AS std, min(g) AS min, max(g) AS max,"
+        " avg(CASE WHEN g < 0.05e0 THEN 1e0 ELSE 0e0 END) AS near_zero,"
+        " avg(CASE WHEN g > 0.95e0 THEN 1e0 ELSE 0e0 END) AS near_one"
+        f" FROM (SELECT {g}unnest({gate}) AS g FROM {src}){gb}"
+    )
+
+
+def _evaluate_split() -> str:
+    """MET10 on the test split: BCE loss, metric bundle at 0.5, gate statistics."""
+    from strata.plans.oracle_analytics import _auc, _confusion, _scores, _steps, _summary
+
+    ctes, last, logits, gate = _fused_sql("gated")
+    cols = ["mean", "std", "min", "max", "near_zero", "near_one"]
+    sql = _wcte(
+        *ctes,
+        _long_cte("tl", last, logits, "WHERE split = 'test'"),
+        "half AS (SELECT DISTINCT label, 0.5e0 AS threshold FROM tl)",
+        f"conf AS ({_confusion('tl', 'half')})",
+        f"sc AS ({_scores('conf')})",
+        f"su AS ({_summary('sc')})",
+        _steps("tl", "st"),
+        f"au AS ({_auc('st')})",
+        _steps("tl", "stm", part="0"),
+        f"aum AS ({_auc('stm')})",
+        f"gs AS ({_gate_stats_sql(last + " WHERE split = 'test'", gate)})",
+    )
+    bce = "-(CAST(y AS DOUBLE) * (least(logit, 0e0) - ln(1e0 + exp(-abs(logit)))) + (1e0 - CAST(y AS DOUBLE)) * (least(-logit, 0e0) - ln(1e0 + exp(-abs(logit)))))"
+    bad = "(SELECT count(*) FROM au WHERE auc IS NULL) > 0"
+    rows = [
+        f"SELECT 'loss' AS metric, {r6(f'avg({bce})')} AS value FROM tl",
+        f"SELECT 'acc', {r6('recall_macro')} FROM su",
+        f"SELECT 'f1_micro', {r6('f1_micro')} FROM su",
+        f"SELECT 'f1_macro', {r6('f1_macro')} FROM su",
+        f"SELECT 'auc_micro', {r6(f'CASE WHEN {bad} OR (SELECT auc FROM aum) IS NULL THEN 0e0 ELSE (SELECT auc FROM aum) END')}",
+        f"SELECT 'auc_macro', {r6(f'CASE WHEN {bad} THEN 0e0 ELSE (SELECT avg(auc) FROM au) END')}",
+    ] + [f"SELECT 'eval/gate/{c}', {r6(c)} FROM gs" for c in cols]
+    return sql + "\nUNION ALL\n".join(rows)
+
+
 def fusion_sql() -> dict[str, str]:
     q = {"score_gated_fusion": _long("gated"), "score_late_mlp": _long("late_mlp")}
     ctes, last, _, gate = _fused_sql("gated")
     cols = ["mean", "std", "min", "max", "near_zero", "near_one"]
     q["fusion_gate_stats"] = _wcte(*ctes) + (
-        "SELECT split, " + ", ".join(f"{r6(c)} AS {c}" for c in cols) + " FROM ("
-        "SELECT split, avg(g) AS mean, stddev_pop(g) AS std, min(g) AS min, max(g) AS max,"
-        " avg(CASE WHEN g < 0.05e0 THEN 1e0 ELSE 0e0 END) AS near_zero,"
-        " avg(CASE WHEN g > 0.95e0 THEN 1e0 ELSE 0e0 END) AS near_one"
-        f" FROM (SELECT split, unnest({gate}) AS g FROM {last}) GROUP BY split)"
+        "SELECT split, " + ", ".join(f"{r6(c)} AS {c}" for c in cols) + f" FROM ({_gate_stats_sql(last, gate, 'split')})"
     )
+    q["evaluate_split"] = _evaluate_split()
     return q
