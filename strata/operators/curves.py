@@ -9,7 +9,7 @@ holding most rows is thus spread over its buckets, not put in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import BROADCAST_ROW_LIMIT, SCORE_BUCKETS
@@ -99,15 +99,6 @@ def score_steps(
     return out.drop("_strata_all") if not part_cols else out
 
 
-def _auc_agg(steps: DataFrame, parts: list[str]) -> DataFrame:
-    """Tie-aware trapezoid area: sum over distinct scores of
-    ``neg * (tp_before + pos/2)`` / (P*N); NULL for a single-class part."""
-    area = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
-    P, N = F.first("P"), F.first("N")
-    auc = F.when((P > 0) & (N > 0), area / (P.cast("double") * N.cast("double")))
-    return steps.groupBy(*parts).agg(auc.alias("auc"))
-
-
 def auc_from_counts(counts: DataFrame, part_cols: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
     """AUC per part from a distinct-score count table ``(part..., score, pos, neg)``
     as ``sum over scores of neg * (positives strictly above + pos/2) / (P*N)``;
@@ -156,21 +147,25 @@ def roc_curve(scored: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     return _roc_from_steps(score_steps(scored), drop_intermediate)
 
 
+def _first_step() -> Column:
+    """The label's highest distinct score (its cumulative counts are its own;
+    exactly one row per label, since every distinct score has a row)."""
+    return (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+
+
 def _roc_from_steps(steps: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     last = F.col("next_pos").isNull()
-    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    first = _first_step()
     keep = first | last | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     pts = steps.where(keep) if drop_intermediate else steps
-    pts = pts.select(
-        "label",
+    point = F.struct(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"),
     )
-    anchor = steps.select("label").distinct().select(
-        "label", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return anchor.unionByName(pts)
+    anchor = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # the (+inf, 0, 0) anchor rides on the first step: no second pass for the label list
+    return pts.select("label", F.inline(F.when(first, F.array(anchor, point)).otherwise(F.array(point))))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -181,16 +176,13 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 
 def _pr_from_steps(steps: DataFrame) -> DataFrame:
     recall = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp").cast("double") / F.col("P").cast("double"))
-    pts = steps.select(
-        "label",
+    point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
         recall.alias("recall"),
     )
-    end = steps.select("label").distinct().select(
-        "label", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
-    )
-    return pts.unionByName(end)
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return steps.select("label", F.inline(F.when(_first_step(), F.array(point, end)).otherwise(F.array(point))))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -211,13 +203,14 @@ def curve_chart(scored: DataFrame) -> DataFrame:
     with the AUC, PR points with the AP, and the random diagonal. The four
     parts derive from ONE distinct-score step table."""
     steps = score_steps(scored)
-    roc = _roc_from_steps(steps).join(_auc_agg(steps, ["label"]), "label", "left").select(
+    aucs = auc_per_label(scored)
+    roc = _roc_from_steps(steps).join(aucs, "label", "left").select(
         "label", F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold", F.col("auc").alias("area")
     )
     pr = _pr_from_steps(steps).join(_ap_from_steps(steps), "label", "left").select(
         "label", F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"), "threshold", F.col("ap").alias("area")
     )
-    diag = steps.select("label").distinct().select(
+    diag = aucs.select(
         "label",
         F.lit("random").alias("curve"),
         F.inline(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))),

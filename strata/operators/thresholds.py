@@ -76,14 +76,17 @@ def tune_roc(scored: DataFrame, criterion: str = "youden") -> DataFrame:
     order wins (ties -> highest threshold; ``+inf`` means nothing predicted)."""
     roc = curves.roc_curve(scored)
     if criterion == "youden":
-        key = (F.col("tpr") - F.col("fpr")).desc_nulls_last()
+        key_value = F.col("tpr") - F.col("fpr")  # larger is better; NULL sorts lowest (last)
     elif criterion == "closest_topleft":
         d = F.sqrt((F.lit(1.0) - F.col("tpr")) * (F.lit(1.0) - F.col("tpr")) + F.col("fpr") * F.col("fpr"))
-        key = d.asc_nulls_last()
+        key_value = -d  # smaller distance is better; NULL sorts lowest (last)
     else:
         raise ValueError(f"Unknown criterion: {criterion}")
-    w = Window.partitionBy("label").orderBy(key, F.col("threshold").desc())
-    return roc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("label", "threshold")
+    # first in (key, threshold desc) order = max of (key, threshold) with the key's
+    # order turned ascending-is-better; one partial hash aggregate per label, so a
+    # label with most of the ROC points is not sorted in one task
+    best = F.max(F.struct(key_value.alias("k"), F.col("threshold").alias("t")))
+    return roc.groupBy("label").agg(best.getField("t").alias("threshold"))
 
 
 # ----------------------------------------------------------------- evaluation (THR6-7)
