@@ -245,18 +245,23 @@ def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("run_grid")
 def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUN3 + RUN4 + RUN5: score the test split with every (cross, deep)
-    configuration and gather the metric bundles into one table."""
+    configuration and gather the metric bundles into one table. All
+    configurations are scored in one pass, written once, and each bundle reads
+    its own two array columns."""
     scaled, feats = _scaled(spark, sf_dir)
     test = scaled.where(F.col("split") == "test").select(
         fx.F1_KEY, *fx.F1_LABELS, prep.features_array(feats).alias("features")
     )
-    parts = []
-    for _, cross_type, deep_type in runs.config_grid():
+    grid = runs.config_grid()
+    configs = []
+    for _, cross_type, deep_type in grid:
         spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
-        w = scoring.weights_from_rule(spark, spec)
-        # one scorer pass per configuration, materialised for the metric aggregates
-        wide = cut_lineage(scoring.score(test, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]))
-        long = scoring.to_long(wide, [fx.F1_KEY], fx.F1_LABELS)
+        configs.append((spec, scoring.weights_from_rule(spark, spec)))
+    wide = cut_lineage(scoring.score_configs(test, configs, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]))
+    parts = []
+    for i, (_, cross_type, deep_type) in enumerate(grid):
+        one = wide.select(fx.F1_KEY, *fx.F1_LABELS, F.col(f"logits_{i}").alias("logits"), F.col(f"probs_{i}").alias("probs"))
+        long = scoring.to_long(one, [fx.F1_KEY], fx.F1_LABELS)
         parts.append(
             metrics.metric_bundle(long).select(
                 F.lit(cross_type).alias("cross_type"), F.lit(deep_type).alias("deep_type"), "*"

@@ -96,3 +96,20 @@ def test_lr_schedule():
     assert train.lr_at(0, 1.0) == pytest.approx(0.1)
     assert train.lr_at(20, 1.0) == pytest.approx(1.0)
     assert train.lr_at(100, 1.0) == pytest.approx(0.1)
+
+
+def test_score_configs_equals_one_config_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=5)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, features array<double>").repartition(3)
+    configs = []
+    for cross, deep in [("standard", "bottleneck"), ("gated", "moe")]:
+        spec = scoring.ModelSpec(input_dim=5, projection_dim=16, embed_dim=8, cross_type=cross, deep_type=deep, cross_rank=4, gated_rank=4)
+        configs.append((spec, {k: rational_weights(v) for k, v in scoring.weight_shapes(spec).items()}))
+    both = {r["k"]: r for r in scoring.score_configs(df, configs, keep_cols=["k"]).collect()}
+    assert len(both) == 40
+    for i, (spec, w) in enumerate(configs):
+        one = {r["k"]: r for r in scoring.score(df, spec, w, keep_cols=["k"]).collect()}
+        for k, r in one.items():
+            assert both[k][f"logits_{i}"] == pytest.approx(r["logits"], abs=1e-12)
+            assert both[k][f"probs_{i}"] == pytest.approx(r["probs"], abs=1e-12)
