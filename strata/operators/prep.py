@@ -73,11 +73,18 @@ def hash_sample(
     seed: int = SEED,
 ) -> DataFrame:
     """SMP1: reproducible sample of ``min(n, count)`` rows without replacement,
-    empty when the input has fewer than ``min_rows`` rows. The guard is a scalar
-    subquery, so the plan stays lazy and distributed (top-k per partition)."""
-    size = df.groupBy().count().scalar()
+    empty when the input has fewer than ``min_rows`` rows. One scan: the top-n
+    is taken per partition and merged; when ``min_rows <= n`` the guard only
+    needs the size of the sample itself (it holds ``min(n, count)`` rows), so
+    it is a count over at most ``n`` rows instead of a second full scan."""
     ordered = df.withColumn("_strata_h", hash_order_key(seed, key_col))
-    return ordered.where(size >= F.lit(min_rows)).orderBy("_strata_h", key_col).limit(n).drop("_strata_h")
+    if min_rows > n:
+        size = df.groupBy().count().scalar()
+        return ordered.where(size >= F.lit(min_rows)).orderBy("_strata_h", key_col).limit(n).drop("_strata_h")
+    top = ordered.orderBy("_strata_h", key_col).limit(n)
+    # at most n rows: a window over the whole (bounded) sample
+    sized = top.withColumn("_strata_c", F.count(F.lit(1)).over(Window.partitionBy()))
+    return sized.where(F.col("_strata_c") >= F.lit(min_rows)).drop("_strata_h", "_strata_c")
 
 
 # ---------------------------------------------------------------- labels long form

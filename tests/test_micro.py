@@ -368,3 +368,18 @@ def test_early_stopping_matches_brute_force(spark):
                for r in runs.early_stopping(log, patience=patience, epoch_bucket=3).collect()}
         want = {run: _early_stop_brute(v, patience) for run, v in logs.items()}
         assert got == want
+
+
+def test_hash_sample_guard_and_size(spark):
+    from strata.operators import prep
+
+    def sample(k, n=100, min_rows=10):
+        df = spark.createDataFrame([(f"r{i}", float(i)) for i in range(k)], "key string, x double").repartition(4)
+        return prep.hash_sample(df, "key", n=n, min_rows=min_rows).collect()
+
+    assert sample(9) == []
+    assert len(sample(10)) == 10 and len(sample(57)) == 57
+    rows = sample(250)
+    assert len(rows) == 100 and len({r["key"] for r in rows}) == 100
+    assert sorted(r["key"] for r in rows) == sorted(r["key"] for r in sample(250))
+    assert len(sample(30, n=5, min_rows=20)) == 5 and sample(19, n=5, min_rows=20) == []
