@@ -21,6 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_WRITTEN: list[str] = []
+
+
 def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as parquet into the shared checkpoint folder
     (``spark.checkpoint.dir``) and return the table read back.
@@ -37,9 +40,21 @@ def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = (
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+def drop_shared_tables(spark: SparkSession) -> int:
+    """Delete the tables ``write_shared_table`` wrote in this process (call it
+    once the queries reading them have run); returns how many were removed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def resolve_path(candidates: Sequence[str]) -> str:
     """SRC2: first existing candidate (mounted path, then local copy). Remote
     URIs (``scheme://``) are returned as given and left to the reader."""

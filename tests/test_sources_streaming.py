@@ -95,3 +95,14 @@ def test_write_shared_table_roundtrip_and_pruning(spark):
     plan = val._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
     assert val.count() == 10
+
+
+def test_drop_shared_tables(spark):
+    import os
+
+    df = spark.createDataFrame([(1, "a")], "k long, s string")
+    back = tables.write_shared_table(df, "unit-drop")
+    path = back.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    assert tables.drop_shared_tables(spark) >= 1
+    assert not os.path.exists(path)
