@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.llm import bpe, langid, mixing
+from strata.llm.fingerprint import edited_fingerprints
+from strata.llm.line_dedup import line_dedup
+from strata.llm.ngram_join import ngram_jaccard_join
 from strata.llm.quality import quality_rules
 from strata.llm.token_counts import token_counts
-from strata.sources.tables import read_table
+from strata.llm.token_files import read_token_files, write_token_files
+from strata.llm.url_rules import judge_urls
+from strata.sources.tables import read_table, shared_folder
 
 
 def _tokenizer_path(name: str) -> str:
@@ -21,13 +28,65 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    rows = langid.identify(docs, model)
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    write_token_files(read_table(spark, sf_dir, "documents"), folder, _tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_n_chunks").alias("n_chunks"), F.col("_n_removed").alias("n_removed"), "text")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"),
+        *(F.col(f"_{c}").alias(c) for c in ("block", "slot", "release", "due", "before")),
+    )
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+def byte_bpe(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    import public_tokenizers
+
+    path = _tokenizer_path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(bpe.encode(docs, path, public_tokenizers.PATTERN), path, keep_ids)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_token_counts": op4_token_counts,
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_ngram_join, op3_token_files, op4_token_counts, op5_fingerprints,
+        op6_line_dedup, op7_mix_sources, op8_url_filters, op9_byte_bpe, op10_quality_rules,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mix_sources": mixing.SQL}

@@ -35,9 +35,10 @@ def _texts(column: pa.Array) -> list[str]:
 
 def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Open-addressing table (keys: pre-token hashes, lengths) of the most frequent pre-tokens
-    of a bounded hash-ordered sample of documents. Counts are pre-aggregated in each task."""
+    of a sample of about ``sample_docs`` documents. Counts are pre-aggregated in each task, and
+    no more than ``entries`` rows leave the last step."""
     special = tokens.special_strings(path)
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    sample = tokens.hash_sample(docs, sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,9 +11,19 @@ from collections.abc import Callable
 
 import numpy as np
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from strata.llm import vec
 
 
+def hash_sample(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` rows of a (doc_id, ...) table, taken by a hash of the id (all, if it has fewer):
+    a filter in the scan, so no task gathers the sample."""
+    share = int(min(1.0, n / max(rows.count(), 1)) * (1 << 30))
+    return rows.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)), F.lit(0)) < share)
+
+
 @functools.lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """A tokenizers-library tokenizer without threads of its own (Spark runs one task per core)."""
