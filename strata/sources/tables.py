@@ -24,6 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder, recorded for ``drop_shared_tables``."""
+    from strata.session import ensure_checkpoint_dir
+
+    path = os.path.join(ensure_checkpoint_dir(spark), "strata-tables", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
 def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as parquet into the shared checkpoint folder
     (``spark.checkpoint.dir``) and return the table read back.
@@ -32,16 +41,13 @@ def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = (
     once, later scans get column pruning, pushed filters and (with
     ``partition_by``) partition pruning, and a lost executor costs a re-read of
     the written files instead of a recomputation from the sources."""
-    from strata.session import ensure_checkpoint_dir
-
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "strata-tables", f"{name}-{uuid.uuid4().hex}")
+    path = shared_folder(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty table has no file to take a schema from
 
 
 def drop_shared_tables(spark: SparkSession) -> int:
