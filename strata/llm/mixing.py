@@ -123,12 +123,12 @@ WITH RECURSIVE d AS (
 ), s AS (
   SELECT list(source ORDER BY source) AS names, list(u ORDER BY source) AS u, CAST(sum(u) AS BIGINT) AS p FROM units
 ), run AS (
-  SELECT CAST(-1 AS BIGINT) AS t, list_transform(u, x -> CAST(0 AS BIGINT)) AS done, CAST(NULL AS BIGINT) AS pick FROM s
+  SELECT CAST(-1 AS BIGINT) AS t, [CAST(0 AS BIGINT) for x in u] AS done, CAST(NULL AS BIGINT) AS pick FROM s
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(done) + 1), i -> done[i] + CASE WHEN i = best THEN 1 ELSE 0 END), best
+  SELECT t + 1, [done[i] + CASE WHEN i = best THEN 1 ELSE 0 END for i in range(1, len(done) + 1)], best
   FROM (
-    SELECT t, done, list_min(list_transform(list_filter(range(1, len(done) + 1), i -> done[i] < u[i] AND (done[i] * p) // u[i] <= t + 1),
-      i -> ((done[i] + 1) * p + u[i] - 1) // u[i] * 1000000 + i)) % 1000000 AS best, p
+    SELECT t, done, list_min([((done[i] + 1) * p + u[i] - 1) // u[i] * 1000000 + i for i in range(1, len(done) + 1)
+      if done[i] < u[i] AND (done[i] * p) // u[i] <= t + 1]) % 1000000 AS best, p
     FROM run, s WHERE t + 1 < p
   )
 ), plan AS (
