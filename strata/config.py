@@ -13,10 +13,6 @@ import numpy as np
 # FIXED VALUES (must match the analysed pipeline for identical results)
 # ---------------------------------------------------------------------------
 SEED = 1206
-LABEL_NAMES = ["long_method", "god_class", "feature_envy", "data_class"]
-SOURCE_LABEL_COLUMNS = ["Long method", "God class", "Feature envy", "Data class"]
-IDENTIFIER_COLUMNS = ["File", "Project", "Class"]
-TEXT_COLUMN = "Code"
 NUMERIC_TYPES = ("int", "bigint", "float", "double")  # Int32, Int64, Float32, Float64
 TEST_SIZE = 0.2  # train / rest
 VAL_SPLIT = 0.5  # val / test of the rest
@@ -31,14 +27,12 @@ ASL_CLIP = 0.01
 PATIENCE = 5
 TRAIN_BATCH_SIZE = 2048
 EMBED_BATCH_SIZE = 64
-EMBED_MAX_TOKENS = 512
 EMBED_DIM_TEXT = 768
 GATE_NEAR_ZERO_BATCH, GATE_NEAR_ONE_BATCH = 0.05, 0.95
 GATE_NEAR_ZERO_REPORT, GATE_NEAR_ONE_REPORT = 0.1, 0.9
 GATE_NEUTRAL_LO, GATE_NEUTRAL_HI = 0.4, 0.6
 GATE_HIST_BINS = 50
 GATE_HEATMAP_ROWS, GATE_HEATMAP_MIN_ROWS = 100, 10
-GATE_REPORT_SAMPLES = 1000
 SIMPLEX_XATOL, SIMPLEX_FATOL = 0.01, 1e-4
 SIMPLEX_BOUNDS = (0.05, 0.95)
 PARITY_TOL = 1e-4
@@ -51,6 +45,7 @@ COARSE_CANDIDATES = [float(x) for x in np.arange(0.1, 0.9, 0.1)]  # 8 values
 # ---------------------------------------------------------------------------
 
 # Library tunables (not fixed by the analysed code)
-SPLIT_BUCKET_HEX = 4  # prefix-sum buckets = 16**4 per stratum
+SPLIT_BUCKET_HEX = 4  # prefix-sum buckets = 16**4 per part
+CUT_BUCKET_HEX = 3  # hash buckets per stratum that the split's cut points are looked up in
 SCORE_BUCKETS = 1 << 16  # prefix-sum buckets for scores in [0, 1]
-BROADCAST_ROW_LIMIT = 100_000  # static row bound for an explicit broadcast hint; larger sides are left to AQE's runtime size check
+MAX_CLASSES = 100_000  # widest one-hot / most strata that are broadcast; more raise an error

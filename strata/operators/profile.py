@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.config import LABEL_NAMES, POS_WEIGHT_EPS
+from strata.config import POS_WEIGHT_EPS
 from strata.operators.prep import label_counts
 
 
 def label_distribution(df: DataFrame, label_cols: list[str], names: list[str] | None = None) -> DataFrame:
-    """AGG1: per label positives, negatives and positive ratio (one wide aggregate)."""
-    names = names or LABEL_NAMES[: len(label_cols)]
+    """AGG1: per label positives, negatives and positive ratio (one wide aggregate);
+    labels are called by ``names`` (default: their columns)."""
+    names = names or label_cols
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("label") + 1)
     return label_counts(df, label_cols).select(
         "label",
@@ -68,7 +69,7 @@ def feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
     return wide.select(*[c.alias(k) for k, c in _feature_stat_exprs(len(features)).items()])
 
 
-def train_profile(train_scaled: DataFrame, label_cols: list[str], features: list[str]) -> DataFrame:
+def train_profile(train_scaled: DataFrame, label_cols: list[str], features: list[str], names: list[str] | None = None) -> DataFrame:
     """AGG5: the training-split profile as one long table ``(section, name, value)``:
     label distribution, pos_weight and feature statistics of the scaled split.
     All of it comes from ONE wide aggregate over the split (one scan); the long
@@ -78,7 +79,7 @@ def train_profile(train_scaled: DataFrame, label_cols: list[str], features: list
     stats = _feature_stat_exprs(len(features))
     rows = []
     for i in range(len(label_cols)):
-        name = F.lit(LABEL_NAMES[i])
+        name = F.lit((names or label_cols)[i])
         pos = F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("double")
         neg = F.col("n_rows").cast("double") - pos
         rows += [

@@ -26,7 +26,7 @@ def tune_grid(scored: DataFrame, candidates: Sequence[float] | None = None, metr
     wins, ties go to the earlier candidate and a label whose F1 is 0 everywhere
     gets 0.5. Returns ``(label, threshold, f1)``."""
     if metric != "f1":
-        raise ValueError("Only 'f1' metric supported for per-class tuning")
+        raise ValueError(f"grid search knows no metric {metric!r}, only 'f1'")
     cands = [float(c) for c in (GRID_CANDIDATES if candidates is None else candidates)]
     order = sorted(range(len(cands)), key=lambda i: cands[i])
     sorted_c = [cands[i] for i in order]
@@ -81,7 +81,7 @@ def tune_roc(scored: DataFrame, criterion: str = "youden") -> DataFrame:
         d = F.sqrt((F.lit(1.0) - F.col("tpr")) * (F.lit(1.0) - F.col("tpr")) + F.col("fpr") * F.col("fpr"))
         key_value = -d  # smaller distance is better; NULL sorts lowest (last)
     else:
-        raise ValueError(f"Unknown criterion: {criterion}")
+        raise ValueError(f"no such ROC criterion: {criterion!r}")
     # first in (key, threshold desc) order = max of (key, threshold) with the key's
     # order turned ascending-is-better; one partial hash aggregate per label, so a
     # label with most of the ROC points is not sorted in one task
@@ -94,9 +94,10 @@ def tune_roc(scored: DataFrame, criterion: str = "youden") -> DataFrame:
 
 def evaluate_thresholds(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """THR6: ``(f1_micro, f1_macro, precision_macro, recall_macro, auc_macro)``."""
-    summ = metrics.summary_from_confusion(metrics.confusion(scored, thresholds))
-    auc = curves.auc_macro(scored).select("auc_macro").scalar()
-    return summ.select("f1_micro", "f1_macro", "precision_macro", "recall_macro", auc.alias("auc_macro"))
+    counts = curves.score_counts(scored)
+    summ = metrics.summary_from_confusion(metrics.confusion_from_counts(counts, thresholds))
+    auc = curves.auc_from_counts(counts, ["label"]).agg(F.avg("auc").alias("auc_macro"))
+    return summ.crossJoin(F.broadcast(auc)).select("f1_micro", "f1_macro", "precision_macro", "recall_macro", "auc_macro")  # one row each
 
 
 def compare_methods(
@@ -121,23 +122,12 @@ def compare_methods(
     all_t = tuned[0]
     for t in tuned[1:]:
         all_t = all_t.unionByName(t)
-    # methods x labels rows: bounded, broadcast; one scan of the test table for all methods
-    joined = test.join(F.broadcast(all_t), "label")
-    pred = (F.col("prob") >= F.col("threshold")).cast("int")
-    y = F.col("y")
-    conf = joined.groupBy("method", "label").agg(
-        F.sum(y * pred).cast("long").alias("tp"),
-        F.sum((1 - y) * pred).cast("long").alias("fp"),
-        F.sum(y * (1 - pred)).cast("long").alias("fn"),
+    counts = curves.score_counts(test)  # one pass over the test rows for all methods and the AUC
+    conf = metrics.confusion_from_counts(counts, all_t, group_cols=("method",))
+    auc = curves.auc_from_counts(counts, ["label"]).agg(F.avg("auc").alias("auc_macro"))
+    return metrics.summary_from_confusion(conf, ("method",)).crossJoin(F.broadcast(auc)).select(  # auc: one row
+        "method", "f1_micro", "f1_macro", "precision_macro", "recall_macro", "auc_macro"
     )
-    s = metrics.per_label_scores(conf)
-    auc = curves.auc_macro(test).select("auc_macro").scalar()
-    return s.groupBy("method").agg(
-        div0(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("f1_micro"),
-        F.avg("f1").alias("f1_macro"),
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
-    ).select("method", "f1_micro", "f1_macro", "precision_macro", "recall_macro", auc.alias("auc_macro"))
 
 
 # ----------------------------------------------------------------- simplex refinement (THR4)
@@ -187,63 +177,48 @@ def _objective_values(
     return out
 
 
-def nelder_mead(
-    f_batch: Callable[[list[np.ndarray]], list[float]],
-    x0: np.ndarray,
-    maxiter: int,
-    xatol: float = SIMPLEX_XATOL,
-    fatol: float = SIMPLEX_FATOL,
+def _step(mirror: float, far: float, outside: float, inside: float, heights: np.ndarray) -> str | None:
+    """Which trial point replaces the highest corner; None asks for a smaller simplex."""
+    lowest, second, highest = heights[0], heights[-2], heights[-1]
+    if mirror < lowest:
+        return "far" if far < mirror else "mirror"
+    if mirror < second:
+        return "mirror"
+    if mirror < highest:
+        return "outside" if outside <= mirror else None
+    return "inside" if inside < highest else None
+
+
+def downhill_simplex(
+    evaluate: Callable[[list[np.ndarray]], list[float]],
+    start: np.ndarray,
+    rounds: int,
+    point_tol: float = SIMPLEX_XATOL,
+    value_tol: float = SIMPLEX_FATOL,
 ) -> np.ndarray:
-    """Standard Nelder-Mead (reflection 1, expansion 2, contraction 1/2, shrink 1/2;
-    start steps 5 %, or 0.00025 for a zero coordinate). Reflection, expansion and
-    both contractions of an iteration are evaluated together in one batch."""
-    rho, chi, psi, sigma = 1.0, 2.0, 0.5, 0.5
-    n = len(x0)
-    sim = [np.asarray(x0, dtype=float)]
-    for k in range(n):
-        y = np.array(x0, dtype=float)
-        y[k] = (1 + 0.05) * y[k] if y[k] != 0 else 0.00025
-        sim.append(y)
-    sim = np.array(sim)
-    fsim = np.array(f_batch(list(sim)))
-    idx = np.argsort(fsim, kind="stable")
-    sim, fsim = sim[idx], fsim[idx]
-    iterations = 1
-    while iterations < maxiter:
-        if np.max(np.abs(sim[1:] - sim[0])) <= xatol and np.max(np.abs(fsim[0] - fsim[1:])) <= fatol:
+    """Minimum by the downhill simplex of Nelder and Mead (1965). The first corners are ``start``
+    and one step of 5 % (0.00025 from a zero) along each axis. A round looks along the line from
+    the highest corner through the centre of the others: its mirror image, a point twice as far,
+    and one half way on either side, all evaluated as one batch."""
+    start = np.asarray(start, dtype=float)
+    corners = np.vstack([start, start + np.diag(np.where(start == 0, 0.00025, 0.05 * start))])
+    heights = np.array(evaluate(list(corners)))
+    reach = {"mirror": 1.0, "far": 2.0, "outside": 0.5, "inside": -0.5}
+    for _ in range(1, rounds):
+        order = np.argsort(heights, kind="stable")
+        corners, heights = corners[order], heights[order]
+        if heights[-1] - heights[0] <= value_tol and np.abs(corners - corners[0]).max() <= point_tol:
             break
-        xbar = sim[:-1].mean(axis=0)
-        xr = (1 + rho) * xbar - rho * sim[-1]
-        xe = (1 + rho * chi) * xbar - rho * chi * sim[-1]
-        xc = (1 + psi * rho) * xbar - psi * rho * sim[-1]
-        xcc = (1 - psi) * xbar + psi * sim[-1]
-        fxr, fxe, fxc, fxcc = f_batch([xr, xe, xc, xcc])
-        shrink = False
-        if fxr < fsim[0]:
-            if fxe < fxr:
-                sim[-1], fsim[-1] = xe, fxe
-            else:
-                sim[-1], fsim[-1] = xr, fxr
-        elif fxr < fsim[-2]:
-            sim[-1], fsim[-1] = xr, fxr
-        elif fxr < fsim[-1]:
-            if fxc <= fxr:
-                sim[-1], fsim[-1] = xc, fxc
-            else:
-                shrink = True
+        centre = corners[:-1].mean(axis=0)
+        trial = {name: centre + r * (centre - corners[-1]) for name, r in reach.items()}
+        height = dict(zip(trial, evaluate(list(trial.values()))))
+        name = _step(**height, heights=heights)
+        if name:
+            corners[-1], heights[-1] = trial[name], height[name]
         else:
-            if fxcc < fsim[-1]:
-                sim[-1], fsim[-1] = xcc, fxcc
-            else:
-                shrink = True
-        if shrink:
-            for j in range(1, n + 1):
-                sim[j] = sim[0] + sigma * (sim[j] - sim[0])
-            fsim[1:] = f_batch(list(sim[1:]))
-        iterations += 1
-        idx = np.argsort(fsim, kind="stable")
-        sim, fsim = sim[idx], fsim[idx]
-    return sim[0]
+            corners[1:] = (corners[1:] + corners[0]) / 2
+            heights[1:] = evaluate(list(corners[1:]))
+    return corners[np.argmin(heights)]
 
 
 def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int = 50) -> DataFrame:
@@ -255,22 +230,16 @@ def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int
     if metric not in ("f1_macro", "f1_micro", "balanced_acc"):
         raise ValueError(f"Unknown metric: {metric}")
     spark = scored.sparkSession
-    # every objective batch scans this table: keep it persisted, and at most one
-    # partition per core (coalesce is a no-op when it already has fewer)
-    steps = (
-        curves.score_steps(scored)
-        .select("label", "score", "pos", "neg", "P", "N")
-        .coalesce(spark.sparkContext.defaultParallelism)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # every objective batch scans this table
+    steps = curves.score_counts(scored).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
         start = {r["label"]: r["threshold"] for r in coarse.collect()}
         labels = sorted(start)
         # per-label totals: one row per label, fetched once
-        totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.first("P").alias("P"), F.first("N").alias("N")).collect()}
+        totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()}
         x0 = np.array([start[lab] for lab in labels])
-        best = nelder_mead(lambda pts: _objective_values(spark, steps, totals, pts, metric), x0, n_iterations)
+        best = downhill_simplex(lambda pts: _objective_values(spark, steps, totals, pts, metric), x0, n_iterations)
     finally:
         steps.unpersist()
     lo, hi = SIMPLEX_BOUNDS

@@ -78,6 +78,72 @@ def test_gradients_match_finite_differences(spark, loss):
         assert r["g"] == pytest.approx(r["fd"], rel=1e-4, abs=1e-6)
 
 
+@pytest.mark.parametrize("loss", ["bce", "focal", "asl", "cb", "cb_focal"])
+def test_badly_scored_rows_stay_in_the_gradient(spark, loss):
+    """No NULL or NaN however far off a row is: it must not leave the sums."""
+    rows = [(s * z, y) for z in (40.0, 800.0) for s in (1, -1) for y in (0.0, 1.0)]
+    kw = dict(w_pos=F.lit(1.7), w_neg=F.lit(0.6), alpha=F.lit(1.3), gamma=2.0, gamma_neg=4.0, gamma_pos=1.0, clip=0.01)
+    el, g = train.loss_and_grad(F.col("z"), F.col("y"), loss, **kw)
+    got = spark.createDataFrame(rows, "z double, y double").select("z", "y", el.alias("el"), g.alias("g")).collect()
+    for r in got:
+        assert r["el"] is not None and r["g"] is not None and np.isfinite([r["el"], r["g"]]).all(), r
+        wrong = (r["z"] > 0) != (r["y"] > 0.5)
+        assert (r["el"] > 10) == wrong, r
+        assert not wrong or (r["g"] < 0) == (r["y"] > 0.5) and abs(r["g"]) > 0.5, r
+
+
+def test_vectorised_erf():
+    import math
+
+    x = np.concatenate([np.linspace(-7, 7, 20001), [0.0, -0.0, 1e-300, 30.0, -30.0]])
+    assert np.max(np.abs(scoring._erf(x) - np.array([math.erf(v) for v in x]))) < 4e-16
+
+
+def test_expert_mix_equals_a_row_at_a_time():
+    import math
+
+    rng = np.random.default_rng(8)
+    spec = scoring.ModelSpec(input_dim=5, projection_dim=16, embed_dim=8, deep_type="moe")
+    w = {k: rng.normal(size=v) for k, v in scoring.weight_shapes(spec).items()}
+    x = rng.normal(size=(30, 16))
+    got = scoring._expert_mix(x, w, "deep0", spec)
+    for row, out in zip(x, got):
+        z = w["deep0.gate.w"] @ row + w["deep0.gate.b"]
+        best = sorted(range(4), key=lambda e: (-z[e], e))[:2]
+        e = np.exp(z[best] - z[best].max())
+        mixed = row.copy()
+        for share, k in zip(e / e.sum(), best):
+            h = w[f"deep0.e{k}.l1.w"] @ row + w[f"deep0.e{k}.l1.b"]
+            h = np.array([0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in h])
+            mixed += share * (w[f"deep0.e{k}.l2.w"] @ h + w[f"deep0.e{k}.l2.b"])
+        want = (mixed - mixed.mean()) / np.sqrt(mixed.var() + 1e-5) * w["deep0.norm.g"] + w["deep0.norm.beta"]
+        assert out == pytest.approx(want, abs=1e-10)
+
+
+def test_mish_scorer_equals_numpy():
+    spec = scoring.ModelSpec(input_dim=5, projection_dim=16, embed_dim=8, activation="mish", cross_rank=4)
+    w = _weights(spec)
+    x = np.random.default_rng(1).normal(size=(7, 5))
+    z = x @ w["proj.w"].T + w["proj.b"]
+    n = (z - z.mean(1, keepdims=True)) / np.sqrt(z.var(1, keepdims=True) + 1e-5) * w["proj.ln.g"] + w["proj.ln.beta"]
+    assert scoring._act(n, "mish") == pytest.approx(n * np.tanh(np.log1p(np.exp(n))), abs=1e-12)
+    logits, _ = scoring.forward(x, w, spec)
+    assert logits.shape == (7, 4) and np.isfinite(logits).all()
+    assert not np.allclose(logits, scoring.forward(x, w, scoring.ModelSpec(input_dim=5, projection_dim=16, embed_dim=8, cross_rank=4))[0])
+
+
+def test_parameters_are_stored_and_loaded(spark, tmp_path):
+    m = train.LinearModel(["a", "b"], np.array([[1.5, -2.0], [0.25, 3.0]]), np.array([0.5, -0.125]))
+    m.save(spark, f"{tmp_path}/m")
+    back = train.LinearModel.load(spark, f"{tmp_path}/m", ["a", "b"])
+    assert back.W.tolist() == m.W.tolist() and back.b.tolist() == m.b.tolist()
+    spec = scoring.ModelSpec(input_dim=3, projection_dim=8, embed_dim=4)
+    w = scoring.weights_from_rule(spec)
+    scoring.save_weights(spark, w, f"{tmp_path}/w")
+    got = scoring.load_weights(spark.read.parquet(f"{tmp_path}/w"))
+    assert all((got[k] == v).all() and got[k].shape == v.shape for k, v in w.items()) and set(got) == set(w)
+
+
 def test_fit_improves_auc(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 3))
