@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,20 +34,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a private folder is created only when the
-    session has none (tests, laptops)."""
+    The cluster's setting always wins. A folder of this machine is made only when the session
+    has none and runs in this process (``local`` masters: tests, laptops); elsewhere executors
+    couldn't see it, so a missing setting raises RuntimeError."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="strata-ckpt-")
+        configured = local_fallback(sc.master)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def local_fallback(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\],]+(,\s*\d+)?\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+    return tempfile.mkdtemp(prefix="strata-ckpt-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder, so lost executors
     recompute from the checkpoint rather than from the source scan."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strata.operators import losses, metrics
-from strata.session import ensure_checkpoint_dir
+from strata.sources.tables import shared_folder
 
 
 def read_scored_stream(spark: SparkSession, path: str, schema: StructType, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -49,33 +49,42 @@ def running_loss(stream: DataFrame, loss: str = "bce", label_weights: DataFrame
     return el.groupBy("label").agg(F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(
-    agg: DataFrame,
-    out_path: str,
-    checkpoint: str | None = None,
-    available_now: bool = True,
-    state_partitions: int | None = 8,
-) -> str:
-    """Run a streaming aggregation in complete mode; every micro-batch replaces
-    the parquet table at ``out_path`` with the current totals. Blocks until the
-    available input is processed (``availableNow``). ``state_partitions`` sizes
-    the state store (fixed by the first run of a checkpoint); the per-label state
-    here has one row per label, so a few partitions suffice."""
+def run_to_table(agg: DataFrame, out_path: str, checkpoint: str | None = None, available_now: bool = True) -> str:
+    """Run a streaming aggregation in complete mode. Each micro-batch writes the totals so far to
+    its own folder ``out_path/batch-<id>`` (a repeated batch replaces its own folder alone, so
+    readers of an earlier one are undisturbed); folders before the previous batch's are deleted.
+    With ``available_now``, waits for the available input and returns the last folder."""
     spark = agg.sparkSession
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "strata-stream", uuid.uuid4().hex)
+    checkpoint = checkpoint or shared_folder(spark, "stream-state")
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_folder(out_path, number))
+        if number > 1:
+            path, fs = _hadoop(spark, _batch_folder(out_path, number - 2))
+            fs.delete(path, True)
 
     q = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        handle = q.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    handle = q.start()
     if available_now:
         handle.awaitTermination()
+        return latest_batch(spark, out_path)
     return out_path
+
+
+def _batch_folder(out_path: str, number: int) -> str:
+    return f"{out_path}/batch-{number:012d}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def latest_batch(spark: SparkSession, out_path: str) -> str:
+    """Folder of the last complete micro-batch under ``out_path`` (FileNotFoundError if none)."""
+    path, fs = _hadoop(spark, out_path)
+    done = [str(x.getPath()) for x in (fs.listStatus(path) if fs.exists(path) else []) if fs.exists(_hadoop(spark, f"{x.getPath()}/_SUCCESS")[0])]
+    if not done:
+        raise FileNotFoundError(f"no complete batch under {out_path}")
+    return max(done)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,9 +12,8 @@ from strata.sources import tables
 from strata.streaming import scored_stream
 
 
-def test_read_dataset_csv_quoted_multiline(spark):
-    d = tempfile.mkdtemp(prefix="strata-csv-")
-    p = os.path.join(d, "dataset.csv")
+def test_read_dataset_csv_quoted_multiline(spark, tmp_path):
+    p = os.path.join(tmp_path, "dataset.csv")
     with open(p, "w") as f:
         f.write('File,Project,Class,Code,LOC,CC,Long method,God class,Feature envy,Data class\n')
         f.write('a.java,p,A,"int x;\nreturn ""y"";",10,2.5,1,0,0,1\n')
@@ -39,8 +37,8 @@ def test_resolve_path(tmp_path):
         tables.resolve_path(["/nonexistent/a", "/nonexistent/b"])
 
 
-def test_split_cache_validation(spark):
-    base = tempfile.mkdtemp(prefix="strata-cache-")
+def test_split_cache_validation(spark, tmp_path):
+    base = str(tmp_path)
     good = spark.createDataFrame(
         [(1, "train", [1.0, 2.0]), (2, "val", [1.0, 2.0]), (3, "test", [3.0, 4.0])], "k long, split string, features array<double>"
     )
@@ -57,8 +55,8 @@ def test_split_cache_validation(spark):
         tables.read_split_cache(spark, os.path.join(base, "ragged"))
 
 
-def test_stream_confusion_equals_batch(spark):
-    base = tempfile.mkdtemp(prefix="strata-stream-")
+def test_stream_confusion_equals_batch(spark, tmp_path):
+    base = str(tmp_path)
     rows = [(i % 3, int(i % 5 == 0), (i % 97) / 97.0) for i in range(600)]
     scored = spark.createDataFrame(rows, "label int, y int, prob double")
     scored.repartition(6).write.parquet(os.path.join(base, "in"))
@@ -68,10 +66,15 @@ def test_stream_confusion_equals_batch(spark):
     got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in spark.read.parquet(out).collect()}
     ref = {r["label"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in metrics.confusion(scored).collect()}
     assert got == ref
+    # three batches ran; readers find the last, and only it and the one before are kept
+    assert out == scored_stream.latest_batch(spark, os.path.join(base, "out"))
+    assert sorted(x for x in os.listdir(os.path.join(base, "out"))) == ["batch-000000000001", "batch-000000000002"]
+    with pytest.raises(FileNotFoundError):
+        scored_stream.latest_batch(spark, os.path.join(base, "nothing"))
 
 
-def test_stream_loss(spark):
-    base = tempfile.mkdtemp(prefix="strata-stream-")
+def test_stream_loss(spark, tmp_path):
+    base = str(tmp_path)
     rows = [(0, 1, 0.8, 1.3862943611198906), (0, 0, 0.2, -1.3862943611198906)]
     df = spark.createDataFrame(rows, "label int, y int, prob double, logit double")
     df.write.parquet(os.path.join(base, "in"))
@@ -97,6 +100,30 @@ def test_write_shared_table_roundtrip_and_pruning(spark):
     assert val.count() == 10
 
 
+def test_no_folder_of_one_machine_on_a_cluster(tmp_path):
+    from strata.session import local_fallback
+
+    for master in ("local", "local[4]", "local[*]", "local[2, 3]"):
+        assert os.path.isdir(local_fallback(master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="shared folder"):
+            local_fallback(master)
+
+
+def test_queries_leave_no_folder(spark):
+    """Everything that a query writes under the shared folder is recorded and can be dropped."""
+    from strata.plans import catalog
+    from strata.session import ensure_checkpoint_dir
+
+    tables.drop_shared_tables(spark)
+    for name in ("dataset_csv_roundtrip", "embedding_cache_roundtrip", "metric_log_sink", "stream_confusion", "loss_by_batch"):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert os.listdir(os.path.join(base, "strata-tables"))
+    tables.drop_shared_tables(spark)
+    assert not [f for _, _, files in os.walk(os.path.join(base, "strata-tables")) for f in files]
+
+
 def test_drop_shared_tables(spark):
     import os
 
