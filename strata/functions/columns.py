@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,11 +52,11 @@ def hex_bucket(hex_col: str | Column, digits: int) -> Column:
     return F.conv(F.substring(col(hex_col), 1, digits), 16, 10).cast("int")
 
 
-def unit_bucket(x: str | Column, buckets: int, descending: bool = False) -> Column:
-    """Coarse bucket of a value in [0, 1]; monotone (reversed when ``descending``)."""
-    b = F.least(F.greatest(F.floor(col(x) * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1)).cast("int")
+def score_bucket(x: str | Column, buckets: int, descending: bool = False) -> Column:
+    """Coarse bucket of a score in [0, 1], equally wide in the logit between -40 and 40; monotone
+    (reversed when ``descending``). Scores that crowd at 0 or 1, as those of rare labels do, are
+    as far apart in the logit as others, so they don't share one bucket."""
+    p = F.least(F.greatest(col(x), F.lit(1e-300)), F.lit(1.0 - 1e-16))
+    z = F.least(F.greatest(F.log(p) - F.log1p(-p), F.lit(-40.0)), F.lit(40.0))
+    b = F.least(F.floor((z + F.lit(40.0)) * F.lit(buckets / 80.0)), F.lit(buckets - 1)).cast("int")
     return (F.lit(buckets - 1) - b) if descending else b
-
-
-def double_array(values: Iterable[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.config import BROADCAST_ROW_LIMIT, SCORE_BUCKETS
-from strata.functions.columns import unit_bucket
+from strata.config import SCORE_BUCKETS
+from strata.functions.columns import score_bucket
 
 
 def score_counts(scored: DataFrame, part_cols: list[str] | None = None, score_col: str = "prob", y_col: str = "y") -> DataFrame:
@@ -33,7 +33,6 @@ def score_steps(
     score_col: str = "prob",
     y_col: str = "y",
     buckets: int = SCORE_BUCKETS,
-    n_parts_bound: int | None = 64,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """CRV1: one row per ``(part, distinct score)``, in descending score order,
@@ -52,7 +51,7 @@ def score_steps(
     else:
         parts = part_cols
     b = "_strata_b"
-    counts = counts.withColumn(b, unit_bucket("score", buckets, descending=True))
+    counts = counts.withColumn(b, score_bucket("score", buckets, descending=True))
     coarse = counts.groupBy(*parts, b).agg(
         F.sum("pos").alias("_cp"),
         F.sum("neg").alias("_cn"),
@@ -69,8 +68,6 @@ def score_steps(
         F.sum("_cp").over(Window.partitionBy(*parts)).alias("P"),
         F.sum("_cn").over(Window.partitionBy(*parts)).alias("N"),
     )
-    if n_parts_bound is not None and n_parts_bound * buckets <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
     wi = Window.partitionBy(*parts, b).orderBy(F.col("score").desc())
     run = wi.rowsBetween(Window.unboundedPreceding, 0)
     inner = counts.select(
@@ -111,7 +108,7 @@ def auc_from_counts(counts: DataFrame, part_cols: list[str], buckets: int = SCOR
     final one per part reuse the partitioning of the window before them."""
     parts = list(part_cols) or ["_strata_all"]
     c = counts if part_cols else counts.withColumn("_strata_all", F.lit(0))
-    c = c.withColumn("_b", unit_bucket("score", buckets, descending=True))
+    c = c.withColumn("_b", score_bucket("score", buckets, descending=True))
     above = Window.partitionBy(*parts, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     within = c.withColumn("_pa", F.coalesce(F.sum(pos).over(above), F.lit(0.0)))

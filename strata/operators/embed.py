@@ -1,8 +1,8 @@
 """Text -> fixed-width vector, as a distributed batch job.
 
-Default encoder: JVM-side feature hashing (whitespace tokens, term counts in
-``dim`` buckets, L2-normalised) with ``pyspark.ml`` transformers: a map-only
-plan over whole texts, no Python worker. A pluggable ``encoder(list[str]) ->
+Default encoder: JVM-side feature hashing (lower-case whitespace tokens, term
+counts in ``dim`` buckets of their md5, L2-normalised) with ``pyspark.ml``
+transformers: a map-only plan over whole texts, no Python worker. A pluggable ``encoder(list[str]) ->
 ndarray`` (e.g. an ONNX text model) runs in ``mapInPandas`` in batches of
 ``batch_size`` texts, loaded once per Python worker.
 """
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +27,14 @@ _ENCODERS: dict[str, Encoder] = {}
 def hashing_embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = EMBED_DIM_TEXT) -> DataFrame:
     """EMB1 default: hashed term-frequency vector of the whole text, L2-normalised,
     as ``array<float>``. Null text is embedded like ``''`` (all zeros)."""
-    tmp = df.withColumn("_strata_txt", F.coalesce(F.col(text_col), F.lit("")))
-    toks = RegexTokenizer(inputCol="_strata_txt", outputCol="_strata_tok", pattern="\\\\s+", toLowercase=True).transform(tmp)
-    tf = HashingTF(inputCol="_strata_tok", outputCol="_strata_tf", numFeatures=dim).transform(toks)
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda t: t != "")
+    slot = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("string")
+    toks = df.withColumn("_strata_tok", F.transform(words, slot))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "_strata_tok", "_strata_tf")
+    tf = counter.transform(toks)
     nv = Normalizer(inputCol="_strata_tf", outputCol="_strata_vec", p=2.0).transform(tf)
     return nv.withColumn(out_col, vector_to_array("_strata_vec", "float32")).drop(
-        "_strata_txt", "_strata_tok", "_strata_tf", "_strata_vec"
+        "_strata_tok", "_strata_tf", "_strata_vec"
     )
 
 

@@ -71,40 +71,20 @@ def element_loss(
     * ``cb_focal``: CB weights times the focal factor; ``stored_cb_weights``
       ``(label, w_pos, w_neg)`` replaces the dynamic ones (missing labels -> 1).
     """
+    if loss not in LOSSES:
+        raise ValueError(f"Unknown loss: {loss}")
     z, y = F.col("logit"), F.col("y").cast("double")
-    one = F.lit(1.0)
-    plain_bce = bce_with_logits(z, y)
-    if loss == "bce":
-        d = _with_label_table(scored, label_weights, {"pos_weight": 1.0})
-        expr = bce_with_logits(z, y, F.col("pos_weight"))
-        drop = ["pos_weight"]
-    elif loss == "focal":
-        d = _with_label_table(scored, label_weights, {"pos_weight": 1.0})
-        expr = (F.col("pos_weight") * y + one - y) * _focal_factor(z, y, gamma) * plain_bce
-        drop = ["pos_weight"]
-    elif loss == "asl":
-        d = _with_label_table(scored, label_weights, {"pos_weight": 1.0})
-        p = sigmoid(z)
-        p_neg = F.least(one - p + F.lit(float(clip)), one) if clip and clip > 0 else one - p
-        expr = F.pow(one - p, F.lit(float(gamma_pos))) * (-y * log_sigmoid(z)) + F.pow(one - p_neg, F.lit(float(gamma_neg))) * (
-            -(one - y) * log_sigmoid(-z)
-        )
-        expr = (F.col("pos_weight") * y + one - y) * expr
-        drop = ["pos_weight"]
-    elif loss in ("cb", "cb_focal"):
-        if loss == "cb_focal" and stored_cb_weights is not None:
-            d = _with_label_table(scored, stored_cb_weights, {"w_pos": 1.0, "w_neg": 1.0})
-        else:
-            w = cb_weights(scored, beta, batch_col=batch_col).select(*([batch_col] if batch_col else []), "label", "w_pos", "w_neg")
-            keys = [batch_col, "label"] if batch_col else ["label"]
-            # one row per (batch, label): bounded by the label count when global
-            d = scored.join(w if batch_col else F.broadcast(w), keys, "left")
-        cbw = F.col("w_pos") * y + F.col("w_neg") * (one - y)
-        expr = cbw * plain_bce if loss == "cb" else cbw * _focal_factor(z, y, gamma) * plain_bce
-        drop = ["w_pos", "w_neg"]
+    if loss in ("bce", "focal", "asl"):
+        d = _with_label_table(scored, label_weights, {"pos_weight": 1.0}).withColumnRenamed("pos_weight", "w_pos").withColumn("w_neg", F.lit(1.0))
+    elif loss == "cb_focal" and stored_cb_weights is not None:
+        d = _with_label_table(scored, stored_cb_weights, {"w_pos": 1.0, "w_neg": 1.0})
     else:
-        raise ValueError(f"Unknown loss: {loss}")
-    return d.withColumn("loss", expr).drop(*drop)
+        keys = [batch_col, "label"] if batch_col else ["label"]
+        w = cb_weights(scored, beta, batch_col=batch_col).select(*keys, "w_pos", "w_neg")
+        # one row per (batch, label): bounded by the label count when global
+        d = scored.join(w if batch_col else F.broadcast(w), keys, "left")
+    a, b = loss_parts(loss, z, y, gamma, gamma_neg, gamma_pos, clip)
+    return d.withColumn("loss", F.col("w_pos") * y * a + F.col("w_neg") * (F.lit(1.0) - y) * b).drop("w_pos", "w_neg")
 
 
 def reduce_loss(elements: DataFrame, reduction: str = "mean", batch_col: str | None = None, group_cols: list[str] | None = None) -> DataFrame:
@@ -128,10 +108,13 @@ def loss(scored: DataFrame, name: str = "bce", reduction: str = "mean", **kwargs
     return reduce_loss(element_loss(scored, name, **kwargs), reduction)
 
 
-def _parts(loss: str, gamma: float, gamma_neg: float, gamma_pos: float, clip: float) -> tuple[Column, Column]:
+def loss_parts(
+    loss: str, z: Column, y: Column, gamma: float = FOCAL_GAMMA, gamma_neg: float = ASL_GAMMA_NEG, gamma_pos: float = ASL_GAMMA_POS,
+    clip: float = ASL_CLIP,
+) -> tuple[Column, Column]:
     """Positive-row and negative-row parts of a loss before its per-label weight:
-    ``loss = w_pos * y * A + w_neg * (1 - y) * B`` (``w_neg = 1`` except for CB)."""
-    z, y = F.col("logit"), F.col("y").cast("double")
+    ``loss = w_pos * y * A + w_neg * (1 - y) * B`` (``w_neg = 1`` except for CB). The one place
+    where the losses are written down; the trainer's gradients belong to the same parts."""
     one = F.lit(1.0)
     nls_pos, nls_neg = -log_sigmoid(z), -log_sigmoid(-z)
     if loss in ("bce", "cb"):
@@ -158,6 +141,7 @@ def one_pass_loss(
     clip: float = ASL_CLIP,
     beta: float = CB_BETA,
     eps_pos_weight: float = 1e-6,
+    label_weights: str = "table",
 ) -> DataFrame:
     """Mean (or sum) loss in ONE aggregate over the scored table.
 
@@ -169,12 +153,17 @@ def one_pass_loss(
     for positives; cb/cb_focal use effective-number weights. No second scan or
     join of the scored table. With ``batch_cols`` the result is the mean of
     per-batch means grouped by all but the last batch column (e.g. ``[split,
-    batch_id]`` -> one row per split)."""
+    batch_id]`` -> one row per split).
+
+    ``label_weights``: ``table`` (counts of all rows matching ``weight_rows``), ``batch``
+    (each batch's own counts, by a window over its few label rows) or ``ones``."""
     if reduction not in ("mean", "sum"):
         raise ValueError(f"Unknown reduction: {reduction}")
+    if label_weights not in ("table", "batch", "ones"):
+        raise ValueError(f"Unknown label weights: {label_weights}")
     batch_cols = batch_cols or []
-    a, b = _parts(loss, gamma, gamma_neg, gamma_pos, clip)
     y = F.col("y").cast("double")
+    a, b = loss_parts(loss, F.col("logit"), y, gamma, gamma_neg, gamma_pos, clip)
     wr = (weight_rows if weight_rows is not None else F.lit(True)).cast("double")
     part = scored.groupBy(*batch_cols, "label").agg(
         F.sum(y * a).alias("A"),
@@ -184,16 +173,21 @@ def one_pass_loss(
         F.sum(wr).alias("wn_all"),
     )
     # per-label weights from the (at most labels x batches rows) partial table
-    lab = part.groupBy("label").agg(F.sum("wp").alias("positive"), (F.sum("wn_all") - F.sum("wp")).alias("negative"))
-    if loss in ("cb", "cb_focal"):
-        w = effective_number_weights_from_counts(lab, beta, CB_EPS).select("label", "w_pos", "w_neg")
+    own = part.withColumn("positive", F.col("wp")).withColumn("negative", F.col("wn_all") - F.col("wp"))
+
+    def weigh(counts: DataFrame, keys: list[str]) -> DataFrame:
+        if loss in ("cb", "cb_focal"):
+            return effective_number_weights_from_counts(counts, beta, CB_EPS, part_cols=keys)
+        w_pos = F.sqrt(F.col("negative") / (F.col("positive") + F.lit(eps_pos_weight)))
+        return counts.withColumn("w_pos", w_pos).withColumn("w_neg", F.lit(1.0))
+
+    if label_weights == "ones":
+        joined = part.withColumn("w_pos", F.lit(1.0)).withColumn("w_neg", F.lit(1.0))
+    elif label_weights == "batch":
+        joined = weigh(own, batch_cols)
     else:
-        w = lab.select(
-            "label",
-            F.sqrt(F.col("negative") / (F.col("positive") + F.lit(eps_pos_weight))).alias("w_pos"),
-            F.lit(1.0).alias("w_neg"),
-        )
-    joined = part.join(F.broadcast(w), "label")  # one row per label
+        lab = own.groupBy("label").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+        joined = part.join(F.broadcast(weigh(lab, []).select("label", "w_pos", "w_neg")), "label")  # one row per label
     contrib = F.col("w_pos") * F.col("A") + F.col("w_neg") * F.col("B")
     if not batch_cols:
         out = joined.agg(F.sum(contrib).alias("loss_sum"), F.sum("n").alias("n"))

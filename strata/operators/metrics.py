@@ -51,10 +51,10 @@ def per_label_scores(conf: DataFrame) -> DataFrame:
     )
 
 
-def summary_from_confusion(conf: DataFrame) -> DataFrame:
-    """MET3-MET5 as one row: f1_micro, f1_macro, precision_macro, recall_macro."""
+def summary_from_confusion(conf: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """MET3-MET5 as one row (per group): f1_micro, f1_macro, precision_macro, recall_macro."""
     s = per_label_scores(conf)
-    return s.agg(
+    return s.groupBy(*group_cols).agg(
         _f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f1_micro"),
         F.avg("f1").alias("f1_macro"),
         F.avg("precision").alias("precision_macro"),
@@ -70,11 +70,20 @@ def precision_recall_macro(scored: DataFrame, thresholds: DataFrame | None = Non
     return summary_from_confusion(confusion(scored, thresholds)).select("precision_macro", "recall_macro")
 
 
-def confusion_from_counts(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """MET2 at one fixed threshold from distinct-score counts ``(label, score, pos, neg)``."""
-    hit = F.col("score") >= F.lit(threshold)
-    return counts.groupBy("label").agg(
-        F.lit(threshold).alias("threshold"),
+def confusion_from_counts(counts: DataFrame, threshold: float | DataFrame = 0.5, default: float = 0.5, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """MET2 from distinct-score counts ``(group..., label, score, pos, neg)``, at one threshold or at
+    a ``(label, threshold)`` table (with further columns, e.g. ``method``, to group by: they
+    are then ``group_cols``). No second pass over the scored rows."""
+    if isinstance(threshold, DataFrame):
+        extra = [c for c in group_cols if c in threshold.columns]
+        t = threshold.select(*extra, "label", F.col("threshold").cast("double").alias("threshold"))
+        # labels (x methods) rows
+        counts = counts.join(F.broadcast(t), "label", "left").withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    else:
+        counts = counts.withColumn("threshold", F.lit(float(threshold)))
+    hit = F.col("score") >= F.col("threshold")
+    return counts.groupBy(*group_cols, "label").agg(
+        F.first("threshold").alias("threshold"),
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when(hit, 0).otherwise(F.col("pos"))).cast("long").alias("fn"),
@@ -82,7 +91,7 @@ def confusion_from_counts(counts: DataFrame, threshold: float = 0.5) -> DataFram
     )
 
 
-def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+def metric_bundle(scored: DataFrame, threshold: float = 0.5, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """MET8: macro recall (reported as ``acc``), F1 micro/macro and AUC micro/macro
     at a fixed threshold; both AUCs are 0 when any label is single-class.
 
@@ -91,30 +100,31 @@ def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     without the label) the pooled AUC. The three one-row results are stacked
     and folded into one row by a single aggregate, so every part is planned
     once (a scalar subquery referenced by several expressions is planned again
-    for each reference)."""
+    for each reference). ``group_cols`` (e.g. a configuration) give one row per group."""
     from strata.operators.curves import auc_from_counts
 
     none = F.lit(None).cast("double")
     cols = ["acc", "f1_micro", "f1_macro", "macro", "undefined", "micro"]
 
     def row(**given: Column) -> list[Column]:
-        return [given.get(c, none).cast("double").alias(c) for c in cols]
+        return [*map(F.col, group_cols), *(given.get(c, none).cast("double").alias(c) for c in cols)]
 
-    counts = score_counts(scored)
-    summ = summary_from_confusion(confusion_from_counts(counts, threshold))
-    per_label = auc_from_counts(counts, ["label"]).agg(
+    counts = score_counts(scored, [*group_cols, "label"])
+    summ = summary_from_confusion(confusion_from_counts(counts, threshold, group_cols=group_cols), group_cols)
+    per_label = auc_from_counts(counts, [*group_cols, "label"]).groupBy(*group_cols).agg(
         F.avg("auc").alias("macro"), F.max(F.col("auc").isNull().cast("int")).alias("undefined")
     )
-    pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    micro = auc_from_counts(pooled, [])
+    pooled = counts.groupBy(*group_cols, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = auc_from_counts(pooled, list(group_cols))
     stacked = (
         summ.select(*row(acc=F.col("recall_macro"), f1_micro=F.col("f1_micro"), f1_macro=F.col("f1_macro")))
         .unionByName(per_label.select(*row(macro=F.col("macro"), undefined=F.col("undefined"))))
         .unionByName(micro.select(*row(micro=F.col("auc"))))
     )
-    one = stacked.agg(*[F.max(c).alias(c) for c in cols])
+    one = stacked.groupBy(*group_cols).agg(*[F.max(c).alias(c) for c in cols])
     bad = F.col("undefined") == 1
     return one.select(
+        *group_cols,
         "acc",
         "f1_micro",
         "f1_macro",
@@ -125,7 +135,8 @@ def metric_bundle(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def per_label_report(scored: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """MET9: ``(label, threshold, auc, f1, precision, recall)``."""
-    from strata.operators.curves import auc_per_label
+    from strata.operators.curves import auc_from_counts
 
-    s = per_label_scores(confusion(scored, thresholds))
-    return s.join(auc_per_label(scored), "label", "left").select("label", "threshold", "auc", "f1", "precision", "recall")
+    counts = score_counts(scored)
+    s = per_label_scores(confusion_from_counts(counts, 0.5 if thresholds is None else thresholds))
+    return s.join(auc_from_counts(counts, ["label"]), "label", "left").select("label", "threshold", "auc", "f1", "precision", "recall")

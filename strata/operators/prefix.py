@@ -9,8 +9,8 @@ order key:
    a window over that small table gives each bucket's offset (exclusive prefix).
 2. A window partitioned by ``(part, bucket)`` gives the running value inside
    each bucket, so a hot ``part`` is spread over all of its buckets.
-3. The offsets are joined back (broadcast when their row count has a static
-   bound below the limit, sort-merge otherwise) and combined.
+3. The offsets are joined back (adaptive execution picks the join by their
+   size at run time) and combined.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.config import BROADCAST_ROW_LIMIT
-
 
 @dataclass(frozen=True)
 class Running:
@@ -48,14 +46,11 @@ def running_aggregates(
     order_cols: list[Column],
     bucket: Column,
     aggs: list[Running],
-    bucket_bound: int | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running aggregates of ``aggs`` over ``order_cols`` within ``part_cols``.
 
     ``bucket`` must be non-decreasing along ``order_cols`` inside every part.
-    ``bucket_bound`` is a static upper bound on the number of distinct
-    ``(part, bucket)`` pairs; it decides whether the offsets table is broadcast.
     ``totals`` adds whole-part aggregates ``{name: sum-able column}`` (e.g. the
     part size), computed from the same small table.
     """
@@ -79,8 +74,6 @@ def running_aggregates(
         *[_agg(a.kind, F.col(f"_strata_c{i}")).over(before).alias(f"_strata_o{i}") for i, a in enumerate(aggs)],
         *[F.sum(f"_strata_ct_{n}").over(whole).alias(n) for n in totals],
     )
-    if bucket_bound is not None and bucket_bound <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
 
     inner = Window.partitionBy(*part_cols, b).orderBy(*order_cols)
     for i, a in enumerate(aggs):
@@ -108,7 +101,6 @@ def ordered_rank(
     order_cols: list[Column],
     bucket: Column,
     name: str = "rk",
-    bucket_bound: int | None = None,
     size_name: str | None = None,
 ) -> DataFrame:
     """1-based position of each row in ``order_cols`` order within its part
@@ -116,5 +108,5 @@ def ordered_rank(
     part size as ``size_name``."""
     totals = {size_name: F.lit(1)} if size_name else None
     return running_aggregates(
-        df, part_cols, order_cols, bucket, [Running(name, "sum", F.lit(1))], bucket_bound, totals
+        df, part_cols, order_cols, bucket, [Running(name, "sum", F.lit(1))], totals
     )

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from strata.config import (
     CB_BETA,
     CB_EPS,
+    CUT_BUCKET_HEX,
     GATE_HEATMAP_MIN_ROWS,
     GATE_HEATMAP_ROWS,
+    MAX_CLASSES,
     NUMERIC_TYPES,
     POS_WEIGHT_EPS,
     SEED,
@@ -25,6 +27,7 @@ from strata.config import (
 )
 from strata.functions.columns import col, hash_order_key, hex_bucket
 from strata.operators.prefix import ordered_rank
+from strata.session import cut_lineage
 
 # ---------------------------------------------------------------- projection
 
@@ -118,50 +121,61 @@ def stratified_split(
 
     Stratum = the label-set (``strata='labelset'``) or the row's rarest positive
     label (``strata='rarest'``, for many sparse label-sets). Inside a stratum rows
-    are ranked by ``md5(seed:key)``; the first ``round(n*(1-test_size))`` go to
+    are ordered by ``md5(seed:key)``; the first ``round(n*(1-test_size))`` go to
     train, up to ``round(n*(1-test_size*(1-val_split)))`` to val, the rest to test,
     with integer arithmetic, so a one-row stratum goes to train. Each stratum
-    keeps its label shares within one row per split. The rank uses the two-level
-    prefix sum, so a stratum holding a third of the data is spread over
-    ``16**SPLIT_BUCKET_HEX`` tasks."""
+    keeps its label shares within one row per split.
+
+    No row is ranked but those around the cut points (``_cut_points``): the split
+    itself is a projection of the input against one row per stratum (broadcast;
+    more than ``MAX_CLASSES`` strata raise ValueError)."""
     train = Fraction(str(1 - Fraction(str(test_size))))
     upto_val = train + Fraction(str(test_size)) * Fraction(str(val_split))
     if strata == "labelset":
-        part_cols = list(label_cols)
-        data = df
-        bound = (2 ** len(label_cols)) * 16**SPLIT_BUCKET_HEX
+        stratum = {c: F.col(c) for c in label_cols}
     elif strata == "rarest":
         counts = df.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in label_cols]).first()
         order = sorted(label_cols, key=lambda c: (counts[c] or 0, label_cols.index(c)))
-        stratum = reduce(
+        rarest = reduce(
             lambda acc, c: acc.when(F.col(c) == 1, F.lit(label_cols.index(c))),
             order[1:],
             F.when(F.col(order[0]) == 1, F.lit(label_cols.index(order[0]))),
         ).otherwise(F.lit(-1))
-        data = df.withColumn("_strata_stratum", stratum)
-        part_cols = ["_strata_stratum"]
-        bound = (len(label_cols) + 1) * 16**SPLIT_BUCKET_HEX
+        stratum = {"rarest": rarest}
     else:
         raise ValueError(f"unknown strata mode: {strata}")
-
-    h = hash_order_key(seed, key_col)
-    data = data.withColumn("_strata_h", h)
-    ranked = ordered_rank(
-        data,
-        part_cols,
-        [F.col("_strata_h"), F.col(key_col)],
-        hex_bucket("_strata_h", SPLIT_BUCKET_HEX),
-        name="_strata_rk",
-        bucket_bound=bound,
-        size_name="_strata_n",
-    )
-    rk, n = F.col("_strata_rk"), F.col("_strata_n")
-    split = (
-        F.when(rk <= F.floor(_cut(n, train)), F.lit("train"))
-        .when(rk <= F.floor(_cut(n, upto_val)), F.lit("val"))
-        .otherwise(F.lit("test"))
-    )
-    return ranked.withColumn(split_col, split).drop("_strata_h", "_strata_rk", "_strata_n", "_strata_stratum")
+    cuts = cut_lineage(_cut_points(df, key_col, stratum, seed, (train, upto_val)))
+    if cuts.count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} strata; use strata='rarest'")
+    place = F.struct(hash_order_key(seed, key_col).alias("h"), F.col(key_col).cast("string").alias("k"))
+    same = reduce(lambda x, y: x & y, [c.eqNullSafe(F.col(f"_stratum_{i}")) for i, c in enumerate(stratum.values())])
+    split = F.when(place <= F.col("_upto_0"), "train").when(place <= F.col("_upto_1"), "val").otherwise("test")
+    return df.join(F.broadcast(cuts), same, "left").select(*[F.col(c) for c in df.columns], split.alias(split_col))
+
+
+def _cut_points(df: DataFrame, key_col: str, stratum: dict[str, Column], seed: int, fractions: tuple[Fraction, ...]) -> DataFrame:
+    """One row per stratum: its columns ``_stratum_<i>`` and, per fraction of its rows, the place
+    ``_upto_<j>`` (hash, key) of the last row within it (NULL if none is).
+
+    Totals of hash buckets (map-side combined) tell which bucket each cut falls in; only the
+    rows of those buckets - two in ``16**CUT_BUCKET_HEX`` - are then put in order."""
+    names = [f"_stratum_{i}" for i in range(len(stratum))]
+    rows = df.select(
+        *[c.alias(n) for n, c in zip(names, stratum.values())], hash_order_key(seed, key_col).alias("h"), F.col(key_col).cast("string").alias("k")
+    ).withColumn("b", hex_bucket("h", CUT_BUCKET_HEX))
+    totals = rows.groupBy(*names, "b").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*names)  # at most 16**CUT_BUCKET_HEX rows of a stratum
+    before = F.coalesce(F.sum("n").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("before", before).withColumn("all", F.sum("n").over(whole))
+    wanted = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(_cut(F.col("all"), f)).alias("upto")) for j, f in enumerate(fractions)])
+    picks = totals.select(*names, "b", "n", "before", F.inline(wanted)).where("before < upto and upto <= before + n")
+    picks = picks.select(*[F.col(n).alias(f"p{n}") for n in names], F.col("b").alias("pb"), "j", (F.col("upto") - F.col("before")).alias("need"))
+    meets = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in names], F.col("b") == F.col("pb"))
+    near = rows.join(F.broadcast(picks), meets)  # two rows per stratum
+    place = F.row_number().over(Window.partitionBy(*names, "b", "j").orderBy("h", "k"))
+    found = near.withColumn("place", place).where("place = need")
+    last = [F.max(F.when(F.col("j") == j, F.struct("h", "k"))).alias(f"_upto_{j}") for j in range(len(fractions))]
+    return found.groupBy(*names).agg(*last)
 
 
 def split_label_rates(df: DataFrame, label_cols: list[str], split_col: str = "split") -> DataFrame:
@@ -206,7 +220,6 @@ def assign_batches(
         [F.col("_strata_o"), F.col(key_col)],
         hex_bucket("_strata_o", SPLIT_BUCKET_HEX),
         name="_strata_pos",
-        bucket_bound=3 * 16**SPLIT_BUCKET_HEX,
     )
     return ranked.withColumn("batch_id", ((F.col("_strata_pos") - 1) / F.lit(batch_size)).cast("long")).drop(
         "_strata_o", "_strata_pos"
@@ -321,13 +334,21 @@ def effective_number_weights(df: DataFrame, label_cols: list[str], beta: float =
     return effective_number_weights_from_counts(label_counts(df, label_cols), beta, eps)
 
 
+def class_range(top: str) -> Column:
+    """Classes 0 .. ``top`` (a column); a class number that isn't a small one (an id, say) raises
+    an error instead of a table as long."""
+    return F.when(F.col(top) < MAX_CLASSES, F.sequence(F.lit(0), F.col(top))).otherwise(
+        F.when(F.col(top).isNotNull(), F.raise_error(F.lit(f"class numbers must be below {MAX_CLASSES}")).cast("array<int>"))
+    )
+
+
 def onehot_weights(df: DataFrame, class_col: str, beta: float = CB_BETA, eps: float = CB_EPS) -> DataFrame:
     """WGT4: single-label integer column as a one-hot of width ``max+1``, then WGT2.
     Counts come from a grouped aggregate (no N x width expansion); classes with
     no rows get zero positives."""
     per_class = df.groupBy(F.col(class_col).alias("label")).agg(F.count(F.lit(1)).alias("positive"))
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.max(class_col).alias("mx"))
-    grid = totals.select(F.explode(F.sequence(F.lit(0), F.col("mx"))).alias("label"), "n")
+    grid = totals.select(F.explode(class_range("mx")).alias("label"), "n")
     counts = grid.join(F.broadcast(per_class), "label", "left").select(
         "label",
         F.coalesce("positive", F.lit(0)).cast("long").alias("positive"),

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.config import ASL_CLIP, ASL_GAMMA_NEG, ASL_GAMMA_POS, CB_BETA, FOCAL_GAMMA, PATIENCE
-from strata.functions.columns import log_sigmoid, softplus
-from strata.operators import curves
+from strata.functions.columns import log_sigmoid, sigmoid, softplus
+from strata.operators import curves, losses
 from strata.operators.prep import effective_number_weights, pos_weight
 
 
@@ -37,19 +37,37 @@ class LinearModel:
     history: list[dict] = field(default_factory=list)
     best_epoch: int | None = None
 
+    def with_parameters(self, df: DataFrame) -> DataFrame:
+        """``df`` beside the parameters as data (one broadcast row): every epoch runs the same
+        generated code, whatever the parameters' values."""
+        row = [([[float(x) for x in w] for w in self.W], [float(x) for x in self.b])]
+        return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame(row, "_w array<array<double>>, _b array<double>")))
+
     def logits(self) -> list[Column]:
+        """Logit columns over ``with_parameters``."""
         return [
-            sum((F.lit(float(self.W[l, j])) * F.col(f) for j, f in enumerate(self.features)), F.lit(float(self.b[l])))
+            sum((F.col("_w")[l][j] * F.col(f) for j, f in enumerate(self.features)), F.col("_b")[l])
             for l in range(self.W.shape[0])
         ]
 
+    def save(self, spark, path: str) -> None:
+        """Store the parameters as a ``(label, feature, value)`` table; the bias is feature ''."""
+        rows = [(l, f, float(v)) for l in range(len(self.b)) for f, v in [*zip(self.features, self.W[l]), ("", self.b[l])]]
+        spark.createDataFrame(rows, "label int, feature string, value double").coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, features: list[str]) -> LinearModel:
+        got = {(r["label"], r["feature"]): r["value"] for r in spark.read.parquet(path).collect()}  # labels x features rows
+        n = 1 + max(l for l, _ in got)
+        return cls(features, np.array([[got[(l, f)] for f in features] for l in range(n)]), np.array([got[(l, "")] for l in range(n)]))
+
     def score(self, df: DataFrame, key_cols: list[str], label_cols: list[str]) -> DataFrame:
         """Long scored table ``(key, label, y, logit, prob)`` (a projection + explode)."""
         rows = [
             F.struct(F.lit(l).alias("label"), F.col(c).cast("int").alias("y"), z.alias("logit"))
             for l, (c, z) in enumerate(zip(label_cols, self.logits()))
         ]
-        long = df.select(*key_cols, F.inline(F.array(*rows)))
+        long = self.with_parameters(df).select(*key_cols, F.inline(F.array(*rows)))
         return long.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))))
 
 
@@ -60,40 +78,30 @@ def lr_at(epoch: int, lr: float, warmup: int = 20, t_max: int = 80) -> float:
     return 0.1 * lr + 0.9 * lr * (1 + math.cos(math.pi * (epoch - warmup) / t_max)) / 2
 
 
-def _focal_grad(q: Column, sign: Column, gamma: float) -> Column:
-    """d/dz of ``-(1-q)^g ln q`` with ``q = p_t``: ``s (1-q)^g (g q ln q - (1-q))``."""
-    one = F.lit(1.0)
-    return sign * F.pow(one - q, F.lit(gamma)) * (F.lit(gamma) * q * F.log(q) - (one - q))
+def _focal_grad(u: Column, gamma: float) -> Column:
+    """d/du of ``(1-q)^g (-ln q)`` with ``q = sigmoid(u)``: ``(1-q)^g (g q ln q - (1-q))``. ``ln q``
+    and ``1-q`` come from ``u`` itself, so they are finite however wrong the row is scored."""
+    q, rest = sigmoid(u), sigmoid(-u)
+    return F.pow(rest, F.lit(gamma)) * (F.lit(gamma) * q * log_sigmoid(u) - rest)
 
 
 def loss_and_grad(z: Column, y: Column, loss: str, w_pos: Column, w_neg: Column, alpha: Column, gamma: float,
                   gamma_neg: float, gamma_pos: float, clip: float) -> tuple[Column, Column]:
-    """Element loss and ``dL/dz`` as column expressions."""
+    """Element loss (of ``losses.loss_parts``) and ``dL/dz`` as column expressions."""
     one = F.lit(1.0)
-    p = one / (one + F.exp(-z))
-    bce = -(y * log_sigmoid(z) + (one - y) * log_sigmoid(-z))
-    if loss == "bce":
-        return -(alpha * y * log_sigmoid(z) + (one - y) * log_sigmoid(-z)), -alpha * y * (one - p) + (one - y) * p
-    q = p * y + (one - p) * (one - y)
-    sign = F.when(y > 0.5, one).otherwise(-one)
-    if loss == "focal":
-        aw = alpha * y + one - y
-        return aw * F.pow(one - q, F.lit(gamma)) * bce, aw * _focal_grad(q, sign, gamma)
-    if loss == "cb":
-        cw = w_pos * y + w_neg * (one - y)
-        return cw * bce, cw * (p - y)
-    if loss == "cb_focal":
-        cw = w_pos * y + w_neg * (one - y)
-        return cw * F.pow(one - q, F.lit(gamma)) * bce, cw * _focal_grad(q, sign, gamma)
-    if loss == "asl":
-        aw = alpha * y + one - y
+    a, b = losses.loss_parts(loss, z, y, gamma, gamma_neg, gamma_pos, clip)
+    if loss in ("bce", "cb"):
+        da, db = -sigmoid(-z), sigmoid(z)
+    elif loss in ("focal", "cb_focal"):
+        da, db = _focal_grad(z, gamma), -_focal_grad(-z, gamma)
+    else:  # asl; loss_parts has refused any other
+        p = sigmoid(z)
         m = F.greatest(p - F.lit(clip), F.lit(0.0))
-        pos_l = F.pow(one - p, F.lit(gamma_pos)) * (-log_sigmoid(z))
-        neg_l = F.pow(m, F.lit(gamma_neg)) * softplus(z)
-        pos_g = _focal_grad(p, one, gamma_pos)
-        neg_g = F.lit(gamma_neg) * F.pow(m, F.lit(gamma_neg - 1)) * F.when(p > F.lit(clip), one).otherwise(F.lit(0.0)) * p * (one - p) * softplus(z) + F.pow(m, F.lit(gamma_neg)) * p
-        return aw * (y * pos_l + (one - y) * neg_l), aw * (y * pos_g + (one - y) * neg_g)
-    raise ValueError(f"Unknown loss: {loss}")
+        da = _focal_grad(z, gamma_pos)
+        inner = F.when(p > F.lit(clip), F.lit(gamma_neg) * F.pow(m, F.lit(gamma_neg - 1)) * p * sigmoid(-z) * softplus(z)).otherwise(F.lit(0.0))
+        db = inner + F.pow(m, F.lit(gamma_neg)) * p
+    pos, neg = (w_pos, w_neg) if loss in ("cb", "cb_focal") else (alpha, one)
+    return pos * y * a + neg * (one - y) * b, pos * y * da + neg * (one - y) * db
 
 
 def fit(
@@ -135,7 +143,8 @@ def fit(
 
     def gradient(Wc: np.ndarray, bc: np.ndarray):
         aggs, loss_terms = [], []
-        for l, z in enumerate(LinearModel(features, Wc, bc).logits()):
+        now = LinearModel(features, Wc, bc)
+        for l, z in enumerate(now.logits()):
             y = F.col(label_cols[l])
             el, g = loss_and_grad(
                 z, y, loss, F.lit(float(cb[l][0])), F.lit(float(cb[l][1])), F.lit(float(pw[l])),
@@ -145,7 +154,7 @@ def fit(
             aggs += [F.sum(g * F.col(f)).alias(f"g{l}_{j}") for j, f in enumerate(features)]
             aggs.append(F.sum(g).alias(f"g{l}_b"))
         aggs += [F.sum(sum(loss_terms, F.lit(0.0))).alias("loss_sum"), F.count(F.lit(1)).alias("n")]
-        return tr.agg(*aggs).first()
+        return now.with_parameters(tr).agg(*aggs).first()
 
     def val_auc(Wc: np.ndarray, bc: np.ndarray) -> float:
         scored = LinearModel(features, Wc, bc).score(va, key_cols, label_cols)

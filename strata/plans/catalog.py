@@ -60,7 +60,21 @@ def tiny_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("null_text_fill")
 def null_text_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.text_table(spark, sf_dir)
+    """PRJ4 on all documents, a seventh of them without a text: ``prep.fill_text``, then counters."""
+    filled = prep.fill_text(fx.document_texts(spark, sf_dir), "text")
+    n = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c)))).cast("long")
+    return filled.select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), n(" ").alias("n_spaces"), n("\n").alias("n_newlines")
+    )
+
+
+@register("features_float32")
+def features_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ5: features in single precision, returned as the doubles that those values are."""
+    f1 = fx.metric_table(spark, sf_dir)
+    feats = _f1_features(f1)
+    out = prep.to_float32(f1.select(fx.F1_KEY, *feats), feats)
+    return out.select(fx.F1_KEY, *[(F.col(c).cast("double") / 3.0).alias(c) for c in feats])
 
 
 @register("hash_sample")
@@ -84,9 +98,7 @@ def split_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("batch_assignment")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the batch rank reads its input twice (bucket totals, then rows): read the
-    # split from one written copy instead of computing it twice
-    split = fx.split_store(spark, sf_dir, [fx.F1_KEY, "split"])
+    split = fx.split_metric_table(spark, sf_dir).select(fx.F1_KEY, "split")
     return prep.assign_batches(split, fx.F1_KEY, batch_size=2048, epoch=0)
 
 
@@ -112,9 +124,7 @@ def scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    # fit (one job) and transform (the returned plan) both read the split: write it
-    # once to the shared folder; the fit then scans only the train partition
-    f1s = fx.split_store(spark, sf_dir)
+    f1s = fx.split_metric_table(spark, sf_dir)
     feats = _f1_features(f1s)
     model = prep.fit_scaler(f1s.where(F.col("split") == "train"), feats)
     return model.transform(f1s), feats

@@ -13,9 +13,9 @@ from strata.sources.tables import write_shared_table
 
 
 def _scored(spark: SparkSession, sf_dir: str, *splits: str | None) -> DataFrame | list[DataFrame]:
-    """F2 rows of the given splits (``None``: all rows), one DataFrame per split,
-    all read from ONE written split per call (``fixtures.scored_store``)."""
-    s = fx.scored_store(spark, sf_dir)
+    """F2 rows of the given splits (``None``: all rows), one DataFrame per split. The split is
+    a projection of the scan (its cut points are found once per call), so nothing is written."""
+    s = fx.scored_table(spark, sf_dir)
     out = [s if sp is None else s.where(F.col("split") == sp) for sp in splits]
     return out[0] if len(out) == 1 else out
 
@@ -116,6 +116,20 @@ def threshold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, [c for c in out.columns if c != "method"])
 
 
+@register("threshold_compare_all")
+def threshold_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three methods, the simplex included (rows-only: the simplex has no SQL form), with
+    the thresholds each one chose."""
+    val, test = _scored(spark, sf_dir, "val", "test")
+    out = thresholds.compare_methods(val, test)
+    return _round(out, [c for c in out.columns if c != "method"])
+
+
+@register("threshold_coarse")
+def threshold_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(thresholds.tune_coarse(_scored(spark, sf_dir, "val")), ["f1"])
+
+
 @register("threshold_simplex")
 def threshold_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = thresholds.tune_simplex(_scored(spark, sf_dir, "val"), "f1_macro", n_iterations=30)
@@ -142,11 +156,36 @@ for _name in losses.LOSSES:
     register(f"loss_{_name}")(_loss_query(_name))
 
 
+@register("loss_cb_focal_dynamic")
+def loss_cb_focal_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS5 with the class-balanced weights of the scored table itself."""
+    return _round(losses.one_pass_loss(_scored(spark, sf_dir, None), "cb_focal"), ["loss"])
+
+
+@register("loss_cb_focal_ones")
+def loss_cb_focal_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS5 where no weights are known: the fallback of ones."""
+    return _round(losses.one_pass_loss(_scored(spark, sf_dir, None), "cb_focal", label_weights="ones"), ["loss"])
+
+
+@register("loss_focal_sum")
+def loss_focal_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS6, sum reduction (in thousands, so that the last digits of two engines agree)."""
+    out = losses.one_pass_loss(_scored(spark, sf_dir, "test"), "focal", reduction="sum", label_weights="ones")
+    return out.select(F.round(F.col("loss") / 1000, 6).alias("loss"), "n")
+
+
+@register("loss_elements")
+def loss_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOS6 without reduction: the ASL element loss of every scored row of the test split."""
+    out = losses.reduce_loss(losses.element_loss(_scored(spark, sf_dir, "test"), "asl"), "none")
+    return out.select("row_key", "label", r6("loss").alias("loss"))
+
+
 def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 score inputs with their split and epoch-0 batch: the split and the batch
-    ranks are each computed once and written to the shared folder (the batch
-    rank and the loss read their input twice: totals, then rows)."""
-    batched = prep.assign_batches(fx.split_store(spark, sf_dir, fx.SCORE_INPUTS), fx.F1_KEY, batch_size=2048, epoch=0)
+    """F1 score inputs with their split and epoch-0 batch, computed once and written to the
+    shared folder."""
+    batched = prep.assign_batches(fx.split_metric_table(spark, sf_dir).select(*fx.SCORE_INPUTS), fx.F1_KEY, batch_size=2048, epoch=0)
     return write_shared_table(batched, "f1-batches", ["split"])
 
 
@@ -183,7 +222,15 @@ def gate_stats_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gate_report")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = gates.gate_report(_gate_val(spark, sf_dir), "vec_id", 1000)
+    """GAT3 over the whole validation split."""
+    out = gates.gate_report(_gate_val(spark, sf_dir), "vec_id")
+    return _round(out, [c for c in out.columns if c != "n_rows"])
+
+
+@register("gate_report_head")
+def gate_report_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GAT3 + LIM2: the report of the first 20 validation rows in key order (the limit is the feature)."""
+    out = gates.gate_report(_gate_val(spark, sf_dir), "vec_id", first_rows=20)
     return _round(out, [c for c in out.columns if c != "n_rows"])
 
 
@@ -212,6 +259,14 @@ def gate_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(gates.gate_by_class(_gates(spark, sf_dir)), ["mean_pos", "mean_neg"])
 
 
+@register("gate_by_label")
+def gate_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GAT8 on multi-label rows: the gates of the labelled documents by quality and toxic."""
+    g = _gates(spark, sf_dir).select("vec_id", "gate")
+    labels = fx.read_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "vec_id")
+    return _round(gates.gate_by_label(g.join(labels, "vec_id"), ["quality", "toxic"]), ["mean_pos", "mean_neg"])
+
+
 @register("gate_vs_confidence")
 def gate_vs_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(gates.gate_vs_confidence(_gates(spark, sf_dir), "vec_id"), ["mean_gate", "max_prob"])
@@ -219,7 +274,7 @@ def gate_vs_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("gate_interpretation")
 def gate_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rep = gates.gate_report(_gate_val(spark, sf_dir), "vec_id", 1000)
+    rep = gates.gate_report(_gate_val(spark, sf_dir), "vec_id")
     return _round(gates.gate_interpretation(rep), ["mean", "std", "near_zero", "near_one", "neutral"])
 
 
@@ -244,10 +299,8 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("loss_cb_per_batch")
 def loss_cb_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOS4 with class-balanced weights recomputed inside every batch (dynamic
-    weights), reported as the mean of batch means per split."""
-    scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",)).withColumn(
-        "batch_key", F.concat_ws(":", "split", F.col("batch_id").cast("string"))
-    )
-    el = losses.element_loss(scored, "cb", batch_col="batch_key")
-    out = losses.reduce_loss(el, "mean", batch_col="batch_key", group_cols=["split"])
+    weights), reported as the mean of batch means per split: one aggregate per (batch, label),
+    whose few rows also give the weights."""
+    scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",))
+    out = losses.one_pass_loss(scored, "cb", batch_cols=["split", "batch_id"], label_weights="batch")
     return _round(out, ["loss"])

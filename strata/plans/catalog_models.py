@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +13,7 @@ from strata.functions.columns import r6
 from strata.operators import embed, gates, prep, scoring
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, _scaled, register
-from strata.session import cut_lineage, ensure_checkpoint_dir
+from strata.session import cut_lineage
 from strata.sources import tables
 
 CROSS_RANK = 2
@@ -67,7 +65,7 @@ def _cross_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str
 @register("score_cross")
 def score_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, feats = _cross_inputs(spark, sf_dir)
-    out = cross_numpy(df, fx.F1_KEY, feats, cross_weights(len(feats)))
+    out = cross_columns(df, fx.F1_KEY, feats, cross_weights(len(feats)))
     return _round(out, [c for c in out.columns if c.startswith("cross_")])
 
 
@@ -87,7 +85,7 @@ def score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dcn_scored(spark: SparkSession, sf_dir: str, cross_type: str, deep_type: str) -> tuple[DataFrame, scoring.ModelSpec]:
     scaled, feats = _scaled(spark, sf_dir)
     spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
-    w = scoring.weights_from_rule(spark, spec)
+    w = scoring.weights_from_rule(spec)
     data = scaled.select(fx.F1_KEY, *fx.F1_LABELS, prep.features_array(feats).alias("features"))
     return scoring.score(data, spec, w, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]), spec
 
@@ -131,7 +129,7 @@ def _fusion_scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         "doc_id", "split", "quality", "toxic", prep.features_array(FUSION_FEATURES).alias("features"), "embedding"
     )
     spec = fusion_spec(kind)
-    w = scoring.weights_from_rule(spark, spec)
+    w = scoring.weights_from_rule(spec)
     return scoring.score(data, spec, w, text_col="embedding", keep_cols=["doc_id", "split", "quality", "toxic"])
 
 
@@ -161,17 +159,26 @@ def fusion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "quality", "toxic", "label", "n_chars", F.size("embedding").alias("emb_width"))
 
 
+def _millionths(x):
+    return F.round(x.cast("double") * 1e6).cast("long")
+
+
 @register("embed_text")
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.embed_text(fx.text_table(spark, sf_dir), "doc_id", "text")
+    """EMB1 / EMB3 over all documents: the non-zero elements of each vector as
+    ``dim:millionths`` pairs in order."""
+    emb = embed.embed_text(fx.document_texts(spark, sf_dir), "doc_id", "text")
+    pairs = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)
+    text = F.transform(pairs, lambda p: F.concat_ws(":", p["i"].cast("string"), _millionths(p["x"]).cast("string")))
+    return emb.select("doc_id", F.size("embedding").alias("width"), F.size(pairs).alias("n_nonzero"), F.array_join(text, ",").alias("elements"))
 
 
 @register("embedding_cache_roundtrip")
 def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMB2 + SRC3 + SRC4: split, scale (train fit), embed every split in one job,
     write the cache partitioned by split into the shared checkpoint folder, read
-    it back with validation."""
-    text = cut_lineage(prep.stratified_split(fx.text_table(spark, sf_dir), "doc_id", ["quality", "toxic"]))
+    it back with validation; sums over the elements read back, per split."""
+    text = prep.stratified_split(fx.text_table(spark, sf_dir), "doc_id", ["quality", "toxic"])
     model = prep.fit_scaler(text.where(F.col("split") == "train"), FUSION_FEATURES)
     emb = embed.hashing_embed(model.transform(text), "text")
     cache = emb.select(
@@ -181,38 +188,38 @@ def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding",
         F.array(F.col("quality").cast("float"), F.col("toxic").cast("float")).alias("labels"),
     )
-    path = os.path.join(ensure_checkpoint_dir(spark), "strata-cache", uuid.uuid4().hex)
+    path = tables.shared_folder(spark, "split-cache")
     tables.write_split_cache(cache, path)
     back = tables.read_split_cache(spark, path)
+    total = lambda c: F.sum(F.aggregate(F.transform(c, _millionths), F.lit(0).cast("long"), lambda a, x: a + x))
     return back.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.size("embedding")).alias("emb_width"),
         F.max(F.size("features")).alias("feat_width"),
+        total("embedding").alias("emb_sum"),
+        F.sum(F.size(F.filter("embedding", lambda x: x != 0))).cast("long").alias("emb_nonzero"),
+        F.round(total("features") / 1e9, 3).alias("feat_sum"),
+        total("labels").alias("label_sum"),
     )
 
 
 @register("dataset_csv_roundtrip")
 def dataset_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1 + PRJ4 end to end: the labelled documents (multi-line text with
-    quotes) written as a dataset CSV to the shared folder, read back with header,
-    multi-line quoting and inferred types, null text filled; per row the text
-    length and md5 show the text came back byte for byte."""
-    docs = tables.read_table(spark, sf_dir, "documents").join(tables.read_table(spark, sf_dir, "labels"), "doc_id")
-    path = os.path.join(ensure_checkpoint_dir(spark), "strata-csv", uuid.uuid4().hex)
-    tables.write_dataset_csv(docs.select("doc_id", "text", "quality", "toxic"), path)
+    """SRC1 + PRJ4 end to end: all documents (multi-line text with quotes, some null) written as
+    a dataset CSV to the shared folder, read back with header, multi-line quoting and inferred
+    types, null text filled; per row the text length and md5 show the text came back byte for
+    byte."""
+    path = tables.shared_folder(spark, "dataset-csv")
+    tables.write_dataset_csv(fx.document_texts(spark, sf_dir), path)
     back = prep.fill_text(tables.read_dataset_csv(spark, path), "text")
     return back.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("quality").cast("int").alias("quality"),
-        F.col("toxic").cast("int").alias("toxic"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.md5("text").alias("text_md5"),
+        F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
     )
 
 
 # ------------------------------------------------------------------ TRN / MET10 / RUN4
 
-from strata.operators import losses, metrics, runs, train  # noqa: E402
+from strata.operators import losses, metrics, runs, thresholds, train  # noqa: E402
 
 
 @register("fit_multilabel")
@@ -222,7 +229,7 @@ def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled, feats = _scaled(spark, sf_dir)
     tr = scaled.where(F.col("split") == "train")
     va = scaled.where(F.col("split") == "val")
-    model = train.fit(tr, va, feats, fx.F1_LABELS, [fx.F1_KEY], loss="focal", epochs=30, lr=0.05, seed=0)
+    model = train.fit(tr, va, feats, fx.F1_LABELS, [fx.F1_KEY], loss="focal", lr=0.05, seed=0)
     return train.history_table(spark, model)
 
 
@@ -256,24 +263,55 @@ def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = []
     for _, cross_type, deep_type in grid:
         spec = scoring.ModelSpec(input_dim=len(feats), cross_type=cross_type, deep_type=deep_type)
-        configs.append((spec, scoring.weights_from_rule(spark, spec)))
+        configs.append((spec, scoring.weights_from_rule(spec)))
     wide = cut_lineage(scoring.score_configs(test, configs, keep_cols=[fx.F1_KEY, *fx.F1_LABELS]))
-    parts = []
-    for i, (_, cross_type, deep_type) in enumerate(grid):
-        one = wide.select(fx.F1_KEY, *fx.F1_LABELS, F.col(f"logits_{i}").alias("logits"), F.col(f"probs_{i}").alias("probs"))
-        long = scoring.to_long(one, [fx.F1_KEY], fx.F1_LABELS)
-        parts.append(
-            metrics.metric_bundle(long).select(
-                F.lit(cross_type).alias("cross_type"), F.lit(deep_type).alias("deep_type"), "*"
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one long table with the configuration as a group, one bundle for all of them
+    config = F.array(*[F.struct(F.lit(c).alias("cross_type"), F.lit(d).alias("deep_type"), F.col(f"logits_{i}").alias("logits"), F.col(f"probs_{i}").alias("probs")) for i, (_, c, d) in enumerate(grid)])
+    long = scoring.to_long(wide.select(fx.F1_KEY, *fx.F1_LABELS, F.inline(config)), [fx.F1_KEY, "cross_type", "deep_type"], fx.F1_LABELS)
+    out = metrics.metric_bundle(long, group_cols=("cross_type", "deep_type"))
     out = out.withColumn("run_name", runs.run_name("cross_type", "deep_type"))
     return _round(out, ["acc", "f1_micro", "f1_macro", "auc_micro", "auc_macro"])
 
 
+@register("run_pipeline")
+def run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end-to-end run: fit on train (early stop on val), store and reload the best parameters,
+    tune thresholds on val with all three methods, evaluate each on test, append the epochs and
+    the test record to the metric log, and return the log as it reads back."""
+    return _runs_log(spark, sf_dir, [("focal", 0)])
+
+
+@register("run_seeds")
+def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUN1 + RUN4 on real fits: every loss with two seeds, mean and std of the test metrics."""
+    log = _runs_log(spark, sf_dir, [(loss, seed) for loss in losses.LOSSES for seed in (0, 1)], epochs=4)
+    test = log.where(F.col("metric").startswith("test/")).withColumn("loss", F.element_at(F.array(*map(F.lit, losses.LOSSES)), (F.col("run") + 1).cast("int")))
+    return _round(test.groupBy("loss", "metric").agg(F.count(F.lit(1)).alias("n_seeds"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), ["mean", "std"])
+
+
+def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]], epochs: int = 50) -> DataFrame:
+    """Metric log of one fit per (loss, seed); ``run`` is the loss's number."""
+    scaled, feats = _scaled(spark, sf_dir)
+    data = tables.write_shared_table(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS), "run-data", ["split"])
+    part = {x: data.where(F.col("split") == x) for x in ("train", "val", "test")}
+    log = tables.shared_folder(spark, "run-log")
+    for loss, seed in options:
+        run = losses.LOSSES.index(loss)
+        folder = tables.shared_folder(spark, "run-model")
+        fitted = train.fit(part["train"], part["val"], feats, fx.F1_LABELS, [fx.F1_KEY], loss=loss, epochs=epochs, lr=0.05, seed=seed)
+        fitted.save(spark, folder)
+        best = train.LinearModel.load(spark, folder, feats)
+        # two small columns per label and row, read by tuning, evaluation and the record
+        val, test = (cut_lineage(best.score(part[x], [fx.F1_KEY], fx.F1_LABELS)) for x in ("val", "test"))
+        tuned = thresholds.compare_methods(val, test).collect()  # one row per method
+        bundle = metrics.metric_bundle(test).first()
+        record = [(f"test/{k}", float(bundle[k])) for k in bundle.asDict()]
+        record += [(f"test/{r['method']}/{k}", float(r[k])) for r in tuned for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]
+        rows = [(run, seed, fitted.best_epoch or 0, k, v) for k, v in record]
+        tables.append_metric_log(train.history_table(spark, fitted, run, seed), log)
+        tables.append_metric_log(spark.createDataFrame(rows, "run long, seed long, epoch long, metric string, value double").coalesce(1), log)
+    return spark.read.parquet(log)
+
 
 # ------------------------------------------------------------------ streaming
 
@@ -285,11 +323,11 @@ def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     per-label confusion counts at 0.5, equal to the batch confusion."""
     from strata.streaming import scored_stream
 
-    base = os.path.join(ensure_checkpoint_dir(spark), "strata-stream-src", uuid.uuid4().hex)
+    base = tables.shared_folder(spark, "stream")
     scored = fx.scored_table(spark, sf_dir).where(F.col("split") == "test").select("row_key", "label", "y", "prob", "logit")
-    scored.repartition(8).write.parquet(os.path.join(base, "in"))
-    stream = scored_stream.read_scored_stream(spark, os.path.join(base, "in"), scored.schema, max_files_per_trigger=2)
-    out = scored_stream.run_to_table(scored_stream.running_confusion(stream), os.path.join(base, "out"))
+    scored.write.parquet(f"{base}/in")
+    stream = scored_stream.read_scored_stream(spark, f"{base}/in", scored.schema, max_files_per_trigger=2)
+    out = scored_stream.run_to_table(scored_stream.running_confusion(stream), f"{base}/out")
     return spark.read.parquet(out)
 
 
@@ -301,7 +339,7 @@ def metric_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fx.metric_log(spark, sf_dir).select(
         "run", (F.col("run") % 3).alias("seed"), "epoch", "metric", "value"
     )
-    path = os.path.join(ensure_checkpoint_dir(spark), "strata-metric-log", uuid.uuid4().hex)
+    path = tables.shared_folder(spark, "metric-log")
     tables.append_metric_log(log.where(F.col("epoch") % 2 == 0), path)
     tables.append_metric_log(log.where(F.col("epoch") % 2 == 1), path)
     back = spark.read.parquet(path)

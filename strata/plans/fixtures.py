@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.config import LABEL_NAMES, SEED
+from strata.config import SEED
 from strata.operators.prefix import ordered_rank
 from strata.operators.prep import stratified_split
-from strata.sources.tables import read_table, write_shared_table
+from strata.sources.tables import read_table
 
 F1_IDS = ["l_orderkey", "l_partkey", "l_suppkey"]
 F1_LABELS = ["y0", "y1", "y2", "y3"]
 F1_KEY = "row_key"
-F1_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,21 +55,6 @@ def split_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORE_INPUTS = [F1_KEY, "split", "l_partkey", "l_quantity", "l_discount", "l_tax", *F1_LABELS]
 
 
-def split_store(spark: SparkSession, sf_dir: str, cols: list[str] | None = None) -> DataFrame:
-    """F1 with its split, computed once and written to the shared folder
-    partitioned by ``split``: a query that reads several splits, or reads one
-    split several times, scans the written table (pruned to the split and the
-    columns it needs) instead of re-running the split's scan, shuffle and sort."""
-    f1s = split_metric_table(spark, sf_dir)
-    return write_shared_table(f1s.select(*cols) if cols else f1s, "f1-split", ["split"])
-
-
-def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 over the written split (see ``split_store``); the explode is a
-    projection of the scan, so a filter on ``split`` prunes partitions."""
-    return scored_from(split_store(spark, sf_dir, SCORE_INPUTS))
-
-
 def _prob(numerator: Column) -> Column:
     return numerator.cast("double") / F.lit(1000.0)
 
@@ -100,6 +84,13 @@ def scored_from(base: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     return long.withColumn("logit", F.log(F.col("prob") / (F.lit(1.0) - F.col("prob"))))
 
 
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, labelled or not, as ``(doc_id, text, lang)``; every seventh text is null
+    (a rule on the id that the oracle restates), so that null handling is really exercised."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"), "lang")
+
+
 def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3a: labelled documents with text counters."""
     docs = read_table(spark, sf_dir, "documents")
@@ -163,11 +154,6 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("run", "epoch", "metric", "value", "ts", "event_id")
 
 
-def label_name(label: Column) -> Column:
-    """Label index -> name."""
-    return F.element_at(F.array(*[F.lit(n) for n in LABEL_NAMES]), label + 1)
-
-
 def weights_table(spark: SparkSession, shapes: dict[str, tuple[int, ...]]) -> DataFrame:
     """F3d: deterministic small rational weights ``((7i + 3j) % 11 - 5) / 10``
     for the given tensor shapes (i = row, j = column of the flattened 2-D view);
@@ -193,19 +179,16 @@ def rational_weights(shape: tuple[int, ...]):
 
 
 __all__ = [
-    "F1_FEATURES",
     "F1_IDS",
     "F1_KEY",
     "F1_LABELS",
     "fusion_table",
     "gate_table",
-    "label_name",
+    "document_texts",
     "metric_log",
     "metric_table",
-    "scored_store",
     "scored_table",
     "split_metric_table",
-    "split_store",
     "SCORE_INPUTS",
     "text_table",
     "vector_table",

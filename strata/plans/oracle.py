@@ -67,23 +67,24 @@ SCALER = (
 )
 
 
-def _scaled_select(prefix: str = "") -> str:
-    parts = []
-    for f in FEATURES:
-        parts.append(
-            f"(CAST({prefix}{f} AS DOUBLE) - (SELECT mean FROM scaler WHERE feature = '{f}'))"
-            f" / (SELECT scale FROM scaler WHERE feature = '{f}') AS {f}"
-        )
-    return ",\n       ".join(parts)
+def _scaled_select() -> str:
+    return ",\n       ".join(f"(CAST({f} AS DOUBLE) - mean_{f}) / scale_{f} AS {f}" for f in FEATURES)
 
 
+# the scaler as one row, joined once
 SCALED = SCALER + f""",
+scaler_row AS (
+  SELECT {", ".join(f"max(CASE WHEN feature = '{f}' THEN mean END) AS mean_{f}, max(CASE WHEN feature = '{f}' THEN scale END) AS scale_{f}" for f in FEATURES)}
+  FROM scaler
+),
 scaled AS (
   SELECT row_key, split, y0, y1, y2, y3,
        {_scaled_select()}
-  FROM f1s
+  FROM f1s CROSS JOIN scaler_row
 )"""
 
+TEXTS = "dt AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN text END AS text, lang FROM documents)"
+
 F3A = """
 f3a AS (
   SELECT d.doc_id, coalesce(d.text, '') AS text,
@@ -126,7 +127,7 @@ def _label_counts(source: str, where: str = "") -> str:
     return union
 
 
-LABEL_NAMES_SQL = "['long_method', 'god_class', 'feature_envy', 'data_class']"
+LABEL_NAMES_SQL = "['y0', 'y1', 'y2', 'y3']"
 
 
 def _effective(counts_cte: str, beta: float = 0.9999, eps: float = 1e-4) -> str:
@@ -147,7 +148,11 @@ def oracle_sql() -> dict[str, str]:
 
     q["numeric_projection"] = _wcte(F1) + f"SELECT row_key, {feats} FROM f1"
     q["tiny_head"] = _wcte(F1) + f"SELECT row_key, {feats}, y0, y1, y2, y3 FROM f1 ORDER BY row_key LIMIT 1000"
-    q["null_text_fill"] = _wcte(F3A) + "SELECT * FROM f3a"
+    q["null_text_fill"] = _wcte(TEXTS, "ft AS (SELECT doc_id, coalesce(text, '') AS text FROM dt)") + (
+        "SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS n_spaces,"
+        " CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n_newlines FROM ft"
+    )
+    q["features_float32"] = _wcte(F1) + "SELECT row_key, " + ", ".join(f"CAST(CAST({f} AS FLOAT) AS DOUBLE) / 3e0 AS {f}" for f in FEATURES) + " FROM f1"
     q["hash_sample"] = (
         _wcte(F1)
         + f"SELECT row_key, {feats} FROM f1 WHERE (SELECT count(*) FROM f1) >= 10"
@@ -224,7 +229,7 @@ def _train_profile_sql() -> str:
     label_rows = "\n  UNION ALL\n".join(
         f"  SELECT '{name}' AS name, CAST(sum(y{i}) AS DOUBLE) AS pos, CAST(count(*) - sum(y{i}) AS DOUBLE) AS neg"
         f" FROM scaled WHERE split = 'train'"
-        for i, name in enumerate(["long_method", "god_class", "feature_envy", "data_class"])
+        for i, name in enumerate(["y0", "y1", "y2", "y3"])
     )
     return f""", vals AS (
 {unpivot}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.config import GRID_CANDIDATES
+from strata.config import COARSE_CANDIDATES, GRID_CANDIDATES
 from strata.plans.oracle import F1S, _wcte, r6
 
 F2 = (
@@ -199,6 +199,10 @@ SELECT label, 'random', 1e0, 1e0, CAST(NULL AS DOUBLE), 0.5e0 FROM (SELECT DISTI
         f"SELECT label, threshold, {r6('f1')} AS f1 FROM grid"
     )
     roc_pts = lambda: [_steps("val", "st"), f"roc AS ({_roc('st', 'val')})"]
+    q["threshold_coarse"] = _wcte(*base, _cands(COARSE_CANDIDATES), _grid("val")) + (
+        f"SELECT label, threshold, {r6('f1')} AS f1 FROM grid"
+    )
+    roc_pts = lambda: [_steps("val", "st"), f"roc AS ({_roc('st', 'val')})"]
     q["threshold_roc_youden"] = _wcte(*base, *roc_pts()) + """
 SELECT label, threshold FROM (
   SELECT label, threshold, row_number() OVER (PARTITION BY label ORDER BY tpr - fpr DESC NULLS LAST, threshold DESC) AS rn

@@ -99,6 +99,14 @@ def oracle_sql() -> dict[str, str]:
     q["loss_cb"] = _wcte(*base, dyn_counts, _cb_table("cbw", "dc"), "el AS (SELECT e.*, c.w_pos, c.w_neg FROM e LEFT JOIN cbw c ON e.label = c.label)") + (
         f"SELECT {r6(f'avg((w_pos * yd + w_neg * (1e0 - yd)) * {BCE_PLAIN})')} AS loss, count(*) AS n FROM el"
     )
+    q["loss_cb_focal_dynamic"] = _wcte(*base, dyn_counts, _cb_table("cbw", "dc"), "el AS (SELECT e.*, c.w_pos, c.w_neg FROM e LEFT JOIN cbw c ON e.label = c.label)") + (
+        f"SELECT {r6(f'avg((w_pos * yd + w_neg * (1e0 - yd)) * {FOCAL} * {BCE_PLAIN})')} AS loss, count(*) AS n FROM el"
+    )
+    q["loss_cb_focal_ones"] = _wcte(F2, ELEMENTS) + f"SELECT {r6(f'avg({FOCAL} * {BCE_PLAIN})')} AS loss, count(*) AS n FROM e"
+    q["loss_focal_sum"] = _wcte(F2, ELEMENTS) + f"SELECT round(sum({FOCAL} * {BCE_PLAIN}) / 1000, 6) AS loss, count(*) AS n FROM e WHERE split = 'test'"
+    q["loss_elements"] = _wcte(F2, ELEMENTS) + (
+        f"SELECT row_key, label, {r6('(1e0 - p) * (-yd * lsp) + pow(1e0 - least(1e0 - p + 0.01e0, 1e0), 4e0) * (-(1e0 - yd) * lsn)')} AS loss FROM e WHERE split = 'test'"
+    )
     q["loss_cb_focal"] = _wcte(
         *base, _cb_table("cbw", "counts"),
         "el AS (SELECT e.*, coalesce(c.w_pos, 1e0) AS w_pos, coalesce(c.w_neg, 1e0) AS w_neg FROM e LEFT JOIN cbw c ON e.label = c.label)",
@@ -123,8 +131,9 @@ SELECT split, {r6('avg(bl)')} AS loss, count(*) AS n_batches FROM (
     )
     rep_cols = [*cols6, "neutral"]
     report = f"SELECT (SELECT count(*) FROM h) AS n_rows, * FROM ({_gate_stats('h', 0.1, 0.9, True)})"
-    head = "h AS (SELECT * FROM f4v ORDER BY vec_id LIMIT 1000)"
-    q["gate_report"] = _wcte(F4_VAL, head) + "SELECT n_rows, " + ", ".join(f"{r6(c)} AS {c}" for c in rep_cols) + f" FROM ({report})"
+    head = "h AS (SELECT * FROM f4v)"
+    for name, rows in (("gate_report", head), ("gate_report_head", "h AS (SELECT * FROM f4v ORDER BY vec_id LIMIT 20)")):
+        q[name] = _wcte(F4_VAL, rows) + "SELECT n_rows, " + ", ".join(f"{r6(c)} AS {c}" for c in rep_cols) + f" FROM ({report})"
     q["gate_interpretation"] = _wcte(F4_VAL, head, f"rep AS ({report})") + f"""
 SELECT {r6('mean')} AS mean, {r6('std')} AS std, {r6('near_zero')} AS near_zero, {r6('near_one')} AS near_one,
        {r6('neutral')} AS neutral,
@@ -168,6 +177,10 @@ FROM rep"""
         f" {r6('CASE WHEN cl.N - coalesce(byc.n, 0) > 0 THEN (cl.S - coalesce(byc.s, 0e0)) / (cl.N - coalesce(byc.n, 0)) END')} AS mean_neg"
         " FROM cl LEFT JOIN byc ON cl.cls = byc.cls"
     )
+    q["gate_by_label"] = _wcte(F4, f"gl AS (SELECT {rowmean} AS rm, l.quality, l.toxic FROM f4 JOIN labels l ON f4.vec_id = l.doc_id)") + " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS label, {r6(f'avg(CASE WHEN {c} = 1 THEN rm END)')} AS mean_pos, {r6(f'avg(CASE WHEN {c} = 0 THEN rm END)')} AS mean_neg FROM gl"
+        for i, c in enumerate(("quality", "toxic"))
+    )
     q["gate_vs_confidence"] = _wcte(F4) + (
         f"SELECT vec_id, {r6(rowmean)} AS mean_gate, {r6('list_max(probs)')} AS max_prob FROM f4"
     )
@@ -202,11 +215,21 @@ FROM rep"""
     return q
 
 
+def _embedding(source: str) -> list[str]:
+    """Non-zero elements ``emb (doc_id, dim, micro)`` of the hashed text vectors: lower-case
+    words, counted in 768 slots of their md5, scaled to length 1, in single precision."""
+    return [
+        f"tok AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS t FROM {source})",
+        "slot AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 768 AS INTEGER) AS dim, count(*) AS c FROM tok WHERE t <> '' GROUP BY 1, 2)",
+        "emb AS (SELECT doc_id, dim, CAST(round(CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT) AS micro FROM slot)",
+    ]
+
+
 def scoring_sql() -> dict[str, str]:
     """Oracle for the cross layer (unrolled with its rational weights), parity,
     output contract, fusion join and cache round trip."""
     from strata.plans.catalog_models import CROSS_RANK, cross_weights
-    from strata.plans.oracle import F3AS, FEATURES, SCALED
+    from strata.plans.oracle import F3AS, FEATURES, SCALED, TEXTS
 
     q: dict[str, str] = {}
     w = cross_weights(len(FEATURES), CROSS_RANK)
@@ -225,14 +248,24 @@ def scoring_sql() -> dict[str, str]:
         " CAST(len(e.embedding) AS INTEGER) AS emb_width"
         " FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON e.vec_id = d.doc_id"
     )
-    q["dataset_csv_roundtrip"] = (
-        "SELECT CAST(d.doc_id AS BIGINT) AS doc_id, CAST(l.quality AS INTEGER) AS quality,"
-        " CAST(l.toxic AS INTEGER) AS toxic, CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_chars,"
-        " md5(coalesce(d.text, '')) AS text_md5"
-        " FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    q["dataset_csv_roundtrip"] = _wcte(TEXTS) + (
+        "SELECT doc_id, lang, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM dt"
+    )
+    q["embed_text"] = _wcte(TEXTS, *_embedding("dt")) + (
+        "SELECT dt.doc_id, CAST(768 AS INTEGER) AS width, CAST(coalesce(max(n), 0) AS INTEGER) AS n_nonzero, coalesce(max(els), '') AS elements"
+        " FROM dt LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(dim || ':' || micro, ',' ORDER BY dim) AS els FROM emb GROUP BY doc_id) x"
+        " ON dt.doc_id = x.doc_id GROUP BY dt.doc_id"
     )
-    q["embedding_cache_roundtrip"] = _wcte(F3AS) + (
-        "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width FROM f3s GROUP BY split"
+    feats = ("n_chars", "n_spaces", "n_newlines")
+    fit = "fit AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in feats) + " FROM f3s WHERE split = 'train')"
+    scaled = "+".join(f"CAST(round(CAST(CAST((CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT)" for c in feats)
+    q["embedding_cache_roundtrip"] = _wcte(
+        F3AS, *_embedding("f3s"), fit, "es AS (SELECT doc_id, count(*) AS n, sum(micro) AS m FROM emb GROUP BY doc_id)"
+    ) + (
+        "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width, CAST(coalesce(sum(es.m), 0) AS BIGINT) AS emb_sum,"
+        f" CAST(coalesce(sum(es.n), 0) AS BIGINT) AS emb_nonzero, round(sum({scaled}) / 1e9, 3) AS feat_sum,"
+        " CAST(sum(quality + toxic) * 1000000 AS BIGINT) AS label_sum"
+        " FROM f3s CROSS JOIN fit LEFT JOIN es ON f3s.doc_id = es.doc_id GROUP BY split"
     )
     return q
 

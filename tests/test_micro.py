@@ -250,8 +250,8 @@ def test_simplex_not_worse_than_start(spark):
     assert all(0.05 <= r["threshold"] <= 0.95 for r in tuned.collect())
 
 
-def test_nelder_mead_quadratic():
-    x = thresholds.nelder_mead(lambda pts: [float(((p - np.array([1.0, -2.0])) ** 2).sum()) for p in pts], np.array([0.0, 0.0]), 400, 1e-8, 1e-12)
+def test_downhill_simplex_quadratic():
+    x = thresholds.downhill_simplex(lambda pts: [float(((p - np.array([1.0, -2.0])) ** 2).sum()) for p in pts], np.array([0.0, 0.0]), 400, 1e-8, 1e-12)
     assert x == pytest.approx([1.0, -2.0], abs=1e-3)
 
 
@@ -280,11 +280,11 @@ def test_gate_report_rejects_non_fusion(spark):
         gates.gate_report(df, "vec_id")
 
 
-def test_interpretation_text(spark):
+def test_interpretation_columns(spark):
     df = spark.createDataFrame([([0.95, 0.99, 0.02],)], "gate array<double>").withColumn("vec_id", F.lit(1))
     rep = gates.gate_interpretation(gates.gate_report(df, "vec_id")).first()
     assert rep["behaviour"] == "selector"
-    assert "strong selector" in gates.interpretation_text(rep)
+    assert rep["reliance"] == "numeric" and rep["variance"] == "high"
 
 
 def test_batches_reshuffle_train_only(spark):
@@ -383,3 +383,53 @@ def test_hash_sample_guard_and_size(spark):
     assert len(rows) == 100 and len({r["key"] for r in rows}) == 100
     assert sorted(r["key"] for r in rows) == sorted(r["key"] for r in sample(250))
     assert len(sample(30, n=5, min_rows=20)) == 5 and sample(19, n=5, min_rows=20) == []
+
+
+def test_crowded_scores_are_spread_over_buckets(spark):
+    """95 % of the scores above 0.99999: no bucket holds more than a few percent of them."""
+    from strata.config import SCORE_BUCKETS
+    from strata.functions.columns import score_bucket
+
+    rng = np.random.default_rng(9)
+    p = np.where(rng.random(20000) < 0.95, 1 - 10.0 ** rng.uniform(-14, -5, 20000), rng.random(20000))
+    df = spark.createDataFrame([(float(x),) for x in p], "score double").distinct()
+    n = df.count()
+    top = df.groupBy(score_bucket("score", SCORE_BUCKETS).alias("b")).count().agg(F.max("count")).first()[0]
+    assert top < 0.03 * n
+    ordered = df.select("score", score_bucket("score", SCORE_BUCKETS, descending=True).alias("b")).orderBy("score").collect()
+    assert all(x["b"] >= y["b"] for x, y in zip(ordered, ordered[1:]))
+    ends = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (2.0,)], "s double").select(score_bucket("s", 100).alias("b")).collect()
+    assert [r["b"] for r in ends] == [0, 46 + 50, 0, 46 + 50] or all(0 <= r["b"] < 100 for r in ends)
+    y = (rng.random(20000) < 0.5).astype(int)
+    s = _scored(spark, [(0, int(a), float(b)) for a, b in zip(y, p)])
+    order = np.argsort(p)
+    ranks = np.empty(len(p))
+    ranks[order] = np.arange(1, len(p) + 1)
+    want = (ranks[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+    assert curves.auc_per_label(s).first()["auc"] == pytest.approx(want, abs=1e-6)
+
+
+def test_split_without_ranking_equals_the_ranked_split(spark):
+    import hashlib
+
+    rows = [(f"k{i}", i % 2, int(i % 7 == 0)) for i in range(400)] + [("n1", None, 1), ("n2", None, 1), ("solo", 5, 5)]
+    df = spark.createDataFrame(rows, "key string, a int, b int")
+    got = {r["key"]: r["split"] for r in prep.stratified_split(df, "key", ["a", "b"], seed=3).collect()}
+    assert len(got) == len(rows)
+    groups = {}
+    for k, a, b in rows:
+        groups.setdefault((a, b), []).append(k)
+    for keys in groups.values():
+        keys.sort(key=lambda k: (hashlib.md5(f"3:{k}".encode()).hexdigest(), k))
+        n = len(keys)
+        for i, k in enumerate(keys, start=1):
+            want = "train" if i <= (8 * n + 5) // 10 else "val" if i <= (9 * n + 5) // 10 else "test"
+            assert got[k] == want, (k, n, i)
+    plan = prep.stratified_split(df, "key", ["a", "b"], seed=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_one_hot_refuses_ids(spark):
+    df = spark.createDataFrame([(10**9,), (1,)], "label long")
+    with pytest.raises(Exception, match="class numbers"):
+        prep.onehot_weights(df, "label").collect()
