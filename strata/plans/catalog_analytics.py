@@ -189,11 +189,19 @@ def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shared_table(batched, "f1-batches", ["split"])
 
 
-@register("loss_by_batch")
-def loss_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",))
-    out = losses.one_pass_loss(scored, "bce", weight_rows=F.col("split") == "train", batch_cols=["split", "batch_id"])
-    return _round(out, ["loss"])
+def _loss_by_batch(name: str):
+    """MET10: the reported loss of each split under a loss, the mean of its batch means."""
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = fx.scored_from(_batched(spark, sf_dir), ("batch_id",))
+        out = losses.one_pass_loss(scored, name, weight_rows=F.col("split") == "train", batch_cols=["split", "batch_id"])
+        return _round(out, ["loss"])
+
+    return q
+
+
+for _name in losses.LOSSES:
+    register("loss_by_batch" if _name == "bce" else f"loss_by_batch_{_name}")(_loss_by_batch(_name))
 
 
 # ------------------------------------------------------------------ GAT
@@ -220,6 +228,14 @@ def gate_stats_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(out, [c for c in out.columns if c != "n_batches"])
 
 
+@register("gate_stats_eval_batches")
+def gate_stats_eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GAT2 on the seeded batches (SRC6) of the validation split, with the eval prefix."""
+    batched = prep.assign_batches(_gate_val(spark, sf_dir), "vec_id", batch_size=16)
+    out = gates.gate_stats_by_batch(batched, "batch_id", prefix="eval")
+    return out.select(*[r6(f"`{c}`").alias(c) if "/" in c else F.col(c) for c in out.columns])
+
+
 @register("gate_report")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GAT3 over the whole validation split."""

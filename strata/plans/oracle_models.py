@@ -116,9 +116,18 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN split = 'train' THEN md5(concat_ws(':', '{SEED}', '0', row_key))
                    ELSE md5(concat_ws(':', '{SEED}', row_key)) END, row_key) - 1) // 2048 AS BIGINT) AS batch_id
   FROM f1s)"""
-    q["loss_by_batch"] = _wcte(*base, pw_join, batches) + f"""
+    cb_join = "el AS (SELECT e.*, c.w_pos, c.w_neg FROM e LEFT JOIN cbw c ON e.label = c.label)"
+    cbw = "(w_pos * yd + w_neg * (1e0 - yd))"
+    for name, ctes, element in (
+        ("loss_by_batch", [pw_join], "-(w * yd * lsp + (1e0 - yd) * lsn)"),
+        ("loss_by_batch_focal", [pw_join], f"(w * yd + 1e0 - yd) * {FOCAL} * {BCE_PLAIN}"),
+        ("loss_by_batch_asl", [pw_join], asl.removeprefix("avg(").removesuffix(")")),
+        ("loss_by_batch_cb", [_cb_table("cbw", "counts"), cb_join], f"{cbw} * {BCE_PLAIN}"),
+        ("loss_by_batch_cb_focal", [_cb_table("cbw", "counts"), cb_join], f"{cbw} * {FOCAL} * {BCE_PLAIN}"),
+    ):
+        q[name] = _wcte(*base, *ctes, batches) + f"""
 SELECT split, {r6('avg(bl)')} AS loss, count(*) AS n_batches FROM (
-  SELECT el.split, bt.batch_id, avg(-(w * yd * lsp + (1e0 - yd) * lsn)) AS bl
+  SELECT el.split, bt.batch_id, avg({element}) AS bl
   FROM el JOIN bt ON el.row_key = bt.row_key GROUP BY el.split, bt.batch_id
 ) GROUP BY split"""
 
@@ -129,6 +138,11 @@ SELECT split, {r6('avg(bl)')} AS loss, count(*) AS n_batches FROM (
     q["gate_stats_by_batch"] = _wcte(F4) + "SELECT " + ", ".join(f"{r6(f'avg({c})')} AS {c}" for c in cols6) + (
         f", count(*) AS n_batches FROM ({_gate_stats('f4', 0.05, 0.95, False, 'batch_id')})"
     )
+    key = f"md5(concat_ws(':', '{SEED}', CAST(vec_id AS VARCHAR))), vec_id"
+    numbered = f"vb AS (SELECT gate, CAST((row_number() OVER (ORDER BY {key}) - 1) // 16 AS BIGINT) AS bid FROM f4v)"
+    q["gate_stats_eval_batches"] = _wcte(F4_VAL, numbered) + "SELECT " + ", ".join(f'{r6(f"avg({c})")} AS "eval/gate/{c}"' for c in cols6) + (
+        f", count(*) AS n_batches FROM ({_gate_stats('vb', 0.05, 0.95, False, 'bid')})"
+    )
     rep_cols = [*cols6, "neutral"]
     report = f"SELECT (SELECT count(*) FROM h) AS n_rows, * FROM ({_gate_stats('h', 0.1, 0.9, True)})"
     head = "h AS (SELECT * FROM f4v)"

@@ -84,14 +84,16 @@ def read_dataset_csv(spark: SparkSession, path: str, schema: StructType | None =
     return reader.csv(path)
 
 
-def write_dataset_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """SRC1 writer side: header, RFC 4180 quoting (a quote inside a field is
+def write_dataset_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 50_000) -> None:
+    """SRC1 writer side: files of at most ``rows_per_file`` rows (a multi-line file is read by one
+    task), header, RFC 4180 quoting (a quote inside a field is
     doubled, fields with quotes, delimiters or line breaks are quoted) and
     whitespace kept as is, so ``read_dataset_csv`` reads every text back
     unchanged."""
     (
         df.write.mode(mode)
         .option("header", True)
+        .option("maxRecordsPerFile", rows_per_file)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
