@@ -104,6 +104,23 @@ def loss_and_grad(z: Column, y: Column, loss: str, w_pos: Column, w_neg: Column,
     return pos * y * a + neg * (one - y) * b, pos * y * da + neg * (one - y) * db
 
 
+def gradient_sums(
+    rows: DataFrame, model: LinearModel, label_cols: list[str], loss: str, alpha: dict[int, float], cb: dict[int, tuple[float, float]],
+    gamma: float = FOCAL_GAMMA, gamma_neg: float = ASL_GAMMA_NEG, gamma_pos: float = ASL_GAMMA_POS, clip: float = ASL_CLIP,
+) -> DataFrame:
+    """One row from one aggregate: ``g<label>_<feature number>`` and ``g<label>_b`` (gradient sums),
+    ``loss_sum`` and ``n``. ``alpha`` and ``cb`` are the per-label weights."""
+    aggs, terms = [], []
+    for l, z in enumerate(model.logits()):
+        w_pos, w_neg = cb[l]
+        el, g = loss_and_grad(z, F.col(label_cols[l]), loss, F.lit(float(w_pos)), F.lit(float(w_neg)), F.lit(float(alpha[l])), gamma, gamma_neg, gamma_pos, clip)
+        terms.append(el)
+        aggs += [F.sum(g * F.col(f)).alias(f"g{l}_{j}") for j, f in enumerate(model.features)]
+        aggs.append(F.sum(g).alias(f"g{l}_b"))
+    aggs += [F.sum(sum(terms, F.lit(0.0))).alias("loss_sum"), F.count(F.lit(1)).alias("n")]
+    return model.with_parameters(rows).agg(*aggs)
+
+
 def fit(
     train: DataFrame,
     val: DataFrame,
@@ -142,19 +159,7 @@ def fit(
     best_auc, best, since = 0.0, (W.copy(), b.copy()), 0
 
     def gradient(Wc: np.ndarray, bc: np.ndarray):
-        aggs, loss_terms = [], []
-        now = LinearModel(features, Wc, bc)
-        for l, z in enumerate(now.logits()):
-            y = F.col(label_cols[l])
-            el, g = loss_and_grad(
-                z, y, loss, F.lit(float(cb[l][0])), F.lit(float(cb[l][1])), F.lit(float(pw[l])),
-                gamma, gamma_neg, gamma_pos, clip,
-            )
-            loss_terms.append(el)
-            aggs += [F.sum(g * F.col(f)).alias(f"g{l}_{j}") for j, f in enumerate(features)]
-            aggs.append(F.sum(g).alias(f"g{l}_b"))
-        aggs += [F.sum(sum(loss_terms, F.lit(0.0))).alias("loss_sum"), F.count(F.lit(1)).alias("n")]
-        return now.with_parameters(tr).agg(*aggs).first()
+        return gradient_sums(tr, LinearModel(features, Wc, bc), label_cols, loss, pw, cb, gamma, gamma_neg, gamma_pos, clip).first()
 
     def val_auc(Wc: np.ndarray, bc: np.ndarray) -> float:
         scored = LinearModel(features, Wc, bc).score(va, key_cols, label_cols)

@@ -99,7 +99,9 @@ def score_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dcn_long(cross_type: str, deep_type: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored, _ = _dcn_scored(spark, sf_dir, cross_type, deep_type)
-        return _round(scoring.to_long(scored, [fx.F1_KEY], fx.F1_LABELS), ["logit", "prob"])
+        long = scoring.to_long(scored, [fx.F1_KEY], fx.F1_LABELS)
+        # 4 decimals: the engines add the layers' long sums in different orders
+        return long.select(fx.F1_KEY, "label", "y", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("logit", "prob")])
 
     return q
 
@@ -233,6 +235,33 @@ def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.history_table(spark, model)
 
 
+def gradient_weights(n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rule weights of the gradient query (4 labels)."""
+    return fx.rational_weights((4, n_features)), fx.rational_weights((4,))
+
+
+def _gradient(loss: str):
+    """TRN1, one step: mean gradient of the head under a loss over the scaled train split."""
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scaled, feats = _scaled(spark, sf_dir)
+        tr = scaled.where(F.col("split") == "train").select(*feats, *[F.col(c).cast("double").alias(c) for c in fx.F1_LABELS])
+        model = train.LinearModel(feats, *gradient_weights(len(feats)))
+        weights = {l: 1.0 + l for l in range(4)}
+        out = train.gradient_sums(tr, model, fx.F1_LABELS, loss, weights, {l: (1.0 + l, 0.5) for l in weights})
+        rows = [
+            F.struct(F.lit(l).alias("label"), F.lit(f).alias("feature"), r6(F.col(f"g{l}_{j}") / F.col("n")).alias("gradient"))
+            for l in range(4) for j, f in [*enumerate(feats), ("b", "")]
+        ]
+        return out.select(F.inline(F.array(*rows)))
+
+    return q
+
+
+for _name in losses.LOSSES:
+    register(f"gradient_{_name}")(_gradient(_name))
+
+
 @register("evaluate_split")
 def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET10: score the test split with the gated-fusion scorer once and derive

@@ -208,6 +208,10 @@ FROM f1s"""
     from strata.plans import oracle_fusion
 
     q.update(oracle_fusion.fusion_sql())
+    from strata.plans import oracle_dcn
+
+    q.update(oracle_dcn.dcn_sql())
+    q.update(oracle_dcn.gradient_sql())
     return q
 
 

@@ -96,7 +96,10 @@ class _Net:
             inner = self.linear(self.linear(xc, f"{c}.U", bias=False), f"{c}.V")
             cross = self.zip(x0, inner, d, "A * B")
             xc = self.zip(cross, xc, d, "A + B")
-        xd = x0
+        return self.tail(self.deep(x0, spec, pre), xc, spec, pre, d, e)
+
+    def deep(self, xd: str, spec, pre: str) -> str:
+        d = spec.projection_dim
         b1, b2 = d // spec.ratios[0], d // spec.ratios[1]
         for i in range(spec.deep_layers):
             p = f"{pre}deep{i}"
@@ -106,6 +109,9 @@ class _Net:
             h = self.relu(self.layer_norm(self.linear(h, f"{p}.l3"), f"{p}.ln3", b2))
             h = self.relu(self.layer_norm(self.linear(h, f"{p}.l4"), f"{p}.ln4", b2))
             xd = self.zip(self.linear(h, f"{p}.l5"), xd, d, "A + B")
+        return xd
+
+    def tail(self, xd: str, xc: str, spec, pre: str, d: int, e: int) -> str:
         gate = self.sigmoid(self.linear(xd, f"{pre}gate_layer"))
         h = self.zip(xd, self.zip(gate, xc, d, "A * B"), d, "A + B")
         return self.layer_norm(self.linear(h, f"{pre}embedding"), f"{pre}embedding.ln", e)
