@@ -19,45 +19,36 @@ MIN_WORDS, LONG_WORDS = 10, 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _line_facts(text: Column) -> Column:
-    """Per line: its text, its words, and the rolling hash of it and the line before."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    own = F.transform(lines, lambda x: F.struct(x.alias("line"), F.md5(x).alias("h")))
-    return F.transform(
-        own,
-        lambda x, i: F.struct(
-            x["line"].alias("line"),
-            F.regexp_count(x["line"], F.lit(WORD)).alias("words"),
-            F.md5(F.concat(F.when(i > 0, F.get(own, i - 1)["h"]).otherwise(""), x["h"])).alias("roll"),
-        ),
-    )
-
-
 def line_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``chunks``: array of (text, n_lines, words), in order;
-    their texts joined by line breaks are the document's text."""
-    facts = docs.withColumn("_facts", _line_facts(F.col("text")))
-    n = F.size("_facts")
-    f = F.col("_facts")
-
-    def ends(i: Column) -> Column:
-        here, up, down = F.get(f, i), F.get(f, i - 1), F.get(f, i + 1)
-        low = (here["roll"] < up["roll"]) & (here["roll"] < down["roll"])
-        return F.coalesce((i == n - 1) | (here["words"] >= LONG_WORDS) | (down["words"] >= LONG_WORDS) | low, F.lit(False))
-
-    cuts = facts.withColumn("_cuts", F.filter(F.sequence(F.lit(0), n - 1), ends))
+    their texts joined by line breaks are the document's text.
+
+    Each step is a column of its own: what a lambda refers to is then computed once per row,
+    not once per element."""
+    rows = docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    rows = rows.withColumn("_hashes", F.transform("_lines", F.md5))
+    rows = rows.withColumn("_rolls", F.transform("_hashes", lambda h, i: F.md5(F.concat(F.when(i > 0, F.get("_hashes", i - 1)).otherwise(""), h))))
+    rows = rows.withColumn("_words", F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD))))
+
+    def is_end(roll: Column, i: Column) -> Column:
+        low = (roll < F.get("_rolls", i - 1)) & (roll < F.get("_rolls", i + 1))
+        long = (F.get("_words", i) >= LONG_WORDS) | (F.get("_words", i + 1) >= LONG_WORDS)
+        return F.coalesce(low, F.lit(False)) | F.coalesce(long, F.lit(False)) | (i == F.size("_rolls") - 1)
+
+    ends = F.transform("_rolls", lambda roll, i: F.when(is_end(roll, i), i))
+    cuts = rows.withColumn("_cuts", F.filter(ends, lambda i: i.isNotNull()))
     c = F.col("_cuts")
 
     def chunk(end: Column, k: Column) -> Column:
         first = F.when(k > 0, F.get(c, k - 1) + 1).otherwise(0)
-        part = F.slice(f, first + 1, end - first + 1)
+        size = end - first + 1
         return F.struct(
-            F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("text"),
-            (end - first + 1).alias("n_lines"),
-            F.aggregate(part, F.lit(0), lambda a, x: a + x["words"]).alias("words"),
+            F.array_join(F.slice("_lines", first + 1, size), "\n").alias("text"),
+            size.alias("n_lines"),
+            F.aggregate(F.slice("_words", first + 1, size), F.lit(0), lambda a, x: a + x).alias("words"),
         )
 
-    return cuts.withColumn("chunks", F.transform(c, chunk)).drop("_facts", "_cuts")
+    return cuts.withColumn("chunks", F.transform(c, chunk)).drop("_lines", "_hashes", "_rolls", "_words", "_cuts")
 
 
 def _removable(x: Column) -> Column:
@@ -86,7 +77,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text after the removal: columns as they were, then
-    ``_n_chunks`` and ``_n_removed``.
+    ``_n_removed``, the number of chunks that went.
 
     A text that repeats nothing comes back byte for byte; a null text stays null and has no
     chunk to remove; rows with a null id are left alone. Rows with the same id and text are one
@@ -100,17 +91,39 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_chunks(rows).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     names = docs.columns
     base = docs.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
-    where = {c: f"in_{k}" for k, c in enumerate(names)}
-    base = base.withColumns({"doc_id": F.col(where[id_col]).cast("long"), "text": F.col(where[text_col]).cast("string")})
-    joined = line_chunks(base.join(gone, F.col("doc_id") == F.col("_gone_id"), "left"))
-    marked = F.transform(
-        "chunks", lambda x, i: F.struct(x["text"].alias("text"), F.coalesce(F.array_contains("_gone", F.struct(i.alias("pos"), F.unhex(F.md5(x["text"])).alias("h"))), F.lit(False)).alias("gone"))
-    )
-    left = F.filter("_marked", lambda x: ~x["gone"])
-    out = joined.withColumn("_marked", F.when(F.col("_gone").isNotNull(), marked))
-    text = F.when(F.col("_gone").isNull(), F.col(where[text_col])).otherwise(F.array_join(F.transform(left, lambda x: x["text"]), "\n"))
+    where = {c: F.col(f"in_{k}") for k, c in enumerate(names)}
+    joined = base.join(gone, where[id_col].cast("long") == F.col("_gone_id"), "left")
+    # only texts that lose a chunk are cut again
+    joined = line_chunks(joined.withColumn("text", F.when(F.col("_gone").isNotNull(), where[text_col].cast("string"))))
+    is_gone = lambda x, i: F.array_contains("_gone", F.struct(i.alias("pos"), F.unhex(F.md5(x["text"])).alias("h")))
+    out = joined.withColumn("_left", F.filter("chunks", lambda x, i: ~F.coalesce(is_gone(x, i), F.lit(False))))
+    text = F.when(F.col("_gone").isNull(), where[text_col]).otherwise(F.array_join(F.transform("_left", lambda x: x["text"]), "\n"))
     return out.select(
-        *((text if c == text_col else F.col(where[c])).alias(c) for c in names),
-        F.size("chunks").alias("_n_chunks"),
-        F.coalesce(F.size("_marked") - F.size(left), F.lit(0)).alias("_n_removed"),
+        *((text if c == text_col else where[c]).alias(c) for c in names),
+        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("chunks") - F.size("_left")).alias("_n_removed"),
     )
+
+
+#: The same rows in SQL (doc_id, n_removed, text); ids and texts without nulls.
+SQL = f"""
+WITH lines AS (
+  SELECT doc_id, i, line, md5(line) AS h, len(regexp_extract_all(line, '{WORD}')) AS words
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
+), rolls AS (
+  SELECT *, md5(coalesce(lag(h) OVER d, '') || h) AS roll FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), ends AS (
+  SELECT *, CAST(coalesce(roll < lag(roll) OVER d AND roll < lead(roll) OVER d, false)
+      OR words >= {LONG_WORDS} OR coalesce(lead(words) OVER d >= {LONG_WORDS}, true) AS INTEGER) AS is_end
+  FROM rolls WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ends
+), chunks AS (
+  SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines, sum(words) AS words FROM numbered GROUP BY doc_id, pos
+), marked AS (
+  SELECT *, ((n_lines >= 2 AND words >= {MIN_WORDS}) OR words >= {LONG_WORDS})
+      AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone
+  FROM chunks
+)
+SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+FROM marked GROUP BY doc_id
+"""

@@ -54,7 +54,7 @@ def check(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(rows)
     got = line_dedup(docs.withColumn("was", F.col("text")))
-    assert got.columns == [*docs.columns, "was", "_n_chunks", "_n_removed"]
+    assert got.columns == [*docs.columns, "was", "_n_removed"]
     got = got.collect()
     assert len(got) == len(rows)
     for r in got:
