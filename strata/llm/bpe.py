@@ -12,22 +12,23 @@ a pre-token that makes up a third of the corpus costs one entry per batch.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import tokens, vec
-from strata.sources.tables import write_shared_table
 
 BATCH_CHARS = 8_000_000
-_PIECE_CHARS = 2_000_000
+_PIECE_BYTES = 1 << 20
 _ROWS_OUT_BYTES = 8 << 20
 _WORDS, _SHARDS, _DOCUMENT = 0, 1, 2
 _STORE = "kind int, batch long, shard int, doc_id long, payload binary"
@@ -108,20 +109,21 @@ def split_documents(docs: DataFrame, n_shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         base = TaskContext.get().partitionId() << 24
-        batch, out, held = _Batch(base, n_shards), [], 0
+        batch, is_open, out, held = _Batch(base, n_shards), False, [], 0
         for record in batches:
-            ids, texts = record.column(0).to_pylist(), [x or "" for x in record.column(1).to_pylist()]
-            for a, b in vec.pieces([len(t) for t in texts], _PIECE_CHARS):
-                for doc_id, positions in zip(ids[a:b], batch.add(texts[a:b]), strict=True):
+            for a, b in vec.pieces(np.diff(vec.text_buffer(record.column(1))[1]), _PIECE_BYTES):
+                ids, texts = record.column(0).slice(a, b - a).to_pylist(), [x or "" for x in record.column(1).slice(a, b - a).to_pylist()]
+                for doc_id, positions in zip(ids, batch.add(texts), strict=True):
                     out.append((_DOCUMENT, batch.number, -1, doc_id, pack_numbers(positions, pack)))
                     held += len(out[-1][4])
+                is_open = True
                 if batch.chars >= BATCH_CHARS:
                     out += batch.rows(pack)
-                    batch = _Batch(batch.number + 1, n_shards)
-                if held > _ROWS_OUT_BYTES or batch.chars == 0:
+                    batch, is_open = _Batch(batch.number + 1, n_shards), False
+                if held > _ROWS_OUT_BYTES:
                     yield _flush(out)
                     out, held = [], 0
-        if batch.chars or batch.known or out:
+        if is_open:
             out += batch.rows(pack)
         if out:
             yield _flush(out)
@@ -132,13 +134,18 @@ def split_documents(docs: DataFrame, n_shards: int) -> DataFrame:
 def encode_words(store: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Step 2: word rows, shuffled by shard, become id rows of the same batch and shard."""
 
+    def words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a filter in the plan would be pushed below the shuffle that both steps share
+        for record in batches:
+            yield record.filter(pc.equal(record.column(0), _WORDS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         encoding = tokens.load_encoding(ranks_path, pattern)
         cache = tokens.PretokenCache(lambda words: [encoding.encode_ordinary(w) for w in words], limit=1_000_000)
         current = None
         for record in batches:
-            rows = []
+            rows, held = [], 0
             for batch, shard, payload in zip(*(record.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 if shard != current:  # rows come sorted by shard: memory holds one shard's distinct words
                     cache.entry.clear()
@@ -149,60 +156,59 @@ def encode_words(store: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 words = [body[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, lens.tolist(), strict=True)]
                 entry = cache.entries(words)
                 rows.append((_WORDS, batch, shard, None, pack_lists(cache.table.count[entry], cache.table.take(entry).astype("<u4").tobytes(), pack)))
+                held += len(rows[-1][4])
+                if held > _ROWS_OUT_BYTES:
+                    yield _flush(rows)
+                    rows, held = [], 0
             if rows:
                 yield _flush(rows)
 
-    words = store.where(F.col("kind") == _WORDS).select(*_names())
-    return words.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _STORE)
+    return store.mapInArrow(words_only, _STORE).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _STORE)
 
 
-def _names() -> list[str]:
-    return [x.split()[0] for x in _STORE.split(", ")]
+def as_ids(ids: list[np.ndarray]) -> dict[str, pa.Array]:
+    """What ``encode`` gives per document: its ids as little-endian unsigned 32-bit numbers."""
+    return {"ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}
 
 
-def join_back(store: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Step 3: ids meet their batch again and documents are reassembled by position."""
+def join_back(store: DataFrame, encoded: DataFrame, finish: Callable[[list[np.ndarray]], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """Step 3: ids meet their batch again and documents are reassembled by position; ``finish``
+    turns the id lists of a batch into its output columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        current, parts, table = None, [], tokens.IdTable()
-        for record in batches:
-            out_ids, out = [], []
-            for kind, batch, doc_id, payload in zip(*(record.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
-                if batch != current:
-                    current, parts = batch, []
-                if kind == _WORDS:
-                    counts, body = unpack_lists(payload, unpack)
-                    parts.append((counts, np.frombuffer(body, "<u4")))
-                elif kind == _SHARDS:
-                    order = np.argsort(unpack_numbers(payload, unpack), kind="stable")
-                    counts = np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64)
-                    table.flat = np.concatenate([i for _, i in parts]) if parts else np.zeros(0, np.uint32)
-                    table.count, table.start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-                    table.count[order], table.start[order] = counts, np.cumsum(counts) - counts
-                    parts = []
-                else:
-                    out_ids.append(doc_id)
-                    out.append(table.take(unpack_numbers(payload, unpack)).astype("<u4").tobytes())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    rest = store.where(F.col("kind") > _WORDS).select(*_names())
-    rows = rest.unionByName(encoded).repartition("batch").sortWithinPartitions("batch", "kind", "shard")
-    return rows.mapInArrow(run, "doc_id long, ids binary")
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text: (doc_id, ids as little-endian unsigned 32-bit numbers).
+        parts = sorted(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True))
+        lists = [unpack_lists(x, unpack) for _, x in parts]
+        kind = left.column("kind").to_numpy()
+        shard_of = unpack_numbers(left.filter(pa.array(kind == _SHARDS)).column("payload")[0].as_py(), unpack)
+        counts = np.concatenate([c for c, _ in lists]) if lists else np.zeros(0, np.int64)
+        if len(counts) != len(shard_of):
+            raise RuntimeError("a batch came back with other pre-tokens than it sent")
+        table, order = tokens.IdTable(), np.argsort(shard_of, kind="stable")
+        table.flat = np.concatenate([np.frombuffer(i, "<u4") for _, i in lists]) if lists else np.zeros(0, np.uint32)
+        table.count, table.start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        table.count[order], table.start[order] = counts, np.cumsum(counts) - counts
+        docs = left.filter(pa.array(kind == _DOCUMENT))
+        return pa.table({"doc_id": docs.column("doc_id")} | finish([table.take(unpack_numbers(x, unpack)) for x in docs.column("payload").to_pylist()]))
+
+    return store.groupBy("batch").cogroup(encoded.groupBy("batch")).applyInArrow(run, "doc_id long, " + schema)
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    finish: Callable[[list[np.ndarray]], dict[str, pa.Array]] = as_ids, schema: str = "ids binary",
+) -> DataFrame:
+    """Token ids of every whole text: (doc_id, ids), or what ``finish`` makes of a batch's id lists.
 
     A null text counts as empty (no ids), a null id stays null, repeated rows each give a row,
-    other columns are not read. The split rows are written once to the shared folder, since
-    steps 2 and 3 both read them; an executor lost later costs a re-read of that table."""
+    other columns are not read. Steps 2 and 3 read the same shuffle of the split rows (by batch),
+    so documents travel once, as compressed positions. Raises RuntimeError if a batch's
+    pre-tokens don't come back whole."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = shard_count(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store = write_shared_table(split_documents(rows, shards), "bpe-split", ["kind"])
-    return join_back(store, encode_words(store, ranks_path, pattern))
+    store = split_documents(rows, shards).repartition("batch")
+    return join_back(store, encode_words(store, ranks_path, pattern), finish, schema)
 
 
 class ByteTable:
@@ -222,8 +228,11 @@ class ByteTable:
         return self.flat[vec.ragged(self.start[ids], self.count[ids])].tobytes()
 
 
-def _token_bytes(ranks_path: str) -> ByteTable:
-    return ByteTable({i: b for b, i in tokens.load_ranks(ranks_path).items()})
+@functools.lru_cache(maxsize=2)
+def _worker_tables(ranks_path: str) -> tuple[ByteTable, ByteTable]:
+    """Token bytes by id, and the decimal form of each id with a space behind it."""
+    table = ByteTable({i: b for b, i in tokens.load_ranks(ranks_path).items()})
+    return table, ByteTable({i: b"%d " % i for i in range(len(table.known))})
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -231,7 +240,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     loaded once per task). An id outside the table raises ValueError."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(ranks_path)
+        table, _ = _worker_tables(ranks_path)
         for record in batches:
             data = [table.join(np.frombuffer(x, "<u4")) for x in record.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([record.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
@@ -239,21 +248,19 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(encoded: DataFrame, ranks_path: str, keep_ids: bool = False) -> DataFrame:
-    """Per document: number of ids, digest of the decimal ids joined by spaces, digest of the
-    decoded bytes; with ``keep_ids`` the ids themselves too."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` of every text in one pass over the batches: per document the number
+    of ids, the digest of the decimal ids joined by spaces, the digest of the decoded bytes, and
+    with ``keep_ids`` the ids themselves."""
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _token_bytes(ranks_path)
-        decimal = ByteTable({i: b"%d " % i for i in range(len(table.known))})
-        for record in batches:
-            rows = [np.frombuffer(x, "<u4") for x in record.column(1).to_pylist()]
-            out = [
-                record.column(0), pa.array([len(x) for x in rows], pa.int64()),
-                pa.array([hashlib.sha256(decimal.join(x)[:-1]).hexdigest() for x in rows], pa.string()),
-                pa.array([hashlib.sha256(table.join(x)).hexdigest() for x in rows], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(out + [record.column(1)] * keep_ids, names=[x.split()[0] for x in schema.split(", ")])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    def finish(ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        table, decimal = _worker_tables(ranks_path)
+        out = {
+            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(decimal.join(x)[:-1]).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(table.join(x)).hexdigest() for x in ids], pa.string()),
+        }
+        return out | (as_ids(ids) if keep_ids else {})
+
+    return encode(docs, ranks_path, pattern, id_col, text_col, finish, schema)

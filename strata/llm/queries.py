@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, langid, mixing
+from strata.llm import bpe, langid, line_dedup, mixing, ngram_join
 from strata.llm.fingerprint import edited_fingerprints
-from strata.llm.line_dedup import line_dedup
-from strata.llm.ngram_join import ngram_jaccard_join
 from strata.llm.quality import quality_rules
 from strata.llm.token_counts import token_counts
 from strata.llm.token_files import read_token_files, write_token_files
@@ -36,7 +34,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +48,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.col("_n_chunks").alias("n_chunks"), F.col("_n_removed").alias("n_removed"), "text")
+    rows = line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("_n_removed").alias("n_removed"), "text")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +67,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
-    path = _tokenizer_path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(bpe.encode(docs, path, public_tokenizers.PATTERN), path, keep_ids)
+    return bpe.encode_and_decode(docs, _tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=keep_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mix_sources": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": ngram_join.SQL, "op6_line_dedup": line_dedup.SQL, "op7_mix_sources": mixing.SQL}

@@ -43,6 +43,11 @@ def test_many_small_batches(documents, monkeypatch):
     check(documents.repartition(3))
 
 
+def test_only_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "_ROWS_OUT_BYTES", 0)
+    check(spark.createDataFrame([(1, None), (2, ""), (3, "")], "doc_id long, text string"))
+
+
 def test_decode_gives_the_text_back(odd_docs):
     enc = bpe.encode(odd_docs, PATH, public_tokenizers.PATTERN)
     got = sorted((str(r.doc_id), bytes(r.data).decode()) for r in bpe.decode(enc, PATH).collect())
