@@ -273,3 +273,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     mark = "gone_" + "_".join(docs.columns)  # a name that no column has
     gone = classes.where("class_id < doc_id").select(F.col("doc_id").alias(mark))
     return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
+
+
+#: The same rows in SQL, by comparing every two documents that share an n-gram (for small tables).
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WIDTH} THEN [array_to_string(w[i:i + {WIDTH - 1}], ' ') for i in range(1, len(w) - {WIDTH - 2})]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE common >= {THRESHOLD} * (x.n + y.n - common) - 1e-9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id)) AS class_id,
+  (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
