@@ -97,11 +97,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = line_chunks(joined.withColumn("text", F.when(F.col("_gone").isNotNull(), where[text_col].cast("string"))))
     is_gone = lambda x, i: F.array_contains("_gone", F.struct(i.alias("pos"), F.unhex(F.md5(x["text"])).alias("h")))
     out = joined.withColumn("_left", F.filter("chunks", lambda x, i: ~F.coalesce(is_gone(x, i), F.lit(False))))
-    text = F.when(F.col("_gone").isNull(), where[text_col]).otherwise(F.array_join(F.transform("_left", lambda x: x["text"]), "\n"))
-    return out.select(
-        *((text if c == text_col else where[c]).alias(c) for c in names),
+    result = F.struct(
+        F.when(F.col("_gone").isNull(), where[text_col]).otherwise(F.array_join(F.transform("_left", lambda x: x["text"]), "\n")).alias("_text"),
         F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("chunks") - F.size("_left")).alias("_n_removed"),
     )
+    # a generator of one row: filters on the results stay above it, or the optimizer would put the
+    # whole chunking in place of every mention of them
+    out = out.select(*where.values(), F.inline(F.array(result)))
+    return out.select(*((F.col("_text") if c == text_col else where[c]).alias(c) for c in names), "_n_removed")
 
 
 #: The same rows in SQL (doc_id, n_removed, text); ids and texts without nulls.
