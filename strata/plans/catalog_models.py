@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -325,7 +326,10 @@ def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]],
     data = tables.write_shared_table(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS), "run-data", ["split"])
     part = {x: data.where(F.col("split") == x) for x in ("train", "val", "test")}
     log = tables.shared_folder(spark, "run-log")
-    for loss, seed in options:
+    records: list[DataFrame] = []
+
+    def one(option: tuple[str, int]) -> None:
+        loss, seed = option
         run = losses.LOSSES.index(loss)
         folder = tables.shared_folder(spark, "run-model")
         fitted = train.fit(part["train"], part["val"], feats, fx.F1_LABELS, [fx.F1_KEY], loss=loss, epochs=epochs, lr=0.05, seed=seed)
@@ -338,8 +342,13 @@ def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]],
         record = [(f"test/{k}", float(bundle[k])) for k in bundle.asDict()]
         record += [(f"test/{r['method']}/{k}", float(r[k])) for r in tuned for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]
         rows = [(run, seed, fitted.best_epoch or 0, k, v) for k, v in record]
-        tables.append_metric_log(train.history_table(spark, fitted, run, seed), log)
-        tables.append_metric_log(spark.createDataFrame(rows, "run long, seed long, epoch long, metric string, value double").coalesce(1), log)
+        records.append(train.history_table(spark, fitted, run, seed).unionByName(spark.createDataFrame(rows, "run long, seed long, epoch long, metric string, value double")))
+
+    # the fits are independent series of small jobs: a few at a time fill the cluster
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(one, options))
+    for record in records:
+        tables.append_metric_log(record.coalesce(1), log)
     return spark.read.parquet(log)
 
 
