@@ -201,7 +201,7 @@ def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.size("features")).alias("feat_width"),
         total("embedding").alias("emb_sum"),
         F.sum(F.size(F.filter("embedding", lambda x: x != 0))).cast("long").alias("emb_nonzero"),
-        F.round(total("features") / 1e9, 3).alias("feat_sum"),
+        (F.round(total("features") / 1e9, 3) + F.lit(0.0)).alias("feat_sum"),
         total("labels").alias("label_sum"),
     )
 

@@ -277,7 +277,7 @@ def scoring_sql() -> dict[str, str]:
         F3AS, *_embedding("f3s"), fit, "es AS (SELECT doc_id, count(*) AS n, sum(micro) AS m FROM emb GROUP BY doc_id)"
     ) + (
         "SELECT split, count(*) AS n_rows, 768 AS emb_width, 3 AS feat_width, CAST(coalesce(sum(es.m), 0) AS BIGINT) AS emb_sum,"
-        f" CAST(coalesce(sum(es.n), 0) AS BIGINT) AS emb_nonzero, round(sum({scaled}) / 1e9, 3) AS feat_sum,"
+        f" CAST(coalesce(sum(es.n), 0) AS BIGINT) AS emb_nonzero, round(sum({scaled}) / 1e9, 3) + 0e0 AS feat_sum,"
         " CAST(sum(quality + toxic) * 1000000 AS BIGINT) AS label_sum"
         " FROM f3s CROSS JOIN fit LEFT JOIN es ON f3s.doc_id = es.doc_id GROUP BY split"
     )
