@@ -1,4 +1,4 @@
-"""Connected components of a bounded-degree-free edge table, as rounds of grouped minima."""
+"""Connected components of an edge table, as rounds of grouped minima."""
 
 from __future__ import annotations
 
@@ -14,15 +14,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates the two star steps of Kiveris et al. (2014) until the edges are stars: a logarithmic
     number of rounds, each a few shuffles of the edge table. A node with very many edges is one
-    pre-aggregated row on the grouped side; the join back to its edges is an ordinary sort-merge
-    join, which adaptive execution splits. Each round is cut with ``checkpoint()``."""
+    pre-aggregated row on the grouped side. Rounds and grouped sides are cut with ``checkpoint()``:
+    the join back to the edges then has a plain shuffle on either side, and adaptive execution can
+    split a node that holds a large part of the edges."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v and u is not null and v is not null").distinct()
     e, before = cut_lineage(e), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

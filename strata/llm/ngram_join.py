@@ -27,7 +27,7 @@ from strata.sources.tables import write_shared_table
 WIDTH, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
 #: Bounds of one part of a component: members, and n-grams in all.
 PART_MEMBERS, PART_GRAMS = 1024, 1 << 20
-_PIECE_BYTES = 4 << 20
+_PIECE_BYTES = 1 << 20
 _GRAMS_AT_ONCE = 2048
 
 
@@ -234,6 +234,7 @@ def ngram_jaccard_join(
     sets = write_shared_table(sets, "ngram-sets")
     banded = sets.where("node is not null").select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").select("band", "hub")
+    hubs = write_shared_table(hubs, "ngram-hubs")  # a plain shuffle on either side: a hot band can be split
     ties = banded.join(hubs, "band").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     found = connected_components(ties)
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
