@@ -22,6 +22,8 @@ DOMAIN_RULES = (
 #: Share of the block-labelled pages that a combination must occur in, of the labelled pages
 #: with the combination that must be block-labelled, pages it must occur in, and its tokens.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_PAGES, MAX_TOKENS = 0.005, 0.8, 5, 4
+#: Parts that the pages of one token are dealt over.
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,9 +69,13 @@ def url_tokens(url: Column) -> Column:
 
 def _matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of (``pages`` columns, items) for each rule whose tokens a page all has: the page's
-    tokens meet the inverted index (anchor token -> rules), then the whole rule is compared."""
-    probe = pages.withColumn("anchor", F.explode("tokens"))
-    return probe.join(rules, "anchor").where(F.size(F.array_except("items", "tokens")) == 0)
+    tokens meet the inverted index (anchor token -> rules), then the whole rule is compared.
+
+    A token can stand in every URL, so its pages are dealt over ``SALTS`` parts, each of which
+    meets a copy of the (few) rules."""
+    probe = pages.withColumn("anchor", F.explode("tokens")).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS)).cast("int"))
+    index = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return probe.join(index, ["anchor", "salt"]).where(F.size(F.array_except("items", "tokens")) == 0).drop("salt")
 
 
 def mine_rules(
