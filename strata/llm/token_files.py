@@ -30,7 +30,8 @@ from strata.llm import tokens, vec
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1_000, 4_096, 64 << 10
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1_024
 LEVEL = 3
-_PIECE_CHARS = 2_000_000
+_PIECE_BYTES = 2 << 20
+_CACHE_ENTRIES = 400_000
 _BLOCK = (
     "part int, block int, ids_before long, n_ids long, first_id long, last_id long, dictionary_hash string, "
     "doc_ids array<long>, offsets array<long>, n_tokens array<long>, data binary"
@@ -45,7 +46,7 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarr
     def many(words: list[str]) -> list[list[int]]:
         return [e.ids for e in tokens.load_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
-    cache = _WORKER.setdefault(path, tokens.PretokenCache(many))
+    cache = _WORKER.setdefault(path, tokens.PretokenCache(many, _CACHE_ENTRIES))
     special = tokens.special_strings(path)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +63,12 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarr
     return run
 
 
+def _pieces(record: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, a bounded number of bytes at a time; a null text is ''."""
+    for a, b in vec.pieces(np.diff(vec.text_buffer(record.column(1))[1]), _PIECE_BYTES):
+        yield record.column(0).slice(a, b - a).to_pylist(), [x or "" for x in record.column(1).slice(a, b - a).to_pylist()]
+
+
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """Trained dictionary; with too few samples to train on, their raw content."""
     try:
@@ -81,9 +88,8 @@ def sample_arrays(rows: DataFrame, path: str, end_id: int) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path, end_id)
         for record in batches:
-            texts = [x or "" for x in record.column(1).to_pylist()]
-            for a, b in vec.pieces([len(t) for t in texts], _PIECE_CHARS):
-                ids, counts = encode(texts[a:b])
+            for _, texts in _pieces(record):
+                ids, counts = encode(texts)
                 parts = np.split(ids, np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS].tobytes() for x in parts], pa.binary())], names=["ids"])
 
@@ -126,10 +132,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
             return out
 
         for record in batches:
-            ids, texts = record.column(0).to_pylist(), [x or "" for x in record.column(1).to_pylist()]
-            for a, b in vec.pieces([len(t) for t in texts], _PIECE_CHARS):
-                flat, counts = encode(texts[a:b])
-                for doc_id, tokens_of in zip(ids[a:b], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+            for ids, texts in _pieces(record):
+                flat, counts = encode(texts)
+                for doc_id, tokens_of in zip(ids, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
                     ids_held.append(doc_id)
                     data.append(pack.compress(tokens_of.tobytes()))
                     counts_held.append(len(tokens_of))
