@@ -88,12 +88,16 @@ def _counts(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _ratios(body: bytes, pack: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the lowest and highest of its full chunks (of the whole, if it has none)."""
+    """Ratio of the whole text, and the lowest and highest of its chunks (of the whole, if it has one only).
+    The last chunk ends where the text ends and overlaps the one before, so every byte is in a full chunk."""
     if not body:
         return 0.0, 0.0, 0.0
     whole = len(body) / len(pack.compress(body))
-    chunks = [CHUNK_BYTES / len(pack.compress(body[i : i + CHUNK_BYTES])) for i in range(0, len(body) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    return (whole, min(chunks), max(chunks)) if len(body) > CHUNK_BYTES else (whole, whole, whole)
+    if len(body) <= CHUNK_BYTES:
+        return whole, whole, whole
+    last = len(body) - CHUNK_BYTES
+    chunks = [CHUNK_BYTES / len(pack.compress(body[i : i + CHUNK_BYTES])) for i in (*range(0, last, CHUNK_BYTES), last)]
+    return whole, min(chunks), max(chunks)
 
 
 def compression_verdict(n_bytes: int, whole: float, low: float, high: float, bands=BANDS) -> str | None:

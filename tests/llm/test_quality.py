@@ -87,3 +87,23 @@ def test_bands_reject_repetition_and_noise(spark):
     assert compression_verdict(100, 0.5, 0.5, 0.5) is None
     assert compression_verdict(5000, 1.2, 1.2, 1.2) == "incompressible"
     assert [b[0] for b in BANDS] == sorted(b[0] for b in BANDS)
+
+
+def test_the_end_of_a_text_is_in_a_chunk(spark):
+    """A repetitive end shorter than a chunk counts, as it does when one more byte makes it a full chunk."""
+    import random
+
+    rnd = random.Random(9)
+    prose = " ".join("".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(2, 9))) for _ in range(3000))
+    texts = {1: prose[:4096] + "ab" * 2047 + "a", 2: prose[:4096] + "ab" * 2048, 3: prose[:8191], 4: prose[:4096], 5: prose[:4097]}
+    rows = {r.doc_id: r for r in quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    pack = zstandard.ZstdCompressor(level=3)
+    for i, text in texts.items():
+        body = text.encode()
+        starts = {*range(0, len(body) - 4095, 4096), len(body) - 4096}
+        ratios = [4096 / len(pack.compress(body[s : s + 4096])) for s in starts]
+        assert (rows[i].chunk_min, rows[i].chunk_max) == (min(ratios), max(ratios)), i
+    assert not rows[1].base_failed
+    assert rows[1].reason == rows[2].reason == "repetitive chunk"
+    assert rows[3].kept and rows[4].kept and rows[5].kept
+    assert [r.doc_id for r in keep_good(spark.createDataFrame([(1, texts[1]), (3, texts[3])], "doc_id long, text string")).collect()] == [3]
