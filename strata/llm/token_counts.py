@@ -1,5 +1,6 @@
 """Token counts by a two-tier lookup: a broadcast hash table of frequent pre-token lengths,
-then worker caches in front of the tokenizer; no pre-token is shuffled for counting."""
+then worker caches in front of the tokenizer. Pre-tokens are shuffled (pre-aggregated) only to
+find the frequent ones, not for counting."""
 
 from __future__ import annotations
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from strata.llm import tokens, vec
 
-#: Rows that the frequent table is learned from, and its entries. The table only decides
-#: which tier answers, never the count; both are bounds on what is broadcast (under 2 MB).
-SAMPLE_DOCS = 2_000
+#: Entries of the frequent table. The table only decides which tier answers, never the count;
+#: this bounds what is broadcast (under 3 MB).
 TABLE_ENTRIES = 1 << 16
+#: Longest length that the table's 16 bits hold; longer ones are left to the second tier.
+_MAX_LENGTH = (1 << 16) - 1
 LIMIT_TOKENS = 1024
 _PIECE_CHARS = 2_000_000
 _SLOT_BITS = 18
@@ -33,12 +35,11 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+def frequent_table(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
     """Open-addressing table (keys: pre-token hashes, lengths) of the most frequent pre-tokens
-    of a sample of about ``sample_docs`` documents. Counts are pre-aggregated in each task, and
-    no more than ``entries`` rows leave the last step."""
+    of all documents (those without special strings). Counts are pre-aggregated in each batch and
+    task, and no more than ``entries`` rows leave the last step."""
     special = tokens.special_strings(path)
-    sample = tokens.hash_sample(docs, sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,13 +47,12 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
             for a, b in vec.pieces([len(t) for t in texts], _PIECE_CHARS):
                 h, _, strings = vec.pretokens(texts[a:b], "byte_level")
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
-                top = np.argsort(-n, kind="stable")[:entries]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first[top]].view(np.int64)), pa.array(strings(first[top])), pa.array(n[top], pa.int64())], names=["h", "word", "n"]
+                    [pa.array(h[first].view(np.int64)), pa.array(strings(first)), pa.array(n, pa.int64())], names=["h", "word", "n"]
                 )
 
     top = (
-        sample.mapInArrow(count, "h long, word string, n long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+        docs.mapInArrow(count, "h long, word string, n long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "h").limit(entries)
     )
 
@@ -62,7 +62,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
                 [batch.column(0), pa.array(_encode_lengths(path, batch.column(1).to_pylist()), pa.int32())], names=["h", "n"]
             )
 
-    rows = top.select("h", "word").mapInArrow(measure, "h long, n int").toPandas()  # at most `entries` rows
+    rows = top.select("h", "word").mapInArrow(measure, "h long, n int").where(F.col("n") <= _MAX_LENGTH).toPandas()  # at most `entries` rows
     return build_table(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.uint16))
 
 

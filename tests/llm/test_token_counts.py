@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from strata.llm.token_counts import build_table, probe, token_counts
+from strata.llm.token_counts import build_table, frequent_table, probe, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,3 +40,26 @@ def test_table_probe_finds_what_was_stored():
     found = got[:5000] > 0
     assert found.mean() > 0.99
     assert (got[:5000][found] == n[found]).all()
+
+
+def test_pretoken_of_more_tokens_than_the_table_holds(spark):
+    import random
+
+    rnd = random.Random(4)
+    run = "".join(rnd.choice("zqxjkvwb") for _ in range(150_000))
+    docs = spark.createDataFrame([(1, run), (2, "a few words " * 4), (3, run[:5000])], "doc_id long, text string")
+    assert len(Tokenizer.from_file(PATH).encode(run, add_special_tokens=False).ids) > 1 << 16
+    check(docs)
+
+
+def test_table_is_learned_from_all_documents(spark):
+    import itertools
+
+    from strata.llm import vec
+
+    words = ["".join(w) for w in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz")][:3000]
+    rows = [(i, w) for i, w in enumerate(words)] * 2
+    keys, lens = frequent_table(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    h = vec.pretokens(words, "byte_level")[0]
+    assert len(h) == len(words)
+    assert (probe(h, keys, lens) > 0).all()
