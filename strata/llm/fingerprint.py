@@ -5,12 +5,14 @@ wide vector; a fingerprint is the sum of its paragraphs' vectors, so the order o
 doesn't matter, and inserting or deleting one adds or subtracts its vector:
 
 * 2 wide lanes of 60 bits of the whole paragraph's hash, for equality;
-* 120 narrow lanes, four to a word, 15 bits apart, to which each sentence of the paragraph adds
+* 120 narrow lanes, two to a word, 30 bits apart, to which each sentence of the paragraph adds
   one hash bit - their differences tell how much two texts have in common, also where an edit
-  falls inside a paragraph (exact lanes up to 32,767 sentences);
+  falls inside a paragraph (exact lanes up to 2**30 - 1 sentences, more than a row can hold);
 * the numbers of paragraphs and of sentences.
 
-Every word is added modulo 2**60, which no number of paragraphs can overflow.
+Every word is added modulo 2**60, which no number of paragraphs can overflow. The printed form
+folds the narrow words in pairs to four lanes a word, 15 bits apart, again modulo 2**60: it tells
+equal multisets, and ``likeness`` reads the words.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MASK = (1 << 60) - 1
-_LANE_BITS = 15
-_SPREAD = sum(1 << (_LANE_BITS * k) for k in range(4))
+_LANE_BITS = 30
+_SPREAD = 1 | 1 << _LANE_BITS
+_FOLD_BITS = 15
 _NARROW_SEEDS, _WIDE_SEEDS = (11, 12), (21, 22)
-LANES = 4 * _LANE_BITS * len(_NARROW_SEEDS)
+#: Narrow words, and the lanes in them. Word 2i is folded with word 2i + 1.
+_NARROW = _LANE_BITS * len(_NARROW_SEEDS)
+LANES = 2 * _NARROW
 MIN_BUCKETS = 256
 
 
@@ -47,7 +52,7 @@ def with_words(rows: DataFrame, text_col: str, out_col: str) -> DataFrame:
     def total(hashes: str, seed: int, take) -> Column:
         return F.aggregate(F.col(hashes), F.lit(0).cast("long"), lambda a, h: (a + take(h[f"s{seed}"])).bitwiseAND(F.lit(_MASK)))
 
-    narrow = [total(fine, s, lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_SPREAD))) for s in _NARROW_SEEDS for j in range(_LANE_BITS)]
+    narrow = [total(fine, s, lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_SPREAD))) for s in _NARROW_SEEDS for i in range(_FOLD_BITS) for j in (i, i + _FOLD_BITS)]
     wide = [total(whole, s, lambda h: h.bitwiseAND(F.lit(_MASK))) for s in _WIDE_SEEDS]
     rows = rows.withColumn(whole, paragraphs(F.col(text_col))).withColumn(fine, _hashes(sentences(F.col(whole)), _NARROW_SEEDS))
     rows = rows.withColumn(whole, _hashes(F.col(whole), _WIDE_SEEDS))
@@ -65,20 +70,21 @@ def subtract_words(a: Column, b: Column) -> Column:
 
 
 def as_text(words: Column) -> Column:
-    return F.array_join(F.transform(words, lambda x: F.lpad(F.hex(x), 15, "0")), "")
+    fold = F.transform(F.sequence(F.lit(0), F.lit(_NARROW - 2), F.lit(2)), lambda i: (F.get(words, i) + F.shiftleft(F.get(words, i + 1), _FOLD_BITS)).bitwiseAND(F.lit(_MASK)))
+    rest = F.slice(words, _NARROW + 1, len(_WIDE_SEEDS) + 2)
+    return F.array_join(F.transform(F.concat(fold, rest), lambda x: F.lpad(F.hex(x), 15, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """How alike the multisets behind two fingerprints are, 0 to 1: with signed lanes
     v = 2 count - n, 2 <va, vb> / (<va, va> + <vb, vb>), which is 1 for equal multisets and about
     the shared part otherwise. Two empty multisets are alike (1)."""
-    n = _LANE_BITS * len(_NARROW_SEEDS)
     size_a, size_b = F.element_at(a, -2).cast("double"), F.element_at(b, -2).cast("double")
     lane = lambda w, j: 2.0 * F.shiftrightunsigned(w, _LANE_BITS * j).bitwiseAND(F.lit((1 << _LANE_BITS) - 1)).cast("double")
-    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = F.zip_with(F.slice(a, 1, _NARROW), F.slice(b, 1, _NARROW), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
     def step(acc: Column, p: Column) -> Column:
-        va, vb = [lane(p["x"], j) - size_a for j in range(4)], [lane(p["y"], j) - size_b for j in range(4)]
+        va, vb = [lane(p["x"], j) - size_a for j in range(2)], [lane(p["y"], j) - size_b for j in range(2)]
         dot = sum((x * y for x, y in zip(va[1:], vb[1:], strict=True)), va[0] * vb[0])
         norm = sum((x * x + y * y for x, y in zip(va[1:], vb[1:], strict=True)), va[0] * va[0] + vb[0] * vb[0])
         return F.struct((acc["dot"] + dot).alias("dot"), (acc["norm"] + norm).alias("norm"))

@@ -8,7 +8,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm.fingerprint import add_words, as_text, edited_fingerprints, fingerprints, likeness, subtract_words
+from strata.llm.fingerprint import add_words, as_text, edited_fingerprints, fingerprints, likeness, subtract_words, with_words
 
 MASK = (1 << 60) - 1
 SPREAD = 1 | 1 << 15 | 1 << 30 | 1 << 45
@@ -85,3 +85,32 @@ def test_order_insertion_deletion(spark):
     assert r.twice != r.a  # a multiset: a repeated paragraph counts
     assert r.same == 1.0
     assert 0.5 < r.near < 1.0
+
+
+def exact_likeness(a, b):
+    """From per-lane counts that are plain integers."""
+    def lanes(text):
+        parts = [p for p in text.split("\n") if p]
+        fine = {}
+        for s in (s for p in parts for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", p)):
+            fine[s] = fine.get(s, 0) + 1
+        h = [(spark_hash(seed, s), n) for seed in (11, 12) for s, n in fine.items()]
+        half, size = len(fine), sum(fine.values())
+        return [2 * sum(n for x, n in own if x >> j & 1) - size for own in (h[:half], h[half:]) for j in range(60)]
+
+    va, vb = lanes(a), lanes(b)
+    return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(va, vb, strict=True)) / sum(x * x + y * y for x, y in zip(va, vb, strict=True))))
+
+
+def test_lanes_of_very_long_texts(spark):
+    """More sentences than 15 bits count: repeated lines, and two texts that share nothing."""
+    repeated = ["one short line\n" * 40_000, "another such line\n" * 40_000, "one short line\n" * 39_000 + "another such line\n" * 1_000]
+    long = ["\n".join(f"{k} {i}" for i in range(70_001)) for k in "ab"]
+    texts = [*repeated, *long, long[0][: len(long[0]) // 2]]
+    pairs = [(0, 1), (0, 2), (3, 4), (3, 5), (3, 3)]
+    rows = spark.createDataFrame([(k, texts[i], texts[j]) for k, (i, j) in enumerate(pairs)], "k long, a string, b string")
+    rows = with_words(with_words(rows, "a", "wa"), "b", "wb").select("k", likeness(F.col("wa"), F.col("wb")).alias("near"), as_text(F.col("wa")).alias("text"))
+    for r in rows.collect():
+        i, j = pairs[r.k]
+        assert abs(r.near - exact_likeness(texts[i], texts[j])) < 1e-9, pairs[r.k]
+        assert r.text == hexed(words(texts[i]))
