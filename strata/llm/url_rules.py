@@ -20,8 +20,8 @@ DOMAIN_RULES = (
     ("com/de/", "block"),
 )
 #: Share of the block-labelled pages that a combination must occur in, of the labelled pages
-#: with the combination that must be block-labelled, pages it must occur in, and its tokens.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_PAGES, MAX_TOKENS = 0.005, 0.8, 5, 4
+#: with the combination that must be block-labelled, and pages it must occur in.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_PAGES = 0.005, 0.8, 5
 #: Parts that the pages of one token are dealt over.
 SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,16 +79,15 @@ def _matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-    min_pages: int = MIN_PAGES, max_tokens: int = MAX_TOKENS,
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """(anchor, items, n_block, n_all, confidence) from (tokens, block) rows.
 
-    A rule is a token combination that occurs in at least ``min_support`` of the block-labelled
+    A rule is a token combination of any length that occurs in at least ``min_support`` of the block-labelled
     pages and ``min_pages`` of them, and of whose labelled pages ``min_confidence`` are
     block-labelled. Counts cover all labelled pages. The anchor is the rule's rarest token."""
     model = FPGrowth(itemsCol="tokens", minSupport=min_support).fit(labelled.where("block and size(tokens) > 0").select("tokens"))
-    sets = model.freqItemsets.where((F.col("freq") >= min_pages) & (F.size("items") <= max_tokens))
+    sets = model.freqItemsets.where(F.col("freq") >= min_pages)
     sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_block"))
     single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("n_block").alias("freq"))
     anchors = (

@@ -92,3 +92,20 @@ def test_odd_rows(spark):
     compare(pages, labels, min_pages=1)
     compare(pages, labels.limit(0))
     assert run(pages.limit(0), labels) == []
+
+
+def test_rules_of_any_length(spark):
+    """All five segments together are block-specific; every smaller combination also fits allowed pages."""
+    parts = ["ads", "buy", "cash", "deal", "extra"]
+    urls = ["http://x.net/" + "/".join(parts)] * 20 + ["http://x.net/" + "/".join(p for p in parts if p != out) for out in parts for _ in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 20 else 1, 0) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    tokens = [frozenset(r.t) for r in pages.select(url_tokens(F.col("url")).alias("t")).collect()]
+    sets = [frozenset(c) for n in range(1, len(tokens[0]) + 1) for c in itertools.combinations(sorted(tokens[0]), n)]
+    rules = [c for c in sets if 20 / sum(c <= t for t in tokens) >= 0.8]  # only block pages hold all of tokens[0]; each set occurs in all 20
+    assert min(map(len, rules)) == 5
+    got = {r.page_id: r for r in judge_urls(pages, labels).collect()}
+    for i, t in enumerate(tokens):
+        n = sum(c <= t for c in rules)
+        assert (got[i].verdict, got[i].n_rules) == ("block" if n else "allow", n)
+    assert [got[i].verdict for i in (0, 20)] == ["block", "allow"]
