@@ -313,14 +313,14 @@ def run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("run_seeds")
 def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RUN1 + RUN4 on real fits: every loss with two seeds (short fits, no threshold search), mean
-    and std of the test metrics."""
-    log = _runs_log(spark, sf_dir, [(loss, seed) for loss in losses.LOSSES for seed in (0, 1)], epochs=3, tune=False)
+    """RUN1 + RUN4 on real fits: every loss with two seeds, each fitted, tuned and evaluated like
+    ``run_pipeline``; mean and std of the test metrics."""
+    log = _runs_log(spark, sf_dir, [(loss, seed) for loss in losses.LOSSES for seed in (0, 1)])
     test = log.where(F.col("metric").startswith("test/")).withColumn("loss", F.element_at(F.array(*map(F.lit, losses.LOSSES)), (F.col("run") + 1).cast("int")))
     return _round(test.groupBy("loss", "metric").agg(F.count(F.lit(1)).alias("n_seeds"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), ["mean", "std"])
 
 
-def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]], epochs: int = 50, tune: bool = True) -> DataFrame:
+def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]]) -> DataFrame:
     """Metric log of one fit per (loss, seed); ``run`` is the loss's number."""
     scaled, feats = _scaled(spark, sf_dir)
     data = tables.write_shared_table(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS), "run-data", ["split"])
@@ -332,12 +332,12 @@ def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]],
         loss, seed = option
         run = losses.LOSSES.index(loss)
         folder = tables.shared_folder(spark, "run-model")
-        fitted = train.fit(part["train"], part["val"], feats, fx.F1_LABELS, [fx.F1_KEY], loss=loss, epochs=epochs, lr=0.05, seed=seed)
+        fitted = train.fit(part["train"], part["val"], feats, fx.F1_LABELS, [fx.F1_KEY], loss=loss, lr=0.05, seed=seed)
         fitted.save(spark, folder)
         best = train.LinearModel.load(spark, folder, feats)
         # two small columns per label and row, read by tuning, evaluation and the record
-        val, test = (cut_lineage(best.score(part[x], [fx.F1_KEY], fx.F1_LABELS)) if tune else best.score(part[x], [fx.F1_KEY], fx.F1_LABELS) for x in ("val", "test"))
-        tuned = thresholds.compare_methods(val, test).collect() if tune else []  # one row per method
+        val, test = (cut_lineage(best.score(part[x], [fx.F1_KEY], fx.F1_LABELS)) for x in ("val", "test"))
+        tuned = thresholds.compare_methods(val, test).collect()  # one row per method
         bundle = metrics.metric_bundle(test).first()
         record = [(f"test/{k}", float(bundle[k])) for k in bundle.asDict()]
         record += [(f"test/{r['method']}/{k}", float(r[k])) for r in tuned for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]

@@ -179,3 +179,24 @@ def test_score_configs_equals_one_config_at_a_time(spark):
         for k, r in one.items():
             assert both[k][f"logits_{i}"] == pytest.approx(r["logits"], abs=1e-12)
             assert both[k][f"probs_{i}"] == pytest.approx(r["probs"], abs=1e-12)
+
+
+def test_seed_runs_are_whole_runs(spark, monkeypatch):
+    """The default epochs, and the test metrics of every tuning method (two losses and one epoch here, for time)."""
+    from strata.plans import catalog_models as m
+    from tests.conftest import SF_SMALL
+
+    asked, real = [], m.train.fit
+
+    def fit(*a, **options):
+        asked.append(options.get("epochs", 50))
+        return real(*a, **options | {"epochs": 1})
+
+    monkeypatch.setattr(m.train, "fit", fit)
+    monkeypatch.setattr(m.losses, "LOSSES", m.losses.LOSSES[:2])
+    rows = m.run_seeds(spark, SF_SMALL).collect()
+    assert asked == [50] * 4
+    assert {r.n_seeds for r in rows} == {2}
+    methods = {r.metric.split("/")[1] for r in rows if r.metric.count("/") == 2}
+    assert len(methods) >= 3
+    assert {(r.loss, f"test/{x}/f1_macro") for r in rows for x in methods} <= {(r.loss, r.metric) for r in rows}
