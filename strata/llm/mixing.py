@@ -63,8 +63,10 @@ def mix_sources(
     """Every row of ``docs`` with its place in the mix: columns as they were, then ``_block``
     (of its source, from 0), ``_slot`` (of the block), ``_release``, ``_due`` (slots between which
     Pfair places the block) and ``_before`` (characters of the source before the document).
-    Read in the order (_slot, _before), any prefix has less than one block too much or too
-    little of a source until a source runs out; nothing is dropped or repeated.
+    A document goes whole to the slot of the block that it starts in, and the further blocks that
+    it reaches stay empty. Read in the order (_slot, _before), the slots before any one hold less
+    than one block too little of a source, and less than one block plus its longest document
+    too much, until a source runs out; nothing is dropped or repeated.
 
     Within a source, documents follow the md5 of their id. A null source counts as '', a null
     text as 0 characters, a null id as ''; repeated rows follow each other (each has its place).

@@ -75,3 +75,16 @@ def test_sql(spark, duck):
         key = list(want.columns)
         assert sorted(got.columns) == sorted(key)
         assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_long_documents_stay_within_one_block_and_one_document(spark):
+    rows = [(i, "x" * (1050 if i % 7 == 0 else 30), "ab"[i % 2]) for i in range(400)]
+    mixed = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 2.0, "b": 1.0}, block_chars=100, period=3).collect()
+    over = 0
+    for s, u in (("a", 2), ("b", 1)):
+        own = [(r._slot, len(r.text)) for r in mixed if r.source == s]
+        for t in range(min(max(r._slot for r in mixed if r.source == x) for x in "ab") + 1):
+            extra = sum(n for slot, n in own if slot < t) - Fraction(u * t, 3) * 100
+            assert -100 < extra < 100 + 1050
+            over = max(over, extra)
+    assert over > 100  # one block alone is not a bound
