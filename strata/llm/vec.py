@@ -86,12 +86,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def byte_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts ``raw[off[i]:off[i+1]]``: starts, ends, text number."""
+def byte_words(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts ``raw[off[i]:off[i+1]]``: starts, ends, text number.
+    ``gap`` marks the byte values between words."""
     lo, hi = int(off[0]), int(off[-1])
     if hi == lo:
         return (np.zeros(0, np.int64),) * 3
-    ink = ~_SPACE[raw[lo:hi]]
+    ink = ~gap[raw[lo:hi]]
     edge = np.zeros(hi - lo + 1, bool)
     edge[off - lo] = True
     before = np.concatenate([[False], ink[:-1]]) & ~edge[:-1]
@@ -106,6 +107,13 @@ def byte_values(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return _byte_values()[raw[int(off[0]) : int(off[-1])]]
 
 
+def lower_byte_values(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``byte_values`` of the texts with A-Z in lower case."""
+    table = _byte_values().copy()
+    table[65:91] = table[97:123]
+    return table[raw[int(off[0]) : int(off[-1])]]
+
+
 def windows(h: np.ndarray, width: int) -> np.ndarray:
     """Ordered hash of every ``width`` consecutive entries of ``h``."""
     n = len(h) - width + 1
