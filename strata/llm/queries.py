@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, conv_trie, langid, lexical, line_dedup, mixing, ngram_join
+from strata.llm import bpe, conv_trie, langid, lexical, line_dedup, mixing, ngram_join, substring
 from strata.llm.fingerprint import edited_fingerprints
 from strata.llm.quality import quality_rules
 from strata.llm.token_counts import token_counts
@@ -86,12 +86,17 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_ngram_join, op3_token_files, op4_token_counts, op5_fingerprints,
         op6_line_dedup, op7_mix_sources, op8_url_filters, op9_byte_bpe, op10_quality_rules,
-        op11_conversation_trie, op12_ranked_search,
+        op11_conversation_trie, op12_ranked_search, op13_substring_dedup,
     )
 }
 
@@ -101,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mix_sources": mixing.SQL,
     "op11_conversation_trie": conv_trie.SQL,
     "op12_ranked_search": lexical.SQL,
+    "op13_substring_dedup": substring.SQL,
 }

@@ -86,6 +86,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def is_gap(byte: int) -> bool:
+    return bool(_SPACE[byte])
+
+
 def byte_words(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts ``raw[off[i]:off[i+1]]``: starts, ends, text number.
     ``gap`` marks the byte values between words."""
