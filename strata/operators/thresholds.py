@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Generator, Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.config import COARSE_CANDIDATES, GRID_CANDIDATES, SIMPLEX_BOUNDS, SIMPLEX_FATOL, SIMPLEX_XATOL
 from strata.functions.columns import div0
 from strata.operators import curves, metrics
+from strata.sources.tables import write_shared_table
 
 # ----------------------------------------------------------------- grid search (THR1-3)
 
@@ -105,15 +105,19 @@ def compare_methods(
     test: DataFrame,
     methods: Sequence[str] = ("grid_search", "bayesian", "roc_youden"),
     simplex_iterations: int = 30,
+    labels_per_model: int | None = None,
 ) -> DataFrame:
     """THR7: tune on ``val`` with each method, evaluate on ``test``:
-    ``(method, f1_micro, f1_macro, precision_macro, recall_macro, auc_macro)``."""
+    ``(method, f1_micro, f1_macro, precision_macro, recall_macro, auc_macro)``.
+
+    With ``labels_per_model`` the labels belong to several models (``model`` =
+    label // labels_per_model, the first column of the result), all tuned and evaluated in the same jobs."""
     tuned = []
     for m in methods:
         if m == "grid_search":
             t = tune_grid(val)
         elif m == "bayesian":
-            t = tune_simplex(val, "f1_macro", simplex_iterations)
+            t = tune_simplex(val, "f1_macro", simplex_iterations, labels_per_model)
         elif m == "roc_youden":
             t = tune_roc(val, "youden")
         else:
@@ -124,10 +128,13 @@ def compare_methods(
         all_t = all_t.unionByName(t)
     counts = curves.score_counts(test)  # one pass over the test rows for all methods and the AUC
     conf = metrics.confusion_from_counts(counts, all_t, group_cols=("method",))
-    auc = curves.auc_from_counts(counts, ["label"]).agg(F.avg("auc").alias("auc_macro"))
-    return metrics.summary_from_confusion(conf, ("method",)).crossJoin(F.broadcast(auc)).select(  # auc: one row
-        "method", "f1_micro", "f1_macro", "precision_macro", "recall_macro", "auc_macro"
-    )
+    out = ["method", "f1_micro", "f1_macro", "precision_macro", "recall_macro", "auc_macro"]
+    if labels_per_model is None:
+        auc = curves.auc_from_counts(counts, ["label"]).agg(F.avg("auc").alias("auc_macro"))
+        return metrics.summary_from_confusion(conf, ("method",)).crossJoin(F.broadcast(auc)).select(*out)  # auc: one row
+    model = F.floor(F.col("label") / labels_per_model).cast("int")
+    auc = curves.auc_from_counts(counts, ["label"]).groupBy(model.alias("model")).agg(F.avg("auc").alias("auc_macro"))
+    return metrics.summary_from_confusion(conf.withColumn("model", model), ("model", "method")).join(auc, "model").select("model", *out)
 
 
 # ----------------------------------------------------------------- simplex refinement (THR4)
@@ -154,25 +161,22 @@ def _objective_values(
     spark: SparkSession,
     steps: DataFrame,
     totals: dict[int, tuple[int, int]],
-    points: list[np.ndarray],
+    asked: list[tuple[list[int], np.ndarray]],
     metric: str,
 ) -> list[float]:
-    """Metric of several threshold vectors in ONE aggregate job: the vertex table
-    (points x labels rows) is broadcast against the per-label distinct score
+    """Metric of several threshold vectors, each over its own labels, in ONE aggregate job: the
+    vertex table (points x labels rows) is broadcast against the per-label distinct score
     counts; only the (points x labels) true/false positive counts come back.
     Thresholds travel as data, so the generated code is the same every iteration."""
-    labels = sorted(totals)
-    rows = [(v, int(lab), float(p[i])) for v, p in enumerate(points) for i, lab in enumerate(labels)]
+    rows = [(v, int(lab), float(t)) for v, (labels, point) in enumerate(asked) for lab, t in zip(labels, point, strict=True)]
     verts = spark.createDataFrame(rows, "vid int, label int, t double")
     j = steps.join(F.broadcast(verts), "label").where(F.col("score") >= F.col("t"))
     got = {(r["vid"], r["label"]): (r["tp"], r["fp"]) for r in j.groupBy("vid", "label").agg(
         F.sum("pos").alias("tp"), F.sum("neg").alias("fp")).collect()}
-    P = np.array([totals[lab][0] for lab in labels], dtype=float)
-    N = np.array([totals[lab][1] for lab in labels], dtype=float)
     out = []
-    for v in range(len(points)):
-        tp = np.array([got.get((v, lab), (0, 0))[0] for lab in labels], dtype=float)
-        fp = np.array([got.get((v, lab), (0, 0))[1] for lab in labels], dtype=float)
+    for v, (labels, _) in enumerate(asked):
+        P, N = (np.array([totals[lab][k] for lab in labels], dtype=float) for k in (0, 1))
+        tp, fp = (np.array([got.get((v, lab), (0, 0))[k] for lab in labels], dtype=float) for k in (0, 1))
         out.append(-_metric_value(metric, tp, fp, P, N))
     return out
 
@@ -189,20 +193,17 @@ def _step(mirror: float, far: float, outside: float, inside: float, heights: np.
     return "inside" if inside < highest else None
 
 
-def downhill_simplex(
-    evaluate: Callable[[list[np.ndarray]], list[float]],
-    start: np.ndarray,
-    rounds: int,
-    point_tol: float = SIMPLEX_XATOL,
-    value_tol: float = SIMPLEX_FATOL,
-) -> np.ndarray:
-    """Minimum by the downhill simplex of Nelder and Mead (1965). The first corners are ``start``
-    and one step of 5 % (0.00025 from a zero) along each axis. A round looks along the line from
+def simplex_rounds(
+    start: np.ndarray, rounds: int, point_tol: float = SIMPLEX_XATOL, value_tol: float = SIMPLEX_FATOL
+) -> Generator[list[np.ndarray], list[float], np.ndarray]:
+    """The downhill simplex of Nelder and Mead (1965) as a generator: it yields the points whose
+    heights it needs next, is sent those heights, and returns the minimum. The first corners are
+    ``start`` and one step of 5 % (0.00025 from a zero) along each axis. A round looks along the line from
     the highest corner through the centre of the others: its mirror image, a point twice as far,
     and one half way on either side, all evaluated as one batch."""
     start = np.asarray(start, dtype=float)
     corners = np.vstack([start, start + np.diag(np.where(start == 0, 0.00025, 0.05 * start))])
-    heights = np.array(evaluate(list(corners)))
+    heights = np.array((yield list(corners)))
     reach = {"mirror": 1.0, "far": 2.0, "outside": 0.5, "inside": -0.5}
     for _ in range(1, rounds):
         order = np.argsort(heights, kind="stable")
@@ -211,39 +212,73 @@ def downhill_simplex(
             break
         centre = corners[:-1].mean(axis=0)
         trial = {name: centre + r * (centre - corners[-1]) for name, r in reach.items()}
-        height = dict(zip(trial, evaluate(list(trial.values()))))
+        height = dict(zip(trial, (yield list(trial.values())), strict=True))
         name = _step(**height, heights=heights)
         if name:
             corners[-1], heights[-1] = trial[name], height[name]
         else:
             corners[1:] = (corners[1:] + corners[0]) / 2
-            heights[1:] = evaluate(list(corners[1:]))
+            heights[1:] = yield list(corners[1:])
     return corners[np.argmin(heights)]
 
 
-def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int = 50) -> DataFrame:
+def minimise_together(
+    searches: Sequence[Generator[list[np.ndarray], list[float], np.ndarray]], evaluate: Callable[[list[tuple[int, np.ndarray]]], list[float]]
+) -> list[np.ndarray]:
+    """Run several searches side by side: one call of ``evaluate`` per round takes the
+    (search number, point) pairs that all unfinished searches ask for."""
+    best: list[np.ndarray] = [np.zeros(0)] * len(searches)
+    asked = {i: next(s) for i, s in enumerate(searches)}
+    while asked:
+        pairs = [(i, p) for i, points in asked.items() for p in points]
+        heights = iter(evaluate(pairs))
+        again = {}
+        for i, points in asked.items():
+            try:
+                again[i] = searches[i].send([next(heights) for _ in points])
+            except StopIteration as end:
+                best[i] = end.value
+        asked = again
+    return best
+
+
+def downhill_simplex(
+    evaluate: Callable[[list[np.ndarray]], list[float]],
+    start: np.ndarray,
+    rounds: int,
+    point_tol: float = SIMPLEX_XATOL,
+    value_tol: float = SIMPLEX_FATOL,
+) -> np.ndarray:
+    """Minimum of one function by ``simplex_rounds``; ``evaluate`` takes a batch of points."""
+    return minimise_together([simplex_rounds(start, rounds, point_tol, value_tol)], lambda pairs: evaluate([p for _, p in pairs]))[0]
+
+
+def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int = 50, labels_per_model: int | None = None) -> DataFrame:
     """THR4: joint refinement of all labels' thresholds by Nelder-Mead on
     ``-metric`` (``f1_macro``, ``f1_micro`` or ``balanced_acc``), started from the
     coarse grid, result clipped to [0.05, 0.95]. The driver only holds the
-    simplex; each objective batch is one aggregate over the persisted
-    distinct-score table. Returns ``(label, threshold)``."""
+    simplex; each objective batch is one aggregate over the written
+    distinct-score table. Returns ``(label, threshold)``.
+
+    With ``labels_per_model`` the labels belong to several models (label // labels_per_model),
+    each refined by a simplex of its own; the models' rounds share their jobs."""
     if metric not in ("f1_macro", "f1_micro", "balanced_acc"):
         raise ValueError(f"Unknown metric: {metric}")
     spark = scored.sparkSession
     # every objective batch scans this table
-    steps = curves.score_counts(scored).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
-        start = {r["label"]: r["threshold"] for r in coarse.collect()}
-        labels = sorted(start)
-        # per-label totals: one row per label, fetched once
-        totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()}
-        x0 = np.array([start[lab] for lab in labels])
-        best = downhill_simplex(lambda pts: _objective_values(spark, steps, totals, pts, metric), x0, n_iterations)
-    finally:
-        steps.unpersist()
+    steps = write_shared_table(curves.score_counts(scored), "simplex-counts")
+    coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
+    start = {r["label"]: r["threshold"] for r in coarse.collect()}
+    # per-label totals: one row per label, fetched once
+    totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()}
+    models: dict[int, list[int]] = {}
+    for lab in sorted(start):
+        models.setdefault(lab // labels_per_model if labels_per_model else 0, []).append(lab)
+    groups = list(models.values())
+    searches = [simplex_rounds(np.array([start[lab] for lab in labels]), n_iterations) for labels in groups]
+    best = minimise_together(searches, lambda pairs: _objective_values(spark, steps, totals, [(groups[i], p) for i, p in pairs], metric))
     lo, hi = SIMPLEX_BOUNDS
-    rows = [(int(lab), float(np.clip(best[i], lo, hi))) for i, lab in enumerate(labels)]
+    rows = [(int(lab), float(np.clip(t, lo, hi))) for labels, point in zip(groups, best, strict=True) for lab, t in zip(labels, point, strict=True)]
     return spark.createDataFrame(rows, "label int, threshold double")
 
 

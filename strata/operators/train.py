@@ -1,30 +1,36 @@
-"""Data-parallel training of a multi-label linear head under any supported loss.
-
-Per epoch ONE aggregate over the (persisted) training table returns the loss sum
-and the gradient sums ``sum_rows dL/dz_l * x_f`` for every label ``l`` and
-feature ``f``: the gradient with respect to each logit is a column expression
-(JVM-side, codegen), partial sums are combined map-side, and only
-``labels x (features + 1)`` numbers reach the driver. The optimizer (AdamW,
-gradient-norm clipping, warm-up + cosine learning rate) runs on the driver over
-those few parameters. Validation macro-AUC after every epoch drives early
-stopping; the best parameters are kept. Full-batch steps replace mini-batches.
+"""Data-parallel training of multi-label heads under any supported loss, many options at once.
+
+An option is a loss, a seed and optimiser settings. Per epoch ONE pass over the written training
+table returns, for all options that still run, the loss sums and the gradients of all parameters:
+tasks multiply matrices per Arrow batch (``heads``), partial sums are merged by Spark in blocks,
+and only as many numbers as there are parameters reach the driver, which runs the optimiser (AdamW,
+gradient-norm clipping, warm-up + cosine learning rate) over them. Validation macro-AUC after every epoch drives
+early stopping; the best parameters are kept. Steps are full-batch, or mini-batch rounds whose
+partitions are averaged.
+
+The linear head's gradient also exists as column expressions (``gradient_sums``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.config import ASL_CLIP, ASL_GAMMA_NEG, ASL_GAMMA_POS, CB_BETA, FOCAL_GAMMA, PATIENCE
+from strata.config import (
+    ASL_CLIP, ASL_GAMMA_NEG, ASL_GAMMA_POS, CB_BETA, FOCAL_GAMMA, GATE_NEAR_ONE_BATCH, GATE_NEAR_ZERO_BATCH, PATIENCE,
+)
 from strata.functions.columns import log_sigmoid, sigmoid, softplus
-from strata.operators import curves, losses
+from strata.operators import curves, heads, losses
 from strata.operators.prep import effective_number_weights, pos_weight
+from strata.sources.tables import write_shared_table
 
 
 @dataclass
@@ -121,100 +127,380 @@ def gradient_sums(
     return model.with_parameters(rows).agg(*aggs)
 
 
-def fit(
+@dataclass(frozen=True)
+class Option:
+    """One configuration to fit: loss, seed and optimiser settings."""
+
+    loss: str = "bce"
+    seed: int = 0
+    lr: float = 1e-3
+    weight_decay: float = 1e-2
+    max_grad_norm: float = 1.0
+    gamma: float = FOCAL_GAMMA
+    gamma_neg: float = ASL_GAMMA_NEG
+    gamma_pos: float = ASL_GAMMA_POS
+    clip: float = ASL_CLIP
+
+    def block_loss(self, alpha: np.ndarray, cb: np.ndarray) -> heads.BlockLoss:
+        """``alpha``: pos_weight per label; ``cb``: class-balanced (w_pos, w_neg) per label."""
+        w_pos, w_neg = cb.T if self.loss in ("cb", "cb_focal") else (alpha, np.ones_like(alpha))
+        return heads.BlockLoss(self.loss, w_pos, w_neg, self.gamma, self.gamma_neg, self.gamma_pos, self.clip)
+
+
+@dataclass
+class Fitted:
+    """A fitted head: best parameters, their epoch and the log of every epoch."""
+
+    head: heads.Head
+    option: Option
+    theta: np.ndarray
+    history: list[dict] = field(default_factory=list)
+    best_epoch: int | None = None
+
+
+@dataclass
+class _State:
+    """Parameters and AdamW moments of one option."""
+
+    theta: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    steps: float = 0.0
+
+    def step(self, grad: np.ndarray, lr: float, option: Option) -> float:
+        """One AdamW step on a mean gradient, its norm clipped; returns the norm before clipping."""
+        norm = float(np.linalg.norm(grad))
+        if norm > option.max_grad_norm:
+            grad = grad * (option.max_grad_norm / (norm + 1e-6))
+        b1, b2, eps = 0.9, 0.999, 1e-8
+        self.steps += 1
+        self.m, self.v = b1 * self.m + (1 - b1) * grad, b2 * self.v + (1 - b2) * grad * grad
+        mh, vh = self.m / (1 - b1**self.steps), self.v / (1 - b2**self.steps)
+        self.theta = self.theta * (1 - lr * option.weight_decay) - lr * mh / (np.sqrt(vh) + eps)
+        return norm
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.theta, self.m, self.v, [self.steps]])
+
+    @classmethod
+    def of(cls, v: np.ndarray) -> _State:
+        n = (len(v) - 1) // 3
+        return cls(v[:n], v[n : 2 * n], v[2 * n : 3 * n], float(v[-1]))
+
+
+_BLOCK = 1024  # numbers of a partial sum per row
+_MERGE = 16  # partial sums of an option that reach the driver, at most
+_PARTIAL = "option int, block int, part int, sums array<double>, most array<double>"
+
+
+def block_rows(df: DataFrame, features: list[str], label_cols: list[str], text_col: str | None = None, batch_col: str | None = None) -> DataFrame:
+    """Rows as the trainer's tasks read them: arrays ``x``, ``y`` (and ``t``, ``batch``)."""
+    cols = [F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.array(*[F.col(c).cast("double") for c in label_cols]).alias("y")]
+    if text_col:
+        cols.append(F.col(text_col).cast("array<double>").alias("t"))
+    if batch_col:
+        cols.append(F.col(batch_col).cast("long").alias("batch"))
+    return df.select(*cols)
+
+
+def _matrix(record: pa.RecordBatch, name: str) -> np.ndarray | None:
+    if name not in record.schema.names:
+        return None
+    return record.column(name).flatten().to_numpy(zero_copy_only=False).reshape(record.num_rows, -1)
+
+
+def _counts(z: np.ndarray, y: np.ndarray, gate: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums (tp, fp, fn per label at logit 0, gate values, gate moments) and maxima (gate, -gate) of a block."""
+    hit = z >= 0
+    sums = [np.concatenate([(hit * y).sum(0), (hit * (1 - y)).sum(0), (~hit * y).sum(0)])]
+    if gate is None:
+        return np.concatenate([*sums, np.zeros(5)]), np.full(2, -np.inf)
+    sums.append(np.array([gate.size, gate.sum(), (gate * gate).sum(), (gate < GATE_NEAR_ZERO_BATCH).sum(), (gate > GATE_NEAR_ONE_BATCH).sum()], float))
+    return np.concatenate(sums), np.array([gate.max(initial=-np.inf), (-gate).max(initial=-np.inf)])
+
+
+def _partial_rows(option: int, part: int, sums: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+    blocks = [sums[i : i + _BLOCK].tolist() for i in range(0, len(sums), _BLOCK)]
+    n = len(blocks)
+    return pa.RecordBatch.from_arrays([
+        pa.array([option] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()),
+        pa.array(blocks, pa.list_(pa.float64())), pa.array([most.tolist()] * n, pa.list_(pa.float64())),
+    ], names=[x.split()[0] for x in _PARTIAL.split(", ")])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Partial sums of one group, added in the order of their partitions (the same after a retry)."""
+    table = table.sort_by("part")
+    sums = np.sum(np.array(table.column("sums").to_pylist()), axis=0)
+    most = np.max(np.array(table.column("most").to_pylist()), axis=0)
+    first = {c: table.column(c).slice(0, 1) for c in ("option", "block", "part")}
+    return pa.table(first | {"sums": pa.array([sums.tolist()], pa.list_(pa.float64())), "most": pa.array([most.tolist()], pa.list_(pa.float64()))})
+
+
+def _gathered(partials: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sums and maxima of each option. Partitions' partials, in blocks of bounded length, are merged
+    in groups by Spark; the driver adds the last few and holds as many numbers as the parameters."""
+    group = F.pmod("part", F.lit(_MERGE))
+    merged = partials.groupBy("option", "block", group.alias("group")).applyInArrow(lambda t: _merge(t), _PARTIAL)
+    rows = sorted(merged.collect(), key=lambda r: (r["option"], r["block"], r["part"]))
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for option in sorted({r["option"] for r in rows}):
+        mine = [r for r in rows if r["option"] == option]
+        blocks = {b: np.sum([r["sums"] for r in mine if r["block"] == b], axis=0) for b in sorted({r["block"] for r in mine})}
+        out[option] = np.concatenate(list(blocks.values())), np.max([r["most"] for r in mine], axis=0)
+    return out
+
+
+def gradient_partials(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], losses_of: dict[int, heads.BlockLoss]) -> DataFrame:
+    """One pass over ``block_rows`` for ALL options: per option and partition the sums of the gradient
+    (a product of matrices per Arrow batch), the loss, the row count and the batch counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        most: dict[int, np.ndarray] = {}
+        for record in batches:
+            if not record.num_rows:
+                continue
+            x, y, t = (_matrix(record, c) for c in "xyt")
+            for option, theta in thetas.items():
+                w = head.parts(theta)
+                z, gate, kept = head.forward(w, x, t)
+                el, dz = losses_of[option](z, y)
+                counts, peak = _counts(z, y, gate)
+                add = np.concatenate([head.join(head.backward(w, kept, dz)), [el.sum(), len(y)], counts])
+                sums[option] = sums[option] + add if option in sums else add
+                most[option] = np.maximum(most[option], peak) if option in most else peak
+        part = TaskContext.get().partitionId()
+        for option in sums:
+            yield _partial_rows(option, part, sums[option], most[option])
+
+    return rows.mapInArrow(run, _PARTIAL)
+
+
+def local_round(
+    rows: DataFrame, head: heads.Head, states: dict[int, _State], losses_of: dict[int, heads.BlockLoss], options: dict[int, Option], lr: dict[int, float]
+) -> DataFrame:
+    """One epoch of mini-batches for all options: every partition takes its batches (runs of equal
+    ``batch``, in the order of the rows) from the given states, one AdamW step each, and returns its
+    parameters and moments times its rows, beside loss and counts. Nothing random happens inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = {o: _State.of(s.vector().copy()) for o, s in states.items()}
+        n, sums, most = 0, {}, {}
+        for x, y, t in _whole_batches(batches):
+            n += len(y)
+            for option, state in mine.items():
+                w = head.parts(state.theta)
+                z, gate, kept = head.forward(w, x, t)
+                el, dz = losses_of[option](z, y)
+                counts, peak = _counts(z, y, gate)
+                add = np.concatenate([[el.sum()], counts])
+                sums[option] = sums[option] + add if option in sums else add
+                most[option] = np.maximum(most[option], peak) if option in most else peak
+                state.step(head.join(head.backward(w, kept, dz)) / len(y), lr[option], options[option])
+        part = TaskContext.get().partitionId()
+        for option in sums:
+            yield _partial_rows(option, part, np.concatenate([mine[option].vector() * n, sums[option][:1], [n], sums[option][1:]]), most[option])
+
+    return rows.mapInArrow(run, _PARTIAL)
+
+
+def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Training batches (x, y, t) out of Arrow batches: rows with the same ``batch`` that follow each other."""
+    held: list[tuple] = []
+    number = None
+
+    def joined():
+        return tuple(None if p[0] is None else np.concatenate(p) for p in zip(*held, strict=True))
+
+    for record in batches:
+        if not record.num_rows:
+            continue
+        x, y, t = (_matrix(record, c) for c in "xyt")
+        ids = record.column("batch").to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if held and ids[s] != number:
+                yield joined()
+                held = []
+            number = ids[s]
+            held.append((x[s:e], y[s:e], None if t is None else t[s:e]))
+    if held:
+        yield joined()
+
+
+def score_options(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
+    """Long scores (keep..., option, label, y, logit, prob) of all options over ``block_rows`` (map only)."""
+    kept = [f for f in rows.schema.fields if f.name in keep]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "option int, label int, y int, logit double, prob double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            x, y, t = (_matrix(record, c) for c in "xyt") if record.num_rows else (None,) * 3
+            for option, theta in thetas.items() if record.num_rows else ():
+                z = head.forward(head.parts(theta), x, t)[0]
+                n, labels = z.shape
+                row = pa.array(np.repeat(np.arange(n), labels))
+                yield pa.RecordBatch.from_arrays([
+                    *(record.column(f.name).take(row) for f in kept), pa.array(np.full(n * labels, option, np.int32)),
+                    pa.array(np.tile(np.arange(labels, dtype=np.int32), n)), pa.array(y.ravel().astype(np.int32)),
+                    pa.array(z.ravel()), pa.array(heads.sigmoid(z).ravel()),
+                ], names=[*(f.name for f in kept), "option", "label", "y", "logit", "prob"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rates(counts: np.ndarray, most: np.ndarray, labels: int, prefix: str) -> dict[str, float]:
+    """Macro recall and F1, and gate statistics, from the counts of ``_counts``."""
+    tp, fp, fn = counts[: 3 * labels].reshape(3, labels)
+    out = {
+        f"{prefix}/acc": float(np.mean(np.divide(tp, tp + fn, out=np.zeros(labels), where=tp + fn > 0))),
+        f"{prefix}/f1_micro": float(2 * tp.sum() / max(2 * tp.sum() + fp.sum() + fn.sum(), 1.0)),
+        f"{prefix}/f1_macro": float(np.mean(np.divide(2 * tp, 2 * tp + fp + fn, out=np.zeros(labels), where=2 * tp + fp + fn > 0))),
+    }
+    n, total, squares, low, high = counts[3 * labels :]
+    if n:
+        mean = total / n
+        gate = {"mean": mean, "std": math.sqrt(max(squares / n - mean * mean, 0.0)), "min": -most[1], "max": most[0], "near_zero": low / n, "near_one": high / n}
+        out |= {f"{prefix}/gate/{k}": float(v) for k, v in gate.items()}
+    return out
+
+
+def _validate(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, dict[str, float]]:
+    """Exact validation macro-AUC of all options in one job (0 when a label is single-class)."""
+    scored = score_options(rows, head, thetas)
+    counts = curves.score_counts(scored, ["option", "label"])
+    auc = curves.auc_from_counts(counts, ["option", "label"]).groupBy("option").agg(F.avg("auc").alias("auc"), F.count("auc").alias("k")).collect()
+    out = {o: {"val_auc_macro": 0.0} for o in thetas}
+    for r in auc:
+        out[r["option"]]["val_auc_macro"] = float(r["auc"]) if r["k"] == labels else 0.0
+    return out
+
+
+def _loss_weights(train: DataFrame, label_cols: list[str], beta: float) -> tuple[np.ndarray, np.ndarray]:
+    """pos_weight (labels) and class-balanced weights (labels x 2) of the train split."""
+    pw = {r["label"]: r["pos_weight"] for r in pos_weight(train, label_cols).collect()}
+    cb = {r["label"]: (r["w_pos"], r["w_neg"]) for r in effective_number_weights(train, label_cols, beta).collect()}
+    return np.array([pw[l] for l in range(len(label_cols))]), np.array([cb[l] for l in range(len(label_cols))])
+
+
+def fit_many(
     train: DataFrame,
     val: DataFrame,
     features: list[str],
     label_cols: list[str],
-    key_cols: list[str],
-    loss: str = "bce",
+    options: Sequence[Option],
+    head: heads.Head | None = None,
+    text_col: str | None = None,
+    batch_col: str | None = None,
     epochs: int = 50,
-    lr: float = 1e-3,
-    weight_decay: float = 1e-2,
-    max_grad_norm: float = 1.0,
     patience: int = PATIENCE,
-    seed: int = 0,
-    gamma: float = FOCAL_GAMMA,
-    gamma_neg: float = ASL_GAMMA_NEG,
-    gamma_pos: float = ASL_GAMMA_POS,
-    clip: float = ASL_CLIP,
     beta: float = CB_BETA,
-) -> LinearModel:
-    """TRN1 + TRN2: fit the head, keep the parameters of the best validation
-    macro-AUC epoch, stop after ``patience`` epochs without strict improvement."""
-    L, Fn = len(label_cols), len(features)
-    rng = np.random.default_rng(seed)
-    bound = 1.0 / math.sqrt(Fn)
-    W = rng.uniform(-bound, bound, size=(L, Fn))
-    b = rng.uniform(-bound, bound, size=L)
-    tr = train.select(*[F.col(f).cast("double").alias(f) for f in features], *[F.col(c).cast("double").alias(c) for c in label_cols])
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    va = val.select(*key_cols, *features, *label_cols).persist(StorageLevel.MEMORY_AND_DISK)
-    # per-label weights: pos_weight (alpha) and class-balanced weights, from the persisted train split
-    pw = {r["label"]: r["pos_weight"] for r in pos_weight(tr, label_cols).collect()}
-    cb = {r["label"]: (r["w_pos"], r["w_neg"]) for r in effective_number_weights(tr, label_cols, beta).collect()}
-    m1, v1 = np.zeros(L * (Fn + 1)), np.zeros(L * (Fn + 1))
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    model = LinearModel(features, W, b)
-    best_auc, best, since = 0.0, (W.copy(), b.copy()), 0
-
-    def gradient(Wc: np.ndarray, bc: np.ndarray):
-        return gradient_sums(tr, LinearModel(features, Wc, bc), label_cols, loss, pw, cb, gamma, gamma_neg, gamma_pos, clip).first()
-
-    def val_auc(Wc: np.ndarray, bc: np.ndarray) -> float:
-        scored = LinearModel(features, Wc, bc).score(va, key_cols, label_cols)
-        a = curves.auc_per_label(scored).agg(F.avg("auc").alias("a"), F.count("auc").alias("k")).first()
-        return float(a["a"]) if a["k"] == L else 0.0
-
-    # validation of epoch e and the gradient of epoch e+1 use the same parameters:
-    # they run as two concurrent Spark jobs
-    pool = ThreadPoolExecutor(max_workers=2)
-    try:
-        r = gradient(W, b)
+) -> list[Fitted]:
+    """TRN1 + TRN2 for many options at once: each epoch is one gradient pass over train and one
+    validation pass for ALL options that still run; parameters travel as data. An option keeps the
+    parameters of its best validation macro-AUC epoch and leaves after ``patience`` epochs
+    without strict improvement. Results don't depend on which options run together.
+
+    Full-batch AdamW steps by default. With ``batch_col`` (``prep.assign_batches``) an epoch is a round
+    of mini-batch steps: partitions take their batches one after the other from the common state, and
+    their parameters and moments are averaged by rows. Train and val are written once to the shared folder."""
+    head = head or heads.Linear(len(features), len(label_cols))
+    text = text_col if head.reads_text else None
+    labels = len(label_cols)
+    alpha, cb = _loss_weights(train, label_cols, beta)
+    tr = block_rows(train, features, label_cols, text, batch_col)
+    if batch_col:
+        tr = tr.repartitionByRange("batch").sortWithinPartitions("batch", "x", "y")
+    tr = write_shared_table(tr, "fit-train")
+    va = write_shared_table(block_rows(val, features, label_cols, text), "fit-val")
+    fitted = [Fitted(head, o, head.start(o.seed)) for o in options]
+    states = {i: _State(f.theta, np.zeros(head.size()), np.zeros(head.size())) for i, f in enumerate(fitted)}
+    losses_of = {i: o.block_loss(alpha, cb) for i, o in enumerate(options)}
+    best, since = dict.fromkeys(states, 0.0), dict.fromkeys(states, 0)
+
+    def thetas() -> dict[int, np.ndarray]:
+        return {i: s.theta for i, s in states.items()}
+
+    def passes(epoch: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        if not batch_col:
+            return _gathered(gradient_partials(tr, head, thetas(), losses_of))
+        lr = {i: lr_at(epoch, options[i].lr) for i in states}
+        return _gathered(local_round(tr, head, states, losses_of, dict(enumerate(options)), lr))
+
+    # the validation of an epoch and the next gradient use the same parameters: two concurrent jobs
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        sums = passes(0)
         for epoch in range(epochs):
-            n = float(r["n"])
-            gW = np.array([[r[f"g{l}_{j}"] for j in range(Fn)] for l in range(L)]) / n
-            gb = np.array([r[f"g{l}_b"] for l in range(L)]) / n
-            grad = np.concatenate([gW.ravel(), gb])
-            norm = float(np.linalg.norm(grad))
-            if norm > max_grad_norm:
-                grad = grad * (max_grad_norm / (norm + 1e-6))
-            step_lr = lr_at(epoch, lr)
-            theta = np.concatenate([W.ravel(), b])
-            theta = theta - step_lr * weight_decay * theta
-            m1 = b1 * m1 + (1 - b1) * grad
-            v1 = b2 * v1 + (1 - b2) * grad * grad
-            mh, vh = m1 / (1 - b1 ** (epoch + 1)), v1 / (1 - b2 ** (epoch + 1))
-            theta = theta - step_lr * mh / (np.sqrt(vh) + eps)
-            W, b = theta[: L * Fn].reshape(L, Fn), theta[L * Fn :]
-            f_auc = pool.submit(val_auc, W.copy(), b.copy())
-            f_grad = pool.submit(gradient, W.copy(), b.copy()) if epoch + 1 < epochs else None
-            auc = f_auc.result()
-            model.history.append(
-                {"epoch": epoch + 1, "train_loss": r["loss_sum"] / (n * L), "val_auc_macro": auc, "lr": step_lr, "grad_norm": norm}
-            )
-            r = f_grad.result() if f_grad is not None else None
-            if auc > best_auc:
-                best_auc, best, since = auc, (W.copy(), b.copy()), 0
-                model.best_epoch = epoch + 1
-            else:
-                since += 1
-                if since >= patience:
-                    break
-    finally:
-        pool.shutdown(wait=True)
-        tr.unpersist()
-        va.unpersist()
-    model.W, model.b = best
-    return model
-
-
-def history_table(spark, model: LinearModel, run: int = 0, seed: int = 0) -> DataFrame:
+            logged = {}
+            for i, state in states.items():
+                total, most = sums[i]
+                at = 3 * head.size() + 1 if batch_col else head.size()
+                loss_sum, n, counts = total[at], total[at + 1], total[at + 2 :]
+                lr = lr_at(epoch, options[i].lr)
+                row = {"epoch": epoch + 1, "train_loss": loss_sum / (n * labels), "lr": lr}
+                if batch_col:
+                    states[i] = _State.of(total[:at] / n)
+                else:
+                    row["grad_norm"] = state.step(total[:at] / n, lr, options[i])
+                logged[i] = row | _rates(counts, most, labels, "train")
+            now = thetas()
+            checked = pool.submit(_validate, va, head, now, labels)
+            ahead = pool.submit(_gathered, gradient_partials(va, head, now, losses_of))
+            sums = passes(epoch + 1) if epoch + 1 < epochs else {}
+            for i, (total, most) in ahead.result().items():
+                at = head.size()
+                logged[i] |= {"val_loss": total[at] / (total[at + 1] * labels)} | _rates(total[at + 2 :], most, labels, "eval")
+            for i, got in checked.result().items():
+                row = logged[i] | got
+                fitted[i].history.append(row)
+                if row["val_auc_macro"] > best[i]:
+                    best[i], since[i] = row["val_auc_macro"], 0
+                    fitted[i].theta, fitted[i].best_epoch = now[i], epoch + 1
+                else:
+                    since[i] += 1
+                    if since[i] >= patience:
+                        del states[i]
+            if not states:
+                break
+    return fitted
+
+
+def save_fitted(spark: SparkSession, fitted: Sequence[Fitted], path: str) -> None:
+    """Store the best parameters of several fits as (option, position, value) rows."""
+    rows = [(i, k, float(v)) for i, f in enumerate(fitted) for k, v in enumerate(f.theta)]
+    spark.createDataFrame(rows, "option int, position int, value double").coalesce(1).write.parquet(path)
+
+
+def load_thetas(spark: SparkSession, path: str) -> dict[int, np.ndarray]:
+    """Parameters of ``save_fitted`` by option."""
+    out: dict[int, list[tuple[int, float]]] = {}
+    for r in spark.read.parquet(path).collect():  # options x parameters rows
+        out.setdefault(r["option"], []).append((r["position"], r["value"]))
+    return {i: np.array([v for _, v in sorted(rows)]) for i, rows in out.items()}
+
+
+def fit(
+    train: DataFrame, val: DataFrame, features: list[str], label_cols: list[str], key_cols: list[str] | None = None,
+    epochs: int = 50, patience: int = PATIENCE, beta: float = CB_BETA, **settings,
+) -> LinearModel:
+    """``fit_many`` of one linear head; ``settings`` are those of ``Option``."""
+    one = fit_many(train, val, features, label_cols, [Option(**settings)], epochs=epochs, patience=patience, beta=beta)[0]
+    return linear_model(one, features)
+
+
+def linear_model(fitted: Fitted, features: list[str]) -> LinearModel:
+    w = fitted.head.parts(fitted.theta)
+    return LinearModel(features, w["W"], w["b"], fitted.history, fitted.best_epoch)
+
+
+LOG_SCHEMA = "run long, seed long, epoch long, metric string, value double"
+
+
+def history_rows(history: list[dict], run: int = 0, seed: int = 0) -> list[tuple]:
+    return [(run, seed, h["epoch"], k, float(v)) for h in history for k, v in h.items() if k != "epoch"]
+
+
+def history_table(spark: SparkSession, model: LinearModel | Fitted, run: int = 0, seed: int = 0) -> DataFrame:
     """Metric log ``(run, seed, epoch, metric, value)`` of a fit (SRC5 shape)."""
-    rows = [
-        (run, seed, h["epoch"], k, float(v))
-        for h in model.history
-        for k, v in h.items()
-        if k != "epoch"
-    ]
-    return spark.createDataFrame(rows, "run long, seed long, epoch long, metric string, value double")
+    return spark.createDataFrame(history_rows(model.history, run, seed), LOG_SCHEMA)

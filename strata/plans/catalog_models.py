@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -232,8 +231,7 @@ def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled, feats = _scaled(spark, sf_dir)
     tr = scaled.where(F.col("split") == "train")
     va = scaled.where(F.col("split") == "val")
-    model = train.fit(tr, va, feats, fx.F1_LABELS, [fx.F1_KEY], loss="focal", lr=0.05, seed=0)
-    return train.history_table(spark, model)
+    return train.history_table(spark, train.fit(tr, va, feats, fx.F1_LABELS, loss="focal", lr=0.05, seed=0))
 
 
 def gradient_weights(n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,34 +319,35 @@ def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]]) -> DataFrame:
-    """Metric log of one fit per (loss, seed); ``run`` is the loss's number."""
+    """Metric log of one fit per (loss, seed); ``run`` is the loss's number. All fits share the jobs
+    of their epochs, of the threshold search and of the evaluation."""
     scaled, feats = _scaled(spark, sf_dir)
     data = tables.write_shared_table(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS), "run-data", ["split"])
     part = {x: data.where(F.col("split") == x) for x in ("train", "val", "test")}
-    log = tables.shared_folder(spark, "run-log")
-    records: list[DataFrame] = []
-
-    def one(option: tuple[str, int]) -> None:
-        loss, seed = option
+    fitted = train.fit_many(part["train"], part["val"], feats, fx.F1_LABELS, [train.Option(loss, seed, lr=0.05) for loss, seed in options])
+    folder, labels = tables.shared_folder(spark, "run-models"), len(fx.F1_LABELS)
+    train.save_fitted(spark, fitted, folder)
+    best = train.load_thetas(spark, folder)
+
+    def scored(split: str) -> DataFrame:
+        rows = train.score_options(train.block_rows(part[split], feats, fx.F1_LABELS), fitted[0].head, best)
+        return tables.write_shared_table(rows.select("option", "label", "y", "logit", "prob"), f"run-{split}")
+
+    def one_model_each(df: DataFrame) -> DataFrame:
+        return df.withColumn("label", F.col("option") * labels + F.col("label"))
+
+    val, test = scored("val"), scored("test")
+    tuned = thresholds.compare_methods(one_model_each(val), one_model_each(test), labels_per_model=labels).collect()  # a row per option and method
+    bundles = metrics.metric_bundle(test, group_cols=("option",)).collect()  # a row per option
+    rows = []
+    for i, (loss, seed) in enumerate(options):
         run = losses.LOSSES.index(loss)
-        folder = tables.shared_folder(spark, "run-model")
-        fitted = train.fit(part["train"], part["val"], feats, fx.F1_LABELS, [fx.F1_KEY], loss=loss, lr=0.05, seed=seed)
-        fitted.save(spark, folder)
-        best = train.LinearModel.load(spark, folder, feats)
-        # two small columns per label and row, read by tuning, evaluation and the record
-        val, test = (cut_lineage(best.score(part[x], [fx.F1_KEY], fx.F1_LABELS)) for x in ("val", "test"))
-        tuned = thresholds.compare_methods(val, test).collect()  # one row per method
-        bundle = metrics.metric_bundle(test).first()
-        record = [(f"test/{k}", float(bundle[k])) for k in bundle.asDict()]
-        record += [(f"test/{r['method']}/{k}", float(r[k])) for r in tuned for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]
-        rows = [(run, seed, fitted.best_epoch or 0, k, v) for k, v in record]
-        records.append(train.history_table(spark, fitted, run, seed).unionByName(spark.createDataFrame(rows, "run long, seed long, epoch long, metric string, value double")))
-
-    # the fits are independent series of small jobs: a few at a time fill the cluster
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        list(pool.map(one, options))
-    for record in records:
-        tables.append_metric_log(record.coalesce(1), log)
+        rows += train.history_rows(fitted[i].history, run, seed)
+        record = [(f"test/{k}", b[k]) for b in bundles if b["option"] == i for k in b.asDict() if k != "option"]
+        record += [(f"test/{r['method']}/{k}", r[k]) for r in tuned if r["model"] == i for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]
+        rows += [(run, seed, fitted[i].best_epoch or 0, k, float(v)) for k, v in record]
+    log = tables.shared_folder(spark, "run-log")
+    tables.append_metric_log(spark.createDataFrame(rows, train.LOG_SCHEMA).coalesce(1), log)
     return spark.read.parquet(log)
 
 

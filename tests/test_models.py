@@ -186,16 +186,16 @@ def test_seed_runs_are_whole_runs(spark, monkeypatch):
     from strata.plans import catalog_models as m
     from tests.conftest import SF_SMALL
 
-    asked, real = [], m.train.fit
+    asked, real = [], m.train.fit_many
 
-    def fit(*a, **options):
-        asked.append(options.get("epochs", 50))
-        return real(*a, **options | {"epochs": 1})
+    def fit_many(*a, **settings):
+        asked.append((len(a[4]), settings.get("epochs", 50)))
+        return real(*a, **settings | {"epochs": 1})
 
-    monkeypatch.setattr(m.train, "fit", fit)
+    monkeypatch.setattr(m.train, "fit_many", fit_many)
     monkeypatch.setattr(m.losses, "LOSSES", m.losses.LOSSES[:2])
     rows = m.run_seeds(spark, SF_SMALL).collect()
-    assert asked == [50] * 4
+    assert asked == [(4, 50)]
     assert {r.n_seeds for r in rows} == {2}
     methods = {r.metric.split("/")[1] for r in rows if r.metric.count("/") == 2}
     assert len(methods) >= 3
