@@ -108,7 +108,21 @@ def auc_from_counts(counts: DataFrame, part_cols: list[str], buckets: int = SCOR
     final one per part reuse the partitioning of the window before them."""
     parts = list(part_cols) or ["_strata_all"]
     c = counts if part_cols else counts.withColumn("_strata_all", F.lit(0))
-    c = c.withColumn("_b", score_bucket("score", buckets, descending=True))
+    out = _auc(c.withColumn("_b", score_bucket("score", buckets, descending=True)), parts)
+    return out if part_cols else out.select("auc")
+
+
+def auc_of_scores(scored: DataFrame, part_cols: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
+    """``auc_from_counts`` straight from scored rows ``(part..., prob, y)`` with few equal scores: they
+    are dealt by (part, bucket) at once, so counting, ranking and the sums per bucket need one exchange."""
+    b = score_bucket("prob", buckets, descending=True)
+    dealt = scored.select(*part_cols, b.alias("_b"), F.col("prob").alias("score"), F.col("y").cast("long").alias("y")).repartition(*part_cols, "_b")
+    counts = dealt.groupBy(*part_cols, "_b", "score").agg(F.sum("y").alias("pos"), F.sum(F.lit(1) - F.col("y")).alias("neg"))
+    return _auc(counts, list(part_cols))
+
+
+def _auc(c: DataFrame, parts: list[str]) -> DataFrame:
+    """AUC per part from ``(part..., _b, score, pos, neg)``."""
     above = Window.partitionBy(*parts, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     within = c.withColumn("_pa", F.coalesce(F.sum(pos).over(above), F.lit(0.0)))
@@ -119,8 +133,7 @@ def auc_from_counts(counts: DataFrame, part_cols: list[str], buckets: int = SCOR
     crossed = per_bucket.withColumn("_ph", F.coalesce(F.sum("_p").over(higher), F.lit(0.0)))
     P, N = F.sum("_p"), F.sum("_n")
     auc = F.when((P > 0) & (N > 0), F.sum(F.col("_w") + F.col("_n") * F.col("_ph")) / (P * N))
-    out = crossed.groupBy(*parts).agg(auc.alias("auc"))
-    return out if part_cols else out.select("auc")
+    return crossed.groupBy(*parts).agg(auc.alias("auc"))
 
 
 def auc_per_label(scored: DataFrame) -> DataFrame:

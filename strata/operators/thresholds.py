@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Generator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.config import COARSE_CANDIDATES, GRID_CANDIDATES, SIMPLEX_BOUNDS, SIMPLEX_FATOL, SIMPLEX_XATOL
@@ -157,28 +158,73 @@ def _metric_value(metric: str, tp: np.ndarray, fp: np.ndarray, P: np.ndarray, N:
     raise ValueError(f"Unknown metric: {metric}")
 
 
-def _objective_values(
-    spark: SparkSession,
-    steps: DataFrame,
-    totals: dict[int, tuple[int, int]],
-    asked: list[tuple[list[int], np.ndarray]],
-    metric: str,
-) -> list[float]:
-    """Metric of several threshold vectors, each over its own labels, in ONE aggregate job: the
-    vertex table (points x labels rows) is broadcast against the per-label distinct score
-    counts; only the (points x labels) true/false positive counts come back.
-    Thresholds travel as data, so the generated code is the same every iteration."""
-    rows = [(v, int(lab), float(t)) for v, (labels, point) in enumerate(asked) for lab, t in zip(labels, point, strict=True)]
-    verts = spark.createDataFrame(rows, "vid int, label int, t double")
-    j = steps.join(F.broadcast(verts), "label").where(F.col("score") >= F.col("t"))
-    got = {(r["vid"], r["label"]): (r["tp"], r["fp"]) for r in j.groupBy("vid", "label").agg(
-        F.sum("pos").alias("tp"), F.sum("neg").alias("fp")).collect()}
-    out = []
-    for v, (labels, _) in enumerate(asked):
-        P, N = (np.array([totals[lab][k] for lab in labels], dtype=float) for k in (0, 1))
-        tp, fp = (np.array([got.get((v, lab), (0, 0))[k] for lab in labels], dtype=float) for k in (0, 1))
-        out.append(-_metric_value(metric, tp, fp, P, N))
-    return out
+class CountIndex:
+    """Exact counts of scores from a threshold on, for a search that asks for many thresholds.
+
+    Level 1 holds the counts of 4,096 equally wide buckets per label. A threshold inside a bucket needs
+    that bucket's own scores (or, if they are many, its 4,096 sub-buckets); until ``fetch`` has
+    brought them, its count is estimated and the bucket noted in ``missing``. A search is therefore
+    run on the estimates, what it touched is fetched in one job, and it is run again, until it touches
+    nothing unknown. Bucket numbers are exact: they scale a score by powers of two."""
+
+    BITS, SCORES, DEEPEST = 12, 4096, 4
+
+    def __init__(self, steps: DataFrame) -> None:
+        self.steps, self.jobs = steps, 0
+        self.nodes: dict[tuple[int, int, int], tuple] = {}
+        self.missing: dict[tuple[int, int, int], int] = {}
+        self._store(steps.select("label", F.lit(0).alias("level"), F.lit(0).cast("long").alias("node"), F.lit(False).alias("whole"),
+                                 self._bucket(1).cast("double").alias("key"), "pos", "neg"))
+        self.totals = {label: (int(n[2][0]), int(n[3][0])) for (label, _, _), n in self.nodes.items()}
+
+    def _bucket(self, level: int) -> Column:
+        return F.floor(F.col("score") * float(1 << (self.BITS * level)))
+
+    def _store(self, rows: DataFrame) -> None:
+        """Collect nodes: at most 4,096 keys each (sub-buckets, or scores)."""
+        self.jobs += 1
+        got = rows.groupBy("label", "level", "node", "whole", "key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("n")).collect()
+        grouped: dict[tuple, list] = {}
+        for r in got:
+            grouped.setdefault((r["label"], r["level"], r["node"], r["whole"]), []).append((r["key"], r["pos"], r["neg"], r["n"]))
+        for (label, level, node, whole), rows_ in grouped.items():
+            key, pos, neg, n = map(np.array, zip(*sorted(rows_), strict=True))
+            upto = [np.append(np.cumsum(c[::-1])[::-1], 0) for c in (pos, neg)]
+            self.nodes[(label, level, node)] = (whole, key, *upto, n)
+
+    def from_(self, label: int, t: float) -> tuple[float, float]:
+        """(positives, negatives) of ``label`` with a score of ``t`` or more."""
+        where, pos, neg = (label, 0, 0), 0.0, 0.0
+        while True:
+            whole, key, p, n, distinct = self.nodes[where]
+            if whole:
+                i = int(np.searchsorted(key, t))
+                return pos + p[i], neg + n[i]
+            level = where[1] + 1
+            bucket = math.floor(t * (1 << (self.BITS * level)))
+            i = int(np.searchsorted(key, bucket, side="right"))
+            pos, neg = pos + p[i], neg + n[i]
+            if i == 0 or key[i - 1] != bucket:
+                return pos, neg
+            where = (label, level, bucket)
+            if where not in self.nodes:
+                self.missing[where] = int(distinct[i - 1])
+                return pos + (p[i - 1] - p[i]) / 2, neg + (n[i - 1] - n[i]) / 2
+
+    def fetch(self) -> None:
+        """Bring the missing buckets in one job."""
+        asked, self.missing = self.missing, {}
+        parts = []
+        for level in sorted({w[1] for w in asked}):
+            rows = [(lab, b, n <= self.SCORES or level >= self.DEEPEST) for (lab, lv, b), n in asked.items() if lv == level]
+            wanted = F.broadcast(self.steps.sparkSession.createDataFrame(rows, "label int, node long, whole boolean"))
+            found = self.steps.withColumn("node", self._bucket(level)).join(wanted, ["label", "node"])
+            key = F.when(F.col("whole"), F.col("score")).otherwise(self._bucket(level + 1).cast("double"))
+            parts.append(found.select("label", F.lit(level).alias("level"), "node", "whole", key.alias("key"), "pos", "neg"))
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        self._store(rows)
 
 
 def _step(mirror: float, far: float, outside: float, inside: float, heights: np.ndarray) -> str | None:
@@ -256,27 +302,35 @@ def downhill_simplex(
 def tune_simplex(scored: DataFrame, metric: str = "f1_macro", n_iterations: int = 50, labels_per_model: int | None = None) -> DataFrame:
     """THR4: joint refinement of all labels' thresholds by Nelder-Mead on
     ``-metric`` (``f1_macro``, ``f1_micro`` or ``balanced_acc``), started from the
-    coarse grid, result clipped to [0.05, 0.95]. The driver only holds the
-    simplex; each objective batch is one aggregate over the written
-    distinct-score table. Returns ``(label, threshold)``.
+    coarse grid, result clipped to [0.05, 0.95]. The driver holds the simplex and a
+    ``CountIndex`` of the distinct scores: a search costs a few jobs, not one per round, and its
+    counts are exact. Returns ``(label, threshold)``.
 
     With ``labels_per_model`` the labels belong to several models (label // labels_per_model),
-    each refined by a simplex of its own; the models' rounds share their jobs."""
+    each refined by a simplex of its own; they share the index and its jobs."""
     if metric not in ("f1_macro", "f1_micro", "balanced_acc"):
         raise ValueError(f"Unknown metric: {metric}")
     spark = scored.sparkSession
-    # every objective batch scans this table
-    steps = write_shared_table(curves.score_counts(scored), "simplex-counts")
+    steps = write_shared_table(curves.score_counts(scored), "simplex-counts")  # scanned by the few jobs of the index
     coarse = tune_coarse(steps.select("label", F.col("score").alias("prob"), "pos", "neg"))
     start = {r["label"]: r["threshold"] for r in coarse.collect()}
-    # per-label totals: one row per label, fetched once
-    totals = {r["label"]: (r["P"], r["N"]) for r in steps.groupBy("label").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()}
+    index = CountIndex(steps)
     models: dict[int, list[int]] = {}
     for lab in sorted(start):
         models.setdefault(lab // labels_per_model if labels_per_model else 0, []).append(lab)
     groups = list(models.values())
-    searches = [simplex_rounds(np.array([start[lab] for lab in labels]), n_iterations) for labels in groups]
-    best = minimise_together(searches, lambda pairs: _objective_values(spark, steps, totals, [(groups[i], p) for i, p in pairs], metric))
+
+    def height(labels: list[int], point: np.ndarray) -> float:
+        got = np.array([index.from_(lab, float(t)) for lab, t in zip(labels, point, strict=True)])
+        total = np.array([index.totals[lab] for lab in labels], dtype=float)
+        return -_metric_value(metric, got[:, 0], got[:, 1], total[:, 0], total[:, 1])
+
+    while True:
+        searches = [simplex_rounds(np.array([start[lab] for lab in labels]), n_iterations) for labels in groups]
+        best = minimise_together(searches, lambda pairs: [height(groups[i], p) for i, p in pairs])
+        if not index.missing:
+            break
+        index.fetch()
     lo, hi = SIMPLEX_BOUNDS
     rows = [(int(lab), float(np.clip(t, lo, hi))) for labels, point in zip(groups, best, strict=True) for lab, t in zip(labels, point, strict=True)]
     return spark.createDataFrame(rows, "label int, threshold double")

@@ -237,11 +237,14 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table(first | {"sums": pa.array([sums.tolist()], pa.list_(pa.float64())), "most": pa.array([most.tolist()], pa.list_(pa.float64()))})
 
 
-def _gathered(partials: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _gathered(partials: DataFrame, partitions: int = _MERGE + 1) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Sums and maxima of each option. Partitions' partials, in blocks of bounded length, are merged
-    in groups by Spark; the driver adds the last few and holds as many numbers as the parameters."""
-    group = F.pmod("part", F.lit(_MERGE))
-    merged = partials.groupBy("option", "block", group.alias("group")).applyInArrow(lambda t: _merge(t), _PARTIAL)
+    in groups by Spark (unless there are so few ``partitions`` that they are no more than the groups);
+    the driver adds the last few and holds as many numbers as the parameters."""
+    merged = partials
+    if partitions > _MERGE:
+        group = F.pmod("part", F.lit(_MERGE))
+        merged = partials.groupBy("option", "block", group.alias("group")).applyInArrow(lambda t: _merge(t), _PARTIAL)
     rows = sorted(merged.collect(), key=lambda r: (r["option"], r["block"], r["part"]))
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for option in sorted({r["option"] for r in rows}):
@@ -253,7 +256,8 @@ def _gathered(partials: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def gradient_partials(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], losses_of: dict[int, heads.BlockLoss]) -> DataFrame:
     """One pass over ``block_rows`` for ALL options: per option and partition the sums of the gradient
-    (a product of matrices per Arrow batch), the loss, the row count and the batch counts."""
+    (a product of matrices per Arrow batch), the loss, the row count and the batch counts. Rows whose
+    column ``val`` (if there is one) is true give no gradient; their sums stand under -1 - option."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -261,15 +265,20 @@ def gradient_partials(rows: DataFrame, head: heads.Head, thetas: dict[int, np.nd
         for record in batches:
             if not record.num_rows:
                 continue
-            x, y, t = (_matrix(record, c) for c in "xyt")
-            for option, theta in thetas.items():
-                w = head.parts(theta)
-                z, gate, kept = head.forward(w, x, t)
-                el, dz = losses_of[option](z, y)
-                counts, peak = _counts(z, y, gate)
-                add = np.concatenate([head.join(head.backward(w, kept, dz)), [el.sum(), len(y)], counts])
-                sums[option] = sums[option] + add if option in sums else add
-                most[option] = np.maximum(most[option], peak) if option in most else peak
+            held_out = record.column("val").to_numpy(zero_copy_only=False) if "val" in record.schema.names else np.zeros(record.num_rows, bool)
+            for val in (False, True):
+                if not (held_out == val).any():
+                    continue
+                x, y, t = (None if m is None else m[held_out == val] for m in (_matrix(record, c) for c in "xyt"))
+                for option, theta in thetas.items():
+                    w = head.parts(theta)
+                    z, gate, kept = head.forward(w, x, t)
+                    el, dz = losses_of[option](z, y)
+                    counts, peak = _counts(z, y, gate)
+                    grad = [] if val else head.join(head.backward(w, kept, dz))
+                    add, key = np.concatenate([grad, [el.sum(), len(y)], counts]), -1 - option if val else option
+                    sums[key] = sums[key] + add if key in sums else add
+                    most[key] = np.maximum(most[key], peak) if key in most else peak
         part = TaskContext.get().partitionId()
         for option in sums:
             yield _partial_rows(option, part, sums[option], most[option])
@@ -366,11 +375,16 @@ def _rates(counts: np.ndarray, most: np.ndarray, labels: int, prefix: str) -> di
     return out
 
 
+def _held_out(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], losses_of: dict[int, heads.BlockLoss], partitions: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Loss and counts of all options over validation rows alone."""
+    got = _gathered(gradient_partials(rows.withColumn("val", F.lit(True)), head, thetas, losses_of), partitions)
+    return {-1 - o: v for o, v in got.items()}
+
+
 def _validate(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, dict[str, float]]:
     """Exact validation macro-AUC of all options in one job (0 when a label is single-class)."""
     scored = score_options(rows, head, thetas)
-    counts = curves.score_counts(scored, ["option", "label"])
-    auc = curves.auc_from_counts(counts, ["option", "label"]).groupBy("option").agg(F.avg("auc").alias("auc"), F.count("auc").alias("k")).collect()
+    auc = curves.auc_of_scores(scored, ["option", "label"]).groupBy("option").agg(F.avg("auc").alias("auc"), F.count("auc").alias("k")).collect()
     out = {o: {"val_auc_macro": 0.0} for o in thetas}
     for r in auc:
         out[r["option"]]["val_auc_macro"] = float(r["auc"]) if r["k"] == labels else 0.0
@@ -410,10 +424,13 @@ def fit_many(
     labels = len(label_cols)
     alpha, cb = _loss_weights(train, label_cols, beta)
     tr = block_rows(train, features, label_cols, text, batch_col)
-    if batch_col:
-        tr = tr.repartitionByRange("batch").sortWithinPartitions("batch", "x", "y")
-    tr = write_shared_table(tr, "fit-train")
     va = write_shared_table(block_rows(val, features, label_cols, text), "fit-val")
+    if batch_col:
+        tr = write_shared_table(tr.repartitionByRange("batch").sortWithinPartitions("batch", "x", "y"), "fit-train")
+    else:
+        both = tr.withColumn("val", F.lit(False)).unionByName(va.withColumn("val", F.lit(True)))
+        tr = write_shared_table(both, "fit-rows")
+    partitions = {id(df): df.rdd.getNumPartitions() for df in (tr, va)}  # from the plan; nothing runs
     fitted = [Fitted(head, o, head.start(o.seed)) for o in options]
     states = {i: _State(f.theta, np.zeros(head.size()), np.zeros(head.size())) for i, f in enumerate(fitted)}
     losses_of = {i: o.block_loss(alpha, cb) for i, o in enumerate(options)}
@@ -422,15 +439,17 @@ def fit_many(
     def thetas() -> dict[int, np.ndarray]:
         return {i: s.theta for i, s in states.items()}
 
-    def passes(epoch: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        if not batch_col:
-            return _gathered(gradient_partials(tr, head, thetas(), losses_of))
+    def gradients(rows: DataFrame, now: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return _gathered(gradient_partials(rows, head, now, losses_of), partitions[id(rows)])
+
+    def round_of_batches(epoch: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         lr = {i: lr_at(epoch, options[i].lr) for i in states}
-        return _gathered(local_round(tr, head, states, losses_of, dict(enumerate(options)), lr))
+        return _gathered(local_round(tr, head, states, losses_of, dict(enumerate(options)), lr), partitions[id(tr)])
 
-    # the validation of an epoch and the next gradient use the same parameters: two concurrent jobs
+    # an epoch's validation and the next epoch's gradient use the same parameters: one pass over all
+    # rows, beside the job that ranks the validation scores
     with ThreadPoolExecutor(max_workers=2) as pool:
-        sums = passes(0)
+        sums = round_of_batches(0) if batch_col else gradients(tr, thetas())
         for epoch in range(epochs):
             logged = {}
             for i, state in states.items():
@@ -445,13 +464,17 @@ def fit_many(
                     row["grad_norm"] = state.step(total[:at] / n, lr, options[i])
                 logged[i] = row | _rates(counts, most, labels, "train")
             now = thetas()
-            checked = pool.submit(_validate, va, head, now, labels)
-            ahead = pool.submit(_gathered, gradient_partials(va, head, now, losses_of))
-            sums = passes(epoch + 1) if epoch + 1 < epochs else {}
-            for i, (total, most) in ahead.result().items():
-                at = head.size()
-                logged[i] |= {"val_loss": total[at] / (total[at + 1] * labels)} | _rates(total[at + 2 :], most, labels, "eval")
-            for i, got in checked.result().items():
+            ranked = pool.submit(_validate, va, head, now, labels)
+            if batch_col:
+                checked = pool.submit(_held_out, va, head, now, losses_of, partitions[id(va)])
+                sums = round_of_batches(epoch + 1) if epoch + 1 < epochs else {}
+                held_out = checked.result()
+            else:
+                sums = gradients(tr, now)
+                held_out = {-1 - o: v for o, v in sums.items() if o < 0}
+            for i, (total, most) in held_out.items():
+                logged[i] |= {"val_loss": total[0] / (total[1] * labels)} | _rates(total[2:], most, labels, "eval")
+            for i, got in ranked.result().items():
                 row = logged[i] | got
                 fitted[i].history.append(row)
                 if row["val_auc_macro"] > best[i]:

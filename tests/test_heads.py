@@ -192,3 +192,51 @@ def test_simplexes_that_share_jobs_equal_single_ones(spark):
     both = thresholds.compare_methods(scored, scored, simplex_iterations=5, labels_per_model=2)
     one = thresholds.compare_methods(scored.where("label < 2"), scored.where("label < 2"), simplex_iterations=5)
     assert sorted(map(tuple, both.where("model = 0").drop("model").collect())) == sorted(map(tuple, one.collect()))
+
+
+@pytest.mark.parametrize("metric", ["f1_macro", "f1_micro", "balanced_acc"])
+def test_simplex_over_the_count_index_is_exact_and_takes_few_jobs(spark, metric, monkeypatch):
+    """The search over the index equals one over plain counts, also where buckets hold too many scores."""
+    from strata.operators import curves, thresholds
+
+    monkeypatch.setattr(thresholds.CountIndex, "BITS", 4)
+    monkeypatch.setattr(thresholds.CountIndex, "SCORES", 8)
+    indexes, real = [], thresholds.CountIndex
+
+    def made(steps):
+        indexes.append(real(steps))
+        return indexes[-1]
+
+    rng = np.random.default_rng(9)
+    data = {lab: [(float(p), int(rng.random() < p)) for p in np.append(rng.beta(2, 3, 800), [0.0, 1.0, 0.5])] for lab in range(3)}
+    scored = spark.createDataFrame([(lab, y, p) for lab, rows in data.items() for p, y in rows], "label int, y int, prob double")
+    monkeypatch.setattr(thresholds, "CountIndex", made)
+    got = {r.label: r.threshold for r in thresholds.tune_simplex(scored, metric, 25).collect()}
+    start = {r.label: r.threshold for r in thresholds.tune_coarse(scored).collect()}
+    P, N = (np.array([sum(y == k for _, y in data[lab]) for lab in range(3)], float) for k in (1, 0))
+
+    def height(point):
+        tp, fp = (np.array([sum(y == k and p >= t for p, y in data[lab]) for lab, t in enumerate(point)], float) for k in (1, 0))
+        return -thresholds._metric_value(metric, tp, fp, P, N)
+
+    best = thresholds.downhill_simplex(lambda pts: [height(p) for p in pts], np.array([start[lab] for lab in range(3)]), 25)
+    assert got == {lab: float(np.clip(best[lab], 0.05, 0.95)) for lab in range(3)}
+    assert indexes[0].jobs <= 12
+    for t in (-0.1, 0.0, 0.3, 0.5, 1.0, 1.5):
+        index = real(curves.score_counts(scored))
+        while True:
+            tp = index.from_(1, t)
+            if not index.missing:
+                break
+            index.fetch()
+        assert tp == (sum(y and p >= t for p, y in data[1]), sum(not y and p >= t for p, y in data[1]))
+
+
+def test_auc_of_scores_equals_auc_from_counts(spark):
+    from strata.operators import curves
+
+    rng = np.random.default_rng(10)
+    rows = [(int(g), int(rng.random() < 0.4), float(p)) for g in range(3) for p in rng.random(300).round(2)] + [(7, 1, 0.5)]
+    scored = spark.createDataFrame(rows, "label int, y int, prob double")
+    want = {r.label: r.auc for r in curves.auc_per_label(scored).collect()}
+    assert {r.label: r.auc for r in curves.auc_of_scores(scored, ["label"]).collect()} == pytest.approx(want)
