@@ -188,7 +188,7 @@ class _State:
         return cls(v[:n], v[n : 2 * n], v[2 * n : 3 * n], float(v[-1]))
 
 
-_BLOCK = 1024  # numbers of a partial sum per row
+BLOCK = 1024  # numbers of a partial sum per row
 _MERGE = 16  # partial sums of an option that reach the driver, at most
 _PARTIAL = "option int, block int, part int, sums array<double>, most array<double>"
 
@@ -220,7 +220,7 @@ def _counts(z: np.ndarray, y: np.ndarray, gate: np.ndarray | None) -> tuple[np.n
 
 
 def _partial_rows(option: int, part: int, sums: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
-    blocks = [sums[i : i + _BLOCK].tolist() for i in range(0, len(sums), _BLOCK)]
+    blocks = [sums[i : i + BLOCK].tolist() for i in range(0, len(sums), BLOCK)]
     n = len(blocks)
     return pa.RecordBatch.from_arrays([
         pa.array([option] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()),

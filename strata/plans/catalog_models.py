@@ -221,7 +221,7 @@ def dataset_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ TRN / MET10 / RUN4
 
-from strata.operators import losses, metrics, runs, thresholds, train  # noqa: E402
+from strata.operators import heads, losses, metrics, runs, thresholds, train  # noqa: E402
 
 
 @register("fit_multilabel")
@@ -261,6 +261,57 @@ for _name in losses.LOSSES:
     register(f"gradient_{_name}")(_gradient(_name))
 
 
+def _option_gradients(rows: DataFrame, head: heads.Head, n_labels: int) -> DataFrame:
+    """Mean gradients (loss, parameter, position, gradient) of a head under every loss, from one pass over
+    the rows: rule parameters, label weights 1, 2, .. (class-balanced ones with 0.5 for negatives)."""
+    alpha = np.arange(1.0, n_labels + 1)
+    cb = np.stack([alpha, np.full(n_labels, 0.5)], axis=1)
+    theta = head.join({k: fx.rational_weights(s) for k, s in head.shapes().items()})
+    options = {i: train.Option(loss).block_loss(alpha, cb) for i, loss in enumerate(losses.LOSSES)}
+    sums = train.gradient_partials(rows, head, dict.fromkeys(options, theta), options)
+    # partial sums of all partitions, block by block; then one row per parameter element
+    flat = sums.select("option", F.posexplode("sums").alias("k", "value"), "block").groupBy(
+        "option", (F.col("block") * train.BLOCK + F.col("k")).alias("k")
+    ).agg(F.sum("value").alias("value"))
+    n = flat.where(F.col("k") == head.size() + 1).select("option", F.col("value").alias("n"))
+    names, at = [], 0
+    for name, shape in head.shapes().items():
+        size = int(np.prod(shape))
+        names.append(F.when((F.col("k") >= at) & (F.col("k") < at + size), F.struct(F.lit(name).alias("parameter"), (F.col("k") - at).cast("int").alias("position"))))
+        at += size
+    loss = F.element_at(F.array(*map(F.lit, losses.LOSSES)), F.col("option") + 1)
+    return flat.where(F.col("k") < head.size()).join(n, "option").select(
+        loss.alias("loss"), F.inline(F.array(F.coalesce(*names))), (F.col("value") / F.col("n")).alias("gradient")
+    ).select("loss", "parameter", "position", r6("gradient").alias("gradient"))
+
+
+def cross_head(n_features: int) -> heads.LowRankCross:
+    return heads.LowRankCross(n_features, 4, layers=3, rank=2)
+
+
+@register("gradient_cross")
+def gradient_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRN1, one step of the low-rank cross head: three layers, all losses in one pass over the scaled
+    train split."""
+    scaled, feats = _scaled(spark, sf_dir)
+    rows = train.block_rows(scaled.where(F.col("split") == "train"), feats, fx.F1_LABELS)
+    return _option_gradients(rows, cross_head(len(feats)), 4)
+
+
+def fusion_head() -> heads.GatedFusion:
+    return heads.GatedFusion(len(FUSION_FEATURES), 64, 2, embed_dim=8)
+
+
+@register("gradient_fusion")
+def gradient_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRN1, one step of the gated-fusion head (numeric and text projection, gate, classifier): all
+    losses in one pass over the train split of the joined text and vector tables."""
+    fusion = tables.write_shared_table(prep.stratified_split(fx.fusion_table(spark, sf_dir), "doc_id", ["quality", "toxic"]), "fusion-split", ["split"])
+    tr = fusion.where(F.col("split") == "train")
+    scaled = prep.fit_scaler(tr, FUSION_FEATURES).transform(tr)
+    return _option_gradients(train.block_rows(scaled, FUSION_FEATURES, ["quality", "toxic"], "embedding"), fusion_head(), 2)
+
+
 @register("evaluate_split")
 def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MET10: score the test split with the gated-fusion scorer once and derive

@@ -208,10 +208,11 @@ FROM f1s"""
     from strata.plans import oracle_fusion
 
     q.update(oracle_fusion.fusion_sql())
-    from strata.plans import oracle_dcn
+    from strata.plans import oracle_dcn, oracle_heads
 
     q.update(oracle_dcn.dcn_sql())
     q.update(oracle_dcn.gradient_sql())
+    q.update(oracle_heads.heads_sql())
     return q
 
 

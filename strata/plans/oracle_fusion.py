@@ -117,16 +117,8 @@ class _Net:
         return self.layer_norm(self.linear(h, f"{pre}embedding"), f"{pre}embedding.ln", e)
 
 
-def _fused_sql(kind: str) -> tuple[list[str], str, str, str | None]:
-    """CTEs of the scored fusion table, its final CTE name, the logits column and
-    (gated) the gate column."""
-    from strata.operators.scoring import weight_shapes
-    from strata.plans.catalog_models import fusion_spec
-    from strata.plans.fixtures import rational_weights
-
-    spec = fusion_spec(kind)
-    assert spec.deep_type == "bottleneck" and spec.cross_type == "standard" and spec.activation == "relu"
-    weights = {k: rational_weights(v).astype(np.float32).astype(np.float64) for k, v in weight_shapes(spec).items()}
+def fusion_base() -> list[str]:
+    """CTEs up to ``fx``: the split, scaled numeric features ``x`` and vectors ``emb``."""
     stats = ", ".join(
         f"avg(CAST({f} AS DOUBLE)) AS m_{f}, stddev_pop(CAST({f} AS DOUBLE)) AS s_{f}, count({f}) AS n_{f}"
         for f in FUSION_FEATURES
@@ -137,7 +129,7 @@ def _fused_sql(kind: str) -> tuple[list[str], str, str, str | None]:
         for f in FUSION_FEATURES
     }
     scaled = ", ".join(f"(CAST({f} AS DOUBLE) - m_{f}) / ({scale[f]})" for f in FUSION_FEATURES)
-    base = [
+    return [
         F3A.strip("\n"),
         "fj AS (SELECT f3a.*, CAST(e.embedding AS DOUBLE[]) AS emb FROM f3a JOIN embeddings e ON e.vec_id = f3a.doc_id)",
         f"""fr AS (SELECT *, row_number() OVER (PARTITION BY quality, toxic
@@ -148,6 +140,19 @@ def _fused_sql(kind: str) -> tuple[list[str], str, str, str | None]:
         f"fst AS (SELECT {stats} FROM fs WHERE split = 'train')",
         f"fx AS (SELECT doc_id, split, quality, toxic, emb, [{scaled}] AS x FROM fs, fst)",
     ]
+
+
+def _fused_sql(kind: str) -> tuple[list[str], str, str, str | None]:
+    """CTEs of the scored fusion table, its final CTE name, the logits column and
+    (gated) the gate column."""
+    from strata.operators.scoring import weight_shapes
+    from strata.plans.catalog_models import fusion_spec
+    from strata.plans.fixtures import rational_weights
+
+    spec = fusion_spec(kind)
+    assert spec.deep_type == "bottleneck" and spec.cross_type == "standard" and spec.activation == "relu"
+    weights = {k: rational_weights(v).astype(np.float32).astype(np.float64) for k, v in weight_shapes(spec).items()}
+    base = fusion_base()
     chain = _Chain("fx")
     net = _Net(chain, weights)
     e = spec.embed_dim

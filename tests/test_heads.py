@@ -68,7 +68,7 @@ FEATURES, LABELS = ["a", "b", "c"], ["y0", "y1"]
 
 @pytest.mark.parametrize("head", HEADS, ids=lambda h: type(h).__name__)
 def test_partials_over_many_partitions_equal_one_block(spark, head, monkeypatch):
-    monkeypatch.setattr(train, "_BLOCK", 7)
+    monkeypatch.setattr(train, "BLOCK", 7)
     tr, _ = table(spark)
     rows = train.block_rows(tr, FEATURES, LABELS, "t" if head.reads_text else None)
     theta = {0: head.start(1), 4: head.start(2)}
