@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join by MinHash banding, with exact verification on full n-gram sets.
 
 * Band and row counts follow from the wanted recall at the threshold (``choose_bands``).
-* Documents with the same n-gram set collapse into one node before anything is joined.
-* Nodes that share a band hash are tied to the smallest node of that bucket (a linear number of
-  rows, however large the bucket); the components of these ties hold every candidate pair.
+* Rows with the same n-gram set collapse into one node before anything is joined.
+* In every band bucket, members are compared by small sketches of their MinHashes, and only those
+  that agree about as often as the threshold asks are tied (a row per member, however large the
+  bucket). Documents that merely share a template thus form no chain; the components of
+  the ties hold every candidate pair.
 * Each component is verified in blocks: its members are dealt into parts of bounded size, and
   each pair of parts is one task's work, where all pairs are compared on full n-gram sets by a
   matrix product. What leaves a block is one row per member (its links there, and the smallest
-  member linked to it), never a row per pair.
+  member linked to it), never a row per pair. Classes follow from verified links alone.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from strata.sources.tables import write_shared_table
 WIDTH, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
 #: Bounds of one part of a component: members, and n-grams in all.
 PART_MEMBERS, PART_GRAMS = 1024, 1 << 20
+#: Standard deviations that the agreement of two sketches may fall short of a pair at the threshold
+#: (a miss of about 1e-7, beside the bands' 1e-4), and rows of one task's share of band buckets.
+SKETCH_SLACK, SHARE_ROWS = 5.2, 1 << 16
 _PIECE_BYTES = 1 << 20
 _GRAMS_AT_ONCE = 2048
 
@@ -79,9 +84,10 @@ def signature(grams: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, set_a, set_b, bands) per row of (doc_id, text); map only. ``set_a``/``set_b``
-    are a 128-bit hash of the n-gram set, ``n`` its size."""
-    schema = "doc_id long, n int, set_a long, set_b long, bands array<long>"
+    """(doc_id, rep, n, set_a, set_b, bands, sketch) per row of (doc_id, text, rep); map only.
+    ``set_a``/``set_b`` are a 128-bit hash of the n-gram set, ``n`` its size, ``sketch`` four bits of
+    each MinHash."""
+    schema = "doc_id long, rep long, n int, set_a long, set_b long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = _family(bands * rows)
@@ -90,7 +96,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> Da
             raw, off = vec.text_buffer(record.column(1))
             for a, b in vec.pieces(np.diff(off), _PIECE_BYTES):
                 sets = gram_sets(raw, off[a : b + 1], width)
-                keys = np.zeros((len(sets), bands), np.uint64)
+                keys, sketches = np.zeros((len(sets), bands), np.uint64), [b""] * len(sets)
                 fp = np.zeros((len(sets), 2), np.uint64)
                 for i, grams in enumerate(sets):
                     if not len(grams):
@@ -99,18 +105,79 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> Da
                     acc = band_no.copy()
                     for r in range(rows):
                         acc = vec.mix64(acc ^ sig[:, r]) * np.uint64(0x9FB21C651E98DF25)
-                    keys[i] = acc
+                    keys[i], sketches[i] = acc, pack_sketch(sig.ravel())
                     fp[i] = grams.sum(dtype=np.uint64), vec.mix64(grams).sum(dtype=np.uint64)
                 n = np.array([len(g) for g in sets], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [record.column(0).slice(a, b - a), pa.array(n), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), lists],
+                    [record.column(0).slice(a, b - a), record.column(2).slice(a, b - a), pa.array(n), pa.array(fp[:, 0].view(np.int64)),
+                     pa.array(fp[:, 1].view(np.int64)), lists, pa.array(sketches, pa.binary())],
                     names=[x.split()[0] for x in schema.split(", ")],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
+def pack_sketch(sig: np.ndarray) -> bytes:
+    """Four mixed bits of each MinHash, two to a byte."""
+    bits = (vec.mix64(sig) & np.uint64(15)).astype(np.uint8)
+    bits = np.append(bits, np.zeros(len(bits) % 2, np.uint8))
+    return (bits[::2] | (bits[1::2] << 4)).tobytes()
+
+
+def sketch_limit(hashes: int, threshold: float) -> int:
+    """Least number of equal sketch entries for a pair to be a candidate: what a pair at the threshold
+    has on average, less ``SKETCH_SLACK`` standard deviations."""
+    p = threshold + (1 - threshold) / 16
+    return math.floor(hashes * p - SKETCH_SLACK * math.sqrt(hashes * p * (1 - p)))
+
+
+def _unpacked(sketches: list[bytes], hashes: int) -> np.ndarray:
+    both = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.stack([both & 15, both >> 4], axis=2).reshape(len(sketches), -1)[:, :hashes]
+
+
+def _ties(buckets: DataFrame, hashes: int, limit: int) -> DataFrame:
+    """(a, b) ties of rows (share, i, j, band, side, node, sketch): members of a band bucket whose
+    sketches agree are tied to the smallest member that they reach there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("band", "ascending"), ("node", "ascending")])
+        band, node, side = (table.column(c).to_numpy() for c in ("band", "node", "side"))
+        sketch = _unpacked(table.column("sketch").to_pylist(), hashes)
+        cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        two = cut[:-1][np.diff(cut) == 2]  # most buckets are pairs: all at once
+        alike = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= limit]
+        a.append(node[alike + 1])
+        b.append(node[alike])
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if e - s > 2:
+                same = np.zeros((e - s, e - s), np.uint16)
+                for k in range(hashes):
+                    same += sketch[s:e, k, None] == sketch[None, s:e, k]
+                link = same >= limit
+                if side[s:e].any() and not side[s:e].all():
+                    link &= side[s:e, None] != side[None, s:e]
+                root = _roots(link)
+                moved = np.flatnonzero(root != np.arange(e - s))
+                a.append(node[s + moved])
+                b.append(node[s + root[moved]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return buckets.groupBy("share", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _dealt(members: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """``members`` of groups ``key`` once for every pair (i, j) of parts that their own part is in;
+    ``side`` 1 is the part with the larger number. ``parts`` (key, parts) is a written table."""
+    dealt = members.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({
+        "i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int"),
+    }).drop("part", "other", "parts")
+
+
 def _gram_rows(docs: DataFrame, width: int) -> DataFrame:
     """(node, grams) for (node, text) rows."""
 
@@ -218,50 +285,65 @@ def ngram_jaccard_join(
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are written; n-grams are runs of
     ``width`` words. A null text, or one without words, has no links and is a class of its own.
-    Repeated rows count as copies of each other; an id that comes with several texts is one
-    node, whose classes merge. Rows with a null id take part as copies, and are a class of their
-    own (null) if nothing equals them. Other columns are not read.
+    Repeated rows count as copies of each other. An id that comes with several texts has the links of
+    each text on that text's row, and joins their classes; the order of the rows doesn't matter.
+    Rows with a null id take part like others but name no class: their class is null if all its
+    members' ids are. Other columns are not read.
 
     Shuffles: set hashes (one row per document), band hashes (``bands`` rows per distinct set),
-    and the n-gram sets of candidate nodes alone."""
-    spark = docs.sparkSession
+    sketches of sets that share a band, and the n-gram sets of candidate nodes alone."""
     bands, per_band = choose_bands(threshold, recall, max_hashes)
+    hashes = bands * per_band
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("rep", F.xxhash64("doc_id", "text"))
     sig = write_shared_table(signatures(rows, bands, per_band, width), "ngram-signatures")
 
     key = ["set_a", "set_b", "n"]
-    sets = sig.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    sets = write_shared_table(sets, "ngram-sets")
-    banded = sets.where("node is not null").select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub").select("band", "hub")
-    hubs = write_shared_table(hubs, "ngram-hubs")  # a plain shuffle on either side: a hot band can be split
-    ties = banded.join(hubs, "band").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    sets = sig.where("n > 0").groupBy(*key).agg(
+        F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), F.min("rep").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+    )
+    sets = write_shared_table(sets.withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
+    banded = sets.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = write_shared_table(shared, "ngram-buckets")  # a plain shuffle on either side: a hot band can be split
+    found = write_shared_table(banded.join(shared.select("band"), "band"), "ngram-banded")
+    shares = max(1, -(-found.count() // SHARE_ROWS))
+    parts = shared.select("band", F.ceil(F.col("members") / PART_MEMBERS).cast("int").alias("parts"))
+    buckets = _dealt(found, parts, "band").join(sets.select("node", "sketch"), "node")
+    # the blocks of a bucket of several parts are dealt apart, small buckets share a task
+    buckets = buckets.withColumn("share", F.when(F.col("j") > 0, F.col("band")).otherwise(F.pmod("band", F.lit(shares))))
+    ties = _ties(buckets, hashes, sketch_limit(hashes, threshold))
+
     found = connected_components(ties)
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-
-    nodes = sets.groupBy("node").agg(F.sum("copies").alias("copies"), F.max("n").alias("n"))
-    members = write_shared_table(found.join(nodes, "node"), "ngram-members")
+    members = write_shared_table(found.join(sets.select("node", "copies", "n", "rep"), "node"), "ngram-members")
     parts = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_GRAMS)).cast("int").alias("parts")
     )
-    dealt = members.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    texts = rows.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    grams = _gram_rows(texts, width)
-    blocks = (
-        dealt.join(grams, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "copies", "grams")
-    )
+    dealt = _dealt(members, write_shared_table(parts, "ngram-parts"), "component")
+    texts = rows.join(members.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
+    grams = _gram_rows(texts.select("rep", "text"), width).withColumnRenamed("node", "rep")
+    blocks = dealt.join(grams, "rep").select("component", "i", "j", "side", "node", "copies", "grams")
     verified = write_shared_table(_verify(blocks, threshold), "ngram-verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(verified.where("root < node").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+    # classes: verified links, and the texts of one id
+    by_id = sig.where("n > 0 and doc_id is not null").join(sets.select(*key, "node"), key).select("doc_id", "node")
+    several = by_id.groupBy("doc_id").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("top > hub")
+    several = write_shared_table(several, "ngram-several")
+    same_id = by_id.join(several.select("doc_id", "hub"), "doc_id").where("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    joined = verified.where("root < node").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(same_id)
+    components = connected_components(joined)
+    components = write_shared_table(components.unionByName(components.select(F.col("component").alias("node"), "component").distinct()), "ngram-classes")
+    ids = components.join(sets.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("class"))
+    classes = components.join(write_shared_table(ids, "ngram-class-ids"), "component").select("node", "class")
 
     info = (
         sets.join(links, "node", "left").join(classes, "node", "left")
-        .where("copies > 1 or links > 0 or component is not null")
-        .select(*key, F.coalesce("component", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .where("copies > 1 or links > 0 or class is not null")
+        .select(*key, F.coalesce("class", "smallest").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
+    info = write_shared_table(info, "ngram-info")
     return sig.select("doc_id", *key).join(info, key, "left").select(
         "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )

@@ -94,6 +94,51 @@ def test_repeats_and_null_ids_are_copies(spark):
     assert sorted(rows, key=str) == sorted([(5, 5, 3), (5, 5, 3), (9, 5, 3), (None, 5, 3), (3, 3, 0)], key=str)
 
 
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [1, 0, 4, 3, 2], [4, 3, 2, 1, 0]])
+def test_an_id_with_several_texts_in_any_order(spark, order):
+    """Each text keeps its own links; the classes of one id's texts merge."""
+    (_, a), (_, b) = near_copies(1, 5) + near_copies(1, 6)
+    close = b.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, b), (2, close), (4, a + " more"), (None, close + " again")]
+    got = ngram_jaccard_join(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted([(1, 1, 1), (1, 1, 2), (2, 1, 2), (4, 1, 1), (None, 1, 2)], key=str)
+
+
+def test_documents_of_one_template_form_no_chain(spark, monkeypatch):
+    """Half of each text is shared: band buckets tie such texts, their sketches don't."""
+    rnd = random.Random(7)
+    shared = " ".join(f"t{i}" for i in range(130))
+    rows = [(i, shared + " " + " ".join(f"w{rnd.randint(0, 10**7)}" for _ in range(80))) for i in range(250)]
+    rows += [(1000 + i, t) for i, t in near_copies(6)]
+    compared, real = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda members, threshold: compared.append(members.select("node").distinct().count()) or real(members, threshold))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert compared[0] < 30
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    """Recall over pairs of similarity 0.8 to 0.95."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(300):
+        base = [f"w{rnd.randint(0, 10**7)}" for _ in range(150)]
+        near = base[: 150 - rnd.randrange(4, 15)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*near, *(f"x{rnd.randint(0, 10**7)}" for _ in range(rnd.randrange(0, 3)))]))]
+    want = brute(rows)
+    assert sum(n for _, _, n in want) > 400
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_sketch_agreement():
+    rnd = np.random.default_rng(5)
+    a = rnd.integers(0, 1 << 63, 120).astype(np.uint64)
+    b = np.where(rnd.random(120) < 0.8, a, rnd.integers(0, 1 << 63, 120).astype(np.uint64))
+    x, y = ngram_join._unpacked([ngram_join.pack_sketch(a), ngram_join.pack_sketch(b)], 120)
+    assert (x[a == b] == y[a == b]).all() and (x == y).sum() >= (a == b).sum()
+    assert ngram_join._unpacked([ngram_join.pack_sketch(a[:7])], 7).shape == (1, 7)
+    assert 65 <= ngram_join.sketch_limit(120, 0.8) < 80
+
+
 def test_keep_one_keeps_the_smallest_of_each_class(spark):
     rows = near_copies(12) + [(50, "a text that nothing else is like in any way at all"), (51, None), (52, "")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, gone_doc_id string")
