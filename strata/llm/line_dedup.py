@@ -62,16 +62,15 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
         "doc_id", F.explode(F.filter(F.transform("chunks", lambda x, i: F.struct(i.alias("pos"), x["n_lines"].alias("n_lines"), x["words"].alias("words"), F.md5(x["text"]).alias("h"))), _removable)).alias("x")
     )
     marks = write_shared_table(texts.select("doc_id", "x.pos", F.unhex("x.h").alias("h")).distinct(), "line-chunks")
-    repeated = (
-        marks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("keep")).where("n > 1")
-    )
+    repeated = marks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("keep")).where("n > 1")
+    repeated = write_shared_table(repeated, "line-repeated")  # a plain shuffle on either side: a hot chunk can be split
     pairs = marks.join(repeated, "h").select("doc_id", "pos", "h", ((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("pos") == F.col("keep.pos"))).alias("kept"))
     # the bytes: chunk texts of the repeated hashes alone
     wanted = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h", "kept")).alias("wanted"))
     found = line_chunks(rows.join(wanted, "doc_id")).select("doc_id", "chunks", F.explode("wanted").alias("w"))
     found = found.select("doc_id", "w.pos", "w.h", "w.kept", F.get("chunks", F.col("w.pos"))["text"].alias("text"))
     found = found.where(F.col("text").isNotNull() & (F.unhex(F.md5("text")) == F.col("h")))
-    keeper = found.where("kept").groupBy("h").agg(F.min("text").alias("kept_text"))
+    keeper = write_shared_table(found.where("kept").groupBy("h").agg(F.min("text").alias("kept_text")), "line-kept")
     return found.where("not kept").join(keeper, "h").where(F.col("text") == F.col("kept_text")).select("doc_id", "pos", "h").distinct()
 
 
@@ -90,7 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gone = repeated_chunks(rows).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     names = docs.columns
-    base = docs.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
+    base = docs.toDF(*(f"in_{k}" for k in range(len(names))))
     where = {c: F.col(f"in_{k}") for k, c in enumerate(names)}
     joined = base.join(gone, where[id_col].cast("long") == F.col("_gone_id"), "left")
     # only texts that lose a chunk are cut again

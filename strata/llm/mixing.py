@@ -74,7 +74,7 @@ def mix_sources(
     A source may hold any share of the rows: its running volume is taken in 4,096 md5 buckets
     (totals of the buckets, then rows within one bucket), so no task holds a source."""
     names = docs.columns
-    base = docs.withColumnsRenamed({c: f"in_{k}" for k, c in enumerate(names)})
+    base = docs.toDF(*(f"in_{k}" for k in range(len(names))))
     at = {c: f"in_{k}" for k, c in enumerate(names)}
     base = base.withColumns({
         "_source": F.coalesce(F.col(at[source_col]).cast("string"), F.lit("")),
@@ -106,8 +106,10 @@ def mix_sources(
 
 def in_mix_order(mixed: DataFrame) -> DataFrame:
     """Rows of ``mix_sources`` in the order of the mix over all partitions, without its columns."""
-    own = ["_block", "_slot", "_release", "_due", "_before"]
-    return mixed.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before").drop(*own)
+    names = mixed.columns[:-5]  # the place is in the last five columns, whatever the others are called
+    rows = mixed.toDF(*(f"in_{k}" for k in range(len(names))), "_block", "_slot", "_release", "_due", "_before")
+    rows = rows.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before")
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(names)))
 
 
 #: The same rows in SQL (default weights); names as in the registered query.

@@ -21,7 +21,9 @@ def odd_docs(spark):
     """Odd texts, a repeated row, a null id, and extra columns with clashing names."""
     rows = [(i, t, "src0", None, i, "x") for i, t in enumerate(ODD_TEXTS)]
     rows += [(3, "\n\n", "src0", None, 3, "x"), (None, "null id text", None, "en", None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, batch long, h string")
+    clashing = ["in_0", "in_1", "_slot", "_before", "_gone", "text_", "node", "rep", "removed"]
+    schema = "doc_id long, text string, source string, lang string, batch long, h string" + "".join(f", {c} string" for c in clashing)
+    return spark.createDataFrame([(*r, *("y" for _ in clashing)) for r in rows], schema)
 
 
 @pytest.fixture(scope="session")

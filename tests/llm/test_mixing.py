@@ -88,3 +88,9 @@ def test_long_documents_stay_within_one_block_and_one_document(spark):
             assert -100 < extra < 100 + 1050
             over = max(over, extra)
     assert over > 100  # one block alone is not a bound
+
+
+def test_order_of_the_mix_with_clashing_columns(odd_docs):
+    out = in_mix_order(mix_sources(odd_docs))
+    assert out.columns == odd_docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
