@@ -1,6 +1,6 @@
 """Token counts by a two-tier lookup: a broadcast hash table of frequent pre-token lengths,
-then worker caches in front of the tokenizer. Pre-tokens are shuffled (pre-aggregated) only to
-find the frequent ones, not for counting."""
+then worker caches in front of the tokenizer. The table is learned from all documents without a shuffle
+of pre-tokens: each task keeps a summary of bounded size, and summaries are merged in a tree."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import tokens, vec
+from strata.sources.tables import write_shared_table
 
 #: Entries of the frequent table. The table only decides which tier answers, never the count;
 #: this bounds what is broadcast (under 3 MB).
@@ -22,6 +24,8 @@ LIMIT_TOKENS = 1024
 _PIECE_CHARS = 2_000_000
 _SLOT_BITS = 18
 _PROBES = 8
+#: Summaries merged at a time.
+_FAN = 16
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -35,35 +39,86 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def frequent_table(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """Open-addressing table (keys: pre-token hashes, lengths) of the most frequent pre-tokens
-    of all documents (those without special strings). Counts are pre-aggregated in each batch and
-    task, and no more than ``entries`` rows leave the last step."""
+class Summary:
+    """Counts of the most frequent pre-tokens seen: pruned to ``entries`` whenever it holds four times
+    as many, so that its memory is bounded. A pre-token frequent enough for the table is frequent in
+    most tasks; what pruning loses only moves a pre-token to the second tier."""
+
+    def __init__(self, entries: int) -> None:
+        self.entries = entries
+        self.h, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.word: dict[int, str] = {}
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        keys, at = np.unique(np.concatenate([self.h, h]), return_inverse=True)
+        self.h, self.n = keys, np.bincount(at, weights=np.concatenate([self.n, n])).astype(np.int64)
+
+    def prune(self, limit: int) -> None:
+        if len(self.h) > limit:
+            best = np.sort(np.lexsort((self.h, -self.n))[: self.entries])
+            self.h, self.n = self.h[best], self.n[best]
+            kept = set(self.h.tolist())
+            self.word = {h: w for h, w in self.word.items() if h in kept}
+
+
+_SUMMARY = "part long, h binary, n binary, length binary"
+
+
+def _summary_row(part: int, h: np.ndarray, n: np.ndarray, length: np.ndarray) -> dict[str, list]:
+    return {"part": [part], "h": [h.tobytes()], "n": [n.astype(np.int64).tobytes()], "length": [length.astype(np.int32).tobytes()]}
+
+
+def task_summaries(docs: DataFrame, path: str, entries: int) -> DataFrame:
+    """One row per task: hashes, counts and token lengths of its most frequent pre-tokens (of texts
+    without special strings)."""
     special = tokens.special_strings(path)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Summary(entries)
         for batch in batches:
             texts = [t for t in _texts(batch.column(1)) if not any(x in t for x in special)]
             for a, b in vec.pieces([len(t) for t in texts], _PIECE_CHARS):
                 h, _, strings = vec.pretokens(texts[a:b], "byte_level")
-                _, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(strings(first)), pa.array(n, pa.int64())], names=["h", "word", "n"]
-                )
+                keys, first, n = np.unique(h, return_index=True, return_counts=True)
+                new = np.flatnonzero(~np.isin(keys, seen.h, assume_unique=True))
+                seen.word.update(zip(keys[new].tolist(), strings(first[new]), strict=True))
+                seen.add(keys, n)
+                seen.prune(4 * entries)
+        seen.prune(entries)
+        if len(seen.h):
+            length = np.array(_encode_lengths(path, [seen.word[h] for h in seen.h.tolist()]), np.int64)
+            yield pa.RecordBatch.from_pydict(_summary_row(TaskContext.get().partitionId(), seen.h, seen.n, length))
 
-    top = (
-        docs.mapInArrow(count, "h long, word string, n long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "h").limit(entries)
-    )
+    return docs.mapInArrow(run, _SUMMARY)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_encode_lengths(path, batch.column(1).to_pylist()), pa.int32())], names=["h", "n"]
-            )
 
-    rows = top.select("h", "word").mapInArrow(measure, "h long, n int").where(F.col("n") <= _MAX_LENGTH).toPandas()  # at most `entries` rows
-    return build_table(rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.uint16))
+def merge_summaries(rows: DataFrame, entries: int) -> DataFrame:
+    """Every ``_FAN`` neighbouring summaries merged into one of at most ``entries`` pre-tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, n, length = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("n", np.int64), ("length", np.int32)))
+        keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=n).astype(np.int64)
+        best = np.sort(np.lexsort((keys, -n))[:entries])
+        return pa.table(_summary_row(min(table.column("part").to_pylist()) // _FAN, keys[best], n[best], length[first[best]]))
+
+    return rows.groupBy(F.floor(F.col("part") / _FAN).alias("group")).applyInArrow(run, _SUMMARY)
+
+
+def frequent_table(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """Open-addressing table (keys: pre-token hashes, lengths) of the most frequent pre-tokens
+    of all documents. Summaries of the tasks are merged ``_FAN`` at a time until one is left, so no
+    task reads more than ``_FAN`` of them and the driver gets one."""
+    rows = write_shared_table(task_summaries(docs, path, entries), "token-summaries")
+    last = rows.agg(F.max("part")).first()[0]
+    while last:
+        rows, last = write_shared_table(merge_summaries(rows, entries), "token-summaries"), last // _FAN
+    row = rows.first()
+    if row is None:
+        return build_table(np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+    h, length = np.frombuffer(row["h"], np.uint64), np.frombuffer(row["length"], np.int32)
+    fits = (length > 0) & (length <= _MAX_LENGTH)
+    return build_table(h[fits], length[fits].astype(np.uint16))
 
 
 def build_table(h: np.ndarray, n: np.ndarray, bits: int = _SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -63,3 +63,26 @@ def test_table_is_learned_from_all_documents(spark):
     h = vec.pretokens(words, "byte_level")[0]
     assert len(h) == len(words)
     assert (probe(h, keys, lens) > 0).all()
+
+
+def test_summaries_stay_bounded_and_merge_in_a_tree(spark, monkeypatch):
+    """Common pre-tokens survive pruning in tasks and merges over many partitions; rare ones may go."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strata.llm import token_counts as tc, vec
+
+    monkeypatch.setattr(tc, "_FAN", 3)
+    rnd = random.Random(5)
+    common = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, " ".join([*common, *(f"w{rnd.randrange(10**6)}" for _ in range(20))])) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    task_rows = tc.task_summaries(docs, PATH, 16).collect()
+    assert len(task_rows) == 23 and all(len(r.h) <= 8 * 16 for r in task_rows)
+    keys, lens = frequent_table(docs, PATH, entries=16)
+    assert (lens > 0).sum() <= 16
+    assert (probe(vec.pretokens([" " + w for w in common[1:]], "byte_level")[0], keys, lens) > 0).all()
+    plan = token_counts(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    check(docs.where(F.col("doc_id") < 100))
