@@ -31,6 +31,8 @@ from strata.sources.tables import shared_folder
 TOP = 20
 #: Bounds of one document range, of the items searched together and of the text of one round of items.
 RANGE_BYTES, RANGE_DOCS, ITEMS_AT_ONCE, ROUND_BYTES = 2 << 20, 4096, 256, 4 << 20
+#: Bytes of one row group of the index.
+GROUP_BYTES = 8 << 20
 _PIECE_BYTES = 1 << 20
 #: Document ranges of an item that are halved first; four times as many whenever a level is taken up again.
 _FIRST = 8
@@ -171,7 +173,9 @@ def write_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 if grid is not None:
                     yield pa.RecordBatch.from_pylist([grid.row()], schema=_ARROW_SCHEMA)
 
-    rows.mapInArrow(run, _INDEX_SCHEMA).write.option("compression", "zstd").parquet(f"{folder}/grids")
+    # a row holds megabytes: small row groups, checked at every row, bound what a reader holds at once
+    writer = rows.mapInArrow(run, _INDEX_SCHEMA).write.option("compression", "zstd")
+    writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(f"{folder}/grids")
 
 
 _ARROW_SCHEMA = pa.schema([("height", pa.int32()), *((f, pa.binary()) for f in Grid.FIELDS)])
