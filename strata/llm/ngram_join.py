@@ -31,7 +31,7 @@ WIDTH, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
 PART_MEMBERS, PART_GRAMS = 1024, 1 << 20
 #: Standard deviations that the agreement of two sketches may fall short of a pair at the threshold
 #: (a miss of about 1e-7, beside the bands' 1e-4), and rows of one task's share of band buckets.
-SKETCH_SLACK, SHARE_ROWS = 5.2, 1 << 16
+SKETCH_SLACK, SHARE_ROWS = 5.2, 1 << 12
 _PIECE_BYTES = 1 << 20
 _GRAMS_AT_ONCE = 2048
 
