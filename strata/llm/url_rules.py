@@ -7,10 +7,14 @@ through an inverted index on their rarest token.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.session import cut_lineage
+
 #: (host and path, verdict)
 DOMAIN_RULES = (
     ("org/", "allow"),
@@ -22,8 +26,10 @@ DOMAIN_RULES = (
 #: Share of the block-labelled pages that a combination must occur in, of the labelled pages
 #: with the combination that must be block-labelled, and pages it must occur in.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_PAGES = 0.005, 0.8, 5
-#: Parts that the pages of one token are dealt over.
-SALTS = 32
+#: Parts that the pages of one token are dealt over; rows that a hot token set is repeated to in one task.
+SALTS, REPEATS = 32, 10_000
+#: Largest count of fitting rules that is told apart.
+MOST_RULES = 2.0**53
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,14 +74,46 @@ def url_tokens(url: Column) -> Column:
 
 
 def _matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of (``pages`` columns, items) for each rule whose tokens a page all has: the page's
-    tokens meet the inverted index (anchor token -> rules), then the whole rule is compared.
+    """Rows of (``pages`` columns, rule columns) for each rule of which a page has a token of every item: the
+    page's tokens meet the inverted index (tokens of the anchor item -> rules), then the whole rule is compared.
 
     A token can stand in every URL, so its pages are dealt over ``SALTS`` parts, each of which
-    meets a copy of the (few) rules."""
-    probe = pages.withColumn("anchor", F.explode("tokens")).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS)).cast("int"))
-    index = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return probe.join(index, ["anchor", "salt"]).where(F.size(F.array_except("items", "tokens")) == 0).drop("salt")
+    meets a copy of the (few) rules. A page with several tokens of the anchor meets its rule by the first of them."""
+    probe = pages.withColumn("word", F.explode("tokens")).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS)).cast("int"))
+    index = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("word", F.explode("anchor"))
+    first = F.array_intersect("anchor", "tokens")[0] == F.col("word")
+    whole = F.forall("items", lambda item: F.arrays_overlap(item, "tokens"))
+    return probe.join(index, ["word", "salt"]).where(first & whole).drop("salt", "word")
+
+
+def token_classes(sets: DataFrame, least: int) -> DataFrame:
+    """(item, n_block, n_all): the tokens in at least ``least`` block-labelled pages, as classes of tokens that
+    occur in the same labelled pages; ``item`` is the class's sorted token array.
+
+    ``sets`` (tokens, n_block, n_all) has one row per distinct token set. Two tokens are in the same sets if two
+    64-bit hashes of these sets have equal sums. As every class has ``least`` pages, there are at most
+    1 / support times as many tokens as an average block page has."""
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)"))
+    per_token = (
+        sets.withColumn("token", F.explode("tokens")).groupBy("token")
+        .agg(F.sum("n_block").alias("n_block"), F.sum("n_all").alias("n_all"), wide(1).alias("s1"), wide(2).alias("s2"))
+        .where(F.col("n_block") >= least)
+    )
+    return per_token.groupBy("s1", "s2", "n_block", "n_all").agg(F.array_sort(F.collect_list("token")).alias("item")).select("item", "n_block", "n_all")
+
+
+def _transactions(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(items): one row per block-labelled page with a token, of the first tokens of its classes. A hot token set is
+    dealt over many tasks before its rows are repeated."""
+    token = classes.select(F.col("item")[0].alias("token")).withColumn("known", F.lit(True))
+    known = (
+        sets.where("n_block > 0").select("tokens", "n_block", F.explode("tokens").alias("token")).join(token, "token", "left")
+        .groupBy("tokens", "n_block").agg(F.collect_list(F.when(F.col("known"), F.col("token"))).alias("items"))
+    )
+    upto = lambda n: F.explode(F.sequence(F.lit(1), n))
+    chunks = known.withColumn("chunk", upto(F.ceil(F.col("n_block") / REPEATS))).repartition("items", "chunk")
+    left = F.least(F.lit(REPEATS), F.col("n_block") - (F.col("chunk") - 1) * REPEATS)
+    return chunks.withColumn("copy", upto(left.cast("long"))).select("items")
 
 
 def mine_rules(
@@ -85,17 +123,33 @@ def mine_rules(
 
     A rule is a token combination of any length that occurs in at least ``min_support`` of the block-labelled
     pages and ``min_pages`` of them, and of whose labelled pages ``min_confidence`` are
-    block-labelled. Counts cover all labelled pages. The anchor is the rule's rarest token."""
-    model = FPGrowth(itemsCol="tokens", minSupport=min_support).fit(labelled.where("block and size(tokens) > 0").select("tokens"))
-    sets = model.freqItemsets.where(F.col("freq") >= min_pages)
-    sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_block"))
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("n_block").alias("freq"))
-    anchors = (
-        sets.withColumn("token", F.explode("items")).join(single, "token")
-        .groupBy("items", "n_block").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    block-labelled. Counts cover all labelled pages.
+
+    Rules come folded: an item is a class of tokens that occur in the same labelled pages (``token_classes``), and
+    stands for every choice of tokens from it, which all have the same counts. So FP-growth sees one item where a
+    long URL on many pages has dozens. A class that is a rule by itself is given alone and not mined on: whatever
+    a longer rule with it matches, it matches too. The anchor is the item in the fewest block-labelled pages."""
+    sets = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(
+        F.sum(F.col("block").cast("long")).alias("n_block"), F.count("*").alias("n_all"))
+    sets = cut_lineage(sets)
+    n_pages = sets.agg(F.sum("n_block")).first()[0] or 0
+    least = max(math.ceil(min_support * n_pages), min_pages, 1)
+    classes = cut_lineage(token_classes(sets, least).withColumn("confidence", F.col("n_block") / F.col("n_all")))
+    alone = classes.where(F.col("confidence") >= min_confidence)
+    alone = alone.select(F.col("item").alias("anchor"), F.array("item").alias("items"), "n_block", "n_all", "confidence")
+    rest = classes.where(F.col("confidence") < min_confidence)
+
+    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(_transactions(sets, rest))
+    found = model.freqItemsets.where((F.col("freq") >= least) & (F.size("items") > 1))
+    found = found.select(F.array_sort("items").alias("names"), F.col("freq").alias("n_block"))
+    item = rest.select(F.col("item")[0].alias("name"), "item", F.col("n_block").alias("freq"))
+    folded = (
+        found.withColumn("name", F.explode("names")).join(item, "name").groupBy("names", "n_block")
+        .agg(F.min(F.struct("freq", "item"))["item"].alias("anchor"), F.array_sort(F.collect_list("item")).alias("items"))
     )
-    counts = _matches(labelled.select("tokens"), anchors).groupBy("items", "n_block", "anchor").agg(F.count("*").alias("n_all"))
-    return counts.withColumn("confidence", F.col("n_block") / F.col("n_all")).where(F.col("confidence") >= min_confidence)
+    counts = _matches(sets.select("tokens", "n_all"), folded).groupBy("items", "n_block", "anchor").agg(F.sum("n_all").alias("n_all"))
+    longer = counts.withColumn("confidence", F.col("n_block") / F.col("n_all")).where(F.col("confidence") >= min_confidence)
+    return longer.select(*alone.columns).unionByName(alone)
 
 
 def judge_urls(
@@ -108,7 +162,8 @@ def judge_urls(
     rows has quality 0 or is toxic. A domain rule decides first; otherwise an association rule
     that matches blocks, and the rest is allowed. A null url, or one without ``://``, has empty
     host and path, fits nothing and is allowed. Null ids get a verdict but no label; repeated
-    rows each give a row. Without block labels there are no association rules."""
+    rows each give a row. Without block labels there are no association rules. ``n_rules`` counts the
+    token combinations among the mined rules that fit (at most ``MOST_RULES``)."""
     marked = labels.groupBy(F.col("doc_id").alias("label_id")).agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("block")
     )
@@ -117,7 +172,9 @@ def judge_urls(
     labelled = tokens.join(marked, F.col("page_id") == F.col("label_id")).select("tokens", "block")
     found = mine_rules(labelled, min_support, min_confidence, min_pages)
     blocked = _matches(tokens.select("url", "tokens").distinct(), found.select("anchor", "items"))
-    blocked = blocked.groupBy("url").agg(F.count("*").alias("n_rules"))
+    choices = F.transform("items", lambda item: F.pow(F.lit(2.0), F.size(F.array_intersect(item, "tokens"))) - 1)
+    fits = F.aggregate(choices, F.lit(1.0), lambda n, x: n * x)
+    blocked = blocked.groupBy("url").agg(F.least(F.sum(fits), F.lit(MOST_RULES)).alias("n_rules"))
     rows = rows.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     name, verdict = domain_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("given", verdict).join(blocked, "url", "left")

@@ -109,3 +109,30 @@ def test_rules_of_any_length(spark):
         n = sum(c <= t for c in rules)
         assert (got[i].verdict, got[i].n_rules) == ("block" if n else "allow", n)
     assert [got[i].verdict for i in (0, 20)] == ["block", "allow"]
+
+
+def test_long_urls(spark):
+    """A trap of 40 segments on many block pages: its tokens are one class. A page with any one of them is blocked,
+    as each token is a rule by itself; tokens that allowed pages share are not."""
+    deep = "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    urls = [f"http://x.net/{deep}"] * 60 + [f"http://x.net/{w}" for w in ("news", "shop", "help") for _ in range(40)] + ["http://x.net/sbn/more", "http://x.net/other"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 60 else 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in judge_urls(pages, labels).collect()}
+    assert {got[i].verdict for i in range(60)} == {"block"} and {got[i].verdict for i in range(60, 180)} == {"allow"}
+    assert (got[180].verdict, got[180].n_rules, got[181].verdict, got[181].n_rules) == ("block", 1, "allow", 0)
+
+
+def test_classes_keep_verdicts(spark):
+    """Tokens that travel together on some pages and apart on others, against exhaustive counting."""
+    import random
+
+    rng = random.Random(5)
+    urls = []
+    for _ in range(300):
+        words = [w for group in (("aa", "ab"), ("ba", "bb", "bc"), ("ca",), ("da", "db")) if rng.random() < 0.5 for w in group]
+        urls.append("http://y.net/" + "/".join(words if rng.random() < 0.8 else words[:-1]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("ba" not in u or rng.random() < 0.4), 0) for i, u in enumerate(urls) if i % 3], "doc_id long, quality int, toxic int")
+    for confidence in (0.5, 0.65, 0.8):
+        assert compare(pages, labels, min_support=0.02, min_confidence=confidence, min_pages=2) or confidence > 0.5
