@@ -6,13 +6,16 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.config import (
+    BALANCE_KICKS,
     CB_BETA,
     CB_EPS,
     CUT_BUCKET_HEX,
+    EXCHANGE_TRIES,
     GATE_HEATMAP_MIN_ROWS,
     GATE_HEATMAP_ROWS,
     MAX_CLASSES,
@@ -119,20 +122,21 @@ def stratified_split(
 ) -> DataFrame:
     """SPL1: seeded multilabel-stratified train/val/test assignment.
 
-    Stratum = the label-set (``strata='labelset'``) or the row's rarest positive
-    label (``strata='rarest'``, for many sparse label-sets). Inside a stratum rows
+    Stratum = the label-set (``strata='labelset'``, or ``'iterative'`` for sparse label-sets whose
+    rounding is balanced over the labels) or the row's rarest positive label (``strata='rarest'``). Inside a stratum rows
     are ordered by ``md5(seed:key)``; the first ``round(n*(1-test_size))`` go to
     train, up to ``round(n*(1-test_size*(1-val_split)))`` to val, the rest to test,
     with integer arithmetic, so a one-row stratum goes to train. Each stratum
-    keeps its label shares within one row per split.
+    keeps its label shares within one row per split. With ``'iterative'`` the rows of a
+    stratum that its shares leave over go where its labels lack rows (``balanced_quotas``).
 
     No row is ranked but those around the cut points (``_cut_points``): the split
     itself is a projection of the input against one row per stratum (broadcast;
     more than ``MAX_CLASSES`` strata raise ValueError)."""
     train = Fraction(str(1 - Fraction(str(test_size))))
     upto_val = train + Fraction(str(test_size)) * Fraction(str(val_split))
-    if strata == "labelset":
-        stratum = {c: F.col(c) for c in label_cols}
+    if strata in ("labelset", "iterative"):
+        stratum = {c: F.col(c).cast("int") if strata == "iterative" else F.col(c) for c in label_cols}
     elif strata == "rarest":
         counts = df.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in label_cols]).first()
         order = sorted(label_cols, key=lambda c: (counts[c] or 0, label_cols.index(c)))
@@ -144,7 +148,8 @@ def stratified_split(
         stratum = {"rarest": rarest}
     else:
         raise ValueError(f"unknown strata mode: {strata}")
-    cuts = cut_lineage(_cut_points(df, key_col, stratum, seed, (train, upto_val)))
+    quotas = _labelset_quotas(df, label_cols, (train, upto_val)) if strata == "iterative" else None
+    cuts = cut_lineage(_cut_points(df, key_col, stratum, seed, (train, upto_val), quotas))
     if cuts.count() > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} strata; use strata='rarest'")
     place = F.struct(hash_order_key(seed, key_col).alias("h"), F.col(key_col).cast("string").alias("k"))
@@ -153,9 +158,95 @@ def stratified_split(
     return df.join(F.broadcast(cuts), same, "left").select(*[F.col(c) for c in df.columns], split.alias(split_col))
 
 
-def _cut_points(df: DataFrame, key_col: str, stratum: dict[str, Column], seed: int, fractions: tuple[Fraction, ...]) -> DataFrame:
+def balanced_quotas(labels: np.ndarray, counts: np.ndarray, fractions: tuple[Fraction, ...]) -> np.ndarray:
+    """Rows per (label-set, part): every entry is its exact share ``counts * fraction`` rounded down or up,
+    each row sums to its count, and the shares of every label (and of all rows) are met as closely as found.
+
+    Rounding down leaves at most one row per part and label-set over. The rarest label places its
+    label-sets' rows first, each into the part that lacks the label most (then all its labels); what is
+    left unbalanced is then improved by moving a row to another part, or exchanging rows of two
+    label-sets, while the sum of squared label errors falls. If a label is then off by more than one
+    row, up to ``BALANCE_KICKS`` further steps take the best change though it doesn't improve, and leave
+    the rows just moved alone; the best state met is the result."""
+    a = np.column_stack([labels, np.ones(len(counts), dtype=np.int64)]).astype(np.int64)
+    den = np.lcm.reduce([f.denominator for f in fractions])
+    part = np.array([int(f * den) for f in fractions], dtype=np.int64)
+    exact = counts.astype(np.int64)[:, None] * part  # in units of 1 / den
+    base, open_ = exact // den, exact % den > 0
+    left = counts - base.sum(1)
+    extra = np.zeros_like(base)
+    lack = (a.T @ (exact - base * den)) / den  # (labels, parts)
+
+    todo = left > 0
+    while todo.any():
+        need = (a * (left * todo)[:, None]).sum(0)
+        rare = int(np.argmin(np.where(need > 0, need, np.iinfo(np.int64).max)))
+        for i in np.flatnonzero(todo & (a[:, rare] == 1)):
+            has = a[i] == 1
+            for _ in range(left[i]):
+                room = np.flatnonzero(open_[i] & (extra[i] == 0))
+                k = max(room, key=lambda k: (round(lack[rare, k], 9), round(lack[has, k].sum(), 9), -k))
+                extra[i, k] = 1
+                lack[has, k] -= 1
+            todo[i] = False
+
+    pairs = [(k, m) for k in range(len(fractions)) for m in range(len(fractions)) if k != m]
+    size = a.sum(1)
+    found, kicks, rest_until = (np.inf, np.inf, extra), 0, np.zeros(len(counts), dtype=np.int64)
+    for step in range(20 * a.shape[1] * len(fractions) + len(counts)):
+        best, free = (np.inf, None), (rest_until <= step)[:, None]
+        for k, m in pairs:
+            gain = 2 * (a @ (lack[:, k] - lack[:, m]))
+            out = np.flatnonzero(((extra[:, [k]] == 1) & (extra[:, [m]] == 0) & open_[:, [m]] & free)[:, 0])
+            if not len(out):
+                continue
+            alone = gain[out] + 2 * size[out]
+            if alone.min() < best[0]:
+                best = (alone.min(), [(out[alone.argmin()], k, m)])
+            if k > m:
+                continue
+            back = np.flatnonzero(((extra[:, [m]] == 1) & (extra[:, [k]] == 0) & open_[:, [k]] & free)[:, 0])
+            for i in out[np.argsort(gain[out], kind="stable")[:EXCHANGE_TRIES]]:
+                if len(back):
+                    both = gain[i] - gain[back] + 2 * (size[i] + size[back] - 2 * (a[back] @ a[i]))
+                    if both.min() < best[0]:
+                        best = (both.min(), [(i, k, m), (back[both.argmin()], m, k)])
+        if best[0] >= -1e-9:  # no change improves
+            worst = max(np.abs(lack).max(), 1.0)
+            found = min(found, (round(worst, 9), round((lack**2).sum(), 9), extra.copy()), key=lambda f: f[:2])
+            if worst == 1 or kicks == BALANCE_KICKS or best[1] is None:
+                break
+            kicks += 1
+        for i, k, m in best[1]:
+            extra[i, k], extra[i, m] = 0, 1
+            lack[:, k] += a[i]
+            lack[:, m] -= a[i]
+            rest_until[i] = step + 10 if kicks else 0
+    return base + (found[2] if found[0] < np.inf else extra)
+
+
+def _labelset_quotas(df: DataFrame, label_cols: list[str], cuts: tuple[Fraction, ...]) -> DataFrame:
+    """One row per label-set, ``_quota_<i>`` its labels and ``_rows_<j>`` its rows up to cut j. The count
+    table of label-sets (at most ``MAX_CLASSES`` rows, checked) is balanced on the driver. Null labels count as 0."""
+    names = [f"_quota_{i}" for i in range(len(label_cols))]
+    table = df.groupBy(*[F.col(c).cast("int").alias(n) for n, c in zip(names, label_cols)]).agg(F.count(F.lit(1)).alias("n"))
+    rows = table.orderBy(*names).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} strata; use strata='rarest'")
+    edges = (Fraction(0), *cuts, Fraction(1))
+    labels = np.array([[int(v == 1) for v in r[:-1]] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
+    quotas = balanced_quotas(labels, np.array([r["n"] for r in rows], dtype=np.int64), tuple(b - a for a, b in zip(edges, edges[1:])))
+    upto = np.cumsum(quotas, axis=1)[:, : len(cuts)].tolist()
+    schema = ", ".join([f"{n} int" for n in names] + [f"_rows_{j} long" for j in range(len(cuts))])
+    return df.sparkSession.createDataFrame([(*r[:-1], *u) for r, u in zip(rows, upto)], schema)
+
+
+def _cut_points(
+    df: DataFrame, key_col: str, stratum: dict[str, Column], seed: int, fractions: tuple[Fraction, ...], quotas: DataFrame | None = None,
+) -> DataFrame:
     """One row per stratum: its columns ``_stratum_<i>`` and, per fraction of its rows, the place
-    ``_upto_<j>`` (hash, key) of the last row within it (NULL if none is).
+    ``_upto_<j>`` (hash, key) of the last row within it (NULL if none is). ``quotas`` gives the rows
+    up to each cut instead (``_labelset_quotas``).
 
     Totals of hash buckets (map-side combined) tell which bucket each cut falls in; only the
     rows of those buckets - two in ``16**CUT_BUCKET_HEX`` - are then put in order."""
@@ -167,7 +258,13 @@ def _cut_points(df: DataFrame, key_col: str, stratum: dict[str, Column], seed: i
     whole = Window.partitionBy(*names)  # at most 16**CUT_BUCKET_HEX rows of a stratum
     before = F.coalesce(F.sum("n").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.withColumn("before", before).withColumn("all", F.sum("n").over(whole))
-    wanted = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(_cut(F.col("all"), f)).alias("upto")) for j, f in enumerate(fractions)])
+    if quotas is None:
+        rows_upto = [F.floor(_cut(F.col("all"), f)) for f in fractions]
+    else:
+        same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"_quota_{i}")) for i, n in enumerate(names)])
+        totals = totals.join(F.broadcast(quotas), same)
+        rows_upto = [F.col(f"_rows_{j}") for j in range(len(fractions))]
+    wanted = F.array(*[F.struct(F.lit(j).alias("j"), n.alias("upto")) for j, n in enumerate(rows_upto)])
     picks = totals.select(*names, "b", "n", "before", F.inline(wanted)).where("before < upto and upto <= before + n")
     picks = picks.select(*[F.col(n).alias(f"p{n}") for n in names], F.col("b").alias("pb"), "j", (F.col("upto") - F.col("before")).alias("need"))
     meets = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in names], F.col("b") == F.col("pb"))

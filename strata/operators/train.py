@@ -30,7 +30,7 @@ from strata.config import (
 from strata.functions.columns import log_sigmoid, sigmoid, softplus
 from strata.operators import curves, heads, losses
 from strata.operators.prep import effective_number_weights, pos_weight
-from strata.sources.tables import write_shared_table
+from strata.sources.tables import LOG_SCHEMA, write_shared_table
 
 
 @dataclass
@@ -517,7 +517,6 @@ def linear_model(fitted: Fitted, features: list[str]) -> LinearModel:
     return LinearModel(features, w["W"], w["b"], fitted.history, fitted.best_epoch)
 
 
-LOG_SCHEMA = "run long, seed long, epoch long, metric string, value double"
 
 
 def history_rows(history: list[dict], run: int = 0, seed: int = 0) -> list[tuple]:

@@ -96,6 +96,20 @@ def split_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.split_label_rates(fx.split_metric_table(spark, sf_dir), fx.F1_LABELS)
 
 
+@register("sparse_split_rates")
+def sparse_split_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPL1 on sparse label-sets (``strata='iterative'``): per label its rows in all splits, and whether every
+    split holds its share of them within one row; ``all`` counts every row."""
+    split = prep.stratified_split(fx.order_months(spark, sf_dir), "l_orderkey", fx.MONTH_LABELS, strata="iterative")
+    split = split.withColumn("all", F.lit(1))
+    per = prep.split_label_rates(split, [*fx.MONTH_LABELS, "all"]).groupBy("label").pivot("split", ["train", "val", "test"]).agg(F.first("positives"))
+    total = F.col("train") + F.col("val") + F.col("test")
+    share = {"train": 8, "val": 1, "test": 1}
+    near = [F.abs(10 * F.col(c) - n * total) <= 10 for c, n in share.items()]
+    names = F.element_at(F.array(*[F.lit(c) for c in [*fx.MONTH_LABELS, "all"]]), F.col("label") + 1)
+    return per.na.fill(0).select(names.alias("label"), total.alias("n_rows"), (near[0] & near[1] & near[2]).alias("within_one"))
+
+
 @register("batch_assignment")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = fx.split_metric_table(spark, sf_dir).select(fx.F1_KEY, "split")

@@ -398,8 +398,8 @@ def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]])
         record += [(f"test/{r['method']}/{k}", r[k]) for r in tuned if r["model"] == i for k in ("f1_micro", "f1_macro", "precision_macro", "recall_macro")]
         rows += [(run, seed, fitted[i].best_epoch or 0, k, float(v)) for k, v in record]
     log = tables.shared_folder(spark, "run-log")
-    tables.append_metric_log(spark.createDataFrame(rows, train.LOG_SCHEMA).coalesce(1), log)
-    return spark.read.parquet(log)
+    tables.write_metric_log(spark.createDataFrame(rows, tables.LOG_SCHEMA).coalesce(1), log)
+    return tables.read_metric_log(spark, log)
 
 
 # ------------------------------------------------------------------ streaming
@@ -420,6 +420,21 @@ def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@register("metric_log_repeat")
+def metric_log_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: all runs logged with values one too high, the odd runs repeated with the right values, and an attempt
+    of the even runs that ends before its commit; readers find one set of records per run."""
+    log = fx.metric_log(spark, sf_dir).select("run", (F.col("run") % 3).alias("seed"), "epoch", "metric", "value")
+    odd, high = F.col("run") % 2 == 1, log.withColumn("value", F.col("value") + 1)
+    path = tables.shared_folder(spark, "metric-runs")
+    tables.write_metric_log(high, path)
+    tables.write_metric_log(log.where(odd), path)
+    tables.write_metric_records(log.where(~odd), path)
+    return tables.read_metric_log(spark, path).groupBy("metric", odd.alias("repeated")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("run").alias("n_runs"), r6(F.sum("value")).alias("value_sum")
+    )
+
+
 @register("metric_log_sink")
 def metric_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC5: append the metric log (one record per run, epoch and metric) to a

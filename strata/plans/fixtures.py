@@ -51,6 +51,16 @@ def split_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(metric_table(spark, sf_dir), F1_KEY, F1_LABELS, seed=SEED)
 
 
+MONTH_LABELS = [f"m{m}" for m in range(1, 13)]
+
+
+def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 with many sparse label-sets: one row per order, ``m1..m12`` tell the months its lines ship in."""
+    month = F.month("l_shipdate")
+    labels = [F.max((month == m).cast("int")).alias(c) for m, c in enumerate(MONTH_LABELS, 1)]
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*labels)
+
+
 # F1 columns the F2 scores are computed from
 SCORE_INPUTS = [F1_KEY, "split", "l_partkey", "l_quantity", "l_discount", "l_tax", *F1_LABELS]
 
@@ -187,6 +197,8 @@ __all__ = [
     "document_texts",
     "metric_log",
     "metric_table",
+    "MONTH_LABELS",
+    "order_months",
     "scored_table",
     "split_metric_table",
     "SCORE_INPUTS",

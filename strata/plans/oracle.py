@@ -164,6 +164,11 @@ def oracle_sql() -> dict[str, str]:
         f" round(avg(CAST(y{i} AS DOUBLE)), 6) AS rate FROM f1s GROUP BY split"
         for i in range(4)
     )
+    months = "\n  UNION ALL\n".join(
+        f"SELECT 'm{m}' AS label, count(DISTINCT l_orderkey) FILTER (WHERE month(l_shipdate) = {m}) AS n_rows, true AS within_one FROM lineitem"
+        for m in range(1, 13)
+    )
+    q["sparse_split_rates"] = months + "\n  UNION ALL\nSELECT 'all', count(DISTINCT l_orderkey), true FROM lineitem"
     q["batch_assignment"] = _wcte(F1S) + f"""
 SELECT row_key, split,
        CAST((row_number() OVER (PARTITION BY split ORDER BY

@@ -301,6 +301,10 @@ FROM f2 WHERE split = 'test' GROUP BY label"""
 
 def sink_sql() -> dict[str, str]:
     return {
+        "metric_log_repeat": (
+            "SELECT event_type AS metric, user_id % 2 = 1 AS repeated, count(*) AS n, count(DISTINCT user_id) AS n_runs,"
+            f" {r6('sum(CASE WHEN user_id % 2 = 1 THEN value ELSE value + 1 END)')} AS value_sum FROM events GROUP BY ALL"
+        ),
         "metric_log_sink": (
             f"SELECT event_type AS metric, count(*) AS n, count(DISTINCT user_id) AS n_runs, {r6('sum(value)')} AS value_sum"
             " FROM events GROUP BY event_type"

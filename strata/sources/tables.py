@@ -139,6 +139,56 @@ def read_split_cache(
     return df
 
 
+LOG_SCHEMA = "run long, seed long, epoch long, metric string, value double"
+LOG_KEY = ["run", "seed"]
+
+
+def write_metric_records(df: DataFrame, path: str) -> str:
+    """SRC5, first step: the records ``(run, seed, epoch, metric, value)`` of a new attempt, named by the
+    returned id. Readers don't see them before ``commit_metric_records``."""
+    attempt = uuid.uuid4().hex
+    records = df.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(LOG_SCHEMA)])
+    records.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/records/attempt={attempt}")
+    return attempt
+
+
+def commit_metric_records(spark: SparkSession, path: str, attempt: str) -> None:
+    """SRC5, last step: one commit row per (run, seed) of the attempt, taken from the written records. Commits are
+    numbered; of equal numbers (attempts committed at once) the greater attempt id counts."""
+    path = path.rstrip("/")
+    number = 1 + (_commits(spark, path).agg(F.max("number")).first()[0] or 0)
+    keys = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/records/attempt={attempt}").select(*LOG_KEY).distinct()
+    keys.select(*LOG_KEY, F.lit(number).cast("long").alias("number"), F.lit(attempt).alias("attempt")).write.mode("append").parquet(f"{path}/commits")
+
+
+def write_metric_log(df: DataFrame, path: str) -> None:
+    """SRC5: write the records of whole runs so that a run repeated, or killed at any point, leaves one set of
+    records: each (run, seed) of ``df`` replaces what was committed for it before, once its commit row is written.
+    Runs that are not in ``df`` stay. Null runs and seeds are runs of their own."""
+    commit_metric_records(df.sparkSession, path, write_metric_records(df, path))
+
+
+def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
+    """SRC5: the records of the last commit of every (run, seed); empty where nothing was committed."""
+    path = path.rstrip("/")
+    last = _commits(spark, path).groupBy(*LOG_KEY).agg(F.max(F.struct("number", "attempt"))["attempt"].alias("attempt"))
+    if not _exists(spark, f"{path}/records"):
+        return spark.createDataFrame([], LOG_SCHEMA)
+    records = spark.read.schema(f"{LOG_SCHEMA}, attempt string").option("basePath", f"{path}/records").parquet(f"{path}/records").alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*LOG_KEY, "attempt"]]
+    return records.join(last.alias("c"), same[0] & same[1] & same[2], "left_semi").drop("attempt")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    schema = ", ".join([*LOG_SCHEMA.split(", ")[: len(LOG_KEY)], "number long", "attempt string"])
+    return spark.read.schema(schema).parquet(f"{path}/commits") if _exists(spark, f"{path}/commits") else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def append_metric_log(df: DataFrame, path: str) -> None:
     """SRC5: append metric records ``(run, seed, epoch, metric, value)`` to a parquet log."""
     cols = ["run", "seed", "epoch", "metric", "value"]

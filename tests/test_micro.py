@@ -433,3 +433,43 @@ def test_one_hot_refuses_ids(spark):
     df = spark.createDataFrame([(10**9,), (1,)], "label long")
     with pytest.raises(Exception, match="class numbers"):
         prep.onehot_weights(df, "label").collect()
+
+
+def test_balanced_quotas():
+    """Rare label-sets: every label's share (and the rows') within one row in every part; brute force on tiny tables."""
+    import itertools
+    from fractions import Fraction
+
+    parts = (Fraction(8, 10), Fraction(1, 10), Fraction(1, 10))
+    share = np.array([0.8, 0.1, 0.1])
+    rng = np.random.default_rng(3)
+    for n_labels, n_sets in ((3, 40), (6, 200), (12, 900), (20, 400)):
+        labels = (rng.random((n_sets, n_labels)) < rng.random(n_labels) * 0.5).astype(int)
+        for counts in (np.ones(n_sets, dtype=int), rng.integers(1, 9, n_sets)):
+            got = prep.balanced_quotas(labels, counts, parts)
+            assert (got.sum(1) == counts).all() and (np.abs(got - counts[:, None] * share) < 1).all()
+            both = np.column_stack([labels, np.ones(n_sets, dtype=int)])
+            assert np.abs(both.T @ got - both.T @ counts[:, None] * share).max() <= 1
+    halves = (Fraction(1, 2), Fraction(1, 2))
+    for _ in range(30):
+        labels, counts = rng.integers(0, 2, (6, 3)), np.ones(6, dtype=int)
+        both = np.column_stack([labels, np.ones(6, dtype=int)])
+        error = lambda first: np.abs(both.T @ (np.array(first) - 0.5)).max()
+        assert error(prep.balanced_quotas(labels, counts, halves)[:, 0]) <= max(1, min(map(error, itertools.product((0, 1), repeat=6))))
+
+
+def test_iterative_split(spark):
+    """Every label-set has one row, so the plain split would send all rows to train."""
+    rows = [(f"k{i}", *((i >> b) & 1 for b in range(8))) for i in range(256)] + [("n", *[None] * 8)]
+    names = [f"l{b}" for b in range(8)]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{n} int" for n in names))
+    assert {r["split"] for r in prep.stratified_split(df, "key", names).collect()} == {"train"}
+    out = prep.stratified_split(df, "key", names, strata="iterative").collect()
+    assert len(out) == 257
+    for part, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
+        assert abs(sum(r["split"] == part for r in out) - share * 257) <= 1
+        for n in names:
+            assert abs(sum((r[n] or 0) * (r["split"] == part) for r in out) - share * 128) <= 1
+    again = prep.stratified_split(df.repartition(5), "key", names, strata="iterative").collect()
+    assert {(r["key"], r["split"]) for r in out} == {(r["key"], r["split"]) for r in again}
+    assert prep.stratified_split(df.limit(0), "key", names, strata="iterative").count() == 0

@@ -55,6 +55,28 @@ def test_split_cache_validation(spark, tmp_path):
         tables.read_split_cache(spark, os.path.join(base, "ragged"))
 
 
+def test_metric_log_is_repeatable(spark, tmp_path):
+    path = str(tmp_path / "log")
+    records = lambda rows: spark.createDataFrame(rows, tables.LOG_SCHEMA)
+    read = lambda: sorted(map(tuple, tables.read_metric_log(spark, path).collect()), key=str)
+    assert read() == []
+    killed = tables.write_metric_records(records([(1, 7, 0, "loss", 9.0)]), path)  # ends before its commit
+    assert read() == []
+    first = [(1, 7, 0, "loss", 1.0), (1, 7, 1, "loss", 0.5), (1, 7, 1, "loss", 0.5), (2, 7, 0, "loss", 3.0), (None, 7, 0, "loss", 4.0)]
+    tables.write_metric_log(records(first), path)
+    assert read() == sorted(first, key=str)
+    again = [(1, 7, 0, "loss", 2.0)]  # a repeated run may have fewer epochs
+    tables.write_metric_log(records(again), path)
+    tables.write_metric_records(records([(2, 7, 0, "loss", 8.0)]), path)
+    want = sorted(again + first[3:], key=str)
+    assert read() == want
+    tables.write_metric_log(records(again), path)
+    tables.write_metric_log(records([]), path)
+    assert read() == want
+    tables.commit_metric_records(spark, path, killed)  # a restarted driver may still commit what it wrote
+    assert read() == sorted([(1, 7, 0, "loss", 9.0)] + first[3:], key=str)
+
+
 def test_stream_confusion_equals_batch(spark, tmp_path):
     base = str(tmp_path)
     rows = [(i % 3, int(i % 5 == 0), (i % 97) / 97.0) for i in range(600)]
