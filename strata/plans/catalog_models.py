@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.columns import r6
-from strata.operators import embed, gates, prep, scoring
+from strata.operators import embed, gates, prep, scoring, vector_store
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, _scaled, register
 from strata.session import cut_lineage
@@ -161,6 +161,15 @@ def fusion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "quality", "toxic", "label", "n_chars", F.size("embedding").alias("emb_width"))
 
 
+@register("fusion_join_cached")
+def fusion_join_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4 + SRC7: text features and vectors stored in buckets of the id, then joined without an exchange."""
+    text = tables.write_bucketed(fx.text_table(spark, sf_dir).select("doc_id", "quality", "toxic", "n_chars"), "features", "doc_id")
+    vectors = tables.write_bucketed(fx.vector_table(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), "vectors", "doc_id")
+    f = tables.bucketed_join(spark.table(text), spark.table(vectors), "doc_id")
+    return f.select("doc_id", "quality", "toxic", "label", "n_chars", F.size("embedding").alias("emb_width"))
+
+
 def _millionths(x):
     return F.round(x.cast("double") * 1e6).cast("long")
 
@@ -169,12 +178,38 @@ def _millionths(x):
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMB1 / EMB3 over all documents: the non-zero elements of each vector as
     ``dim:millionths`` pairs in order."""
-    emb = embed.embed_text(fx.document_texts(spark, sf_dir), "doc_id", "text")
+    return _elements(embed.embed_text(fx.document_texts(spark, sf_dir), "doc_id", "text"))
+
+
+def _elements(emb: DataFrame) -> DataFrame:
     pairs = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)
     text = F.transform(pairs, lambda p: F.concat_ws(":", p["i"].cast("string"), _millionths(p["x"]).cast("string")))
     return emb.select("doc_id", F.size("embedding").alias("width"), F.size(pairs).alias("n_nonzero"), F.array_join(text, ",").alias("elements"))
 
 
+def _store_runs(spark: SparkSession, sf_dir: str) -> tuple[str, list[int]]:
+    """A store, and its number of texts after each of three runs: English texts, all texts, all texts again."""
+    docs, store, stored = fx.document_texts(spark, sf_dir), tables.shared_folder(spark, "vectors"), []
+    for part in (docs.where("lang = 'en'"), docs, docs):
+        vector_store.encode_unseen(part, "text", store)
+        stored.append(vector_store.read_store(spark, store).count())
+    return store, stored
+
+
+@register("embed_store")
+def embed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMB1 - EMB3 through a content-addressed store: the vectors of ``embed_text``, each distinct text encoded once."""
+    store, _ = _store_runs(spark, sf_dir)
+    return _elements(vector_store.stored_vectors(fx.document_texts(spark, sf_dir), "doc_id", "text", store))
+
+
+@register("embed_store_runs")
+def embed_store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in the store after each of three runs; the third finds nothing unseen."""
+    _, stored = _store_runs(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(stored, 1)), "run int, n_stored long")
+
+
 @register("embedding_cache_roundtrip")
 def embedding_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EMB2 + SRC3 + SRC4: split, scale (train fit), embed every split in one job,

@@ -270,6 +270,11 @@ def scoring_sql() -> dict[str, str]:
         " FROM dt LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(dim || ':' || micro, ',' ORDER BY dim) AS els FROM emb GROUP BY doc_id) x"
         " ON dt.doc_id = x.doc_id GROUP BY dt.doc_id"
     )
+    q["embed_store"] = q["embed_text"]
+    q["embed_store_runs"] = _wcte(TEXTS, "n AS (SELECT count(DISTINCT coalesce(text, '')) AS everything, count(DISTINCT coalesce(text, '')) FILTER (WHERE lang = 'en') AS english FROM dt)") + (
+        "SELECT CAST(1 AS INTEGER) AS run, english AS n_stored FROM n UNION ALL SELECT 2, everything FROM n UNION ALL SELECT 3, everything FROM n"
+    )
+    q["fusion_join_cached"] = q["fusion_join"]
     feats = ("n_chars", "n_spaces", "n_newlines")
     fit = "fit AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in feats) + " FROM f3s WHERE split = 'train')"
     scaled = "+".join(f"CAST(round(CAST(CAST((CAST({c} AS DOUBLE) - m_{c}) / s_{c} AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT)" for c in feats)

@@ -50,11 +50,35 @@ def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = (
     return spark.read.schema(df.schema).parquet(path)  # an empty table has no file to take a schema from
 
 
+_NAMED: list[str] = []
+
+
+def write_bucketed(df: DataFrame, name: str, key_col: str, n_buckets: int | None = None) -> str:
+    """SRC3/SRC7: store ``df`` in buckets of ``key_col`` (one sorted file each) as a table in the shared folder;
+    returns the table's name for ``spark.table``. Tables with equal bucket counts join on the key without an
+    exchange, however often. ``n_buckets`` defaults to ``spark.sql.shuffle.partitions``; rows of one key stay
+    in one bucket, so the key should not be skewed (a unique id is not)."""
+    spark = df.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"strata_{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key_col).write.bucketBy(n, key_col).sortBy(key_col)
+    writer.option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
+    _NAMED.append(table)
+    return table
+
+
+def bucketed_join(left: DataFrame, right: DataFrame, key_col: str, how: str = "inner") -> DataFrame:
+    """SRC7: join of two ``write_bucketed`` tables on their key, bucket by bucket."""
+    return left.join(right.hint("merge"), key_col, how)
+
+
 def drop_shared_tables(spark: SparkSession) -> int:
     """Delete the tables ``write_shared_table`` wrote in this process (call it
     once the queries reading them have run); returns how many were removed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
+    while _NAMED:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop()}")
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
@@ -172,7 +196,7 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the records of the last commit of every (run, seed); empty where nothing was committed."""
     path = path.rstrip("/")
     last = _commits(spark, path).groupBy(*LOG_KEY).agg(F.max(F.struct("number", "attempt"))["attempt"].alias("attempt"))
-    if not _exists(spark, f"{path}/records"):
+    if not path_exists(spark, f"{path}/records"):
         return spark.createDataFrame([], LOG_SCHEMA)
     records = spark.read.schema(f"{LOG_SCHEMA}, attempt string").option("basePath", f"{path}/records").parquet(f"{path}/records").alias("r")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*LOG_KEY, "attempt"]]
@@ -181,10 +205,11 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
 
 def _commits(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join([*LOG_SCHEMA.split(", ")[: len(LOG_KEY)], "number long", "attempt string"])
-    return spark.read.schema(schema).parquet(f"{path}/commits") if _exists(spark, f"{path}/commits") else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/commits") if path_exists(spark, f"{path}/commits") else spark.createDataFrame([], schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on the file system that its path names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 

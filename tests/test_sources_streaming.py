@@ -155,3 +155,46 @@ def test_drop_shared_tables(spark):
     assert os.path.exists(path)
     assert tables.drop_shared_tables(spark) >= 1
     assert not os.path.exists(path)
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    left = spark.range(1000).select((F.col("id") * 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(1500).select((F.col("id") * 2).alias("k"), F.array(F.col("id").cast("float")).alias("v"))
+    a, b = tables.write_bucketed(left, "left", "k", 6), tables.write_bucketed(right, "right", "k", 6)
+    joined = tables.bucketed_join(spark.table(a), spark.table(b), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(r.k for r in joined.collect()) == list(range(0, 3000, 6))
+    assert spark.table(a).select(F.input_file_name()).distinct().count() == 6  # one file a bucket
+    tables.drop_shared_tables(spark)
+    assert not spark.catalog.tableExists(a) and not spark.catalog.tableExists(b)
+
+
+def test_vector_store_encodes_each_text_once(spark, tmp_path):
+    import numpy as np
+
+    from strata.operators import embed, vector_store
+
+    store, seen = str(tmp_path / "store"), str(tmp_path / "seen")
+    os.mkdir(seen)
+
+    def encoder(texts):
+        for t in texts:
+            with open(os.path.join(seen, t.encode().hex() or "empty"), "a") as f:
+                f.write("x")
+        return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+    counts = lambda: {n: os.path.getsize(os.path.join(seen, n)) for n in os.listdir(seen)}
+    texts = ["a", "banana", None, "", "a", "x y", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    vector_store.encode_unseen(df.where("k < 3"), "text", store, encoder, 2)
+    assert set(counts().values()) == {1} and len(counts()) == 3
+    vector_store.encode_unseen(df, "text", store, encoder, 2)
+    vector_store.encode_unseen(df, "text", store, encoder, 2)
+    assert set(counts().values()) == {1} and len(counts()) == 4
+    got = {r.k: r.embedding for r in vector_store.stored_vectors(df, "k", "text", store).collect()}
+    want = {r.k: r.embedding for r in embed.embed_text(df, "k", "text", encoder, 2).collect()}
+    assert got == want and len(got) == 7
+    other = spark.createDataFrame([(1, "unseen"), (2, "a")], "k long, text string")
+    assert {r.k: r.embedding for r in vector_store.stored_vectors(other, "k", "text", store).collect()} == {1: None, 2: [1.0, 1.0]}
+    assert vector_store.read_store(spark, str(tmp_path / "none")).count() == 0
