@@ -51,3 +51,4 @@ SCORE_BUCKETS = 1 << 16  # prefix-sum buckets for scores in [0, 1]
 MAX_CLASSES = 100_000  # widest one-hot / most strata that are broadcast; more raise an error
 EXCHANGE_TRIES = 64  # label-sets tried against all others for an exchange when label shares are balanced
 BALANCE_KICKS = 200  # steps away from a state that no change improves, where a label is off by more than one row
+CHART_BUCKETS = 100  # parts of the x axis of a bounded chart, at most four points each

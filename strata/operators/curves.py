@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.config import SCORE_BUCKETS
+from strata.config import CHART_BUCKETS, SCORE_BUCKETS
 from strata.functions.columns import score_bucket
 
 
@@ -226,3 +226,20 @@ def curve_chart(scored: DataFrame) -> DataFrame:
         F.inline(F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))),
     ).select("label", "curve", "x", "y", F.lit(None).cast("double").alias("threshold"), F.lit(0.5).alias("area"))
     return roc.unionByName(pr).unionByName(diag)
+
+
+def bounded_chart(chart: DataFrame, n_buckets: int = CHART_BUCKETS) -> DataFrame:
+    """CRV6 of bounded length: at most ``4 * n_buckets`` points of each curve of a ``curve_chart``, as its rows with ``y_error``.
+
+    x is cut into equal buckets; of each one the first, last, lowest and highest points stay (one grouped
+    aggregate, ties by all values). Between them a bucket's exact points and the drawn line both keep within its
+    range of y, ``y_error``, which is thus the largest vertical error there (null where y is)."""
+    bucket = F.least(F.floor(F.nanvl("x", F.lit(0.0)) * n_buckets), F.lit(n_buckets - 1))
+    across, up = F.struct("x", "y", "threshold"), F.struct("y", "x", "threshold")
+    kept = chart.groupBy("label", "curve", bucket.alias("bucket")).agg(
+        F.array(F.min(across), F.max(across)).alias("ends"), F.array(F.min(up), F.max(up)).alias("range"),
+        (F.max("y") - F.min("y")).alias("y_error"), F.first("area").alias("area"),  # one area a curve
+    )
+    same = F.transform("range", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["threshold"].alias("threshold")))
+    points = F.array_distinct(F.concat("ends", same))
+    return kept.select("label", "curve", "area", "y_error", F.inline(points)).select("label", "curve", "x", "y", "threshold", "area", "y_error")

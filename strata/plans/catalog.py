@@ -60,7 +60,7 @@ def tiny_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("null_text_fill")
 def null_text_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ4 on all documents, a seventh of them without a text: ``prep.fill_text``, then counters."""
+    """PRJ4 on all documents and rows without a text: ``prep.fill_text``, then counters."""
     filled = prep.fill_text(fx.document_texts(spark, sf_dir), "text")
     n = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c)))).cast("long")
     return filled.select(

@@ -84,6 +84,13 @@ def curve_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(curves.curve_chart(_scored(spark, sf_dir, "test")), ["x", "y", "area"])
 
 
+@register("curve_chart_bounded")
+def curve_chart_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRV6 with at most four points in each hundredth of the x axis, and the vertical error there."""
+    exact = _round(curves.curve_chart(_scored(spark, sf_dir, "test")), ["x", "y", "area"])
+    return _round(curves.bounded_chart(exact), ["y_error"])
+
+
 # ------------------------------------------------------------------ THR
 
 

@@ -14,7 +14,7 @@ from strata.operators import embed, gates, prep, scoring, vector_store
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, _scaled, register
 from strata.session import cut_lineage
-from strata.sources import tables
+from strata.sources import large_csv, tables
 
 CROSS_RANK = 2
 
@@ -254,6 +254,16 @@ def dataset_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("dataset_csv_blocks")
+def dataset_csv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1 by many tasks a file: the documents written as large dataset CSV files are read back in
+    blocks, quoted line breaks included; per row the text's length and md5."""
+    texts, path = fx.document_texts(spark, sf_dir), tables.shared_folder(spark, "dataset-csv")
+    tables.write_dataset_csv(texts, path, rows_per_file=5_000_000)
+    back = prep.fill_text(large_csv.read_large_csv(spark, path, texts.schema), "text")
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 # ------------------------------------------------------------------ TRN / MET10 / RUN4
 
 from strata.operators import heads, losses, metrics, runs, thresholds, train  # noqa: E402

@@ -95,10 +95,12 @@ def scored_from(base: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, labelled or not, as ``(doc_id, text, lang)``; every seventh text is null
-    (a rule on the id that the oracle restates), so that null handling is really exercised."""
+    """All documents, labelled or not, as ``(doc_id, text, lang)``, and beside every seventh one a row
+    without a text (its id is -1 minus the document's), so that null handling is really exercised."""
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"), "lang")
+    row = F.struct("doc_id", "text", "lang")
+    empty = F.struct((F.lit(-1) - F.col("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang")
+    return docs.select(F.inline(F.when(F.col("doc_id") % 7 == 3, F.array(row, empty)).otherwise(F.array(row))))
 
 
 def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ scaled AS (
   FROM f1s CROSS JOIN scaler_row
 )"""
 
-TEXTS = "dt AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 3 THEN text END AS text, lang FROM documents)"
+TEXTS = "dt AS (SELECT doc_id, text, lang FROM documents UNION ALL SELECT -1 - doc_id, NULL, lang FROM documents WHERE doc_id % 7 = 3)"
 
 F3A = """
 f3a AS (

@@ -195,6 +195,15 @@ SELECT label, 'random', 0e0, 0e0, CAST(NULL AS DOUBLE), 0.5e0 FROM (SELECT DISTI
 UNION ALL
 SELECT label, 'random', 1e0, 1e0, CAST(NULL AS DOUBLE), 0.5e0 FROM (SELECT DISTINCT label FROM test)"""
 
+    order = {"a": "x, y, threshold NULLS FIRST", "b": "x DESC, y DESC, threshold DESC NULLS LAST",
+             "c": "y, x, threshold NULLS FIRST", "d": "y DESC, x DESC, threshold DESC NULLS LAST"}
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY label, curve, bucket ORDER BY {by}) AS {k}" for k, by in order.items())
+    q["curve_chart_bounded"] = f"""
+SELECT DISTINCT label, curve, x, y, threshold, area, {r6('y_range')} AS y_error
+FROM (SELECT *, {ranks}, max(y) OVER (PARTITION BY label, curve, bucket) - min(y) OVER (PARTITION BY label, curve, bucket) AS y_range
+      FROM (SELECT *, least(CAST(floor(x * 100) AS BIGINT), 99) AS bucket FROM ({q['curve_chart']})))
+WHERE 1 IN (a, b, c, d)"""
+
     q["threshold_grid"] = _wcte(*base, _cands(GRID_CANDIDATES), _grid("val")) + (
         f"SELECT label, threshold, {r6('f1')} AS f1 FROM grid"
     )

@@ -265,6 +265,7 @@ def scoring_sql() -> dict[str, str]:
     q["dataset_csv_roundtrip"] = _wcte(TEXTS) + (
         "SELECT doc_id, lang, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM dt"
     )
+    q["dataset_csv_blocks"] = q["dataset_csv_roundtrip"]
     q["embed_text"] = _wcte(TEXTS, *_embedding("dt")) + (
         "SELECT dt.doc_id, CAST(768 AS INTEGER) AS width, CAST(coalesce(max(n), 0) AS INTEGER) AS n_nonzero, coalesce(max(els), '') AS elements"
         " FROM dt LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(dim || ':' || micro, ',' ORDER BY dim) AS els FROM emb GROUP BY doc_id) x"

@@ -473,3 +473,28 @@ def test_iterative_split(spark):
     again = prep.stratified_split(df.repartition(5), "key", names, strata="iterative").collect()
     assert {(r["key"], r["split"]) for r in out} == {(r["key"], r["split"]) for r in again}
     assert prep.stratified_split(df.limit(0), "key", names, strata="iterative").count() == 0
+
+
+def test_bounded_chart(spark):
+    """Few points, and no exact point further from the drawn line than the bucket's stated error."""
+    rng = np.random.default_rng(9)
+    p = rng.random(5000)
+    rows = [(0, int(rng.random() < x), float(x)) for x in p] + [(1, 0, 0.25)] * 3
+    scored = spark.createDataFrame(rows, "label int, y int, prob double").withColumn("logit", F.log(F.col("prob") / (1 - F.col("prob"))))
+    exact = curves.curve_chart(scored).cache()
+    few = [r for r in curves.bounded_chart(exact, 20).collect()]
+    whole = {}
+    for r in exact.collect():
+        whole.setdefault((r["label"], r["curve"]), []).append((r["x"], r["y"], r["threshold"]))
+    for key, points in whole.items():
+        mine = [r for r in few if (r["label"], r["curve"]) == key]
+        assert len(mine) <= 80 and {(r["x"], r["y"], r["threshold"]) for r in mine} <= set(points)
+        for x, y, _ in points:
+            inside = [r for r in mine if min(int(r["x"] * 20), 19) == min(int(x * 20), 19)]
+            if y is None:  # a label without positives has no rate
+                assert all(r["y"] is None and r["y_error"] is None for r in inside)
+                continue
+            low, high = min(r["y"] for r in inside), max(r["y"] for r in inside)
+            assert low <= y <= high and abs(high - low - inside[0]["y_error"]) < 1e-12
+            assert min(r["x"] for r in inside) <= x <= max(r["x"] for r in inside)
+    assert len(whole[(0, "roc")]) > 1000
