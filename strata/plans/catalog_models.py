@@ -118,8 +118,8 @@ def fusion_spec(kind: str) -> scoring.ModelSpec:
     """The fusion scorers' architecture (numeric side on the three text counters,
     text side on the 64-wide vectors)."""
     return scoring.ModelSpec(
-        input_dim=len(FUSION_FEATURES), kind=kind, projection_dim=32, embed_dim=16, cross_layers=2, deep_layers=1,
-        num_classes=2, text_dim=64, cross_rank=8,
+        input_dim=len(FUSION_FEATURES), kind=kind, projection_dim=128, embed_dim=128, cross_layers=4, deep_layers=2,
+        num_classes=2, text_dim=64, cross_rank=32,
     )
 
 
