@@ -31,22 +31,35 @@ def chunks(text):
     return out
 
 
+def spans(text):
+    """(first, lines) of removable chunks and of the shortest runs of 50 words from and to a line."""
+    lines = (text or "").split("\n")
+    words = [len(WORD.findall(x)) for x in lines]
+    out, at = set(), 0
+    for c in chunks(text):
+        n = sum(words[at : at + len(c)])
+        if (len(c) >= 2 and n >= 10) or n >= 50:
+            out.add((at, len(c)))
+        at += len(c)
+    for i in (i for i, n in enumerate(words) if n):
+        out |= {(i, j - i) for j in range(i + 1, len(lines) + 1) if sum(words[i:j]) >= 50 > sum(words[i : j - 1])}
+        out |= {(j, i + 1 - j) for j in range(i + 1) if sum(words[j : i + 1]) >= 50 > sum(words[j + 1 : i + 1]) and words[j]}
+    return [(k, lines[k : k + n]) for k, n in sorted(out)]
+
+
 def brute(rows):
     """{(doc_id, text): new text} of (doc_id, text) rows."""
     first, out = {}, {}
     listed = sorted({(i, t) for i, t in rows if i is not None and t is not None})
     for doc_id, text in listed:
-        for pos, c in enumerate(chunks(text)):
-            words = sum(len(WORD.findall(x)) for x in c)
-            if (len(c) >= 2 and words >= 10) or words >= 50:
-                first.setdefault("\n".join(c), (doc_id, pos))
+        for k, c in spans(text):
+            first.setdefault("\n".join(c), (doc_id, k))
     for doc_id, text in rows:
         if doc_id is None or text is None:
             out[(doc_id, text)] = text
             continue
-        parts = ["\n".join(c) for c in chunks(text)]
-        left = [p for k, p in enumerate(parts) if first.get(p, (doc_id, k)) == (doc_id, k)]
-        out[(doc_id, text)] = "\n".join(left)
+        gone = {k + j for k, c in spans(text) if first["\n".join(c)] != (doc_id, k) for j in range(len(c))}
+        out[(doc_id, text)] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
     return out
 
 
@@ -91,6 +104,46 @@ def test_passage_survives_shifts_and_keeps_its_first_copy(spark):
     assert got[5].text == rows[4][1]
 
 
+def test_planted_passages_of_short_lines(spark):
+    """Passages of 50 words and more over 2 to 10 lines, each in two unrelated documents."""
+    import random
+
+    rng = random.Random(5)
+
+    def line(n):
+        return " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))
+
+    rows, planted = [], {}
+    shapes = [(2, 30), (3, 20), (4, 15), (5, 12), (6, 49), (10, 49), (10, 5)]
+    for k in range(20 * len(shapes)):
+        n, words = shapes[k % len(shapes)]
+        passage = [line(words if k % 2 else max(1, words + rng.randrange(-4, 8))) for _ in range(n)]
+        if sum(len(x.split()) for x in passage) < 50:
+            passage.append(line(50))
+        for copy in (0, 1):
+            own = [[line(rng.randrange(3, 40)) for _ in range(rng.randrange(0, 8))] for _ in (0, 1)]
+            rows.append((2 * k + copy, "\n".join([*own[0], *passage, *own[1]])))
+            planted[2 * k + copy] = (passage, "\n".join(own[0] + own[1]))
+    rows += [(10_000 + k, "\n".join(line(rng.randrange(3, 40)) for _ in range(12))) for k in range(50)]
+    got = {r.doc_id: r.text for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
+    for doc_id, text in rows:
+        if doc_id % 2 and doc_id in planted:
+            assert got[doc_id] == planted[doc_id][1]  # the second copy goes whole, its own lines stay
+        else:
+            assert got[doc_id] == text
+
+
+def test_runs_with_blank_lines_ties_and_repeated_ids(spark):
+    verse = "one two three four five six seven\n\n" * 9
+    rows = [
+        (1, verse + "end"), (2, "start\n\n" + verse.replace("\n\n", "\n")), (3, "other\n\n\n" + verse + "\n\nlast"),
+        (4, "x\n" + " ".join(f"a{i}" for i in range(30)) + "\n" + " ".join(f"b{i}" for i in range(30))),
+        (4, " ".join(f"a{i}" for i in range(30)) + "\n" + " ".join(f"b{i}" for i in range(30)) + "\ny"),
+        (4, "short"), (5, None), (None, verse),
+    ]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_equal_hash_is_not_enough(spark, monkeypatch):
     """With a hash that puts unlike chunks together, the byte comparison keeps them."""
     from strata.llm import line_dedup as m
@@ -100,3 +153,5 @@ def test_equal_hash_is_not_enough(spark, monkeypatch):
     real = F.md5
     monkeypatch.setattr(m.F, "md5", lambda c: F.substring(real(c), 1, 0))
     assert {r.text for r in line_dedup(docs).collect()} == {t for _, t in rows}
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10))
+    assert sorted(r.text for r in line_dedup(twice).collect()) == sorted([t for _, t in rows] + [""] * 6)
