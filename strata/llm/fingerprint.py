@@ -10,9 +10,9 @@ doesn't matter, and inserting or deleting one adds or subtracts its vector:
   falls inside a paragraph (exact lanes up to 2**30 - 1 sentences, more than a row can hold);
 * the numbers of paragraphs and of sentences.
 
-Every word is added modulo 2**60, which no number of paragraphs can overflow. The printed form
-folds the narrow words in pairs to four lanes a word, 15 bits apart, again modulo 2**60: it tells
-equal multisets, and ``likeness`` reads the words.
+Every word is added modulo 2**60, which no number of paragraphs can overflow. The printed form is
+all words in hexadecimal; ``words_of_text`` reads them back, so that stored fingerprints can be
+compared, added and subtracted at any length of text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 _MASK = (1 << 60) - 1
 _LANE_BITS = 30
 _SPREAD = 1 | 1 << _LANE_BITS
-_FOLD_BITS = 15
 _NARROW_SEEDS, _WIDE_SEEDS = (11, 12), (21, 22)
-#: Narrow words, and the lanes in them. Word 2i is folded with word 2i + 1.
+#: Narrow words, and the lanes in them; hexadecimal digits of a printed word.
 _NARROW = _LANE_BITS * len(_NARROW_SEEDS)
 LANES = 2 * _NARROW
+_WORDS, _DIGITS = _NARROW + len(_WIDE_SEEDS) + 2, 15
 MIN_BUCKETS = 256
 
 
@@ -52,7 +52,7 @@ def with_words(rows: DataFrame, text_col: str, out_col: str) -> DataFrame:
     def total(hashes: str, seed: int, take) -> Column:
         return F.aggregate(F.col(hashes), F.lit(0).cast("long"), lambda a, h: (a + take(h[f"s{seed}"])).bitwiseAND(F.lit(_MASK)))
 
-    narrow = [total(fine, s, lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_SPREAD))) for s in _NARROW_SEEDS for i in range(_FOLD_BITS) for j in (i, i + _FOLD_BITS)]
+    narrow = [total(fine, s, lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_SPREAD))) for s in _NARROW_SEEDS for j in range(_LANE_BITS)]
     wide = [total(whole, s, lambda h: h.bitwiseAND(F.lit(_MASK))) for s in _WIDE_SEEDS]
     rows = rows.withColumn(whole, paragraphs(F.col(text_col))).withColumn(fine, _hashes(sentences(F.col(whole)), _NARROW_SEEDS))
     rows = rows.withColumn(whole, _hashes(F.col(whole), _WIDE_SEEDS))
@@ -70,9 +70,20 @@ def subtract_words(a: Column, b: Column) -> Column:
 
 
 def as_text(words: Column) -> Column:
-    fold = F.transform(F.sequence(F.lit(0), F.lit(_NARROW - 2), F.lit(2)), lambda i: (F.get(words, i) + F.shiftleft(F.get(words, i + 1), _FOLD_BITS)).bitwiseAND(F.lit(_MASK)))
-    rest = F.slice(words, _NARROW + 1, len(_WIDE_SEEDS) + 2)
-    return F.array_join(F.transform(F.concat(fold, rest), lambda x: F.lpad(F.hex(x), 15, "0")), "")
+    """The printed form: every word as 15 hexadecimal digits, in order."""
+    return F.array_join(F.transform(words, lambda x: F.lpad(F.hex(x), _DIGITS, "0")), "")
+
+
+def words_of_text(text: Column) -> Column:
+    """The words of a printed fingerprint; null if ``text`` is null or not as long as one."""
+    word = lambda i: F.conv(F.substring(text, i * _DIGITS + 1, F.lit(_DIGITS)), 16, 10).cast("long")
+    return F.when(F.length(text) == _WORDS * _DIGITS, F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), word))
+
+
+def likeness_of_text(a: Column, b: Column) -> Column:
+    """``likeness`` of two printed fingerprints; null if either is none."""
+    both = F.array(F.struct(words_of_text(a).alias("a"), words_of_text(b).alias("b")))
+    return F.get(F.transform(both, lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), likeness(s["a"], s["b"]))), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -8,10 +8,10 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from strata.llm.fingerprint import add_words, as_text, edited_fingerprints, fingerprints, likeness, subtract_words, with_words
+from strata.llm.fingerprint import add_words, as_text, edited_fingerprints, fingerprints, likeness, likeness_of_text, subtract_words, with_words, words_of_text
 
 MASK = (1 << 60) - 1
-SPREAD = 1 | 1 << 15 | 1 << 30 | 1 << 45
+SPREAD = 1 | 1 << 30
 
 
 def spark_hash(seed: int, text: str) -> int:
@@ -25,7 +25,7 @@ def words(text):
     out = []
     for seed in (11, 12):
         h = [spark_hash(seed, s) for s in fine]
-        out += [sum((x >> j) & SPREAD for x in h) & MASK for j in range(15)]
+        out += [sum((x >> j) & SPREAD for x in h) & MASK for j in range(30)]
     out += [sum(spark_hash(seed, p) & MASK for p in parts) & MASK for seed in (21, 22)]
     return [*out, len(fine), len(parts)]
 
@@ -35,8 +35,8 @@ def hexed(w):
 
 
 def alike(a, b):
-    va = [2 * ((w >> 15 * j) & 0x7FFF) - a[-2] for w in a[:30] for j in range(4)]
-    vb = [2 * ((w >> 15 * j) & 0x7FFF) - b[-2] for w in b[:30] for j in range(4)]
+    va = [2 * ((w >> 30 * j) & 0x3FFFFFFF) - a[-2] for w in a[:60] for j in range(2)]
+    vb = [2 * ((w >> 30 * j) & 0x3FFFFFFF) - b[-2] for w in b[:60] for j in range(2)]
     norm = sum(x * x for x in va) + sum(x * x for x in vb)
     return 1.0 if not norm else max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(va, vb, strict=True)) / norm))
 
@@ -60,6 +60,15 @@ def test_documents(documents):
     assert sum(r[5] > r[6] for r in got) > 0.85 * len(got)  # half a text is alike, the next one is not
 
 
+def test_likeness_of_the_returned_strings(documents, odd_docs):
+    for docs in (documents, odd_docs):
+        rows = edited_fingerprints(docs).withColumn("read", likeness_of_text(F.col("fingerprint"), F.col("edited_fingerprint"))).collect()
+        assert rows
+        assert all(r.read == r.near_edited for r in rows)
+    none = documents.select(likeness_of_text(F.lit("12"), F.lit(None).cast("string")).alias("x")).first()
+    assert none.x is None
+
+
 def test_odd_rows(odd_docs):
     check(odd_docs)
 
@@ -109,8 +118,11 @@ def test_lanes_of_very_long_texts(spark):
     texts = [*repeated, *long, long[0][: len(long[0]) // 2]]
     pairs = [(0, 1), (0, 2), (3, 4), (3, 5), (3, 3)]
     rows = spark.createDataFrame([(k, texts[i], texts[j]) for k, (i, j) in enumerate(pairs)], "k long, a string, b string")
-    rows = with_words(with_words(rows, "a", "wa"), "b", "wb").select("k", likeness(F.col("wa"), F.col("wb")).alias("near"), as_text(F.col("wa")).alias("text"))
+    rows = with_words(with_words(rows, "a", "wa"), "b", "wb").select("k", likeness(F.col("wa"), F.col("wb")).alias("near"), as_text(F.col("wa")).alias("text"), as_text(F.col("wb")).alias("other"))
+    rows = rows.withColumn("read", likeness_of_text(F.col("text"), F.col("other"))).withColumn("back", as_text(words_of_text(F.col("text"))))
     for r in rows.collect():
+        assert r.read == r.near
+        assert r.back == r.text
         i, j = pairs[r.k]
         assert abs(r.near - exact_likeness(texts[i], texts[j])) < 1e-9, pairs[r.k]
         assert r.text == hexed(words(texts[i]))
