@@ -60,3 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recompute from the checkpoint rather than from the source scan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` dealt evenly over as many tasks as a shuffle has (at least one per core):
+    work by row on a file with few row groups would otherwise run in as few tasks as those."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))

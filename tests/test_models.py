@@ -200,3 +200,29 @@ def test_seed_runs_are_whole_runs(spark, monkeypatch):
     methods = {r.metric.split("/")[1] for r in rows if r.metric.count("/") == 2}
     assert len(methods) >= 3
     assert {(r.loss, f"test/{x}/f1_macro") for r in rows for x in methods} <= {(r.loss, r.metric) for r in rows}
+
+
+def _one_task_rows(spark, n=4000):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(n, 5)))], "k long, features array<double>")
+    spec = scoring.ModelSpec(input_dim=5, projection_dim=16, embed_dim=8, cross_rank=4, gated_rank=4)
+    return rows.coalesce(1), spec, _weights(spec)
+
+
+def _rows_by_task(df):
+    return {r["part"]: r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+
+
+def test_scoring_deals_rows_of_one_task_over_all(spark):
+    """A file of one row group is one task: its rows are scored by as many tasks as a shuffle has."""
+    df, spec, w = _one_task_rows(spark)
+    n = _rows_by_task(scoring.score(df, spec, w, keep_cols=["k"]))
+    assert len(n) >= 8 and max(n.values()) < 4000 / 4 and sum(n.values()) == 4000
+
+
+
+def test_ragged_features_raise():
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="one length"):
+        scoring._matrix(pa.array([[1.0] * 4, [1.0] * 6]))
