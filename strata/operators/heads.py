@@ -170,10 +170,17 @@ def log_sigmoid(z: np.ndarray) -> np.ndarray:
     return np.minimum(z, 0.0) - np.log1p(np.exp(-np.abs(z)))
 
 
-def _focal(u: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+def _both_sides(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``sigmoid(z)``, ``sigmoid(-z)`` and their logarithms from one exponential and one logarithm."""
+    e = np.exp(-np.abs(z))
+    up, log = z >= 0, np.log1p(e)
+    return np.where(up, 1.0, e) / (1.0 + e), np.where(up, e, 1.0) / (1.0 + e), np.minimum(z, 0.0) - log, np.minimum(-z, 0.0) - log
+
+
+def _focal(q: np.ndarray, rest: np.ndarray, logq: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
     """``(1-q)^g (-ln q)`` with ``q = sigmoid(u)``, and its slope in ``u``."""
-    q, rest, logq = sigmoid(u), sigmoid(-u), log_sigmoid(u)
-    return rest**gamma * -logq, rest**gamma * (gamma * q * logq - rest)
+    power = rest**gamma
+    return power * -logq, power * (gamma * q * logq - rest)
 
 
 @dataclass(frozen=True)
@@ -190,19 +197,19 @@ class BlockLoss:
 
     def __call__(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Element losses and ``dL/dz``; the same functions as the column expressions of the trainer."""
+        p, rest, logp, logrest = _both_sides(z)
         if self.name in ("bce", "cb"):
-            a, da, b, db = -log_sigmoid(z), -sigmoid(-z), -log_sigmoid(-z), sigmoid(z)
+            a, da, b, db = -logp, -rest, -logrest, p
         elif self.name in ("focal", "cb_focal"):
-            (a, da), (b, back) = _focal(z, self.gamma), _focal(-z, self.gamma)
+            (a, da), (b, back) = _focal(p, rest, logp, self.gamma), _focal(rest, p, logrest, self.gamma)
             db = -back
         elif self.name == "asl":
-            p = sigmoid(z)
             m = np.maximum(p - self.clip, 0.0)
-            a, da = _focal(z, self.gamma_pos)
-            soft = -log_sigmoid(-z)
+            a, da = _focal(p, rest, logp, self.gamma_pos)
+            soft = -logrest
             b = m**self.gamma_neg * soft
             with np.errstate(divide="ignore", invalid="ignore"):
-                slope = np.where(p > self.clip, self.gamma_neg * m ** (self.gamma_neg - 1) * p * sigmoid(-z) * soft, 0.0)
+                slope = np.where(p > self.clip, self.gamma_neg * m ** (self.gamma_neg - 1) * p * rest * soft, 0.0)
             db = slope + m**self.gamma_neg * p
         else:
             raise ValueError(f"Unknown loss: {self.name}")

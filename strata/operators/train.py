@@ -1,7 +1,7 @@
 """Data-parallel training of multi-label heads under any supported loss, many options at once.
 
-An option is a loss, a seed and optimiser settings. Per epoch ONE pass over the written training
-table returns, for all options that still run, the loss sums and the gradients of all parameters:
+An option is a loss, a seed and optimiser settings. The rows are written once as packed matrices,
+dealt evenly over the tasks. Per epoch ONE pass over that table returns, for all options that still run, the loss sums and the gradients of all parameters:
 tasks multiply matrices per Arrow batch (``heads``), partial sums are merged by Spark in blocks,
 and only as many numbers as there are parameters reach the driver, which runs the optimiser (AdamW,
 gradient-norm clipping, warm-up + cosine learning rate) over them. Validation macro-AUC after every epoch drives
@@ -28,8 +28,9 @@ from strata.config import (
     ASL_CLIP, ASL_GAMMA_NEG, ASL_GAMMA_POS, CB_BETA, FOCAL_GAMMA, GATE_NEAR_ONE_BATCH, GATE_NEAR_ZERO_BATCH, PATIENCE,
 )
 from strata.functions.columns import log_sigmoid, sigmoid, softplus
-from strata.operators import curves, heads, losses
+from strata.operators import heads, losses
 from strata.operators.prep import effective_number_weights, pos_weight
+from strata.session import spread
 from strata.sources.tables import LOG_SCHEMA, write_shared_table
 
 
@@ -203,10 +204,62 @@ def block_rows(df: DataFrame, features: list[str], label_cols: list[str], text_c
     return df.select(*cols)
 
 
+#: Bytes of a packed row (a batch of them stays below 100 MB), and rows of a task's matrix products.
+PACKED_BYTES, TASK_ROWS = 8192, 4096
+
+
 def _matrix(record: pa.RecordBatch, name: str) -> np.ndarray | None:
     if name not in record.schema.names:
         return None
-    return record.column(name).flatten().to_numpy(zero_copy_only=False).reshape(record.num_rows, -1)
+    column = record.column(name)
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(record.num_rows, -1)
+    # packed: the matrices of a batch lie one after the other in the column's buffer
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + record.num_rows + 1]
+    values = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.float64)
+    return values.reshape(int(record.column("n").to_numpy().sum()), -1)
+
+
+def _flags(record: pa.RecordBatch) -> np.ndarray:
+    """Of each row, whether it is a validation row."""
+    if "val" not in record.schema.names:
+        return np.zeros(record.num_rows if "n" not in record.schema.names else int(record.column("n").to_numpy().sum()), bool)
+    flags = record.column("val").to_numpy(zero_copy_only=False)
+    return np.repeat(flags, record.column("n").to_numpy()) if "n" in record.schema.names else flags
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(validation rows?, x, y, t) of at most ``TASK_ROWS`` rows, out of Arrow batches of rows or packed rows."""
+    for record in batches:
+        if not record.num_rows:
+            continue
+        matrices, flags = [_matrix(record, c) for c in "xyt"], _flags(record)
+        for val in (False, True):
+            mine = np.flatnonzero(flags == val)
+            for i in range(0, len(mine), TASK_ROWS):
+                rows = mine[i : i + TASK_ROWS]
+                x, y, t = (None if m is None else m[rows] for m in matrices)
+                yield val, x, y, t
+
+
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """``block_rows`` (with or without ``val``) in rows of several: ``n`` and the matrices ``x``, ``y``
+    (and ``t``) as bytes, which an epoch reads without taking rows apart; map only."""
+    names = [c for c in "xyt" if c in rows.columns]
+    flagged = "val" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for val, x, y, t in _parts(batches):
+            matrices = [np.ascontiguousarray(m, dtype=np.float64) for m in (x, y, t) if m is not None]
+            size = max(1, PACKED_BYTES // (8 * sum(m.shape[1] for m in matrices)))
+            cuts = range(0, len(x), size)
+            columns = [pa.array([len(x[i : i + size]) for i in cuts], pa.int32())]
+            columns += [pa.array([m[i : i + size].tobytes() for i in cuts], pa.binary()) for m in matrices]
+            columns += [pa.array([val] * len(cuts), pa.bool_())] if flagged else []
+            yield pa.RecordBatch.from_arrays(columns, names=["n", *names, *(["val"] if flagged else [])])
+
+    schema = ", ".join(["n int", *(f"{c} binary" for c in names), *(["val boolean"] if flagged else [])])
+    return rows.mapInArrow(run, schema)
 
 
 def _counts(z: np.ndarray, y: np.ndarray, gate: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -255,30 +308,23 @@ def _gathered(partials: DataFrame, partitions: int = _MERGE + 1) -> dict[int, tu
 
 
 def gradient_partials(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], losses_of: dict[int, heads.BlockLoss]) -> DataFrame:
-    """One pass over ``block_rows`` for ALL options: per option and partition the sums of the gradient
+    """One pass over ``block_rows`` or ``packed_rows`` for ALL options: per option and partition the sums of the gradient
     (a product of matrices per Arrow batch), the loss, the row count and the batch counts. Rows whose
     column ``val`` (if there is one) is true give no gradient; their sums stand under -1 - option."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         most: dict[int, np.ndarray] = {}
-        for record in batches:
-            if not record.num_rows:
-                continue
-            held_out = record.column("val").to_numpy(zero_copy_only=False) if "val" in record.schema.names else np.zeros(record.num_rows, bool)
-            for val in (False, True):
-                if not (held_out == val).any():
-                    continue
-                x, y, t = (None if m is None else m[held_out == val] for m in (_matrix(record, c) for c in "xyt"))
-                for option, theta in thetas.items():
-                    w = head.parts(theta)
-                    z, gate, kept = head.forward(w, x, t)
-                    el, dz = losses_of[option](z, y)
-                    counts, peak = _counts(z, y, gate)
-                    grad = [] if val else head.join(head.backward(w, kept, dz))
-                    add, key = np.concatenate([grad, [el.sum(), len(y)], counts]), -1 - option if val else option
-                    sums[key] = sums[key] + add if key in sums else add
-                    most[key] = np.maximum(most[key], peak) if key in most else peak
+        for val, x, y, t in _parts(batches):
+            for option, theta in thetas.items():
+                w = head.parts(theta)
+                z, gate, kept = head.forward(w, x, t)
+                el, dz = losses_of[option](z, y)
+                counts, peak = _counts(z, y, gate)
+                grad = [] if val else head.join(head.backward(w, kept, dz))
+                add, key = np.concatenate([grad, [el.sum(), len(y)], counts]), -1 - option if val else option
+                sums[key] = sums[key] + add if key in sums else add
+                most[key] = np.maximum(most[key], peak) if key in most else peak
         part = TaskContext.get().partitionId()
         for option in sums:
             yield _partial_rows(option, part, sums[option], most[option])
@@ -381,13 +427,106 @@ def _held_out(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray],
     return {-1 - o: v for o, v in got.items()}
 
 
-def _validate(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, dict[str, float]]:
-    """Exact validation macro-AUC of all options in one job (0 when a label is single-class)."""
-    scored = score_options(rows, head, thetas)
-    auc = curves.auc_of_scores(scored, ["option", "label"]).groupBy("option").agg(F.avg("auc").alias("auc"), F.count("auc").alias("k")).collect()
-    out = {o: {"val_auc_macro": 0.0} for o in thetas}
-    for r in auc:
-        out[r["option"]]["val_auc_macro"] = float(r["auc"]) if r["k"] == labels else 0.0
+#: Scores of a piece, about; rows ranked at a time; packed rows that tell where to cut the scores.
+PIECE_SCORES, RANKED_ROWS, CUT_ROWS = 1 << 18, 1 << 17, 64
+_PIECES = "option int, label int, piece int, scores binary, pos binary, neg binary"
+
+
+@dataclass
+class Validation:
+    """Packed validation rows, and what cuts their scores into pieces: how many, and some rows (x, t) to
+    take quantiles from. The cuts balance the pieces; the AUC is exact wherever they fall."""
+
+    rows: DataFrame
+    pieces: int
+    some: tuple[np.ndarray, np.ndarray | None] | None
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Validation:
+        n = rows.agg(F.sum("n")).first()[0] or 0
+        pieces = max(1, -(-int(n) // PIECE_SCORES))
+        if pieces == 1:
+            return cls(rows, 1, None)
+        table = rows.limit(CUT_ROWS).toArrow().combine_chunks()  # rows are dealt evenly: any few will do
+        record = table.to_batches()[0]
+        return cls(rows, pieces, (_matrix(record, "x"), _matrix(record, "t")))
+
+    def cuts(self, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, list[np.ndarray]]:
+        """Per option and label the scores between pieces."""
+        if self.some is None:
+            return {o: [np.zeros(0)] * labels for o in thetas}
+        at = np.arange(1, self.pieces) / self.pieces
+        out = {}
+        for option, theta in thetas.items():
+            p = heads.sigmoid(head.forward(head.parts(theta), *self.some)[0])
+            q = np.quantile(p, at, axis=0, method="nearest")
+            out[option] = [np.unique(c[~np.isnan(c)]) for c in q.T]
+        return out
+
+
+def ranked_pieces(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], cuts: dict[int, list[np.ndarray]]) -> DataFrame:
+    """(option, label, piece) with the distinct scores of some rows and their positives and negatives, as
+    bytes; piece k lies between cut k - 1 (included) and cut k, so equal scores share a piece. Map only."""
+
+    def ranked(parts: list[tuple[np.ndarray, np.ndarray | None]], y: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for option, theta in thetas.items():
+            p = np.concatenate([heads.sigmoid(head.forward(head.parts(theta), x, t)[0]) for x, t in parts])
+            for label in range(p.shape[1]):
+                scores, at, n = np.unique(p[:, label], return_inverse=True, return_counts=True)
+                pos = np.bincount(at, weights=y[:, label], minlength=len(scores)).astype(np.int64)
+                edge = np.concatenate([[0], np.searchsorted(scores, cuts[option][label]), [len(scores)]])
+                for piece, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                    if a < b:
+                        found.append((option, label, piece, scores[a:b].tobytes(), pos[a:b].tobytes(), (n[a:b] - pos[a:b]).astype(np.int64).tobytes()))
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[c.split()[0] for c in _PIECES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, ys, held = [], [], 0
+        for _, x, y, t in _parts(batches):
+            parts.append((x, t))
+            ys.append(y.astype(np.int32))
+            held += len(y)
+            if held >= RANKED_ROWS:
+                yield ranked(parts, np.concatenate(ys))
+                parts, ys, held = [], [], 0
+        if held:
+            yield ranked(parts, np.concatenate(ys))
+
+    return rows.mapInArrow(run, _PIECES)
+
+
+def _rank_piece(table: pa.Table) -> pa.Table:
+    """A piece's positives and negatives, and twice its pairs in order (a tie is half a pair)."""
+    scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float64)
+    pos, neg = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("pos", "neg"))
+    distinct, at = np.unique(scores, return_inverse=True)
+    pos, neg = (np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in (pos, neg))
+    above = pos.sum() - np.cumsum(pos)
+    first = {c: table.column(c).slice(0, 1) for c in ("option", "label", "piece")}
+    return pa.table(first | {"pos": pa.array([int(pos.sum())]), "neg": pa.array([int(neg.sum())]), "pairs": pa.array([int((neg * (2 * above + pos)).sum())])})
+
+
+def _validate(val: Validation, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, dict[str, float]]:
+    """Exact validation macro-AUC of all options in one job (0 when a label is single-class): the scores are
+    ranked piece by piece, and a row per piece tells the driver what it adds."""
+    pieces = ranked_pieces(val.rows, head, thetas, val.cuts(head, thetas, labels))
+    ranked = pieces.groupBy("option", "label", "piece").applyInArrow(lambda t: _rank_piece(t), "option int, label int, piece int, pos long, neg long, pairs long")
+    got: dict[tuple[int, int], list] = {}
+    for r in ranked.collect():
+        got.setdefault((r["option"], r["label"]), []).append((r["piece"], r["pos"], r["neg"], r["pairs"]))
+    out = {}
+    for option in thetas:
+        auc = []
+        for label in range(labels):
+            higher = pairs = negatives = 0
+            for _, pos, neg, inside in sorted(got.get((option, label), []), reverse=True):
+                pairs += inside + 2 * neg * higher
+                higher, negatives = higher + pos, negatives + neg
+            if higher and negatives:
+                auc.append(pairs / (2 * higher * negatives))
+        out[option] = {"val_auc_macro": sum(auc) / labels if len(auc) == labels else 0.0}
     return out
 
 
@@ -418,18 +557,21 @@ def fit_many(
 
     Full-batch AdamW steps by default. With ``batch_col`` (``prep.assign_batches``) an epoch is a round
     of mini-batch steps: partitions take their batches one after the other from the common state, and
-    their parameters and moments are averaged by rows. Train and val are written once to the shared folder."""
+    their parameters and moments are averaged by rows. Train and val are read and written once to the shared
+    folder, packed (mini-batches: as rows in their order)."""
     head = head or heads.Linear(len(features), len(label_cols))
     text = text_col if head.reads_text else None
     labels = len(label_cols)
     alpha, cb = _loss_weights(train, label_cols, beta)
     tr = block_rows(train, features, label_cols, text, batch_col)
-    va = write_shared_table(block_rows(val, features, label_cols, text), "fit-val")
+    val_rows = block_rows(val, features, label_cols, text)
+    va = write_shared_table(packed_rows(spread(val_rows)), "fit-val")
+    ranking = Validation.of(va)
     if batch_col:
         tr = write_shared_table(tr.repartitionByRange("batch").sortWithinPartitions("batch", "x", "y"), "fit-train")
     else:
-        both = tr.withColumn("val", F.lit(False)).unionByName(va.withColumn("val", F.lit(True)))
-        tr = write_shared_table(both, "fit-rows")
+        both = tr.withColumn("val", F.lit(False)).unionByName(val_rows.withColumn("val", F.lit(True)))
+        tr = write_shared_table(packed_rows(spread(both)), "fit-rows")
     partitions = {id(df): df.rdd.getNumPartitions() for df in (tr, va)}  # from the plan; nothing runs
     fitted = [Fitted(head, o, head.start(o.seed)) for o in options]
     states = {i: _State(f.theta, np.zeros(head.size()), np.zeros(head.size())) for i, f in enumerate(fitted)}
@@ -464,7 +606,7 @@ def fit_many(
                     row["grad_norm"] = state.step(total[:at] / n, lr, options[i])
                 logged[i] = row | _rates(counts, most, labels, "train")
             now = thetas()
-            ranked = pool.submit(_validate, va, head, now, labels)
+            ranked = pool.submit(_validate, ranking, head, now, labels)
             if batch_col:
                 checked = pool.submit(_held_out, va, head, now, losses_of, partitions[id(va)])
                 sums = round_of_batches(epoch + 1) if epoch + 1 < epochs else {}

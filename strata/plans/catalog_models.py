@@ -13,7 +13,7 @@ from strata.functions.columns import r6
 from strata.operators import embed, gates, prep, scoring, vector_store
 from strata.plans import fixtures as fx
 from strata.plans.catalog import _round, _scaled, register
-from strata.session import cut_lineage
+from strata.session import cut_lineage, spread
 from strata.sources import large_csv, tables
 
 CROSS_RANK = 2
@@ -273,10 +273,15 @@ from strata.operators import heads, losses, metrics, runs, thresholds, train  #
 def fit_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRN1 + TRN2: fit the multi-label head on the scaled train split with the
     focal loss, early-stopped on validation macro-AUC; returns the metric log."""
+    part, feats = _run_data(spark, sf_dir)
+    return train.history_table(spark, train.fit(part["train"], part["val"], feats, fx.F1_LABELS, loss="focal", lr=0.05, seed=0))
+
+
+def _run_data(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """The scaled splits, computed and written once by many tasks, for the jobs of a fit to read."""
     scaled, feats = _scaled(spark, sf_dir)
-    tr = scaled.where(F.col("split") == "train")
-    va = scaled.where(F.col("split") == "val")
-    return train.history_table(spark, train.fit(tr, va, feats, fx.F1_LABELS, loss="focal", lr=0.05, seed=0))
+    data = tables.write_shared_table(spread(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS)), "run-data", ["split"])
+    return {x: data.where(F.col("split") == x) for x in ("train", "val", "test")}, feats
 
 
 def gradient_weights(n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -417,9 +422,7 @@ def run_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _runs_log(spark: SparkSession, sf_dir: str, options: list[tuple[str, int]]) -> DataFrame:
     """Metric log of one fit per (loss, seed); ``run`` is the loss's number. All fits share the jobs
     of their epochs, of the threshold search and of the evaluation."""
-    scaled, feats = _scaled(spark, sf_dir)
-    data = tables.write_shared_table(scaled.select(fx.F1_KEY, "split", *feats, *fx.F1_LABELS), "run-data", ["split"])
-    part = {x: data.where(F.col("split") == x) for x in ("train", "val", "test")}
+    part, feats = _run_data(spark, sf_dir)
     fitted = train.fit_many(part["train"], part["val"], feats, fx.F1_LABELS, [train.Option(loss, seed, lr=0.05) for loss, seed in options])
     folder, labels = tables.shared_folder(spark, "run-models"), len(fx.F1_LABELS)
     train.save_fitted(spark, fitted, folder)

@@ -240,3 +240,41 @@ def test_auc_of_scores_equals_auc_from_counts(spark):
     scored = spark.createDataFrame(rows, "label int, y int, prob double")
     want = {r.label: r.auc for r in curves.auc_per_label(scored).collect()}
     assert {r.label: r.auc for r in curves.auc_of_scores(scored, ["label"]).collect()} == pytest.approx(want)
+
+
+def test_fit_rows_are_dealt_over_the_tasks(spark):
+    """The splits of a fit come from a file of one row group, yet many tasks hold their rows."""
+    from strata.plans import catalog_models
+    from tests.conftest import SF_SMALL
+
+    part, _ = catalog_models._run_data(spark, SF_SMALL)
+    files = {r[0]: r[1] for r in part["train"].groupBy(F.input_file_name()).count().collect()}
+    assert len(files) >= 8 and max(files.values()) < sum(files.values()) / 4
+
+
+@pytest.mark.parametrize("piece", [50, 1 << 18])
+def test_ranked_pieces_give_the_exact_auc(spark, monkeypatch, piece):
+    """Scores cut into many pieces, ties (also at a cut) and a single-class label included."""
+    monkeypatch.setattr(train, "PIECE_SCORES", piece)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(900, 2)), 1)
+    y = (rng.random((900, 2)) < 0.3).astype(int)
+    rows = [(*map(float, a), *map(int, b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "a double, b double, y0 int, y1 int").repartition(5)
+    head = heads.Linear(2, 2)
+    theta = {0: head.start(1), 3: head.join({"W": np.array([[1.0, 0.0], [0.0, 50.0]]), "b": np.zeros(2)})}
+    val = train.Validation.of(train.packed_rows(train.block_rows(df, ["a", "b"], ["y0", "y1"])))
+    assert val.pieces == -(-900 // piece)
+    got = train._validate(val, head, theta, 2)
+    for o, th in theta.items():
+        p = heads.sigmoid(head.forward(head.parts(th), x, None)[0])
+        want = [np.mean([(u > v) + (u == v) / 2 for u in p[y[:, l] == 1, l] for v in p[y[:, l] == 0, l]]) for l in (0, 1)]
+        assert got[o]["val_auc_macro"] == pytest.approx(np.mean(want), abs=1e-12)
+    one = train.Validation.of(train.packed_rows(train.block_rows(df.withColumn("y1", F.lit(0)), ["a", "b"], ["y0", "y1"])))
+    assert train._validate(one, head, theta, 2)[0] == {"val_auc_macro": 0.0}
+
+
+def test_packed_rows_hold_the_rows(spark):
+    rows = spark.range(2500).select(F.array(F.col("id").cast("double"), F.lit(2.0)).alias("x"), F.array((F.col("id") % 2).cast("double")).alias("y"), (F.col("id") % 3 == 0).alias("val"))
+    got = [(r.val, *v) for r in train.packed_rows(rows).collect() for v in np.column_stack([np.frombuffer(r.x).reshape(r.n, 2), np.frombuffer(r.y).reshape(r.n, 1)]).tolist()]
+    assert sorted(got) == sorted((i % 3 == 0, float(i), 2.0, float(i % 2)) for i in range(2500))
