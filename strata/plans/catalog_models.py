@@ -74,11 +74,10 @@ def score_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, feats = _cross_inputs(spark, sf_dir)
     w = cross_weights(len(feats))
 
-    def long(d: DataFrame) -> DataFrame:
-        arr = F.array(*[F.col(f"cross_{i}") for i in range(len(feats))])
-        return d.select(fx.F1_KEY, F.posexplode(arr).alias("label", "prob"))
+    def arrays(d: DataFrame) -> DataFrame:
+        return d.select(fx.F1_KEY, F.array(*[F.col(f"cross_{i}") for i in range(len(feats))]).alias("prob"))
 
-    res = scoring.score_parity(long(cross_numpy(df, fx.F1_KEY, feats, w)), long(cross_columns(df, fx.F1_KEY, feats, w)), [fx.F1_KEY])
+    res = scoring.score_parity(arrays(cross_numpy(df, fx.F1_KEY, feats, w)), arrays(cross_columns(df, fx.F1_KEY, feats, w)), [fx.F1_KEY])
     return res.select("n_pairs", "n_unmatched", r6("max_abs_diff").alias("max_abs_diff"), "verified")
 
 
