@@ -25,8 +25,9 @@ from strata.llm import vec
 from strata.sources.tables import write_shared_table
 
 WINDOW, GRAM = 35, 5
-#: Text per bucket, per piece of a batch, and per packing; most windows in one string.
-BUCKET_BYTES, PIECE_BYTES, PACK_BYTES, RUN_WINDOWS = 8 << 20, 2 << 20, 24 << 20, 4096
+#: Text per bucket and per piece of a batch, bytes that a packing holds; most windows in one string, and
+#: windows hashed at a time. They bound a task's memory and change no result.
+BUCKET_BYTES, PIECE_BYTES, PACK_BYTES, RUN_WINDOWS, HASHED_WINDOWS = 4 << 20, 2 << 20, 24 << 20, 4096, 1 << 16
 #: A run is frequent from this share of all runs on (of a corpus of this many bytes: fewer are no burden).
 FREQUENT_SHARE, FREQUENT_BYTES = 2.0**-20, 1 << 16
 
@@ -120,9 +121,13 @@ def frequent_runs(rows: DataFrame, total_bytes: int) -> np.ndarray:
                 runs, inside = runs_of_words(vec.span_hashes(vec.byte_values(raw, piece), starts, ends), doc)
                 found.append(runs[inside])
                 total += int(inside.sum())
-            runs, n = np.unique(np.concatenate(found), return_counts=True)
+            runs = np.concatenate(found)
+            del found
+            runs.sort()  # in place: the runs of a batch are many
+            first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(runs)))
             kept = n >= max(2, share * total)
-            runs, n = runs[kept].view(np.int64), n[kept]
+            runs, n = runs[first[kept]].view(np.int64), n[kept]
             yield pa.RecordBatch.from_arrays([pa.array([*runs.tolist(), None], pa.int64()), pa.array([*n.tolist(), total], pa.int64())], names=["run", "n"])
 
     counts = rows.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
@@ -158,6 +163,7 @@ class _Packer:
         where, first = np.unique(ids[fresh], return_index=True)
         self.bucket.append((least[fresh][first] % np.uint64(self.buckets)).astype(np.int64))
         self.found.append((ids, a, b, place))
+        self.used += 40 * len(ids) + sum(100 + len(strings[i]) for i in np.flatnonzero(fresh)[first].tolist())
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.number:
@@ -206,7 +212,6 @@ def packed(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                     owner = doc[word]
                     number = word - np.searchsorted(doc, owner) + before
                     out.add(least, strings, key_a[first_text + owner], key_b[first_text + owner], number)
-                out.used += int(piece[-1] - piece[0])
                 if out.used >= PACK_BYTES:
                     yield from out.flush()
         yield from out.flush()
@@ -217,7 +222,11 @@ def packed(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 def repeated_windows(ids: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Whether the ``WINDOW`` word numbers from each of ``first`` on occur twice or more; a window counts
     ``times``. Windows are sorted by hash, and those of one hash are compared word by word."""
-    h = vec.span_hashes(vec.mix64(ids.astype(np.uint64) + np.uint64(1)), first, first + WINDOW)
+    h = np.empty(len(first), np.uint64)
+    for i in range(0, len(first), HASHED_WINDOWS):
+        some = first[i : i + HASHED_WINDOWS]
+        lo, hi = int(some.min()), int(some.max()) + WINDOW
+        h[i : i + HASHED_WINDOWS] = vec.span_hashes(vec.mix64(ids[lo:hi].astype(np.uint64) + np.uint64(1)), some - lo, some - lo + WINDOW)
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     size = np.diff(np.append(head, len(order)))
@@ -243,13 +252,17 @@ def repeated_windows(ids: np.ndarray, first: np.ndarray, times: np.ndarray) -> n
 def _count_bucket(table: pa.Table) -> pa.Table:
     """Spans (a, b, lo, hi) of words that repeated windows of a bucket cover."""
     read = zstandard.ZstdDecompressor()
-    part = {c: table.column(c).to_pylist() for c in ("words", "sizes", "times", "owners", "places")}
-    text = np.frombuffer(b"".join(read.decompress(x) for x in part["words"]), np.uint8)
-    sizes, times, places = (np.frombuffer(b"".join(part[c]), np.int32).astype(np.int64) for c in ("sizes", "times", "places"))
-    owners = np.frombuffer(b"".join(part["owners"]), np.int64).reshape(-1, 2)
-    ends = np.flatnonzero(text == 32) + 1
-    offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
-    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(text)])
+    text = bytearray()
+    for x in table.column("words"):
+        text += read.decompress(x.as_py())
+    text = np.frombuffer(text, np.uint8)
+    part = {c: b"".join(table.column(c).to_pylist()) for c in ("sizes", "times", "owners", "places")}
+    sizes, times, places = (np.frombuffer(part[c], np.int32).astype(np.int64) for c in ("sizes", "times", "places"))
+    owners = np.frombuffer(part["owners"], np.int64).reshape(-1, 2)
+    at, kind = (np.int32, pa.binary()) if len(text) < 1 << 31 else (np.int64, pa.large_binary())
+    offsets = np.concatenate([np.zeros(1, at), (np.flatnonzero(text == 32) + 1).astype(at)])
+    ends = offsets[1:]
+    words = pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
     ids = words.dictionary_encode().indices.to_numpy()
     upto = np.concatenate([[0], np.searchsorted(ends, np.cumsum(sizes), side="right")])
     windows = np.diff(upto) - WINDOW + 1

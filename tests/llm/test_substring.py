@@ -118,3 +118,23 @@ def test_windows_of_one_hash_are_compared_by_their_words(monkeypatch):
 def test_sliding_least(width):
     x = np.random.default_rng(width).integers(0, 100, 200).astype(np.uint64)
     assert substring._sliding_least(x, width).tolist() == [x[i : i + width].min() for i in range(len(x) - width + 1)]
+
+
+def test_packings_and_hashing_are_bounded_by_what_they_hold(monkeypatch):
+    """A packing counts the strings that it holds (a copy is not held again), and windows are hashed a few at a time."""
+    pack = substring._Packer(4)
+    one = np.zeros(1, np.int64)
+    pack.add(np.zeros(1, np.uint64), [b"w " * 5000], one, one, one)
+    held = pack.used
+    assert held >= 10_000
+    for i in range(50):
+        pack.add(np.zeros(1, np.uint64), [b"w " * 5000], one, one + i, one)
+    assert pack.used < held + 50 * 200
+    asked, real = [], substring.vec.span_hashes
+    monkeypatch.setattr(substring, "HASHED_WINDOWS", 64)
+    monkeypatch.setattr(substring.vec, "span_hashes", lambda v, s, e: asked.append(len(v)) or real(v, s, e))
+    ids = np.tile(np.arange(500), 2)
+    first = np.arange(len(ids) - substring.WINDOW + 1)
+    again = substring.repeated_windows(ids, first, np.ones(len(first), np.int64))
+    want = [(ids[i : i + substring.WINDOW].tolist() in [ids[j : j + substring.WINDOW].tolist() for j in (i - 500, i + 500) if 0 <= j < len(first)]) for i in first]
+    assert again.tolist() == want and max(asked) <= 64 + substring.WINDOW
