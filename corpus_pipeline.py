@@ -7,7 +7,7 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.line_dedup import line_dedup
@@ -15,7 +15,7 @@ from strata.llm.mixing import in_mix_order, mix_sources
 from strata.llm.ngram_join import keep_one
 from strata.llm.quality import keep_good
 from strata.llm.queries import byte_bpe
-from strata.sources.tables import read_table, write_shared_table
+from strata.sources.tables import in_stored_order, read_table, write_shared_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,19 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded bytes."""
-    return byte_bpe(docs, keep_ids=True)
+    """Token ids of every document, with digests of the ids and of the decoded bytes, as one stream in the order
+    in which the mix stored the documents: ``start`` counts the ids of all documents before."""
+    placed = in_stored_order(docs.select("doc_id", "text"))
+    encoded = byte_bpe(placed, keep_ids=True, id_col="_place").withColumnRenamed("doc_id", "_place")
+    encoded = write_shared_table(encoded, "encoded")  # its lengths come before its starts
+    lengths = encoded.select("_place", "n_tokens").withColumn("_part", F.shiftright("_place", 40))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = lengths.groupBy("_part").agg(F.sum("n_tokens").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)  # the rows of a file
+    starts = lengths.join(F.broadcast(files), "_part").select(
+        "_place", (F.col("_base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start")
+    )
+    return placed.select("_place", F.col("doc_id").cast("long").alias("doc_id")).join(starts, "_place").join(encoded, "_place").drop("_place")
 
 
 STAGES = [

@@ -64,10 +64,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
-def byte_bpe(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+def byte_bpe(docs: DataFrame, keep_ids: bool = False, id_col: str = "doc_id") -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_and_decode(docs, _tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=keep_ids)
+    return bpe.encode_and_decode(docs, _tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col, keep_ids=keep_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

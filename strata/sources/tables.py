@@ -6,7 +6,8 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +51,22 @@ def write_shared_table(df: DataFrame, name: str, partition_by: Sequence[str] = (
     return spark.read.schema(df.schema).parquet(path)  # an empty table has no file to take a schema from
 
 
+def in_stored_order(df: DataFrame) -> DataFrame:
+    """``df`` with ``_part`` (long) and ``_place`` (long): the number of its row's file, in the order of the names
+    that Spark gives, and a number that grows with the row's position over all files. So a table written in an
+    order is read in that order, however its files are dealt to tasks. Rows that don't come from files are
+    written first."""
+    try:
+        rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        df = write_shared_table(df, "stored-order")
+        rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    by_name = Window.orderBy(F.length("_file"), "_file")  # a row a file
+    files = rows.select("_file").distinct().select("_file", (F.row_number().over(by_name) - 1).cast("long").alias("_part"))
+    place = F.shiftleft("_part", 40) + F.col("_row")
+    return rows.join(F.broadcast(files), "_file").select(*[F.col(c) for c in df.columns], "_part", place.alias("_place"))
+
+
 _NAMED: list[str] = []
 
 

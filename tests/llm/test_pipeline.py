@@ -7,7 +7,9 @@ import zstandard
 
 import corpus_pipeline
 from strata.llm import tokens
+from strata.llm.mixing import mix_sources
 from strata.llm.quality import compression_verdict
+from strata.sources.tables import in_stored_order, write_shared_table
 
 from .test_line_dedup import brute as plain_dedup
 from .test_ngram_join import brute as plain_join
@@ -69,3 +71,36 @@ def test_mixing_stage_orders_the_documents(spark, documents):
 
     want = [r.doc_id for r in mix_sources(documents).orderBy("_slot", "_before").collect()]
     assert [r.doc_id for r in corpus_pipeline.mixing_stage(spark, documents, SF).collect()] == want
+
+
+def _in_files(spark, docs):
+    """As the pipeline passes a stage's result on."""
+    return write_shared_table(docs, "test-stage")
+
+
+def test_the_mix_orders_the_encoded_stream(spark, documents):
+    """Each document starts where those before it in the mix end; another mix gives another stream."""
+    docs = documents.where("doc_id % 3 = 0")
+    mixed = mix_sources(docs).orderBy("_slot", "_before").select("doc_id").collect()
+    got = {r.doc_id: r for r in corpus_pipeline.encoding_stage(spark, _in_files(spark, corpus_pipeline.mixing_stage(spark, docs, SF)), SF).collect()}
+    assert len(got) == len(mixed) > 50
+    at = 0
+    for r in mixed:
+        assert got[r.doc_id].start == at
+        at += got[r.doc_id].n_tokens
+    plain = corpus_pipeline.encoding_stage(spark, _in_files(spark, docs.orderBy("doc_id")), SF).collect()
+    assert {r.doc_id: r.start for r in plain} != {i: r.start for i, r in got.items()}
+    assert {r.doc_id: bytes(r.ids) for r in plain} == {i: bytes(r.ids) for i, r in got.items()}
+
+
+def test_stored_order_of_odd_rows(spark):
+    """Repeated rows and null ids keep a place each, also of rows that come from no file."""
+    rows = spark.createDataFrame([(None, "a"), (1, "b c"), (1, "b c"), (2, None)], "doc_id long, text string").repartition(3)
+    got = in_stored_order(rows).collect()
+    assert len({r._place for r in got}) == 4
+    out = corpus_pipeline.encoding_stage(spark, rows, SF).orderBy("start", "n_tokens").collect()
+    ends = [0]
+    for r in out:
+        assert r.start == ends[-1]
+        ends.append(r.start + r.n_tokens)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 1), (False, 1), (False, 2), (True, 0)]
