@@ -142,7 +142,7 @@ def encode_words(store: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         encoding = tokens.load_encoding(ranks_path, pattern)
-        cache = tokens.PretokenCache(lambda words: [encoding.encode_ordinary(w) for w in words], limit=1_000_000)
+        cache = tokens.PretokenCache(lambda words: tokens.id_arrays([encoding.encode_ordinary(w) for w in words]), limit=1_000_000)
         current = None
         for record in batches:
             rows, held = [], 0

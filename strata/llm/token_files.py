@@ -14,6 +14,7 @@ One document is read by pruning blocks on their id range and decompressing its s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -43,10 +44,7 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarr
     """Function texts -> (ids one after the other with the end id of each, ids per text),
     equal to the library's encode(text, add_special_tokens=False) + [end_id]."""
 
-    def many(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokens.load_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-
-    cache = _WORKER.setdefault(path, tokens.PretokenCache(many, _CACHE_ENTRIES))
+    cache = _WORKER.setdefault(path, tokens.PretokenCache(functools.partial(tokens.encode_words, path), _CACHE_ENTRIES))
     special = tokens.special_strings(path)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +53,7 @@ def word_encoder(path: str, end_id: int) -> Callable[[list[str]], tuple[np.ndarr
         ids, counts = cache.ids(plain, "words")
         rows = np.split(ids, np.cumsum(counts)[:-1]) if texts else []
         for i in np.flatnonzero(whole).tolist():  # texts with special strings: the library's default
-            rows[i] = np.array(many([texts[i]])[0], np.uint32)
+            rows[i] = np.array(tokens.load_tokenizer(path).encode(texts[i], add_special_tokens=False).ids, np.uint32)
         end = np.array([end_id], np.uint32)
         flat = [x for r in rows for x in (r, end)]
         return np.concatenate(flat).astype("<u4") if flat else ids, np.array([len(r) + 1 for r in rows], np.int64)

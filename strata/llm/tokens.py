@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import json
 import os
 import unicodedata
@@ -59,6 +60,35 @@ def normalise_words(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+#: Pre-tokens that the library gets as one text.
+_JOINED = 256
+
+
+def id_arrays(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, and the number of ids of each row."""
+    counts = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(counts.sum())), counts
+
+
+def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every pre-token as the library gives them for it alone, and the number of ids of each.
+
+    A text of one pre-token costs the library more than twice its merges, so it gets runs of
+    pre-tokens joined by a space (which its word split drops) and tells the pre-token of each id. A
+    run in which it sees more or fewer pre-tokens than the given ones is encoded one by one."""
+    tokenizer = load_tokenizer(path)
+    flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), _JOINED):
+        run = words[at : at + _JOINED]
+        found = tokenizer.encode(" ".join(run), add_special_tokens=False)
+        ids, n = np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64))
+        if len(n) != len(run) or not n.all():
+            ids, n = id_arrays([e.ids for e in tokenizer.encode_batch_fast(run, add_special_tokens=False)])
+        flat.append(ids)
+        counts.append(n)
+    return np.concatenate(flat), np.concatenate(counts)
+
+
 class IdTable:
     """Ragged table of token ids: entry k holds the ids of one pre-token."""
 
@@ -71,17 +101,15 @@ class IdTable:
         self.count = np.zeros(1 << 10, np.int64)
         self.n = self.used = 0
 
-    def extend(self, rows: list[list[int]]) -> None:
-        add = sum(map(len, rows))
-        while self.n + len(rows) > len(self.count):
+    def extend(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        while self.n + len(counts) > len(self.count):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        while self.used + add > len(self.flat):
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.count[self.n : self.n + len(rows)] = lens
-        self.start[self.n : self.n + len(rows)] = self.used + np.cumsum(lens) - lens
-        self.flat[self.used : self.used + add] = np.fromiter((x for r in rows for x in r), np.uint32, add)
-        self.n, self.used = self.n + len(rows), self.used + add
+        self.count[self.n : self.n + len(counts)] = counts
+        self.start[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(counts), self.used + len(flat)
 
     def take(self, entries: np.ndarray) -> np.ndarray:
         return self.flat[vec.ragged(self.start[entries], self.count[entries])]
@@ -89,9 +117,10 @@ class IdTable:
 
 class PretokenCache:
     """Worker-side cache pre-token -> ids, emptied when it holds ``limit`` entries, so that
-    its memory stays bounded whatever the corpus; emptying costs re-encoding, never results."""
+    its memory stays bounded whatever the corpus; emptying costs re-encoding, never results.
+    ``encode`` gives the ids of all words one after the other and the number of ids of each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
         self.encode, self.limit = encode, limit
         self.entry: dict[str, int] = {}
         self.table = IdTable()
@@ -101,19 +130,22 @@ class PretokenCache:
         if len(self.entry) + len(words) > self.limit:
             self.entry.clear()
             self.table.clear()
-        known = self.entry
-        new = [w for w in words if w not in known]
-        if new:
-            for k, w in enumerate(new, start=self.table.n):
-                known[w] = k
-            self.table.extend(self.encode(new))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        entry = np.fromiter(map(self.entry.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            entry[missing] = np.arange(self.table.n, self.table.n + len(new))
+            self.entry.update(zip(new, entry[missing].tolist(), strict=True))
+            self.table.extend(*self.encode(new))
+        return entry
 
     def ids(self, texts: list[str], split: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
         h, counts, strings = vec.pretokens(texts, split)
-        _, first, occurrence = np.unique(h, return_index=True, return_inverse=True)
-        entry = self.entries(strings(first))[occurrence]
+        distinct, occurrence = np.unique(h, return_inverse=True)
+        one = np.empty(len(distinct), np.int64)
+        one[occurrence] = np.arange(len(h))  # an occurrence of each
+        entry = self.entries(strings(one))[occurrence]
         lens = self.table.count[entry]
         ends = np.cumsum(lens)
         per_text = np.diff(np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]))

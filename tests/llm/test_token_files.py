@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from strata.llm import token_files
+from strata.llm import token_files, tokens, vec
 from strata.llm.token_files import read_document, read_token_files, train_dictionary, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -63,3 +63,49 @@ def test_other_dictionary_is_refused(spark, documents, tmp_path):
     spark.createDataFrame(row, "hash string, bytes binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dictionary")
     with pytest.raises(Exception, match="another dictionary"):
         read_token_files(spark, folder).collect()
+
+
+class Counting:
+    """The library's tokenizer, with the number of texts that it gets."""
+
+    def __init__(self):
+        self.lib, self.texts = Tokenizer.from_file(PATH), 0
+
+    def encode(self, text, **options):
+        self.texts += 1
+        return self.lib.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.lib.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_in_runs(monkeypatch):
+    counting, lib = Counting(), Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokens, "load_tokenizer", lambda path: counting)
+    monkeypatch.setattr(token_files, "_WORKER", {})
+    letters = "abcdefghijklmnopqrstuvwxyzéßñ"
+    texts = ["", " ".join(x + y + x for x in letters for y in letters), "don't 12 ½x", " ".join(x + x + y for x in letters for y in letters)]
+    flat, counts = token_files.word_encoder(PATH, 2)(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert counting.texts < len(letters) ** 2 / 50
+
+
+def test_joined_pretokens_keep_their_ids():
+    lib = Tokenizer.from_file(PATH)
+    known = np.isin(vec._classes()[:0xE0200], [vec._L, vec._N, vec._O])
+    chars = [chr(i) for i in np.flatnonzero(known).tolist() if not 0xD800 <= i < 0xF900]  # no surrogates, no private use
+    words = [*chars, "'s", "'", "".join(["x"] * 3000), "</w>", "<|", "|>"]
+    flat, counts = tokens.encode_words(PATH, words)
+    want = [e.ids for e in lib.encode_batch_fast(words, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want]
+    assert flat.tolist() == [i for x in want for i in x]
+    assert counts.min() > 0  # so a run never lacks one pre-token where it has another too many
+
+
+@pytest.mark.parametrize("words", [[], ["one", "two words", "three"], ["one", " ", "three"], ["", "x"], ["<|endoftext|>", "don't", "x"]])
+def test_pretokens_that_the_library_sees_otherwise(words):
+    lib = Tokenizer.from_file(PATH)
+    flat, counts = tokens.encode_words(PATH, words)
+    want = [lib.encode(w, add_special_tokens=False).ids for w in words]
+    assert (counts.tolist(), flat.tolist()) == ([len(x) for x in want], [i for x in want for i in x])
