@@ -148,8 +148,7 @@ def encode_words(store: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             rows, held = [], 0
             for batch, shard, payload in zip(*(record.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 if shard != current:  # rows come sorted by shard: memory holds one shard's distinct words
-                    cache.entry.clear()
-                    cache.table.clear()
+                    cache.clear()
                     current = shard
                 lens, body = unpack_lists(payload, unpack)
                 ends = np.cumsum(lens).tolist()

@@ -99,11 +99,12 @@ class IdTable:
         self.flat = np.zeros(1 << 12, np.uint32)
         self.start = np.zeros(1 << 10, np.int64)
         self.count = np.zeros(1 << 10, np.int64)
+        self.uses = np.zeros(1 << 10, np.int64)
         self.n = self.used = 0
 
     def extend(self, flat: np.ndarray, counts: np.ndarray) -> None:
         while self.n + len(counts) > len(self.count):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.count[self.n : self.n + len(counts)] = counts
@@ -116,8 +117,8 @@ class IdTable:
 
 
 class PretokenCache:
-    """Worker-side cache pre-token -> ids, emptied when it holds ``limit`` entries, so that
-    its memory stays bounded whatever the corpus; emptying costs re-encoding, never results.
+    """Worker-side cache pre-token -> ids, thinned out when it would hold more than ``limit`` entries,
+    so that its memory stays bounded whatever the corpus; that costs re-encoding, never results.
     ``encode`` gives the ids of all words one after the other and the number of ids of each."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000) -> None:
@@ -125,11 +126,32 @@ class PretokenCache:
         self.entry: dict[str, int] = {}
         self.table = IdTable()
 
+    def clear(self) -> None:
+        self.entry.clear()
+        self.table.clear()
+
+    def thin_out(self, more: int) -> None:
+        """Make room for ``more`` entries: those that were asked for twice stay, half the limit at most
+        (the most used ones), and none if that leaves too little room. Earlier uses count half from now on."""
+        table = self.table
+        kept = np.flatnonzero(table.uses[: table.n] > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-table.uses[kept], kind="stable")[: self.limit // 2]])
+        if len(kept) + more > self.limit:
+            return self.clear()
+        number = np.full(table.n, -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        now = number[np.fromiter(self.entry.values(), np.int64, len(self.entry))].tolist()
+        self.entry = {w: k for w, k in zip(self.entry, now, strict=True) if k >= 0}
+        flat, counts, uses = table.take(kept), table.count[kept], table.uses[kept] // 2
+        table.clear()
+        table.extend(flat, counts)
+        table.uses[: table.n] = uses
+
     def entries(self, words: list[str]) -> np.ndarray:
         """Entry numbers of distinct ``words``; unknown ones are encoded first."""
-        if len(self.entry) + len(words) > self.limit:
-            self.entry.clear()
-            self.table.clear()
+        if self.table.n + len(words) > self.limit:
+            self.thin_out(len(words))
         entry = np.fromiter(map(self.entry.get, words, itertools.repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(entry < 0)
         if len(missing):
@@ -137,6 +159,7 @@ class PretokenCache:
             entry[missing] = np.arange(self.table.n, self.table.n + len(new))
             self.entry.update(zip(new, entry[missing].tolist(), strict=True))
             self.table.extend(*self.encode(new))
+        self.table.uses[entry] += 1
         return entry
 
     def ids(self, texts: list[str], split: str) -> tuple[np.ndarray, np.ndarray]:

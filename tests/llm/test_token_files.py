@@ -109,3 +109,24 @@ def test_pretokens_that_the_library_sees_otherwise(words):
     flat, counts = tokens.encode_words(PATH, words)
     want = [lib.encode(w, add_special_tokens=False).ids for w in words]
     assert (counts.tolist(), flat.tolist()) == ([len(x) for x in want], [i for x in want for i in x])
+
+
+def test_common_words_stay_in_a_full_cache():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return tokens.id_arrays([[len(w)] * (len(w) % 3) + [ord(w[0])] for w in words])
+
+    cache = tokens.PretokenCache(encode, limit=100)
+    common = [f"c{i}" for i in range(20)]
+    for step in range(50):
+        words = common + [f"{'rare' * (i % 4)}r{step}-{i}" for i in range(30)]
+        entry = cache.entries(words)
+        got = np.split(cache.table.take(entry), np.cumsum(cache.table.count[entry])[:-1])
+        assert [x.tolist() for x in got] == [[len(w)] * (len(w) % 3) + [ord(w[0])] for w in words]
+        assert cache.table.n <= 100 and len(cache.entry) <= 100
+    assert len(asked) == 20 + 50 * 30
+    many = [f"m{i}" for i in range(500)]  # more at once than the limit
+    assert cache.table.take(cache.entries(many)).tolist() == encode(many)[0].tolist()
+    assert cache.table.take(cache.entries(many[:3])).tolist() == encode(many[:3])[0].tolist()
