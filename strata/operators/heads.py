@@ -9,6 +9,7 @@ both inside tasks on Arrow batches and adds up what the blocks return.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,3 +216,163 @@ class BlockLoss:
             raise ValueError(f"Unknown loss: {self.name}")
         pos, neg = self.w_pos * y, self.w_neg * (1.0 - y)
         return pos * a + neg * b, pos * da + neg * db
+
+
+#: Numbers of a block of logits that ``LinearOptions`` holds at a time (a few such blocks fit a core's cache),
+#: and the margin from which on exp would leave the doubles.
+BLOCK_LOGITS, FAR = 1 << 15, 700.0
+
+
+def _times_power(out: np.ndarray, x: np.ndarray, g: float) -> None:
+    """``out *= x**g``; small whole powers by products."""
+    if g in (0, 1, 2, 3, 4):
+        for _ in range(int(g)):
+            out *= x
+    else:
+        out *= x**g
+
+
+class LinearOptions:
+    """Linear heads of several options over the same rows with labels 0 and 1.
+
+    Options whose losses are one function (of several weights) are one matrix of logits, options by labels
+    by rows. With hard labels an element has one side only: its loss and slope are functions of the margin, ``z``
+    or ``-z``, which take one exponential and one logarithm."""
+
+    def __init__(self, head: Linear, thetas: dict[int, np.ndarray], losses_of: dict[int, BlockLoss]) -> None:
+        self.head, self.options = head, list(thetas)
+        groups: dict[tuple, list[int]] = {}
+        for i, option in enumerate(self.options):
+            loss = losses_of[option]
+            kind = {"bce": "log", "cb": "log", "focal": "focal", "cb_focal": "focal", "asl": "asl"}.get(loss.name)
+            if kind is None:
+                raise ValueError(f"Unknown loss: {loss.name}")
+            settings = {"log": (), "focal": (loss.gamma,), "asl": (loss.gamma_neg, loss.gamma_pos, loss.clip)}[kind]
+            groups.setdefault((kind, *settings), []).append(i)
+        self.groups, self.weights = [], []
+        for kind, members in groups.items():
+            w = [head.parts(thetas[self.options[i]]) for i in members]
+            wide = np.concatenate([np.concatenate([p["W"], p["b"][:, None]], axis=1) for p in w])
+            self.groups.append((kind, members, wide, [self._weight(losses_of[self.options[i]]) for i in members]))
+        labels = head.n_labels
+        self.step = max(256, BLOCK_LOGITS // (labels * max([len(m) for m in groups.values()], default=1)))
+        most = max([len(m) for m in groups.values()], default=1) * labels * self.step
+        self.room = [np.empty(most) for _ in range(4)]
+
+    def _weight(self, loss: BlockLoss) -> int:
+        """The number of an option's label weights; options often have the same."""
+        both = [w * np.ones(self.head.n_labels) for w in (loss.w_pos, loss.w_neg)]
+        for k, known in enumerate(self.weights):
+            if all((a[:, 0] == b).all() for a, b in zip(known, both, strict=True)):
+                return k
+        self.weights.append([w[:, None] for w in both])
+        return len(self.weights) - 1
+
+    @staticmethod
+    def takes(y: np.ndarray) -> bool:
+        return bool(y.max(initial=0) <= 1) if y.dtype == np.uint8 else bool(((y == 0) | (y == 1)).all())
+
+    def sums(self, x: np.ndarray, y: np.ndarray, gradient: bool) -> np.ndarray:
+        """Per option its gradient sums (if asked for), loss sum, rows, and true and false positives and false
+        negatives of each label at logit 0."""
+        labels, features, size = self.head.n_labels, self.head.n_features, self.head.size() if gradient else 0
+        out = np.zeros((len(self.options), size + 2 + 3 * labels))
+        for i in range(0, len(x), self.step):
+            n = len(x[i : i + self.step])
+            across = np.ones((features + 1, n))  # the last row takes the biases
+            across[:features] = x[i : i + n].T
+            truth = np.empty((labels, n))
+            truth[:] = y[i : i + n].T
+            pos = truth > 0.5
+            sign = 1.0 - 2.0 * truth  # the margin with its sign turned is z * sign
+            weights = [np.where(pos, *w) for w in self.weights]
+            signed = [w * sign for w in weights] if gradient else []
+            positives = _hits(pos)
+            for kind, members, wide, own in self.groups:
+                shape = (len(members), labels, n)
+                room = [r[: len(wide) * n].reshape(shape) for r in self.room]
+                z = room[0]
+                np.matmul(wide, across, out=z.reshape(len(wide), n))
+                hit = z >= 0
+                hits = _hits(hit)
+                hit &= pos
+                tp = _hits(hit)
+                z *= sign
+                el, slope = _margin_loss(kind, room, pos)
+                at = np.empty((len(members), out.shape[1]))
+                for k, w in enumerate(own):
+                    at[k, size] = np.vdot(el[k], weights[w])
+                    if gradient:
+                        slope[k] *= signed[w]
+                if gradient:
+                    g = (slope.reshape(len(wide), n) @ across.T).reshape(len(members), labels, features + 1)
+                    at[:, : labels * features] = g[:, :, :features].reshape(len(members), -1)
+                    at[:, labels * features : size] = g[:, :, features]
+                at[:, size + 1] = n
+                at[:, size + 2 :] = np.concatenate([tp, hits - tp, positives - tp], axis=1)
+                out[members] += at
+        return out
+
+
+def linear_scores(head: Linear, thetas: dict[int, np.ndarray], rows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(option, ``sigmoid`` of its logits, labels by rows) of rows in parts."""
+    for option, theta in thetas.items():
+        w = head.parts(theta)
+        out, i = np.empty((head.n_labels, sum(map(len, rows)))), 0
+        for x in rows:
+            z = w["W"] @ x.T
+            z += w["b"][:, None]
+            out[:, i : i + len(x)] = sigmoid(z)
+            i += len(x)
+        yield option, out
+
+
+def _hits(flags: np.ndarray) -> np.ndarray:
+    return flags.view(np.int8).sum(axis=-1, dtype=np.int32)
+
+
+def _margin_loss(kind: tuple, room: list[np.ndarray], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unweighted element losses and their slopes in ``u = room[0]``, the margin with its sign turned: the
+    functions of ``BlockLoss`` for labels 0 and 1. All four arrays are overwritten."""
+    t, d, s, spare = room
+    over = None
+    if t.max(initial=-np.inf) > FAR:
+        over = np.maximum(t - FAR, 0.0)
+        np.minimum(t, FAR, out=t)
+    np.exp(t, out=t)
+    np.log1p(t, out=s)  # -ln of the true class's probability, which is 1 / d
+    if over is not None:
+        s += over
+    np.add(t, 1.0, out=d)
+    if kind[0] == "log":
+        return s, np.divide(t, d, out=t)
+    q = np.divide(1.0, d, out=d)
+    r = np.multiply(t, q, out=t)  # probability of the false class
+    qs = np.multiply(q, s, out=q)
+    if kind[0] == "focal":
+        gamma = kind[1]
+        qs *= gamma
+        qs += r
+        _times_power(s, r, gamma)
+        _times_power(qs, r, gamma)
+        return s, qs
+    gamma_neg, gamma_pos, clip = kind[1:]
+    qs *= np.where(pos, gamma_pos, gamma_neg)
+    base = np.subtract(r, np.where(pos, 0.0, clip), out=spare)
+    np.maximum(base, 0.0, out=base)
+    qs += base
+    qs *= r
+    s *= base
+    low = np.ones_like(base)
+    _times_power(low, base, gamma_neg - 1)
+    if gamma_neg <= 1:
+        low = np.where(base > 0, low, 0.0)
+    high = 1.0
+    if gamma_pos != 1:
+        high = np.ones_like(base)
+        _times_power(high, base, gamma_pos - 1)
+        high = high if gamma_pos > 1 else np.where(base > 0, high, 0.0)
+    power = np.where(pos, high, low)
+    s *= power
+    qs *= power
+    return s, qs

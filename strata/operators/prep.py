@@ -267,7 +267,8 @@ def _cut_points(
     wanted = F.array(*[F.struct(F.lit(j).alias("j"), n.alias("upto")) for j, n in enumerate(rows_upto)])
     picks = totals.select(*names, "b", "n", "before", F.inline(wanted)).where("before < upto and upto <= before + n")
     picks = picks.select(*[F.col(n).alias(f"p{n}") for n in names], F.col("b").alias("pb"), "j", (F.col("upto") - F.col("before")).alias("need"))
-    meets = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in names], F.col("b") == F.col("pb"))
+    # null-safe also where nothing is null: a plain equality has Spark filter by it first, which computes the hash twice
+    meets = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"p{n}")) for n in names], F.col("b").eqNullSafe(F.col("pb")))
     near = rows.join(F.broadcast(picks), meets)  # two rows per stratum
     place = F.row_number().over(Window.partitionBy(*names, "b", "j").orderBy("h", "k"))
     found = near.withColumn("place", place).where("place = need")

@@ -28,7 +28,7 @@ from strata.config import (
     ASL_CLIP, ASL_GAMMA_NEG, ASL_GAMMA_POS, CB_BETA, FOCAL_GAMMA, GATE_NEAR_ONE_BATCH, GATE_NEAR_ZERO_BATCH, PATIENCE,
 )
 from strata.functions.columns import log_sigmoid, sigmoid, softplus
-from strata.operators import heads, losses
+from strata.operators import heads, losses, ranking
 from strata.operators.prep import effective_number_weights, pos_weight
 from strata.session import spread
 from strata.sources.tables import LOG_SCHEMA, write_shared_table
@@ -220,6 +220,18 @@ def _matrix(record: pa.RecordBatch, name: str) -> np.ndarray | None:
     return values.reshape(int(record.column("n").to_numpy().sum()), -1)
 
 
+def _labels(record: pa.RecordBatch) -> np.ndarray | None:
+    """The label matrix; of packed rows with a byte a label (``small_labels``) as bytes, if all of them are."""
+    if "b" not in record.schema.names:
+        return _matrix(record, "y")
+    if record.column("y").null_count == record.num_rows:
+        column, n = record.column("b"), int(record.column("n").to_numpy().sum())
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + record.num_rows + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(n, -1)
+    some = zip(record.column("n").to_pylist(), record.column("b").to_pylist(), record.column("y").to_pylist(), strict=True)
+    return np.concatenate([(np.frombuffer(y) if b is None else np.frombuffer(b, np.uint8).astype(np.float64)).reshape(n, -1) for n, b, y in some])
+
+
 def _flags(record: pa.RecordBatch) -> np.ndarray:
     """Of each row, whether it is a validation row."""
     if "val" not in record.schema.names:
@@ -233,7 +245,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray
     for record in batches:
         if not record.num_rows:
             continue
-        matrices, flags = [_matrix(record, c) for c in "xyt"], _flags(record)
+        matrices, flags = [_matrix(record, "x"), _labels(record), _matrix(record, "t")], _flags(record)
+        edge = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
+        if len(edge) <= 2 + len(flags) // TASK_ROWS:  # long runs are read where they lie
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                for i in range(a, b, TASK_ROWS):
+                    rows = slice(i, min(i + TASK_ROWS, b))
+                    x, y, t = (None if m is None else m[rows] for m in matrices)
+                    yield bool(flags[a]), x, y, t
+            continue
         for val in (False, True):
             mine = np.flatnonzero(flags == val)
             for i in range(0, len(mine), TASK_ROWS):
@@ -242,9 +262,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray
                 yield val, x, y, t
 
 
-def packed_rows(rows: DataFrame) -> DataFrame:
+def packed_rows(rows: DataFrame, small_labels: bool = False) -> DataFrame:
     """``block_rows`` (with or without ``val``) in rows of several: ``n`` and the matrices ``x``, ``y``
-    (and ``t``) as bytes, which an epoch reads without taking rows apart; map only."""
+    (and ``t``) as bytes, which an epoch reads without taking rows apart; map only. With ``small_labels`` the
+    labels stand in ``b``, one byte each, where all of a row are 0 or 1, and ``y`` is null there."""
     names = [c for c in "xyt" if c in rows.columns]
     flagged = "val" in rows.columns
 
@@ -255,10 +276,16 @@ def packed_rows(rows: DataFrame) -> DataFrame:
             cuts = range(0, len(x), size)
             columns = [pa.array([len(x[i : i + size]) for i in cuts], pa.int32())]
             columns += [pa.array([m[i : i + size].tobytes() for i in cuts], pa.binary()) for m in matrices]
+            if small_labels:
+                labels = matrices[1]
+                hard = bool(((labels == 0) | (labels == 1)).all())
+                columns[2] = pa.nulls(len(cuts), pa.binary()) if hard else columns[2]
+                columns.append(pa.array([labels[i : i + size].astype(np.uint8).tobytes() for i in cuts] if hard else [None] * len(cuts), pa.binary()))
             columns += [pa.array([val] * len(cuts), pa.bool_())] if flagged else []
-            yield pa.RecordBatch.from_arrays(columns, names=["n", *names, *(["val"] if flagged else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=fields)
 
-    schema = ", ".join(["n int", *(f"{c} binary" for c in names), *(["val boolean"] if flagged else [])])
+    fields = ["n", *names, *(["b"] if small_labels else []), *(["val"] if flagged else [])]
+    schema = ", ".join([f"{c} {'int' if c == 'n' else 'boolean' if c == 'val' else 'binary'}" for c in fields])
     return rows.mapInArrow(run, schema)
 
 
@@ -315,14 +342,22 @@ def gradient_partials(rows: DataFrame, head: heads.Head, thetas: dict[int, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         most: dict[int, np.ndarray] = {}
+        together = heads.LinearOptions(head, thetas, losses_of) if isinstance(head, heads.Linear) else None
         for val, x, y, t in _parts(batches):
-            for option, theta in thetas.items():
-                w = head.parts(theta)
-                z, gate, kept = head.forward(w, x, t)
-                el, dz = losses_of[option](z, y)
-                counts, peak = _counts(z, y, gate)
-                grad = [] if val else head.join(head.backward(w, kept, dz))
-                add, key = np.concatenate([grad, [el.sum(), len(y)], counts]), -1 - option if val else option
+            if together and together.takes(y):  # all options at once
+                added = np.concatenate([together.sums(x, y, not val), np.zeros((len(thetas), 5))], axis=1)  # no gate
+                new = {option: (add, np.full(2, -np.inf)) for option, add in zip(thetas, added, strict=True)}
+            else:
+                new, y = {}, y.astype(np.float64)
+                for option, theta in thetas.items():
+                    w = head.parts(theta)
+                    z, gate, kept = head.forward(w, x, t)
+                    el, dz = losses_of[option](z, y)
+                    counts, peak = _counts(z, y, gate)
+                    grad = [] if val else head.join(head.backward(w, kept, dz))
+                    new[option] = np.concatenate([grad, [el.sum(), len(y)], counts]), peak
+            for option, (add, peak) in new.items():
+                key = -1 - option if val else option
                 sums[key] = sums[key] + add if key in sums else add
                 most[key] = np.maximum(most[key], peak) if key in most else peak
         part = TaskContext.get().partitionId()
@@ -384,10 +419,15 @@ def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         yield joined()
 
 
-def score_options(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], keep: Sequence[str] = ()) -> DataFrame:
-    """Long scores (keep..., option, label, y, logit, prob) of all options over ``block_rows`` (map only)."""
+def score_options(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], keep: Sequence[str] = (), packed: bool = False) -> DataFrame:
+    """Long scores (keep..., option, label, y, logit, prob) of all options over ``block_rows`` (map only). ``packed``
+    (nothing kept) gives the same scores in rows of many: (option, label, y, logit, prob) with an Arrow batch's values of an option
+    and label as bytes (y one byte each)."""
     kept = [f for f in rows.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "option int, label int, y int, logit double, prob double"])
+    if packed and kept:
+        raise ValueError("packed scores keep no columns")
+    y_type, value = ("binary", "binary") if packed else ("int", "double")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"option int, label int, y {y_type}, logit {value}, prob {value}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
@@ -395,6 +435,13 @@ def score_options(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarra
             for option, theta in thetas.items() if record.num_rows else ():
                 z = head.forward(head.parts(theta), x, t)[0]
                 n, labels = z.shape
+                if packed:
+                    across = [np.ascontiguousarray(c.T) for c in (y.astype(np.int8), z, heads.sigmoid(z))]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(labels, option, np.int32)), pa.array(np.arange(labels, dtype=np.int32)),
+                        *(pa.array([v.tobytes() for v in c], pa.binary()) for c in across),
+                    ], names=["option", "label", "y", "logit", "prob"])
+                    continue
                 row = pa.array(np.repeat(np.arange(n), labels))
                 yield pa.RecordBatch.from_arrays([
                     *(record.column(f.name).take(row) for f in kept), pa.array(np.full(n * labels, option, np.int32)),
@@ -429,7 +476,7 @@ def _held_out(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray],
 
 #: Scores of a piece, about; rows ranked at a time; packed rows that tell where to cut the scores.
 PIECE_SCORES, RANKED_ROWS, CUT_ROWS = 1 << 18, 1 << 17, 64
-_PIECES = "option int, label int, piece int, scores binary, pos binary, neg binary"
+_PIECES = "option int, label int, piece int, keys binary, counts binary"
 
 
 @dataclass
@@ -465,28 +512,33 @@ class Validation:
 
 
 def ranked_pieces(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarray], cuts: dict[int, list[np.ndarray]]) -> DataFrame:
-    """(option, label, piece) with the distinct scores of some rows and their positives and negatives, as
-    bytes; piece k lies between cut k - 1 (included) and cut k, so equal scores share a piece. Map only."""
+    """(option, label, piece) with the scores and labels of some rows, as the sorted keys of ``ranking.score_keys``;
+    piece k lies between cut k - 1 (included) and cut k, so equal scores share a piece. Map only."""
+
+    def scores(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(option, scores), labels by rows."""
+        if isinstance(head, heads.Linear):
+            yield from heads.linear_scores(head, thetas, [x for x, _ in parts])
+            return
+        for option, theta in thetas.items():
+            w = head.parts(theta)
+            yield option, np.concatenate([heads.sigmoid(head.forward(w, x, t)[0]) for x, t in parts]).T
 
     def ranked(parts: list[tuple[np.ndarray, np.ndarray | None]], y: np.ndarray) -> pa.RecordBatch:
-        found = []
-        for option, theta in thetas.items():
-            p = np.concatenate([heads.sigmoid(head.forward(head.parts(theta), x, t)[0]) for x, t in parts])
-            for label in range(p.shape[1]):
-                scores, at, n = np.unique(p[:, label], return_inverse=True, return_counts=True)
-                pos = np.bincount(at, weights=y[:, label], minlength=len(scores)).astype(np.int64)
-                edge = np.concatenate([[0], np.searchsorted(scores, cuts[option][label]), [len(scores)]])
-                for piece, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-                    if a < b:
-                        found.append((option, label, piece, scores[a:b].tobytes(), pos[a:b].tobytes(), (n[a:b] - pos[a:b]).astype(np.int64).tobytes()))
-        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        found, y = [], np.ascontiguousarray(y.T)
+        for option, p in scores(parts):
+            for label in range(len(p)):
+                keys = ranking.score_keys(p[label], y[label])
+                keys.sort()
+                found += [(option, label, *piece) for piece in ranking.cut_pieces(keys, cuts[option][label])]
+        types = [pa.int32()] * 3 + [pa.binary()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[c.split()[0] for c in _PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ys, held = [], [], 0
         for _, x, y, t in _parts(batches):
             parts.append((x, t))
-            ys.append(y.astype(np.int32))
+            ys.append(y.astype(np.uint64))
             held += len(y)
             if held >= RANKED_ROWS:
                 yield ranked(parts, np.concatenate(ys))
@@ -499,13 +551,9 @@ def ranked_pieces(rows: DataFrame, head: heads.Head, thetas: dict[int, np.ndarra
 
 def _rank_piece(table: pa.Table) -> pa.Table:
     """A piece's positives and negatives, and twice its pairs in order (a tie is half a pair)."""
-    scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float64)
-    pos, neg = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("pos", "neg"))
-    distinct, at = np.unique(scores, return_inverse=True)
-    pos, neg = (np.bincount(at, weights=c, minlength=len(distinct)).astype(np.int64) for c in (pos, neg))
-    above = pos.sum() - np.cumsum(pos)
+    pos, neg, pairs = ranking.pairs_in_order(*ranking.merged(table.column("keys").to_pylist(), table.column("counts").to_pylist()))
     first = {c: table.column(c).slice(0, 1) for c in ("option", "label", "piece")}
-    return pa.table(first | {"pos": pa.array([int(pos.sum())]), "neg": pa.array([int(neg.sum())]), "pairs": pa.array([int((neg * (2 * above + pos)).sum())])})
+    return pa.table(first | {"pos": pa.array([pos]), "neg": pa.array([neg]), "pairs": pa.array([pairs])})
 
 
 def _validate(val: Validation, head: heads.Head, thetas: dict[int, np.ndarray], labels: int) -> dict[int, dict[str, float]]:
@@ -565,13 +613,14 @@ def fit_many(
     alpha, cb = _loss_weights(train, label_cols, beta)
     tr = block_rows(train, features, label_cols, text, batch_col)
     val_rows = block_rows(val, features, label_cols, text)
-    va = write_shared_table(packed_rows(spread(val_rows)), "fit-val")
+    va = write_shared_table(packed_rows(spread(val_rows), small_labels=True), "fit-val")
     ranking = Validation.of(va)
     if batch_col:
         tr = write_shared_table(tr.repartitionByRange("batch").sortWithinPartitions("batch", "x", "y"), "fit-train")
     else:
         both = tr.withColumn("val", F.lit(False)).unionByName(val_rows.withColumn("val", F.lit(True)))
-        tr = write_shared_table(packed_rows(spread(both)), "fit-rows")
+        packed = packed_rows(both, small_labels=True)  # packed first: a hundredth of the rows to deal
+        tr = write_shared_table(spread(packed).sortWithinPartitions("val"), "fit-rows")
     partitions = {id(df): df.rdd.getNumPartitions() for df in (tr, va)}  # from the plan; nothing runs
     fitted = [Fitted(head, o, head.start(o.seed)) for o in options]
     states = {i: _State(f.theta, np.zeros(head.size()), np.zeros(head.size())) for i, f in enumerate(fitted)}

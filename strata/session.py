@@ -62,8 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows of ``df`` dealt evenly over as many tasks as a shuffle has (at least one per core):
-    work by row on a file with few row groups would otherwise run in as few tasks as those."""
+    work by row on a file with few row groups would otherwise run in as few tasks as those. ``by`` names a
+    column of hashes of unique keys, which deals without the sort that dealing in turn needs; it is dropped."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, by).drop(by) if by else df.repartition(n)
